@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, media, packing, pii, simhash, token_counts
+from . import chat, decontaminate, language, media, packing, pii, sentences, simhash, token_counts
 from .common import table
 
 
@@ -17,6 +17,11 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return chat.preference_pairs(conversations, chat.with_borrowed_reply(conversations), "conv_id")
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(table(spark, sf_dir, "documents"))
 
@@ -30,6 +35,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -40,6 +49,19 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_id, op2_benchmark_decontamination, op5_media_columns, op6_pii, op7_token_counts, op9_vector_packing, op10_simhash_near_dedup)
+    for f in (
+        op1_language_id,
+        op2_benchmark_decontamination,
+        op3_chat_formatting,
+        op5_media_columns,
+        op6_pii,
+        op7_token_counts,
+        op8_substring_dedup,
+        op9_vector_packing,
+        op10_simhash_near_dedup,
+    )
+}
+ORACLE_SQL: dict[str, str] = {
+    "op2_benchmark_decontamination": decontaminate.ORACLE_SQL,
+    "op3_chat_formatting": chat.ORACLE_SQL,
 }
-ORACLE_SQL: dict[str, str] = {"op2_benchmark_decontamination": decontaminate.ORACLE_SQL}
