@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, language, media, packing, pii, sentences, simhash, token_counts
+from . import chat, decontaminate, katz, language, media, packing, pii, sentences, simhash, token_counts
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.preference_pairs(conversations, chat.with_borrowed_reply(conversations), "conv_id")
 
 
+def op4_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ QUERIES = {
         op1_language_id,
         op2_benchmark_decontamination,
         op3_chat_formatting,
+        op4_katz_scores,
         op5_media_columns,
         op6_pii,
         op7_token_counts,
