@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import fact_queries, match_queries
+
+QUERIES = fact_queries.QUERIES | match_queries.QUERIES
+ORACLE_SQL = fact_queries.SQL | match_queries.SQL
