@@ -19,8 +19,11 @@ def market_curve(df: DataFrame, score: str, cost: str, by: list[str]) -> DataFra
     return fit.join(spread, by) if by else fit.crossJoin(F.broadcast(spread))
 
 
-def fair_prices(df: DataFrame, curve: DataFrame, score: str, cost: str, by: list[str]) -> DataFrame:
-    """Fitted value, residual, one-sigma band, negotiation range (floored at 0) and verdict of every entity."""
+def fair_prices(df: DataFrame, curve: DataFrame, score: str, cost: str, by: list[str], slack: float = 1e-9) -> DataFrame:
+    """Fitted value, residual, one-sigma band, negotiation range (floored at 0) and verdict of every entity.
+
+    A cost within slack of the fair price is no overpayment, so that rounding decides nothing.
+    """
     out = df.join(curve, by) if by else df.crossJoin(F.broadcast(curve))
     fair, sigma = F.col("intercept") + F.col("slope") * F.col(score), F.col("sigma")
     floor = lambda c: F.greatest(F.lit(0.0), c)
@@ -32,7 +35,7 @@ def fair_prices(df: DataFrame, curve: DataFrame, score: str, cost: str, by: list
         "offer_low": floor(fair - 0.5 * sigma),
         "offer_high": floor(fair + 0.5 * sigma),
         "offer_most": floor(fair + sigma),
-        "verdict": F.when(F.col(cost) > floor(fair), "overpaid").when(F.col(cost).isNotNull() & fair.isNotNull(), "good deal"),
+        "verdict": F.when(F.col(cost) > floor(fair) + slack, "overpaid").when(F.col(cost).isNotNull() & fair.isNotNull(), "good deal"),
     })
 
 

@@ -143,7 +143,7 @@ def market_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(CURVE_SQL + """SELECT entity, round(greatest(0, intercept + slope * score), 5) AS fair, round(cost - (intercept + slope * score), 5) + 0 AS residual, round(greatest(0, intercept + slope * score - 0.5 * sigma), 5) AS offer_low, round(greatest(0, intercept + slope * score + 0.5 * sigma), 5) AS offer_high,
-  round(greatest(0, intercept + slope * score + sigma), 5) AS offer_most, CASE WHEN cost > greatest(0, intercept + slope * score) THEN 'overpaid' ELSE 'good deal' END AS verdict FROM pt JOIN curve ON pt.region = curve.region""")
+  round(greatest(0, intercept + slope * score + sigma), 5) AS offer_most, CASE WHEN cost > greatest(0, intercept + slope * score) + 1e-9 THEN 'overpaid' ELSE 'good deal' END AS verdict FROM pt JOIN curve ON pt.region = curve.region""")
 def fair_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = market.fair_prices(*_priced(spark, sf_dir), "score", "cost", ["region"])
     return rounded(own.select("entity", "fair", "residual", "offer_low", "offer_high", "offer_most", "verdict"), 5)
