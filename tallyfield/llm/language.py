@@ -7,6 +7,8 @@ text's language is the one with most letters in its spans.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
 import re
 import uuid
@@ -23,7 +25,7 @@ from .common import id_bucket, only, ship
 
 UNKNOWN = "und"
 #: Longest character n-gram of a word with its ends marked.
-ORDER = 4
+ORDER = 3
 #: Cost of changing the language between two words, in nats.
 SWITCH = 12.0
 #: A language is a candidate for a script in which it has at least this share of its training words.
@@ -56,36 +58,39 @@ _starts = [s for s, _ in SCRIPTS]
 
 def script(word: str) -> str:
     """The script of the word's first letter."""
-    return SCRIPTS[int(np.searchsorted(_starts, ord(word[0]), side="right")) - 1][1]
+    return SCRIPTS[bisect.bisect_right(_starts, ord(word[0])) - 1][1]
 
 
 def grams(word: str) -> list[str]:
     marked = f"^{word}$"
-    return [marked[i : i + n] for n in range(1, ORDER + 1) for i in range(len(marked) - n + 1)]
+    return [marked[i : i + n] for n in range(1, min(ORDER, len(marked)) + 1) for i in range(len(marked) - n + 1)]
 
 
 @dataclass
 class Model:
-    """Log probabilities of n-grams in each language, and the candidates of each script."""
+    """Log probabilities of n-grams in each language (rows of values, those of absent n-grams first), and candidates by script."""
 
     languages: list[str]
-    table: dict[str, np.ndarray] = field(default_factory=dict)
-    absent: np.ndarray = field(default_factory=lambda: np.zeros((ORDER + 1, 0)))
+    rows: dict[str, int] = field(default_factory=dict)
+    values: np.ndarray = field(default_factory=lambda: np.zeros((ORDER + 1, 0)))
     candidates: dict[str, np.ndarray] = field(default_factory=dict)
-    prior: int = 0
     token: str = field(default_factory=lambda: uuid.uuid4().hex)
 
-    def word(self, word: str) -> np.ndarray:
-        """The word's score in every language; the n-gram orders vote with equal weight."""
-        total = np.zeros(len(self.languages))
-        for g in grams(word):
-            got = self.table.get(g)
-            total += self.absent[len(g)] if got is None else got
-        total /= ORDER
-        fit = self.candidates.get(script(word))
-        if fit is None:
-            return np.zeros(len(self.languages))  # a script that was never seen tells nothing
-        return np.where(fit, total, FAR + total)
+    def words(self, words: list[str]) -> np.ndarray:
+        """The words' scores in every language; the n-gram orders vote with equal weight."""
+        if not self.languages or not words:
+            return np.zeros((len(words), len(self.languages)))
+        get = self.rows.get
+        each = [[get(g, len(g)) for g in grams(w)] for w in words]
+        starts = np.cumsum([0, *map(len, each)])[:-1]
+        total = np.add.reduceat(self.values[np.fromiter(itertools.chain.from_iterable(each), np.int64)], starts, axis=0) / ORDER
+        for i, word in enumerate(words):
+            fit = self.candidates.get(script(word))
+            if fit is None:
+                total[i] = 0.0  # a script that was never seen tells nothing
+            elif not fit.all():
+                total[i] = np.where(fit, total[i], FAR + total[i])
+        return total
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE) -> Model:
@@ -135,10 +140,11 @@ def _model(languages: list[str], counts: list[dict]) -> Model:
         kinds[len(g)] += 1
     some = 0.5
     log_all = np.log(total + some * kinds[:, None])
-    known = {g: np.log(n + some) - log_all[len(g)] for g, n in table.items()}
+    values = np.concatenate((math.log(some) - log_all, np.array([np.log(n + some) - log_all[len(g)] for g, n in table.items()])))
+    rows = {g: ORDER + 1 + i for i, g in enumerate(table)}
     words = sum(scripts.values())
     fits = {s: n >= SCRIPT_SHARE * np.maximum(words, 1) for s, n in scripts.items()}
-    return Model(languages, known, math.log(some) - log_all, {s: f for s, f in fits.items() if f.any()}, int(np.argmax(words)))
+    return Model(languages, rows, values, {s: f for s, f in fits.items() if f.any()})
 
 
 class Labeller:
@@ -153,23 +159,25 @@ class Labeller:
         self.scores = np.zeros((1024, len(self.model.languages)), np.float32)
         self.letters = np.zeros(1024, np.int64)
 
-    def _row(self, word: str) -> int:
-        at = len(self.rows)
-        if at == len(self.letters):
+    def _add(self, words: list[str]) -> None:
+        start = len(self.rows)
+        while start + len(words) > len(self.letters):
             self.scores = np.concatenate((self.scores, np.zeros_like(self.scores)))
             self.letters = np.concatenate((self.letters, np.zeros_like(self.letters)))
-        self.letters[at] = sum(map(str.isalpha, word))
-        if self.letters[at] and self.model.languages:
-            self.scores[at] = self.model.word(word)
-        self.rows[word] = at
-        return at
+        counts = [len(w) if w.isalpha() else sum(map(str.isalpha, w)) for w in words]
+        self.letters[start : start + len(words)] = counts
+        self.scores[start : start + len(words)] = self.model.words(words) * (np.array(counts)[:, None] > 0)
+        self.rows.update(zip(words, range(start, start + len(words))))
 
     def paths(self, texts: list[list[str]]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each text, given as words: the language of each word on the best path, and the words' letters."""
         if len(self.rows) > self.keep:
             self._clear()
-        rows, row = self.rows, self._row
-        index = [np.array([rows[w] if w in rows else row(w) for w in words], np.int64) for words in texts]
+        rows = self.rows
+        new = [w for w in dict.fromkeys(itertools.chain.from_iterable(texts)) if w not in rows]
+        if new:
+            self._add(new)
+        index = [np.array([rows[w] for w in words], np.int64) for words in texts]
         order = sorted(range(len(texts)), key=lambda i: -len(index[i]))
         labels = self._viterbi([self.scores[index[i]] for i in order])
         out: list = [None] * len(texts)
