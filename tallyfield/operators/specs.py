@@ -82,7 +82,7 @@ SPECS = {
         ),
         spec(
             "Interior/Mediapunta",
-            BoxToBox=(0.25, "Box to Box", "n_events_third_defensive_ball_recovery^ .11, n_events_third_{middle|attacking}_ball_recovery^ .14, n_events_third_{defensive|attacking}_duel^ .08, n_events_third_middle_duel^ .14, carry_into_final_third^ .10, touches_in_opp_box^ .10, shot_touch_pct .05, total_touches^ .09"),
+            BoxToBox=(0.25, "Box to Box", "n_events_third_{defensive|attacking}_ball_recovery^ .11, n_events_third_middle_ball_recovery^ .14, n_events_third_{defensive|attacking}_duel^ .08, n_events_third_middle_duel^ .14, carry_into_final_third^ .10, touches_in_opp_box^ .10, shot_touch_pct .05, total_touches^ .09"),
             Desequilibrio=(0.30, "Desequilibrantes", "obv_total_net_type_dribble^ .30, obv_total_net_type_carry^ .25, carry_into_final_third^ .15, pass_into_final_third^ .10, obv_total_net_type_shot^ .10, shot_statsbomb_xg^ .10"),
             Organizacion=(0.25, "Organizadores", "obv_total_net_type_pass^ .30, complete_passes^ .20, pass_shot_assist^ .12, obv_total_net_third_attacking_pass^ .13, obv_total_net_play_pattern_regular_play^ .10, -total_turnovers^ .15"),
             ContencionPresion=(0.20, "Contención/Presión", "n_events_third_middle_pressure^ .18, n_events_third_attacking_pressure^ .12, counterpress^ .10, n_events_third_middle_ball_recovery^ .12, n_events_third_attacking_ball_recovery^ .13, obv_total_net_duel_type_tackle^ .10, duel_tackle^ .10, obv_total_net_type_interception^ .08, obv_total_net_third_middle_interception^ .07"),
