@@ -8,6 +8,7 @@ occurrence of a run, by document id and place, stays; sentences that any other o
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,9 +20,12 @@ from pyspark.sql import functions as F
 from .common import only, settle, ship
 
 RUN = 3
-RUN_WORDS = 25
-#: A sentence goes on for at most so many words, so that text without stops is cut too.
-SENTENCE_WORDS = 20
+RUN_WORDS = 15
+#: A longer sentence is cut after words whose checksum is a multiple of CUT, which depends on the words alone, so that
+#: copies are cut alike wherever they stand; and after so many words in any case.
+SENTENCE_WORDS = 12
+CUT = 6
+LONGEST_WORDS = 20
 
 _stop = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
 _word = re.compile(r"\S+")
@@ -40,10 +44,13 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
             continue
         if len(words) > SENTENCE_WORDS:
             places = [m.start() for m in _word.finditer(text, start, stop)]
-            for at in range(0, len(words), SENTENCE_WORDS):
-                end = places[at + SENTENCE_WORDS] if at + SENTENCE_WORDS < len(places) else stop
-                out.append((start, end, words[at : at + SENTENCE_WORDS]))
-                start = end
+            first = 0
+            for at in range(1, len(words) + 1):
+                whole = at == len(words)
+                if whole or at - first >= LONGEST_WORDS or zlib.crc32(words[at - 1].lower().encode()) % CUT == 0:
+                    end = stop if whole else places[at]
+                    out.append((start, end, words[first:at]))
+                    start, first = end, at
         else:
             out.append((start, stop, words))
             start = stop
