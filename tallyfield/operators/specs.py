@@ -1,12 +1,10 @@
-"""Scoring specifications of the position groups: data, in a compact notation.
+"""Scoring specifications of the position groups, as data.
 
-A metric is written `name weight`; a leading - marks lower as better, a trailing ^ stands for _per90, and a{b|c}
-stands for ab and ac with one weight each.
+A metric is a line `name weight`; a leading - marks lower as better.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,13 +29,8 @@ class Spec:
 
 
 def parse(text: str) -> list[tuple[str, float, bool]]:
-    out = []
-    for item in text.split(","):
-        name, weight = item.split()
-        inverted, name = name.startswith("-"), name.lstrip("-").replace("^", "_per90")
-        m = re.fullmatch(r"(.*)\{(.*)\}(.*)", name)
-        out += [(n, float(weight), inverted) for n in ([m[1] + part + m[3] for part in m[2].split("|")] if m else [name])]
-    return out
+    pairs = [line.split() for line in text.strip().splitlines()]
+    return [(name.lstrip("-"), float(weight), name.startswith("-")) for name, weight in pairs]
 
 
 def spec(group: str, **categories: tuple[float, str, str]) -> Spec:
@@ -45,63 +38,348 @@ def spec(group: str, **categories: tuple[float, str, str]) -> Spec:
     return Spec(group, {c: w for c, (w, _, _) in categories.items()}, {c: parse(m) for c, (_, _, m) in categories.items()}, {c: label for c, (_, label, _) in categories.items()})
 
 
-DEF_EXEC = "duel_success_rate .25, tackle_success_pct .25, ball_recovery_success_pct .15, interception_success_rate .10, clearances_total^ .10, blocks_total^ .05, -defensive_actions_lost^ .10"
-DEF_OBV = "obv_total_net_type_duel^ .20, obv_total_net_duel_type_tackle^ .25, obv_total_net_type_{interception|ball_recovery}^ .20, obv_total_net_type_clearance^ .15"
-
 #: The groups' categories, weights, labels and metrics.
+DEF_EXEC = """
+    duel_success_rate 0.25
+    tackle_success_pct 0.25
+    ball_recovery_success_pct 0.15
+    interception_success_rate 0.1
+    clearances_total_per90 0.1
+    blocks_total_per90 0.05
+    -defensive_actions_lost_per90 0.1
+"""
+DEF_OBV = """
+    obv_total_net_type_duel_per90 0.2
+    obv_total_net_duel_type_tackle_per90 0.25
+    obv_total_net_type_interception_per90 0.2
+    obv_total_net_type_ball_recovery_per90 0.2
+    obv_total_net_type_clearance_per90 0.15
+"""
 SPECS = {
     s.group: s
     for s in (
         spec(
             "Golero",
-            Effectiveness=(0.50, "Atajador", "gk_goals_prevented^ .50, gk_save_pct .25, -gk_errors_leading_to_shot^ .10, -gk_errors_leading_to_goal^ .15"),
-            Area_Domination=(0.20, "Dominante", "gk_claims^ .5, -gk_shots_open_play_in_box_against^ .5"),
-            Foot_Play=(0.15, "Juego de Pies", "gk_pass_obv^ .4, gk_long_ball_pct .2, gk_pressured_passes_def_third^ .2, gk_pressured_passes_def_third_completion_pct .2"),
-            Outside_Box=(0.15, "Libero", "gk_actions_outside_box^ .5, gk_aggressive_distance_avg .5"),
+            Effectiveness=(
+                0.5,
+                "Atajador",
+                """
+                gk_goals_prevented_per90 0.5
+                gk_save_pct 0.25
+                -gk_errors_leading_to_shot_per90 0.1
+                -gk_errors_leading_to_goal_per90 0.15
+                """,
+            ),
+            Area_Domination=(
+                0.2,
+                "Dominante",
+                """
+                gk_claims_per90 0.5
+                -gk_shots_open_play_in_box_against_per90 0.5
+                """,
+            ),
+            Foot_Play=(
+                0.15,
+                "Juego de Pies",
+                """
+                gk_pass_obv_per90 0.4
+                gk_long_ball_pct 0.2
+                gk_pressured_passes_def_third_per90 0.2
+                gk_pressured_passes_def_third_completion_pct 0.2
+                """,
+            ),
+            Outside_Box=(
+                0.15,
+                "Libero",
+                """
+                gk_actions_outside_box_per90 0.5
+                gk_aggressive_distance_avg 0.5
+                """,
+            ),
         ),
         spec(
             "Zaguero",
             AccionDefensiva=(0.25, "Acción Def", DEF_EXEC),
-            ControlDefensivo=(0.45, "Control Def", "pressure^ .15, counterpress^ .15, -obv_into_area^ .25, -obv_from_area^ .25, -shots_from_area^ .10, -xg_from_area^ .10"),
-            Progresion=(0.20, "Progresión", "pass_completion_rate .15, pass_into_final_third^ .20, pass_switch^ .20, carry_into_final_third^ .10, pass_through_ball^ .15, obv_total_net_type_pass^ .20"),
-            ImpactoOfensivo=(0.10, "Ofensivo", "shot_statsbomb_xg_play_pattern_regular_play^ .15, shot_statsbomb_xg_play_pattern_{from_corner|from_free_kick}^ .075, obv_total_net_play_pattern_regular_play^ .15, obv_total_net_play_pattern_{from_free_kick|from_corner}^ .075"),
+            ControlDefensivo=(
+                0.45,
+                "Control Def",
+                """
+                pressure_per90 0.15
+                counterpress_per90 0.15
+                -obv_into_area_per90 0.25
+                -obv_from_area_per90 0.25
+                -shots_from_area_per90 0.1
+                -xg_from_area_per90 0.1
+                """,
+            ),
+            Progresion=(
+                0.2,
+                "Progresión",
+                """
+                pass_completion_rate 0.15
+                pass_into_final_third_per90 0.2
+                pass_switch_per90 0.2
+                carry_into_final_third_per90 0.1
+                pass_through_ball_per90 0.15
+                obv_total_net_type_pass_per90 0.2
+                """,
+            ),
+            ImpactoOfensivo=(
+                0.1,
+                "Ofensivo",
+                """
+                shot_statsbomb_xg_play_pattern_regular_play_per90 0.15
+                shot_statsbomb_xg_play_pattern_from_corner_per90 0.075
+                shot_statsbomb_xg_play_pattern_from_free_kick_per90 0.075
+                obv_total_net_play_pattern_regular_play_per90 0.15
+                obv_total_net_play_pattern_from_free_kick_per90 0.075
+                obv_total_net_play_pattern_from_corner_per90 0.075
+                """,
+            ),
         ),
         spec(
             "Lateral",
-            Profundidad=(0.30, "Profundos", "pass_into_final_third^ .15, carry_into_final_third^ .25, n_events_third_attacking_pass^ .20, n_events_third_attacking_pass_cross_openplay^ .20, xa^ .20"),
-            Calidad=(0.30, "Técnicos", "obv_total_net_type_pass^ .45, obv_total_net_type_dribble^ .25, obv_total_net_type_carry^ .20, -total_turnovers^ .10"),
-            Presion=(0.20, "Presionantes", "pressure^ .35, n_events_third_attacking_pressure^ .35, ball_recovery_offensive^ .15, counterpress^ .15"),
-            Defensivo=(0.20, "Protectores", DEF_EXEC),
+            Profundidad=(
+                0.3,
+                "Profundos",
+                """
+                pass_into_final_third_per90 0.15
+                carry_into_final_third_per90 0.25
+                n_events_third_attacking_pass_per90 0.2
+                n_events_third_attacking_pass_cross_openplay_per90 0.2
+                xa_per90 0.2
+                """,
+            ),
+            Calidad=(
+                0.3,
+                "Técnicos",
+                """
+                obv_total_net_type_pass_per90 0.45
+                obv_total_net_type_dribble_per90 0.25
+                obv_total_net_type_carry_per90 0.2
+                -total_turnovers_per90 0.1
+                """,
+            ),
+            Presion=(
+                0.2,
+                "Presionantes",
+                """
+                pressure_per90 0.35
+                n_events_third_attacking_pressure_per90 0.35
+                ball_recovery_offensive_per90 0.15
+                counterpress_per90 0.15
+                """,
+            ),
+            Defensivo=(0.2, "Protectores", DEF_EXEC),
         ),
         spec(
             "Volante",
-            Posesion=(0.25, "Posesión", "complete_passes^ .20, completed_passes_under_pressure^ .30, -total_turnovers^ .20, obv_total_net_type_pass^ .30"),
-            Progresion=(0.30, "Progresión", "pass_into_final_third^ .20, carry_into_final_third^ .20, obv_total_net_type_carry^ .20, pass_switch^ .20, pass_through_ball^ .20"),
-            Territoriales=(0.25, "Territoriales", "n_events_third_defensive_pressure^ .12, n_events_third_middle_pressure^ .18, counterpress^ .05, n_events_third_defensive_ball_recovery^ .15, n_events_third_middle_ball_recovery^ .20, obv_total_net_type_{interception|ball_recovery}^ .15"),
-            Contencion=(0.20, "Contención", "duel_tackle^ .22, obv_total_net_duel_type_tackle^ .23, interception_success_rate .17, obv_total_net_type_interception^ .23, n_events_third_defensive_interception^ .15"),
+            Posesion=(
+                0.25,
+                "Posesión",
+                """
+                complete_passes_per90 0.2
+                completed_passes_under_pressure_per90 0.3
+                -total_turnovers_per90 0.2
+                obv_total_net_type_pass_per90 0.3
+                """,
+            ),
+            Progresion=(
+                0.3,
+                "Progresión",
+                """
+                pass_into_final_third_per90 0.2
+                carry_into_final_third_per90 0.2
+                obv_total_net_type_carry_per90 0.2
+                pass_switch_per90 0.2
+                pass_through_ball_per90 0.2
+                """,
+            ),
+            Territoriales=(
+                0.25,
+                "Territoriales",
+                """
+                n_events_third_defensive_pressure_per90 0.12
+                n_events_third_middle_pressure_per90 0.18
+                counterpress_per90 0.05
+                n_events_third_defensive_ball_recovery_per90 0.15
+                n_events_third_middle_ball_recovery_per90 0.2
+                obv_total_net_type_interception_per90 0.15
+                obv_total_net_type_ball_recovery_per90 0.15
+                """,
+            ),
+            Contencion=(
+                0.2,
+                "Contención",
+                """
+                duel_tackle_per90 0.22
+                obv_total_net_duel_type_tackle_per90 0.23
+                interception_success_rate 0.17
+                obv_total_net_type_interception_per90 0.23
+                n_events_third_defensive_interception_per90 0.15
+                """,
+            ),
         ),
         spec(
             "Interior/Mediapunta",
-            BoxToBox=(0.25, "Box to Box", "n_events_third_{defensive|attacking}_ball_recovery^ .11, n_events_third_middle_ball_recovery^ .14, n_events_third_{defensive|attacking}_duel^ .08, n_events_third_middle_duel^ .14, carry_into_final_third^ .10, touches_in_opp_box^ .10, shot_touch_pct .05, total_touches^ .09"),
-            Desequilibrio=(0.30, "Desequilibrantes", "obv_total_net_type_dribble^ .30, obv_total_net_type_carry^ .25, carry_into_final_third^ .15, pass_into_final_third^ .10, obv_total_net_type_shot^ .10, shot_statsbomb_xg^ .10"),
-            Organizacion=(0.25, "Organizadores", "obv_total_net_type_pass^ .30, complete_passes^ .20, pass_shot_assist^ .12, obv_total_net_third_attacking_pass^ .13, obv_total_net_play_pattern_regular_play^ .10, -total_turnovers^ .15"),
-            ContencionPresion=(0.20, "Contención/Presión", "n_events_third_middle_pressure^ .18, n_events_third_attacking_pressure^ .12, counterpress^ .10, n_events_third_middle_ball_recovery^ .12, n_events_third_attacking_ball_recovery^ .13, obv_total_net_duel_type_tackle^ .10, duel_tackle^ .10, obv_total_net_type_interception^ .08, obv_total_net_third_middle_interception^ .07"),
+            BoxToBox=(
+                0.25,
+                "Box to Box",
+                """
+                n_events_third_defensive_ball_recovery_per90 0.11
+                n_events_third_attacking_ball_recovery_per90 0.11
+                n_events_third_middle_ball_recovery_per90 0.14
+                n_events_third_defensive_duel_per90 0.08
+                n_events_third_attacking_duel_per90 0.08
+                n_events_third_middle_duel_per90 0.14
+                carry_into_final_third_per90 0.1
+                touches_in_opp_box_per90 0.1
+                shot_touch_pct 0.05
+                total_touches_per90 0.09
+                """,
+            ),
+            Desequilibrio=(
+                0.3,
+                "Desequilibrantes",
+                """
+                obv_total_net_type_dribble_per90 0.3
+                obv_total_net_type_carry_per90 0.25
+                carry_into_final_third_per90 0.15
+                pass_into_final_third_per90 0.1
+                obv_total_net_type_shot_per90 0.1
+                shot_statsbomb_xg_per90 0.1
+                """,
+            ),
+            Organizacion=(
+                0.25,
+                "Organizadores",
+                """
+                obv_total_net_type_pass_per90 0.3
+                complete_passes_per90 0.2
+                pass_shot_assist_per90 0.12
+                obv_total_net_third_attacking_pass_per90 0.13
+                obv_total_net_play_pattern_regular_play_per90 0.1
+                -total_turnovers_per90 0.15
+                """,
+            ),
+            ContencionPresion=(
+                0.2,
+                "Contención/Presión",
+                """
+                n_events_third_middle_pressure_per90 0.18
+                n_events_third_attacking_pressure_per90 0.12
+                counterpress_per90 0.1
+                n_events_third_middle_ball_recovery_per90 0.12
+                n_events_third_attacking_ball_recovery_per90 0.13
+                obv_total_net_duel_type_tackle_per90 0.1
+                duel_tackle_per90 0.1
+                obv_total_net_type_interception_per90 0.08
+                obv_total_net_third_middle_interception_per90 0.07
+                """,
+            ),
         ),
         spec(
             "Extremo",
-            CompromisoDef=(0.20, "Compromiso Def", "n_events_third_attacking_pressure^ .20, counterpress^ .20, n_events_third_attacking_ball_recovery^ .15, obv_total_net_type_ball_recovery^ .20, obv_total_net_type_interception^ .10, pressure^ .15"),
-            Desequilibrio=(0.35, "Desequilibrio", "obv_total_net_type_{dribble|carry}^ .18, carry_into_final_third^ .10, pass_into_final_third^ .08, pass_shot_assist^ .15, pass_goal_assist^ .05, xa^ .12, obv_total_net_type_pass^ .14"),
-            Finalizacion=(0.30, "Finalización", "shot_statsbomb_xg^ .35, obv_total_net_type_shot^ .25, xg_per_shot .20, touches_in_opp_box^ .20"),
-            ZonaInfluencia=(0.15, "Zona Influencia", "obv_from_{ext|int}^ .35, obv_total_net_type_pass^ .30"),
+            CompromisoDef=(
+                0.2,
+                "Compromiso Def",
+                """
+                n_events_third_attacking_pressure_per90 0.2
+                counterpress_per90 0.2
+                n_events_third_attacking_ball_recovery_per90 0.15
+                obv_total_net_type_ball_recovery_per90 0.2
+                obv_total_net_type_interception_per90 0.1
+                pressure_per90 0.15
+                """,
+            ),
+            Desequilibrio=(
+                0.35,
+                "Desequilibrio",
+                """
+                obv_total_net_type_dribble_per90 0.18
+                obv_total_net_type_carry_per90 0.18
+                carry_into_final_third_per90 0.1
+                pass_into_final_third_per90 0.08
+                pass_shot_assist_per90 0.15
+                pass_goal_assist_per90 0.05
+                xa_per90 0.12
+                obv_total_net_type_pass_per90 0.14
+                """,
+            ),
+            Finalizacion=(
+                0.3,
+                "Finalización",
+                """
+                shot_statsbomb_xg_per90 0.35
+                obv_total_net_type_shot_per90 0.25
+                xg_per_shot 0.2
+                touches_in_opp_box_per90 0.2
+                """,
+            ),
+            ZonaInfluencia=(
+                0.15,
+                "Zona Influencia",
+                """
+                obv_from_ext_per90 0.35
+                obv_from_int_per90 0.35
+                obv_total_net_type_pass_per90 0.3
+                """,
+            ),
         ),
         spec(
             "Delantero",
-            Finalizacion=(0.40, "Killer", "xg_per_shot .20, shot_statsbomb_xg^ .18, obv_total_net_type_shot^ .15, goals^ .05, touches_in_opp_box^ .15, touches_in_opp_box_pct .10, obv_total_net_play_pattern_regular_play^ .10, total_shots^ .04, shot_touch_pct .03"),
-            Presionante=(0.10, "Presionante", "pressure^ .30, n_events_third_attacking_pressure^ .20, counterpress^ .15, ball_recovery_offensive^ .15, n_events_third_attacking_ball_recovery^ .10, obv_total_net_type_{interception|ball_recovery}^ .05"),
-            Conector=(0.25, "Falso 9", "complete_passes^ .25, pass_completion_rate .15, pass_into_final_third^ .15, obv_total_net_type_pass^ .25, pass_shot_assist^ .15, -total_turnovers^ .05"),
-            Disruptivo=(0.25, "Disruptivo", "obv_total_net_type_dribble^ .40, obv_total_net_type_carry^ .35, carry_into_final_third^ .15, pass_into_final_third^ .10"),
+            Finalizacion=(
+                0.4,
+                "Killer",
+                """
+                xg_per_shot 0.2
+                shot_statsbomb_xg_per90 0.18
+                obv_total_net_type_shot_per90 0.15
+                goals_per90 0.05
+                touches_in_opp_box_per90 0.15
+                touches_in_opp_box_pct 0.1
+                obv_total_net_play_pattern_regular_play_per90 0.1
+                total_shots_per90 0.04
+                shot_touch_pct 0.03
+                """,
+            ),
+            Presionante=(
+                0.1,
+                "Presionante",
+                """
+                pressure_per90 0.3
+                n_events_third_attacking_pressure_per90 0.2
+                counterpress_per90 0.15
+                ball_recovery_offensive_per90 0.15
+                n_events_third_attacking_ball_recovery_per90 0.1
+                obv_total_net_type_interception_per90 0.05
+                obv_total_net_type_ball_recovery_per90 0.05
+                """,
+            ),
+            Conector=(
+                0.25,
+                "Falso 9",
+                """
+                complete_passes_per90 0.25
+                pass_completion_rate 0.15
+                pass_into_final_third_per90 0.15
+                obv_total_net_type_pass_per90 0.25
+                pass_shot_assist_per90 0.15
+                -total_turnovers_per90 0.05
+                """,
+            ),
+            Disruptivo=(
+                0.25,
+                "Disruptivo",
+                """
+                obv_total_net_type_dribble_per90 0.4
+                obv_total_net_type_carry_per90 0.35
+                carry_into_final_third_per90 0.15
+                pass_into_final_third_per90 0.1
+                """,
+            ),
         ),
     )
-}
+}
 #: The fullback's defensive category is a fixed mix of two scores.
 LATERAL_MIX = {"exec": (0.6, parse(DEF_EXEC)), "obv": (0.4, parse(DEF_OBV))}

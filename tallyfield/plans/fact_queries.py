@@ -27,9 +27,9 @@ def query(sql: str | None = None, facts: bool = True):
 #: Suppliers are scored in their region: what they sell, how it is priced, and how well it lasts.
 SUPPLY = spec(
     "suppliers",
-    Volume=(0.5, "Volume", "revenue .6, quantity .3, items .1"),
-    Price=(0.2, "Price", "-discount .7, balance .3"),
-    Quality=(0.3, "Quality", "-returned .6, open_share .4"),
+    Volume=(0.5, "Volume", "revenue .6\nquantity .3\nitems .1"),
+    Price=(0.2, "Price", "-discount .7\nbalance .3"),
+    Quality=(0.3, "Quality", "-returned .6\nopen_share .4"),
 )
 METRICS = ["revenue", "quantity", "items", "discount", "balance", "returned", "open_share"]
 
