@@ -6,6 +6,7 @@ never gathered in one task for all metrics at once. The specification is joined
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -86,9 +87,13 @@ def score(df: DataFrame, keys: list[str], cohort: list[str], spec: Spec, q: floa
     return out.withColumn("profile", profile(spec.labels))
 
 
-def score_position(players: DataFrame, group: str, cohort: list[str] | None = None, min_minutes: int = 450, min_matches: int = 5, teams: list[str] | None = None, q: float = QUANTILE) -> DataFrame:
-    """Score the players of a position group; fullbacks get the mixed defensive category, wingers a lane profile."""
-    spec = SPECS[group]
+def score_position(players: DataFrame, group: str, cohort: list[str] | None = None, min_minutes: int = 450, min_matches: int = 5, teams: list[str] | None = None, q: float = QUANTILE, derive: Callable[[DataFrame], DataFrame] | None = None, spec: Spec | None = None) -> DataFrame:
+    """Score the players of a position group; fullbacks get the mixed defensive category, wingers a lane profile.
+
+    derive may add or map metric columns before scoring, and spec replaces the group's specification.
+    """
+    spec = spec or SPECS[group]
+    players = players.transform(derive) if derive else players
     own = eligible(players.where(F.col("primary_position").isin(P.positions_of(group))), min_minutes, min_matches, teams)
     cohort = cohort or ["season"]
     keys = ["player_id"]

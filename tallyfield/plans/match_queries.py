@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import pitch as P
-from ..operators import keeper, lanes, metrics, minutes, normalize, turnovers, zones
+from ..operators import keeper, lanes, metrics, minutes, normalize, season, turnovers, zones
 from .adapters import lineups, match_sql, match_view
 
 TYPES = ("Pass", "Carry", "Shot", "Pressure", "Duel", "Goal Keeper")
@@ -273,3 +273,21 @@ def clock_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.format_string("%02d:%02d:%06.3f", F.floor(F.col("t") / 3600), F.floor(F.col("t") / 60) % 60, F.col("t") % 60)
     own = lambda stamp: P.clock_seconds(stamp, F.col("period"), F.col("minute"), F.lit(0))
     return v.select("idx", own(text).alias("clock"), own(F.lit(None).cast("string")).alias("fallback"))
+
+
+@query(TURNOVER_SQL + LANE_SQL + ZONE_SQL + """, met AS (
+  SELECT z.match_id, z.player_id, e.obv_total_net AS o,
+    ((120 - e.x) - mu_x) * cos(th) + ((80 - e.y) - mu_y) * sin(th) BETWEEN u_lo AND u_hi AND ((80 - e.y) - mu_y) * cos(th) - ((120 - e.x) - mu_x) * sin(th) BETWEEN v_lo AND v_hi AS inside
+  FROM zone z JOIN ev e ON e.match_id = z.match_id AND e.team <> z.team),
+dmg AS (SELECT player_id, coalesce(sum(CASE WHEN inside THEN o END), 0) AS into_area FROM met GROUP BY player_id),
+tn AS (SELECT player_id, count(*) AS n FROM lost GROUP BY player_id),
+tt AS (SELECT player_id, sum(obv_total_net) AS obv, count(CASE WHEN type = 'Pass' THEN 1 END) AS passes, count(*) AS touches, coalesce(sum(CASE WHEN type = 'Pass' THEN obv_total_net END), 0) AS obv_pass FROM ev GROUP BY player_id)
+SELECT pms.player_id, pms.total_minutes, primary_position, 'T' || (pms.player_id % 2) AS teams, round(obv, 4) AS obv_total_net, round(obv_pass / pms.total_minutes * 90, 4) AS obv_total_net_type_pass_per90, tt.passes AS total_passes, round(touches / pms.total_minutes * 90, 4) AS total_touches_per90,
+  coalesce(n, 0) AS total_turnovers, round(coalesce(n, 0) / pms.total_minutes * 90, 4) AS total_turnovers_per90, round(b, 4) AS lane_bias_index, round(into_area, 4) AS obv_into_area
+FROM pms JOIN tt ON tt.player_id = pms.player_id LEFT JOIN tn ON tn.player_id = pms.player_id LEFT JOIN lane ON lane.player_id = pms.player_id LEFT JOIN dmg ON dmg.player_id = pms.player_id""")
+def player_season(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The season table end to end; the columns that stand for each of its parts."""
+    events = match_view(spark, sf_dir).withColumns({c: F.lit(None).cast("string") for c in ("interception_outcome", "ball_recovery_recovery_failure")})
+    values = {"type": list(TYPES), "play_pattern": list(PATTERNS), "duel_outcome": ["Won", "Lost In Play", "Lost Out"], "pass_outcome": ["Incomplete"]}
+    own = season.player_season(events, *lineups(events), values, KINDS, zone_types=ZONE_TYPES, least_passes=5)
+    return rounded(own.select("player_id", "total_minutes", "primary_position", "teams", "obv_total_net", "obv_total_net_type_pass_per90", "total_passes", "total_touches_per90", "total_turnovers", "total_turnovers_per90", "lane_bias_index", "obv_into_area"))

@@ -181,6 +181,8 @@ def test_positions_score(spark):
     assert len(got) == 12 and {"Score_Defensivo", "flag_Score_Defensivo", "profile"} <= set(got[0].asDict())
     assert all(r.Score_Overall == pytest.approx(0.3 * r.Score_Profundidad + 0.3 * r.Score_Calidad + 0.2 * r.Score_Presion + 0.2 * r.Score_Defensivo) for r in got)
     assert sum(r.flag_Score_Overall for r in got) >= 3
+    turned = scoring.score_position(df.withColumnRenamed("xa_per90", "assists"), "Lateral", derive=lambda d: d.withColumn("xa_per90", F.col("assists"))).collect()
+    assert [(r.player_id, r.Score_Profundidad) for r in turned] == [(r.player_id, r.Score_Profundidad) for r in got]
     lanes_ = lanes.lane_profile(spark.createDataFrame([(1, 0.05), (2, -0.2), (3, 0.3), (4, None)], "player_id long, lane_bias_index double")).orderBy("player_id").collect()
     assert [r.lane_profile for r in lanes_] == ["Balanceado", "Tendencia Exterior", "Marcado Interior", "Sin dato"]
 
