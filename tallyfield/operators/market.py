@@ -8,15 +8,20 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 
 
+def _beside(df: DataFrame, one: DataFrame) -> DataFrame:
+    """df with the columns of a table of one row, which is broadcast."""
+    return df.withColumn("__one", F.lit(1)).join(F.broadcast(one.withColumn("__one", F.lit(1))), "__one").drop("__one")
+
+
 def market_curve(df: DataFrame, score: str, cost: str, by: list[str]) -> DataFrame:
     """(by, n, intercept, slope, sigma): least squares in each group; sigma has ddof 1 and is 0 for one row."""
     own = df.where(F.col(score).isNotNull() & F.col(cost).isNotNull())
     fit = own.groupBy(*by).agg(F.count("*").alias("n"), F.regr_intercept(cost, score).alias("intercept"), F.regr_slope(cost, score).alias("slope"), F.avg(cost).alias("mean_cost"))
     # Without spread in the scores the curve is flat at the mean.
     fit = fit.withColumns({"intercept": F.coalesce("intercept", "mean_cost"), "slope": F.coalesce("slope", F.lit(0.0))}).drop("mean_cost")
-    rest = own.join(fit, by) if by else own.crossJoin(F.broadcast(fit))  # one row
+    rest = own.join(fit, by) if by else _beside(own, fit)
     spread = rest.groupBy(*by).agg(F.coalesce(F.stddev_samp(F.col(cost) - (F.col("intercept") + F.col("slope") * F.col(score))), F.lit(0.0)).alias("sigma"))
-    return fit.join(spread, by) if by else fit.crossJoin(F.broadcast(spread))
+    return fit.join(spread, by) if by else _beside(fit, spread)
 
 
 def fair_prices(df: DataFrame, curve: DataFrame, score: str, cost: str, by: list[str], slack: float = 1e-9) -> DataFrame:
@@ -24,7 +29,7 @@ def fair_prices(df: DataFrame, curve: DataFrame, score: str, cost: str, by: list
 
     A cost within slack of the fair price is no overpayment, so that rounding decides nothing.
     """
-    out = df.join(curve, by) if by else df.crossJoin(F.broadcast(curve))
+    out = df.join(curve, by) if by else _beside(df, curve)
     fair, sigma = F.col("intercept") + F.col("slope") * F.col(score), F.col("sigma")
     floor = lambda c: F.greatest(F.lit(0.0), c)
     return out.withColumns({
@@ -72,4 +77,4 @@ def utilisation_rollup(df: DataFrame, team: str) -> DataFrame:
     both = teams.unionByName(teams.agg(F.lit("promedio liga").alias("team"), F.avg("utilisation").alias("utilisation")))
     bounds = teams.agg(F.min("utilisation").alias("lo"), F.max("utilisation").alias("hi"))
     scaled = F.when(F.col("hi") > F.col("lo"), (F.col("utilisation") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
-    return both.crossJoin(F.broadcast(bounds)).select("team", "utilisation", scaled.alias("scaled"))  # bounds: one row
+    return _beside(both, bounds).select("team", "utilisation", scaled.alias("scaled"))
