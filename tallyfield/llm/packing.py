@@ -10,7 +10,9 @@ returns to the pool; the last tokens of a partition go out as powers of two as w
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -24,7 +26,7 @@ from .common import only, ship
 #: Pending examples in a partition's pool.
 POOL = 512
 #: Words, and runs of letters, whose ids a worker keeps.
-KEEP = 250_000
+KEEP = 500_000
 KEEP_BYTES = 64
 
 
@@ -139,7 +141,9 @@ class Packer:
 
 # Token ids of texts.
 
-_SPACE = b" "
+if sys.byteorder != "little" or array("I").itemsize != 4:
+    raise ImportError("ids are kept as little-endian 32-bit numbers")
+
 #: The characters for which lower-casing and composing change nothing beyond Python's lower(), and the
 #: split that the tokenizer file states, written for them. Anything else goes through the library whole.
 _plain = re.compile("[!-~À-ÖØ-öø-ÿ]+")
@@ -181,17 +185,22 @@ class WordIds:
         self.words = _Kept(self._word, keep)
 
     def _run(self, run: str) -> bytes:
-        spelled = run.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
+        spelled = run if run.isascii() else run.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode()
+        if word.isalpha():
+            return self._run(text.lower())
         if "<|" in text or not _plain.fullmatch(text):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
         return b"".join(map(self.runs.__getitem__, _parts.findall(text.lower())))
 
     def ids(self, text: str | None) -> bytes:
-        return b"".join(map(self.words.__getitem__, (text or "").encode().split()))
+        data = (text or "").encode()
+        if b"<|" not in data:  # the library lower-cases all but special tokens, so this only makes equal words meet
+            data = data.lower()
+        return b"".join(map(self.words.__getitem__, data.split()))
 
 
 _encoders: dict[str, WordIds] = {}
