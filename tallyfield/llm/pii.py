@@ -327,12 +327,12 @@ def spans_of(text: str, model: Field | None) -> tuple[list[tuple[str, int, int]]
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Field:
-    """Train on a bounded sample: about `sample` whole texts with digits or @, chosen by a hash of the text."""
+    """Train on a bounded sample: about `sample` different whole texts with digits or @, chosen by a hash of the text."""
     rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).where("text rlike '[0-9@]'")
     count = rows.count()
     rate = min(1.0, sample / max(1, count))
     # A few texts above the target may be drawn; the limit keeps the bound hard.
-    taken = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / 1e6 < rate).orderBy(F.xxhash64("text"), "text").limit(sample)
+    taken = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / 1e6 < rate).distinct().orderBy(F.xxhash64("text"), "text").limit(sample)
     return fit([r["text"] for r in taken.collect()])
 
 
