@@ -23,9 +23,8 @@ SHINGLE = 3
 #: Largest estimated size of the windows that are sent to every executor; beyond it both sides are shuffled.
 BROADCAST_BYTES = 32 << 20
 
-#: What a word is made of, after lower-casing and before it.
+#: Fixed value: what a word is made of, after lower-casing.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
@@ -49,32 +48,40 @@ def windows(items: DataFrame, id_col: str, text_col: str, width: int = WINDOW) -
 
 def _document_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.col(f"`{text_col}`").cast("string")
-    return docs.select(F.col(f"`{id_col}`").alias("doc"), F.xxhash64(text).alias("h"), words(text).alias("w")).where("size(w) > 0")
+    return docs.select(F.col(f"`{id_col}`").alias("doc"), F.xxhash64(text).alias("h"), words(text).alias("w"))
 
 
-def _grams(split: DataFrame, sizes: list[int]) -> DataFrame:
-    """One row per position and shingle size, with the shingle's hash as key; `w` stays beside it."""
-    placed = split.select("doc", "h", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("i"))
-    keys = [_shingle("w", "i", k) for k in sizes]
+def _grams(split: DataFrame, sizes: list[int], first: int = 0) -> DataFrame:
+    """One row per position from `first` and shingle size, with the shingle's hash as key; `w` stays beside it."""
+    placed = split.where(F.size("w") > first).select("doc", "h", "w", F.explode(F.sequence(F.lit(first), F.size("w") - 1)).alias("i"))
+    keys = [F.when(F.col("i") < 0, WHOLE).otherwise(_shingle("w", "i", k)) for k in sizes]
     if len(keys) == 1:
         return placed.select("*", keys[0].alias("key"))
-    return placed.select("*", F.explode(F.array(*keys)).alias("key"))
+    return placed.select("*", F.explode(F.array_distinct(F.array(*keys))).alias("key"))
 
 
-def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """(doc, h, start, size, item): every occurrence of an item's window in a document; h is a hash of its text."""
+#: Key of the row that stands for a whole document, at position -1; its window is empty.
+WHOLE = 0
+
+
+def _occurrences(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, width: int, broadcast_bytes: int) -> DataFrame:
+    """(doc, h, start, size, item, n): occurrences of windows, and for every document row one of size 0.
+
+    h is a hash of the document's text and n its number of words, in rows of size 0.
+    """
     wins = settle(windows(items, item_col, item_text_col, width), "windows")
     found = wins.agg(F.collect_set(F.least("size", F.lit(SHINGLE))).alias("sizes"), F.sum(F.octet_length(F.concat_ws(" ", "win")) + 24 * F.col("size") + 64).alias("bytes")).first()
     sizes, small = sorted(found["sizes"]), (found["bytes"] or 0) <= broadcast_bytes
     split = _document_words(docs, id_col, text_col)
+    rows = split.select("doc", "h", F.lit(-1).alias("start"), F.lit(0).alias("size"), F.lit(None).cast("string").alias("item"), F.size("w").alias("n"))
     if not sizes:
-        return split.select("doc", "h", F.lit(0).alias("start"), F.lit(0).alias("size"), F.lit("").alias("item")).where("false")
+        return rows
     send = F.broadcast if small else (lambda df: df)
 
     in_window = wins.select("item", "win", "size", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("size") - SHINGLE))).alias("offset"))
     key = F.coalesce(*[F.when(F.least("size", F.lit(SHINGLE)) == k, _shingle("win", "offset", k)) for k in sizes])
     shingles = settle(in_window.select("*", key.alias("key")), "shingles")
-    seen = _grams(split, sizes).join(send(shingles.select("key").distinct()), "key").groupBy("key").agg(F.count("*").alias("n"))
+    seen = _grams(split, sizes).select("key").join(send(shingles.select("key").distinct()), "key").groupBy("key").agg(F.count("*").alias("n"))
     rarity = settle(seen, "rarity")
     # The least (count, offset) of each window; a window with a shingle that never occurs cannot occur.
     ranked = shingles.join(rarity, "key", "left").groupBy("item", "win", "size").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "key")).alias("first"))
@@ -83,14 +90,22 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     start = F.col("i") - F.col("offset")
     bounds = (start >= 0) & (start + F.col("size") <= F.size("w"))
     same = F.slice("w", start + 1, F.col("size")) == F.col("win")
-    grams = _grams(split, sizes)
     if small:
-        hit = grams.join(F.broadcast(prefix), "key").where(bounds & same)
-    else:
-        places = grams.select("doc", "h", "i", "key", F.size("w").alias("n")).join(prefix, "key").where((start >= 0) & (start + F.col("size") <= F.col("n")))
-        again = split.select(F.col("doc").alias("doc_"), F.col("h").alias("h_"), "w").dropDuplicates(["doc_", "h_"])
-        hit = places.join(again, F.col("doc").eqNullSafe(F.col("doc_")) & (F.col("h") == F.col("h_"))).where(same)
-    return hit.select("doc", "h", start.alias("start"), "size", "item").distinct()
+        # The row at -1 carries the count of words, so that texts are split no third time.
+        whole = prefix.sparkSession.range(1).select(F.lit(None).cast("string").alias("item"), F.array().cast("array<string>").alias("win"), F.lit(0).alias("size"), F.lit(WHOLE).cast("long").alias("key"), F.lit(0).alias("offset"))
+        hit = _grams(split, sizes, -1).join(F.broadcast(prefix.unionByName(whole)), "key")
+        hit = hit.where(F.when(F.col("size") == 0, F.col("i") < 0).otherwise(bounds & same))
+        return hit.select("doc", "h", start.alias("start"), "size", "item", F.size("w").alias("n"))
+    places = _grams(split, sizes).select("doc", "h", "i", "key", F.size("w").alias("n")).join(prefix, "key").where((start >= 0) & (start + F.col("size") <= F.col("n")))
+    again = split.select(F.col("doc").alias("doc_"), F.col("h").alias("h_"), "w").dropDuplicates(["doc_", "h_"])
+    hit = places.join(again, F.col("doc").eqNullSafe(F.col("doc_")) & F.col("h").eqNullSafe(F.col("h_"))).where(same)
+    return rows.unionByName(hit.select("doc", "h", start.alias("start"), "size", "item", "n"))
+
+
+def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(doc, h, start, size, item): every occurrence of an item's window in a document; h is a hash of its text."""
+    found = _occurrences(docs, items, id_col, text_col, item_col, item_text_col, width, broadcast_bytes)
+    return found.where("size > 0").select("doc", "h", "start", "size", "item").distinct()
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -100,22 +115,19 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     wordless text has no words and no hits. Repeated rows give repeated equal rows, and null ids are kept. Items
     without words, or an empty table of items, match nothing. Other columns are ignored.
     """
-    text = F.col(f"`{text_col}`").cast("string")
-    found = matches(docs, items, id_col, text_col, item_col, item_text_col, width, broadcast_bytes)
+    found = _occurrences(docs, items, id_col, text_col, item_col, item_text_col, width, broadcast_bytes)
     before = Window.partitionBy("doc", "h").orderBy("start", "size").rowsBetween(Window.unboundedPreceding, -1)
     end = F.col("start") + F.col("size")
     covered = found.withColumn("new", F.greatest(F.lit(0), end - F.greatest("start", F.coalesce(F.max(end).over(before), F.lit(0)))))
-    by_doc = covered.groupBy("doc", "h").agg(F.sum("new").alias("n_hit"), F.array_sort(F.collect_set("item")).alias("items"))
-    own = docs.select(F.col(f"`{id_col}`"), F.xxhash64(text).alias("own_h"), F.coalesce(F.regexp_count(text, F.lit(WORD_ANY_CASE)), F.lit(0)).cast("long").alias("n_words"))
-    joined = own.join(by_doc, F.col(f"`{id_col}`").eqNullSafe(F.col("doc")) & (F.col("own_h") == F.col("h")), "left")
-    items_found = F.coalesce("items", F.array().cast("array<string>"))
-    return joined.select(
-        F.col(f"`{id_col}`"),
-        "n_words",
-        F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.size(items_found).cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", items_found).cast("binary"), 256).alias("items_sha256"),
-        (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+    by_doc = covered.groupBy("doc", "h").agg(F.sum("new").alias("n_hit"), F.array_sort(F.collect_set("item")).alias("items"), F.max("n").alias("n"), F.count_if(F.col("size") == 0).cast("int").alias("times"))
+    each = by_doc.select("*", F.explode(F.array_repeat(F.lit(0), F.col("times"))))
+    return each.select(
+        F.col("doc").alias(id_col),
+        F.col("n").cast("long").alias("n_words"),
+        F.col("n_hit").cast("long").alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
     )
 
 
