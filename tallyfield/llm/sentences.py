@@ -24,8 +24,10 @@ RUN_WORDS = 15
 #: A longer sentence is cut after words whose checksum is a multiple of CUT, which depends on the words alone, so that
 #: copies are cut alike wherever they stand; and after so many words in any case.
 SENTENCE_WORDS = 12
-CUT = 6
+CUT = 7
 LONGEST_WORDS = 20
+#: A sentence of fewer words is taken together with the next one, which keeps the runs few.
+SHORT = 5
 
 _stop = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
 _word = re.compile(r"\S+")
@@ -37,6 +39,8 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
     start = 0
     for stop in [*(m.end() for m in _stop.finditer(text)), len(text)]:
         words = text[start:stop].split()
+        if 0 < len(words) < SHORT and stop < len(text):
+            continue
         if not words:
             if out and stop > start:
                 out[-1] = (out[-1][0], stop, out[-1][2])
@@ -71,7 +75,7 @@ def runs(parts: list[tuple[int, int, list[str]]]) -> Iterator[tuple[int, int]]:
 
 
 def _run_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(h1, h2, doc, h, at, n): a row per run; h1 and h2 are its 128-bit hash, h a hash of the document's text."""
+    """(h1, h2, doc, h, at, n): a row per run; h1 and h2 are its 128-bit hash, h a hash of the text, which tells rows of one id apart."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,8 +95,8 @@ def _run_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.col(f"`{text_col}`").cast("string")
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc"), text.alias("text"), F.xxhash64(text).alias("h"))
-    return rows.mapInArrow(hashed, f"h1 long, h2 long, doc {kind}, h long, at int, n int")
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc"), text.alias("text"), F.hash(text).alias("h"))
+    return rows.mapInArrow(hashed, f"h1 long, h2 long, doc {kind}, h int, at int, n int")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -115,7 +119,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = repeated_spans(docs, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.col(f"`{text_col}`").cast("string")
-    own = docs.select(F.col(f"`{id_col}`").alias("own"), text.alias("text"), F.xxhash64(text).alias("own_h"))
+    own = docs.select(F.col(f"`{id_col}`").alias("own"), text.alias("text"), F.hash(text).alias("own_h"))
     joined = own.join(found, F.col("own").eqNullSafe(F.col("doc")) & (F.col("own_h") == F.col("h")), "left").select("own", "text", "spans.at", "spans.n")
 
     def rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
