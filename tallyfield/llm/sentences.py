@@ -1,8 +1,10 @@
 """Repeated passages, found as sliding runs of consecutive sentences.
 
 A run starts at every sentence and takes the fewest sentences that make at least RUN sentences and RUN_WORDS words.
-Runs are hashed and grouped over the whole corpus, with counts and firsts combined before the shuffle. The first
-occurrence of a run, by document id and place, stays; sentences that any other occurrence covers are removed.
+Runs are found twice, so that they are never written as a table: the first pass counts the first halves of their hashes
+over the whole corpus, combined before the shuffle; the second keeps the runs whose half was counted more than once,
+and groups these by the whole hash. The first occurrence of a run, by document id and place, stays; sentences that any
+other occurrence covers are removed.
 """
 
 from __future__ import annotations
@@ -24,37 +26,47 @@ RUN_WORDS = 15
 #: A longer sentence is cut after words whose checksum is a multiple of CUT, which depends on the words alone, so that
 #: copies are cut alike wherever they stand; and after so many words in any case.
 SENTENCE_WORDS = 12
-CUT = 7
+CUT = 6
 LONGEST_WORDS = 20
-#: A sentence of fewer words is taken together with the next one, which keeps the runs few.
-SHORT = 5
+#: Words whose checksum is remembered in a process.
+KNOWN = 200_000
 
 _stop = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
 _word = re.compile(r"\S+")
+_cuts: dict[str, bool] = {}
+
+
+def _cuts_after(word: str) -> bool:
+    if len(_cuts) >= KNOWN:
+        _cuts.clear()
+    found = _cuts[word] = zlib.crc32(word.lower().encode()) % CUT == 0
+    return found
 
 
 def sentences(text: str) -> list[tuple[int, int, list[str]]]:
     """(start, end, words) of the sentences; together they cover the text, so that dropping some joins the others."""
     out = []
     start = 0
+    known = _cuts.get
     for stop in [*(m.end() for m in _stop.finditer(text)), len(text)]:
         words = text[start:stop].split()
-        if 0 < len(words) < SHORT and stop < len(text):
-            continue
         if not words:
             if out and stop > start:
                 out[-1] = (out[-1][0], stop, out[-1][2])
                 start = stop
             continue
         if len(words) > SENTENCE_WORDS:
-            places = [m.start() for m in _word.finditer(text, start, stop)]
-            first = 0
-            for at in range(1, len(words) + 1):
-                whole = at == len(words)
-                if whole or at - first >= LONGEST_WORDS or zlib.crc32(words[at - 1].lower().encode()) % CUT == 0:
-                    end = stop if whole else places[at]
-                    out.append((start, end, words[first:at]))
-                    start, first = end, at
+            places: list[int] = []
+            first, last = 0, len(words)
+            for at, word in enumerate(words, 1):
+                cut = known(word)
+                if at == last or at - first >= LONGEST_WORDS or (_cuts_after(word) if cut is None else cut):
+                    if at < last and not places:
+                        places = [m.start() for m in _word.finditer(text, start, stop)]
+                    end = stop if at == last else places[at]
+                    out.append((start if not first else places[first], end, words[first:at]))
+                    first = at
+            start = stop
         else:
             out.append((start, stop, words))
             start = stop
@@ -74,20 +86,42 @@ def runs(parts: list[tuple[int, int, list[str]]]) -> Iterator[tuple[int, int]]:
         words -= len(own)
 
 
+def _digests(parts: list[tuple[int, int, list[str]]], found: list[tuple[int, int]]) -> list[bytes]:
+    """128-bit hashes of the runs."""
+    keys = [" ".join(w).lower().encode() for _, _, w in parts]
+    ends = np.cumsum([len(k) + 1 for k in keys]).tolist()
+    joined, digest = b" ".join(keys), xxhash.xxh3_128_digest
+    return [digest(joined[ends[at] - len(keys[at]) - 1 : ends[at + n - 1] - 1]) for at, n in found]
+
+
+def _run_halves(docs: DataFrame, text_col: str) -> DataFrame:
+    """(h1): the first half of the hash of every run."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests = []
+            for text in batch.column(0).to_pylist():
+                parts = sentences(text or "")
+                digests += _digests(parts, list(runs(parts)))
+            both = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy())], names=["h1"])
+
+    return docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(hashed, "h1 long")
+
+
 def _run_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(h1, h2, doc, h, at, n): a row per run; h1 and h2 are its 128-bit hash, h a hash of the text, which tells rows of one id apart."""
+    """(h1, h2, doc, h, at, n): a row per run; h1 and h2 are its 128-bit hash, h a hash of the document's text, which tells rows of one id apart."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             digests, owner, ats, counts = [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 parts = sentences(text or "")
-                keys = [" ".join(w).lower().encode() for _, _, w in parts]
-                for at, n in runs(parts):
-                    digests.append(xxhash.xxh3_128_digest(b" ".join(keys[at : at + n])))
-                    owner.append(i)
-                    ats.append(at)
-                    counts.append(n)
+                found = list(runs(parts))
+                digests += _digests(parts, found)
+                owner += [i] * len(found)
+                ats += [at for at, _ in found]
+                counts += [n for _, n in found]
             both = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
             index = pa.array(owner, pa.int64())
             columns = [pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), batch.column(0).take(index), batch.column(2).take(index), pa.array(ats, pa.int32()), pa.array(counts, pa.int32())]
@@ -95,17 +129,18 @@ def _run_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.col(f"`{text_col}`").cast("string")
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc"), text.alias("text"), F.hash(text).alias("h"))
-    return rows.mapInArrow(hashed, f"h1 long, h2 long, doc {kind}, h int, at int, n int")
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc"), text.alias("text"), F.xxhash64(text).alias("h"))
+    return rows.mapInArrow(hashed, f"h1 long, h2 long, doc {kind}, h long, at int, n int")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, h, spans): for each document with non-first repeated runs, their sentences as (at, n)."""
     ship(docs.sparkSession)
-    table = settle(_run_table(docs, id_col, text_col), "runs")
+    halves = settle(_run_halves(docs, text_col).groupBy("h1").agg(F.count("*").alias("times")).where("times > 1").select("h1"), "repeated-halves")
+    table = settle(_run_table(docs, id_col, text_col).join(halves, "h1", "left_semi"), "repeated-runs")
     place = F.struct("doc", "h", "at")
     repeated = table.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min(place).alias("first")).where("times > 1").select("h1", "h2", "first")
-    later = table.join(settle(repeated, "repeated-runs"), ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
+    later = table.join(settle(repeated, "first-runs"), ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
     return later.groupBy("doc", "h").agg(F.collect_set(F.struct("at", "n")).alias("spans"))
 
 
@@ -119,7 +154,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = repeated_spans(docs, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.col(f"`{text_col}`").cast("string")
-    own = docs.select(F.col(f"`{id_col}`").alias("own"), text.alias("text"), F.hash(text).alias("own_h"))
+    own = docs.select(F.col(f"`{id_col}`").alias("own"), text.alias("text"), F.xxhash64(text).alias("own_h"))
     joined = own.join(found, F.col("own").eqNullSafe(F.col("doc")) & (F.col("own_h") == F.col("h")), "left").select("own", "text", "spans.at", "spans.n")
 
     def rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

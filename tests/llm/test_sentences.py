@@ -25,6 +25,10 @@ def test_long_sentences_are_cut_alike_wherever_they_stand():
     assert len(alone & within) >= len(alone) - 2
 
 
+#: Of the words of planted passages, and of passages of which nothing is found.
+LEAST_REMOVED, MOST_WHOLE = 0.84, 0.01
+
+
 def brute(docs):
     occ = defaultdict(list)
     parts = {d: S.sentences(t or "") for d, t in docs}
@@ -64,3 +68,43 @@ def test_repeated_rows_and_nulls(spark):
     got = S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(((r.doc_id, r.n_removed) for r in got), key=str) == sorted([(1, 3), (1, 3), (None, 0), (2, 3)], key=str)
     assert S.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_short_sentence_before_a_passage_hides_nothing(spark):
+    passage = "The red sun rose over hills. A moon hung low in mist. Six ships sailed out at dawn."
+    rows = [(1, passage), (2, "Oh no. " + passage)]
+    got = {r.doc_id: r.text for r in S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: passage, 2: "Oh no. "}
+
+
+def planted_passages(texts):
+    """Texts by id, pairs of which share a passage of 51 to 60 words in mid-line; words of the passage by the second's id."""
+    draw = random.Random(11)
+    words = lambda n: [f"v{draw.randint(0, 20_000)}" for _ in range(n)]
+    docs, planted = [], {}
+    for k in range(texts):
+        passage: list[str] = []
+        while len(passage) < 51:
+            passage += [*words(draw.randint(12, 19)), words(1)[0] + "."]
+        passage = passage[:60]
+        docs += [(2 * k + copy, " ".join([*words(draw.randint(3, 25)), *passage, *words(draw.randint(3, 25))])) for copy in range(2)]
+        planted[2 * k + 1] = len(passage)
+    return docs, planted
+
+
+def test_passages_within_lines_are_found():
+    docs, planted = planted_passages(1500)
+    gone = dict.fromkeys(planted, 0)
+    seen: set[str] = set()
+    for d, text in docs:
+        parts = S.sentences(text)
+        cut = set()
+        for at, n in S.runs(parts):
+            key = " ".join(w for _, _, own in parts[at : at + n] for w in own)
+            if key in seen:
+                cut |= set(range(at, at + n))
+            seen.add(key)
+        if d in gone:
+            gone[d] = sum(len(parts[k][2]) for k in cut)
+    removed, whole = sum(gone.values()) / sum(planted.values()), sum(not n for n in gone.values()) / len(gone)
+    assert removed > LEAST_REMOVED and whole < MOST_WHOLE, (removed, whole)
