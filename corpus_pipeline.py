@@ -7,7 +7,7 @@ writes each result as Parquet to the shared folder and reads it back as the next
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfield.llm import decontaminate, language, packing, pii, simhash
@@ -17,27 +17,43 @@ from tallyfield.llm.common import settle, table
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _row() -> Column:
+    """Key of a row: its id and a hash of its text, as ids may be null or shared by different texts. Null ids come last."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.xxhash64("text").alias("text_hash"))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(_row().alias("doc_id"), "text")
+
+
 def _keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The documents whose id is among the verdicts'; repeated rows stay together, null ids match each other."""
-    ids = verdicts.select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(ids, docs.doc_id.eqNullSafe(F.col("kept_id")), "left_semi").select(*docs.columns)
+    """The rows whose key is the doc_id of a verdict; rows of equal id and text stay together."""
+    keys = verdicts.select(F.col("doc_id").alias("kept")).distinct()
+    return docs.withColumn("row_key", _row()).join(keys, F.col("row_key") == F.col("kept"), "left_semi").select(*docs.columns)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without text or letters, for which no language can be told, go."""
-    return _keep(docs, language.predict(docs).where(F.col("lang_pred") != language.UNKNOWN))
+    model = language.fit(docs.where(~language.is_held_out(F.col("doc_id"))))
+    return _keep(docs, language.identify(_keyed(docs), model).where(F.col("lang_pred") != language.UNKNOWN))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every component the document with the least id stays."""
-    found = simhash.near_duplicates(docs)
-    kept = _keep(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
-    return kept.dropDuplicates(["doc_id"])
+    """Of every component one row stays: the least by doc_id, null last, then by text and the other columns.
+
+    Rows of different components stay even if their ids are equal or null.
+    """
+    found = simhash.near_duplicates(_keyed(docs))
+    least = found.where(F.col("doc_id.doc_id").eqNullSafe(F.col("component_id.doc_id"))).select(F.col("doc_id").alias("kept"), "component_id").distinct()
+    rows = docs.withColumn("row_key", _row()).join(least, F.col("row_key") == F.col("kept"))
+    order = ["doc_id", "text", *(c for c in docs.columns if c not in ("doc_id", "text"))]
+    one = rows.groupBy("component_id").agg(F.min(F.struct(*order)).alias("row"))
+    return one.select("row.*").select(*docs.columns)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
+    found = decontaminate.contamination(_keyed(docs), table(spark, sf_dir, "benchmark"))
     return _keep(docs, found.where(~F.col("contaminated")))
 
 

@@ -62,3 +62,20 @@ def test_empty(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     for _, stage in P.STAGES:
         assert stage(spark, none, str(tmp_path)).count() == 0
+
+
+def test_verdicts_are_by_row_not_by_id(spark, tmp_path):
+    draw = random.Random(3)
+    make = lambda n: " ".join(draw.choice("tala bruno sedan kimo"[k : k + 4]).strip() + "".join(draw.choices("abcdefgh", k=5)) for k in draw.choices(range(16), k=n))
+    first, second, bench = make(40), make(40), " ".join(f"bench{chr(97 + i)}" for i in range(14))
+    alone = [make(40) for _ in range(20)]
+    # (1, A), (1, B), (2, B): the second B goes, both rows of id 1 stay; of the null ids only the copy of B goes.
+    rows = [(1, first), (1, second), (2, second), (None, second), *((None, t) for t in alone), (None, alone[0]), (3, "---"), (3, make(40)), (4, make(30) + " " + bench), (4, make(40))]
+    d = spark.createDataFrame([(i, t, "aa", "s", len(t)) for i, t in rows], SCHEMA)
+    spark.createDataFrame([(1, bench)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    held = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    assert held(P.identify_language(spark, d, str(tmp_path))) == sorted((r for r in rows if r[1] != "---"), key=str)
+    kept = P.drop_near_duplicates(spark, d, str(tmp_path))
+    assert kept.dtypes == d.dtypes
+    assert held(kept) == sorted((r for k, r in enumerate(rows) if k not in (2, 3, 24)), key=str)
+    assert held(P.drop_benchmark_passages(spark, d, str(tmp_path))) == sorted((r for r in rows if bench not in r[1]), key=str)
