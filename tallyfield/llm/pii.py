@@ -35,7 +35,7 @@ REGIONS = 800
 EPOCHS = 10
 RATE = 0.5
 DECAY = 1e-4
-#: Characters of context on both sides of a trigger, widened to whole words of at most this length.
+#: Characters of context on both sides of a trigger, widened to whole words or by LONGEST atoms.
 CONTEXT = 24
 
 _domain = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -107,11 +107,23 @@ def ordered(spans) -> list[tuple[str, int, int]]:
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """Places where an entity may be: triggers with their context, joined where they meet."""
+    """Places where an entity may be: triggers with their context in whole words, joined where they meet."""
     out: list[list[int]] = []
     for m in _trigger.finditer(text):
+        done = out[-1][1] if out else 0
         a, b = max(0, m.start() - CONTEXT), min(len(text), m.end() + CONTEXT)
-        if out and a <= out[-1][1]:
+        if a > done:
+            first = a
+            while first > done and not text[first - 1].isspace():
+                first -= 1
+            if first < a:
+                # The edge may stand within an atom, which then comes whole.
+                units = atoms(text, first, a)
+                a = units[max(0, len(units) - LONGEST)][0]
+        if b <= done:
+            continue
+        b = _word_end(text, b)
+        if out and a <= done:
             out[-1][1] = b
         else:
             out.append([a, b])
@@ -122,6 +134,15 @@ def atoms(text: str, start: int, end: int) -> list[tuple[int, int]]:
     return [m.span() for m in _atom.finditer(text, start, end)]
 
 
+def _word_end(text: str, at: int) -> int:
+    """The end of the word that goes on at a place, or of LONGEST more atoms of it."""
+    for _ in range(LONGEST):
+        if at >= len(text) or text[at].isspace():
+            break
+        at = _atom.match(text, at).end()
+    return at
+
+
 def _class(c: str) -> str:
     return "9" if "0" <= c <= "9" else "a" if c.isalpha() else "_" if c.isspace() else c if c < "\x80" else "?"
 

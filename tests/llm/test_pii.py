@@ -104,3 +104,19 @@ def test_rows(spark):
     clean = {r.doc_id: r.text for r in P.redacted(df, model).collect()}
     assert clean[2] == "[EMAIL] and [IP]" and clean[0] is None and clean[5].endswith("plain [CARD]")
     assert P.find(df.limit(0), P.train(df.limit(0))).count() == 0
+
+
+def test_long_spelled_out_addresses_are_whole():
+    name, domain = "christophermontgomerysmithsonward.21", "statisticsdepartmentofexamples3.example.com"
+    assert min(len(name), len(domain)) > 30
+    model = P.fit(corpus())
+    for text in (f"please write to {name} [at] {domain} about it", f"or {name} [at] {domain} and"):
+        a, b = text.index(name), text.index(domain) + len(domain)
+        assert any(x <= a and b <= y for x, y in P.regions(text))
+        assert ("email", a, b) in P.spans_of(text, model)[1]
+        assert P.redact(text, P.spans_of(text, model)[1]) == text[:a] + "[EMAIL]" + text[b:]
+    # The context of a sign in a text without blanks stays bounded, and regions never overlap.
+    wide = P.regions("ab-" * 500 + "@" + "-cd" * 500 + " 7 " + "x" * 90)
+    assert all(y - x < 200 for x, y in wide)
+    parts = P.regions(" ".join(("w-" * 40 + str(k)) * 3 for k in range(50)))
+    assert all(x[1] <= y[0] for x, y in zip(parts, parts[1:]))
