@@ -9,16 +9,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import only
+
 BEGIN, END = "<|begin|>", "<|end|>"
 ASSISTANT = "assistant"
 
 
 def _turns(table: DataFrame, key: str, name: str) -> DataFrame:
     """(key, name): the conversation as an array of turns in order; ties by role and text."""
+    table = only(table, *dict.fromkeys([key, "turn", "role", "text"]))
     turn = F.struct(F.col("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = F.array_sort(F.collect_list(turn))
     said = F.transform(rows, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    return table.groupBy(F.col(key).alias("pair")).agg(said.alias(name))
+    return table.groupBy(F.col(f"`{key}`").alias("pair")).agg(said.alias(name))
 
 
 def _render(turn: Column) -> Column:
@@ -48,7 +51,9 @@ def preference_pairs(chosen: DataFrame, rejected: DataFrame, key: str = "pair_id
 
     Both tables hold turns as key, turn, role, text. Turns are equal if role and text are; null ones count as empty. A
     key on one side only has an empty prompt and an empty completion for the other. Equal conversations have empty
-    completions. Repeated turns stay; ties in turn go by role and text. Rows with a null key form one pair.
+    completions. Repeated turns stay; ties in turn go by role and text, and a null turn comes first. Rows with a null
+    key form one pair. Other columns are ignored whatever their names, texts are taken whole, and empty tables give no
+    rows.
     """
     both = _turns(chosen, key, "c").join(_turns(rejected, key, "r").withColumnRenamed("pair", "pair_r"), F.col("pair").eqNullSafe(F.col("pair_r")), "full")
     empty = F.array().cast("array<struct<role:string,text:string>>")
@@ -71,8 +76,11 @@ def preference_pairs(chosen: DataFrame, rejected: DataFrame, key: str = "pair_id
 def with_borrowed_reply(conversations: DataFrame) -> DataFrame:
     """Rejected versions: each conversation with its last assistant turn said as its neighbour (id with the last bit turned) said its own.
 
-    Where the neighbour has no assistant turn the reply is empty; conversations without one stay as they are.
+    Where the neighbour has no assistant turn the reply is empty; conversations without one stay as they are, and so do
+    rows with a null conv_id. Of repeated last turns every one is replaced; the neighbour lends the greatest text of
+    its own. Other columns are dropped whatever their names, so that none can clash; empty tables give no rows.
     """
+    conversations = only(conversations, "conv_id", "turn", "role", "text")
     said = F.when(F.col("role") == ASSISTANT, F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))
     last = conversations.groupBy("conv_id").agg(F.max(said).alias("last"))
     lent = last.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("last.text").alias("lent"))

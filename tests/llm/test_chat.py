@@ -54,3 +54,15 @@ def test_query_and_sql_agree(spark):
     con.executemany("insert into conversations values (?, ?, ?, ?)", data)
     assert got == sorted(con.execute(C.ORACLE_SQL).fetchall())
     assert [g[1] for g in got] == [3, 1, 1, 1, 0, 1]
+
+
+def test_extra_columns_and_null_keys(spark):
+    data = [(0, 0, "user", "hi"), (0, 1, "assistant", "a0"), (1, 0, "user", "hey"), (1, 1, "assistant", "b1"), (1, 1, "assistant", "b2"), (None, 0, "assistant", "n")]
+    plain = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
+    extra = spark.createDataFrame([(*r, *["x"] * 8) for r in data], plain.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ") + ", lent string, last_turn string, last string, pair string, c string, r string, p string, prompt string")
+    key = lambda df: sorted(map(tuple, C.preference_pairs(df, C.with_borrowed_reply(df), "conv_id").collect()), key=str)
+    assert key(extra) == key(plain)
+    lent = sorted(map(tuple, C.with_borrowed_reply(extra).collect()), key=str)
+    # Both repeated last turns are replaced, the greater of them is lent, and the null conversation keeps its own.
+    assert lent == sorted([(0, 0, "user", "hi"), (0, 1, "assistant", "b2"), (1, 0, "user", "hey"), (1, 1, "assistant", "a0"), (1, 1, "assistant", "a0"), (None, 0, "assistant", "n")], key=str)
+    assert C.with_borrowed_reply(extra.limit(0)).count() == 0
