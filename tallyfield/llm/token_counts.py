@@ -11,6 +11,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,7 +46,7 @@ class Counter:
         found: dict[str, int] = {}
         start = size = 0
         for at, unit in enumerate(units):
-            size += len(unit)
+            size += len(unit.encode())
             if size >= BATCH_BYTES or at == len(units) - 1:
                 part = units[start : at + 1]
                 found.update(zip(part, map(len, self.model.encode(part, num_threads=1))))
@@ -93,16 +94,16 @@ def counter(path: str) -> Counter:
     return _counters[path]
 
 
-def _balanced(texts: list[str]) -> Iterator[list[str]]:
-    """Runs of texts of about BATCH_BYTES characters each."""
+def _balanced(texts: list[str], sizes: list[int]) -> Iterator[list[str]]:
+    """Runs of texts of about BATCH_BYTES bytes each; a longer text goes alone or ends its run."""
     part: list[str] = []
     size = 0
-    for text in texts:
-        part.append(text)
-        size += len(text)
-        if size >= BATCH_BYTES:
+    for text, own in zip(texts, sizes):
+        if part and size + own > BATCH_BYTES:
             yield part
             part, size = [], 0
+        part.append(text)
+        size += own
     if part:
         yield part
 
@@ -120,8 +121,8 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, id_col: st
         count = counter(model_path).count
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            tokens = [n for part in _balanced(texts) for n in count(part)]
-            sizes = pa.array([len(t.encode()) for t in texts], pa.int64())
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())  # Arrow knows the bytes of a string
+            tokens = [n for part in _balanced(texts, sizes.to_pylist()) for n in count(part)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), sizes, pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())],
                 names=[id_col, "n_bytes", "n_tokens", "over_limit"],

@@ -3,6 +3,7 @@ import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tallyfield.llm import token_counts
 from tallyfield.llm.token_counts import Counter, count_tokens
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
@@ -33,3 +34,11 @@ def test_rows(spark):
     text = [t or "" for _, t, _ in rows]
     assert got == sorted([(r[0], len(t.encode()), n, n > 4) for r, t, n in zip(rows, text, want(text))], key=str)
     assert count_tokens(df.limit(0), PATH).count() == 0
+
+
+def test_batches_are_balanced_by_bytes(monkeypatch):
+    monkeypatch.setattr(token_counts, "BATCH_BYTES", 30)
+    texts = ["語" * 9, "a" * 20, "é" * 5, "x" * 100, "", "b" * 10]
+    parts = list(token_counts._balanced(texts, [len(t.encode()) for t in texts]))
+    assert [t for p in parts for t in p] == texts
+    assert [sum(len(t.encode()) for t in p) for p in parts] == [27, 30, 100, 10]
