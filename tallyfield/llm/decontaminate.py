@@ -113,7 +113,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     """For every document: n_words, n_hit, n_items, items_sha256, contaminated.
 
     n_hit counts the words inside any occurrence of a window, n_items the items with an occurring window. A null or
-    wordless text has no words and no hits. Repeated rows give repeated equal rows, and null ids are kept. Items
+    wordless text has no words and no hits. Repeated rows give repeated equal rows, and null ids are kept. An item with
+    a null id hits words but counts as no item. Texts are compared whole however long. Items
     without words, or an empty table of items, match nothing. Other columns are ignored.
     """
     found = _occurrences(docs, items, id_col, text_col, item_col, item_text_col, width, broadcast_bytes)

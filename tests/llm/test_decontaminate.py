@@ -78,3 +78,11 @@ def test_sql_states_the_same(spark):
     con.executemany("insert into documents values (?, ?)", docs)
     con.executemany("insert into benchmark values (?, ?)", items)
     assert sorted(map(tuple, con.execute(D.ORACLE_SQL).fetchall()), key=str) == brute(docs, items)
+
+
+@pytest.mark.parametrize("limit", [D.BROADCAST_BYTES, -1])
+def test_an_item_without_id_hits_but_is_not_counted(spark, limit):
+    d = spark.createDataFrame([(1, "one two three four")], "doc_id long, text string")
+    b = spark.createDataFrame([(None, "two three"), (5, "four")], "item_id long, text string")
+    (r,) = D.contamination(d, b, broadcast_bytes=limit).collect()
+    assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (4, 3, 1, hashlib.sha256(b"5").hexdigest(), True)
