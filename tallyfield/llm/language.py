@@ -11,6 +11,8 @@ import bisect
 import itertools
 import math
 import re
+import sys
+import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -20,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import id_bucket, only, ship
+from .common import id_bucket, only, settle, ship
 
 UNKNOWN = "und"
 #: Longest character n-gram of a word with its ends marked.
@@ -32,16 +35,41 @@ SWITCH = 12.0
 SCRIPT_SHARE = 0.01
 #: Score of a word in a language that is no candidate for its script.
 FAR = -50.0
-#: Training sample: about so many texts a language (all, where there are fewer), at most so many languages and n-grams.
+#: Training sample: about so many texts of each language (all, where there are fewer).
 SAMPLE = 1500
-LANGUAGES = 200
-FEATURES = 200_000
+#: Size of the model: n-grams of each language, the most frequent ones. Languages and scripts are all kept.
+FEATURES = 100_000
 #: Words whose scores a worker keeps.
 KEEP = 300_000
 #: Characters that are labelled together.
 GROUP = 6_000_000
 
-_words = re.compile(r"[^\W\d_]+")
+_plain_words = re.compile(r"[^\W\d_]+")
+
+
+def _ranges(keep) -> str:
+    """The code points that satisfy keep, as ranges of a character class."""
+    out: list[list[int]] = []
+    for c in filter(keep, range(0x300, sys.maxunicode + 1)):
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in out)
+
+
+#: Combining marks (vowel signs, accents set apart) and the two joiners belong to the word whose letters they follow.
+_marks = re.compile(f"[{_ranges(lambda c: unicodedata.category(chr(c))[0] == 'M' or c in (0x200C, 0x200D))}]")
+_marked_words = re.compile(rf"[^\W\d_](?:[^\W\d_]|{_marks.pattern})*")
+
+
+def _pattern(text: str) -> re.Pattern:
+    return _plain_words if text.isascii() or not _marks.search(text) else _marked_words
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a lower-cased text: runs of letters with the marks on them."""
+    return _pattern(text).findall(text)
 
 #: First code points of Unicode ranges and the script of the letters from there on.
 SCRIPTS = (
@@ -93,25 +121,25 @@ class Model:
         return total
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE) -> Model:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE, features: int = FEATURES) -> Model:
     """Learn from a bounded sample: about per_language whole texts of each language, chosen by a hash of the id.
 
-    Rows without text or language teach nothing. At most LANGUAGES languages, the most frequent, and FEATURES n-grams
-    are kept. Without training rows the model knows no language.
+    Rows without text or language teach nothing; a language is learned however rare it is, unless its texts have no
+    word. Each language has its own FEATURES n-grams and all its scripts, so that none starves for another. Texts are
+    taken whole, repeated rows count as often as they occur, rows with a null id as one id. Other columns are ignored
+    whatever their names. Without training rows the model knows no language.
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")).where("text is not null and lang is not null")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not sizes:
-        return Model([])
-    rate = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, per_language / r["count"]))])[F.col("lang")]
-    sample = rows.where((F.pmod(F.xxhash64("id"), F.lit(1_000_000)) / 1e6) < rate).select("text", "lang")
+    # A row for each language; as a written table its size is known, so that Spark sends it out only where it is small.
+    rates = settle(rows.groupBy("lang").agg(F.least(F.lit(1.0), per_language / F.count("*")).alias("rate")), "language-rates")
+    sample = rows.join(rates, "lang").where((F.pmod(F.xxhash64("id"), F.lit(1_000_000)) / 1e6) < F.col("rate")).select("text", "lang")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words: dict[str, Counter] = {}
             for text, lang in zip(*(c.to_pylist() for c in batch.columns)):
-                words.setdefault(lang, Counter()).update(w for w in _words.findall(text.lower()) if w.isalpha())
+                words.setdefault(lang, Counter()).update(w for w in words_of(text.lower()) if _marks.sub("", w).isalpha())
             for lang, seen in words.items():
                 got: Counter = Counter()
                 for w, n in seen.items():
@@ -121,7 +149,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(got)), pa.array(list(got), pa.string()), pa.array(list(got.values()), pa.int64())], names=["lang", "gram", "n"])
 
     summed = sample.mapInArrow(counted, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    top = summed.orderBy(F.desc("n"), "lang", "gram").limit(FEATURES).toArrow().to_pylist()
+    is_script = F.startswith("gram", F.lit("\x00"))
+    rank = F.row_number().over(Window.partitionBy("lang", is_script).orderBy(F.desc("n"), "gram"))
+    top = summed.withColumn("rank", rank).where(is_script | (F.col("rank") <= features)).select("lang", "gram", "n").toArrow().to_pylist()
     return _model(sorted({r["lang"] for r in top}), top)
 
 
@@ -257,12 +287,23 @@ def _spans(model: Model, path: np.ndarray, places: list[tuple[int, int]]) -> lis
     return [{"lang": model.languages[path[a]], "start": places[a][0], "end": places[b - 1][1]} for a, b in zip([0, *edges], [*edges, len(path)])] if len(path) and model.languages else []
 
 
+def _verdicts(model: Model, texts: list[str | None], spans: bool = False) -> Iterator[tuple[str, float, list[dict]]]:
+    """Language, score and, on request, spans of every text."""
+    tool = labeller(model)
+    for part in _groups([t or "" for t in texts]):
+        places = [[m.span() for m in _pattern(t).finditer(t)] for t in part] if spans else []
+        words = [[t[a:b].lower() for a, b in p] for t, p in zip(part, places)] if spans else [words_of(t.lower()) for t in part]
+        for i, (path, letters) in enumerate(tool.paths(words)):
+            yield *_verdict(model, path, letters), _spans(model, path, places[i]) if spans else []
+
+
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", spans: bool = False) -> DataFrame:
-    """(id, lang_pred, score[, spans]) of every whole text.
+    """(id, lang_pred, score[, spans]) of every whole text, however long.
 
     score is the share of the text's letters in spans of lang_pred. A null text, a text without letters, and any text
     under a model without languages give `und` with score 0. Ties go to the language that sorts first. spans hold
-    language, start and end (code points) of each run of words. Repeated rows and null ids give a row each.
+    language, start and end (code points) of each run of words. Repeated rows and null ids give a row each; other
+    columns are ignored whatever their names; an empty table gives no rows.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -271,26 +312,30 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     span_type = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        tool = labeller(known)
         for batch in batches:
-            langs, scores, runs = [], [], []
-            for texts in _groups([t or "" for t in batch.column(1).to_pylist()]):
-                places = [[m.span() for m in _words.finditer(t)] for t in texts] if spans else []
-                words = [[t[a:b].lower() for a, b in p] for t, p in zip(texts, places)] if spans else [_words.findall(t.lower()) for t in texts]
-                for i, (path, letters) in enumerate(tool.paths(words)):
-                    lang, score = _verdict(known, path, letters)
-                    langs.append(lang)
-                    scores.append(score)
-                    if spans:
-                        runs.append(_spans(known, path, places[i]))
-            columns = [batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
-            columns += [pa.array(runs, span_type)] if spans else []
+            found = list(_verdicts(shared.value, batch.column(1).to_pylist(), spans))
+            columns = [batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
+            columns += [pa.array([x[2] for x in found], span_type)] if spans else []
             yield pa.RecordBatch.from_arrays(columns, names=[id_col, "lang_pred", "score", *["spans"] * spans])
 
     return only(docs, id_col, text_col).mapInArrow(labelled, schema + ", spans array<struct<lang:string,start:int,end:int>>" * spans)
 
 
+def with_known_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose language identify() can tell; the verdict stays beside the row, so nothing is shuffled."""
+    spark = docs.sparkSession
+    ship(spark)
+    shared = spark.sparkContext.broadcast(model)
+    place = docs.columns.index(text_col)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known = [lang != UNKNOWN for lang, _, _ in _verdicts(shared.value, batch.column(place).to_pylist())]
+            yield batch.filter(pa.array(known, pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)
+
+
 def is_held_out(doc_id, folds: int = 5):
     return F.coalesce(id_bucket(doc_id, folds) == 0, F.lit(False))
 

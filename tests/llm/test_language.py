@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 import zlib
 
@@ -66,3 +67,84 @@ def test_cache_renewal():
     small, large = L.Labeller(model, keep=1), L.Labeller(model)
     for words in (["abc"], ["xyz", "abc"], ["abc", "abc", "xyz"], []):
         assert small.paths([words])[0][0].tolist() == large.paths([words])[0][0].tolist()
+
+
+def plain_predict(rows, text):
+    """Language and score of a text, computed word by word from counts of the training rows (text, lang)."""
+    import re
+    import unicodedata
+
+    def words(t):
+        out, word = [], ""
+        for c in t.lower() + " ":
+            if re.match(r"[^\W\d_]", c) or word and (unicodedata.category(c)[0] == "M" or c in "‌‍"):
+                word += c
+            else:
+                out += [word] * bool(word)
+                word = ""
+        return out
+
+    langs = sorted({g for _, g in rows})
+    counts = {n: {g: {} for g in langs} for n in (1, 2, 3)}
+    scripts = {g: {} for g in langs}
+    grams = lambda w, n: [f"^{w}$"[i : i + n] for i in range(len(w) + 3 - n)]
+    for t, g in rows:
+        for w in words(t):
+            s = L.script(w)
+            scripts[g][s] = scripts[g].get(s, 0) + 1
+            for n in counts:
+                for x in grams(w, n):
+                    counts[n][g][x] = counts[n][g].get(x, 0) + 1
+    kinds = {n: 1 + len({x for g in langs for x in counts[n][g]}) for n in counts}
+    total = {(n, g): sum(counts[n][g].values()) for n in counts for g in langs}
+
+    def score(w, g):
+        seen = [h for h in langs if scripts[h].get(L.script(w), 0) >= L.SCRIPT_SHARE * max(1, sum(scripts[h].values()))]
+        if not seen:
+            return 0.0
+        logs = [math.log((counts[n][g].get(x, 0) + 0.5) / (total[n, g] + 0.5 * kinds[n])) for n in counts for x in grams(w, n)]
+        return sum(logs) / 3 + (0 if g in seen else L.FAR)
+
+    best = {g: (0.0, []) for g in langs}
+    for w in words(text):
+        top = max(langs, key=lambda g: (best[g][0], [-ord(c) for c in g]))
+        best = {g: max((best[g][0], best[g][1]), (best[top][0] - L.SWITCH, best[top][1]), key=lambda x: x[0]) for g in langs}
+        best = {g: (v + score(w, g), [*path, (g, sum(map(str.isalpha, w)))]) for g, (v, path) in best.items()}
+    _, path = max(best.values(), key=lambda x: x[0])
+    letters = {g: sum(n for h, n in path if h == g) for g in langs}
+    top = max(langs, key=lambda g: letters[g])
+    return (top, letters[top] / sum(letters.values())) if path else ("und", 0.0)
+
+
+def test_verdicts_equal_a_plain_version(spark):
+    draw = random.Random(8)
+    hindi = ["नमस्ते", "दुनिया", "किताब", "हिन्दी"]
+    own = WORDS | {"hi": hindi, "ne": ["नेपाली", "किताब", "पानी"]}
+    train = [(" ".join(draw.choices(own[g], k=draw.randint(2, 12))), g) for g in sorted(own) for _ in range(30)]
+    df = spark.createDataFrame([(i, t, g) for i, (t, g) in enumerate(train)], "doc_id long, text string, lang string")
+    model = L.fit(df)
+    pool = [w for ws in own.values() for w in ws] + ["étale", "schnekvemo", "日本", "x²", "नम", "tala!", "7"]
+    texts = [" ".join(draw.choices(pool, k=draw.randint(0, 25))) for _ in range(60)] + [" ".join(hindi * 3), "नमस्ते"]
+    got = L.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    for r in got:
+        lang, score = plain_predict(train, texts[r.doc_id])
+        assert (r.lang_pred, round(r.score, 9)) == (lang, round(score, 9)), texts[r.doc_id]
+
+
+def test_marks_belong_to_words():
+    assert L.words_of("नमस्ते दुनिया, ét́ a1b ́x") == ["नमस्ते", "दुनिया", "ét́", "a", "b", "x"]
+
+
+def test_no_language_is_left_out(spark):
+    # One large language and 210 rare ones of two texts each, in words of their own; one has a script of its own.
+    draw = random.Random(12)
+    rare = {f"l{k:03}": ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(4)] for k in range(210)} | {"qq": ["ༀཀཁ", "གངཅ"]}
+    rows = [(" ".join(draw.choices(["tala", "vemo", "pirut"], k=30)), "big") for _ in range(300)] + [(" ".join(ws), g) for g, ws in rare.items() for _ in range(2)]
+    df = spark.createDataFrame([(i, t, g, "z", 1) for i, (t, g) in enumerate(rows)], "doc_id long, text string, lang string, rate string, gram int")
+    model = L.fit(df, features=40)
+    assert model.languages == sorted({g for _, g in rows})
+    asked = spark.createDataFrame([(g, " ".join(ws)) for g, ws in rare.items()], "doc_id string, text string")
+    got = {r.doc_id: r.lang_pred for r in L.identify(asked, L.fit(df)).collect()}
+    assert got == {g: g for g in rare}
+    kept = L.with_known_language(spark.createDataFrame([(1, "tala", 5), (2, "--", 6), (2, "vemo", 7), (None, None, 8)], "doc_id long, text string, lang_pred long"), model)
+    assert [tuple(r) for r in kept.collect()] == [(1, "tala", 5), (2, "vemo", 7)]
