@@ -5,6 +5,11 @@ never exceeds the Hamming distance of the fingerprints. The segments form seven
 or less agree in at least three whole blocks, so each fingerprint enters one grid cell for every choice of three
 blocks (its counts there), and only members of one cell are compared: first by Manhattan distance, then exactly.
 A cell emits each link once, or a star per group when the cell is large, never all pairs of a large group.
+
+Counts of one are twice as frequent as the others, so the likeliest cells grow with the corpus. A cell that is expected
+to hold more than DIVIDE fingerprints is divided before the shuffle: its members go to one part for each of five equal
+bit ranges, by their bits there. Two fingerprints within four bits share one of the ranges, so no link is lost, and
+members of one cell are divided alike, as the cell alone decides.
 """
 
 from __future__ import annotations
@@ -27,8 +32,9 @@ DISTANCE = 4
 BLOCKS = (5, 5, 5, 5, 4, 4, 4)
 #: Cells up to this size compare members pairwise; larger ones grow groups from seeds.
 PAIRWISE = 32
-#: Cells beyond this size are first divided by equal bit ranges of the fingerprints.
+#: Cells beyond this size, expected or real, are first divided by equal bit ranges (start, width) of the fingerprints.
 DIVIDE = 20_000
+RANGES = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 _STEP = 1 << 16
 
 _EVEN = np.uint64(0x5555555555555555)
@@ -125,7 +131,7 @@ def _large(fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield from _stars(fps)
         return
     # Of five bit ranges, two fingerprints within four bits share at least one.
-    for low, width in ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12)):
+    for low, width in RANGES:
         part = (fps >> np.uint64(low)) & np.uint64((1 << width) - 1)
         order = np.argsort(part, kind="stable")
         for piece in np.split(fps[order], np.flatnonzero(np.diff(part[order])) + 1):
@@ -133,9 +139,9 @@ def _large(fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
                 yield from _stars(piece)
 
 
-def _cell_links(choice: np.ndarray, cell: np.ndarray, fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links within the runs of equal (choice, cell)."""
-    edge = np.flatnonzero((np.diff(choice) != 0) | (np.diff(cell) != 0)) + 1
+def _cell_links(choice: np.ndarray, cell: np.ndarray, part: np.ndarray, fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links within the runs of equal (choice, cell, part)."""
+    edge = np.flatnonzero((np.diff(choice) != 0) | (np.diff(cell) != 0) | (np.diff(part) != 0)) + 1
     starts = np.concatenate(([0], edge))
     sizes = np.diff(np.concatenate((starts, [len(fp)])))
     for at, size in zip(starts[sizes > PAIRWISE].tolist(), sizes[sizes > PAIRWISE].tolist()):
@@ -155,17 +161,29 @@ def _cell_links(choice: np.ndarray, cell: np.ndarray, fp: np.ndarray) -> Iterato
             same = ((embed(a) ^ embed(b))[:, None] & masks[None, :]) == 0
             first = np.array([rank[tuple(np.flatnonzero(row)[: len(CHOICES[0])].tolist())] for row in same])
             own = first == c[at]  # each pair is reported by the first cell that it shares
-            yield b[own], a[own]
+            if own.any():
+                yield b[own], a[own]
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """(a, b): links between distinct fingerprints (column fp) that connect every two within DISTANCE bits."""
+def _parted(distinct: DataFrame, divide: int) -> DataFrame:
+    """(choice, cell, part, fp): every fingerprint in its cell of each choice of blocks, or in five parts of a cell that is likely to be large."""
     fp = F.col("fp")
     upper, even = F.shiftrightunsigned(fp, 1), F.lit(int(_EVEN))
     counts = fp.bitwiseXOR(upper).bitwiseAND(even).bitwiseOR(F.shiftleft(fp.bitwiseAND(upper).bitwiseAND(even), 1))
-    cells = F.array(*[F.struct(F.lit(i).alias("choice"), counts.bitwiseAND(F.lit(_signed(m))).alias("cell")) for i, m in enumerate(CHOICE_MASKS)])
-    parted = distinct.select("fp", F.explode(cells).alias("c")).select("c.choice", "c.cell", "fp")
-    parted = parted.repartition("choice", "cell").sortWithinPartitions("choice", "cell", "fp")
+    each = enumerate(zip(CHOICES, CHOICE_MASKS))
+    cells = F.array(*[F.struct(F.lit(i).alias("choice"), counts.bitwiseAND(F.lit(_signed(m))).alias("cell"), F.lit(2 * sum(BLOCKS[b] for b in chosen)).alias("bits")) for i, (chosen, m) in each])
+    placed = distinct.select("fp", F.explode(cells).alias("c")).select("c.*", "fp")
+    # A segment counts one with probability 1/2 and none or two with 1/4 each: a cell's share is 2 to the power of minus this.
+    rarity = F.col("bits") - F.bit_count(F.col("cell").bitwiseAND(even))
+    large = F.lit(float(distinct.count())) / F.pow(F.lit(2.0), rarity) > divide
+    parts = [F.lit(k * (1 << 13) + 1) + F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << width) - 1)) for k, (low, width) in enumerate(RANGES)]
+    part = F.when(large, F.array(*[p.cast("int") for p in parts])).otherwise(F.array(F.lit(0)))
+    return placed.select("choice", "cell", F.explode(part).alias("part"), "fp")
+
+
+def links(distinct: DataFrame, divide: int = DIVIDE) -> DataFrame:
+    """(a, b): links between distinct fingerprints (column fp) that connect every two within DISTANCE bits."""
+    parted = _parted(distinct, divide).repartition("choice", "cell", "part").sortWithinPartitions("choice", "cell", "part", "fp")
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []  # of the run that may go on in the next batch
@@ -177,10 +195,10 @@ def links(distinct: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = (batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64))
-            turn = np.flatnonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1]))
+            now = (*(batch.column(i).to_numpy() for i in range(3)), batch.column(3).to_numpy().view(np.uint64))
+            turn = np.flatnonzero(np.logical_or.reduce([x != x[-1] for x in now[:3]]))
             tail = int(turn[-1]) + 1 if len(turn) else 0
-            goes_on = bool(held) and held[-1][0][-1] == now[0][0] and held[-1][1][-1] == now[1][0]
+            goes_on = bool(held) and all(x[-1] == y[0] for x, y in zip(held[-1][:3], now))
             if held and (tail or not goes_on):
                 whole = [np.concatenate(x) for x in zip(*held, *([tuple(x[:tail] for x in now)] if tail else []))]
                 yield from out(*whole)
@@ -231,7 +249,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents whose fingerprints differ in at most four bits are linked, and component_id is the least id that can
     be reached, the document's own included. A null or wordless text has fingerprint zero and links like any other.
     Repeated rows give repeated equal rows. A null id takes no part in the minimum; component_id is null only if all
-    ids of the component are null. Other columns are ignored; an empty table gives no rows.
+    ids of the component are null. Whole texts are hashed however long, in steps of bounded size. Other columns are
+    ignored whatever their names; an empty table gives no rows.
     """
     prints = settle(fingerprints(docs, id_col, text_col), "fingerprints")
     distinct = settle(prints.groupBy("fp").agg(F.min(F.col(f"`{id_col}`")).alias("least")), "distinct-fingerprints")

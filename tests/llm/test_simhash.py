@@ -74,6 +74,11 @@ def test_links_of_planted_bits(spark):
     got = {r.node: r.root for r in found}
     want = plain_components({p: simhash._signed(p) & (2**64 - 1) for (p,) in signed})
     assert {p: got.get(p, p) for (p,) in signed} == want
+    # All cells divided before the shuffle: the same components.
+    df = spark.createDataFrame(signed, "fp long")
+    assert simhash._parted(df, 0).where("part = 0").count() == 0 and simhash._parted(df, simhash.DIVIDE).where("part > 0").count() == 0
+    got = {r.node: r.root for r in simhash.components(simhash.links(df, divide=0)).collect()}
+    assert {p: got.get(p, p) for (p,) in signed} == want
 
 
 def test_manhattan_is_a_lower_bound():
