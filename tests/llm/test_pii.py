@@ -3,6 +3,7 @@ import itertools
 import math
 import random
 import re
+import time
 
 import numpy as np
 from hypothesis import given, settings
@@ -120,3 +121,74 @@ def test_long_spelled_out_addresses_are_whole():
     assert all(y - x < 200 for x, y in wide)
     parts = P.regions(" ".join(("w-" * 40 + str(k)) * 3 for k in range(50)))
     assert all(x[1] <= y[0] for x, y in zip(parts, parts[1:]))
+
+
+def unseen(draw):
+    """Entities of all kinds in forms that the training does not make."""
+    number = lambda k: "".join(draw.choice("0123456789") for _ in range(k))
+    octets = [str(draw.randint(0, 255)) for _ in range(4)]
+    body = number(15)
+    digits = body + next(d for d in "0123456789" if P.luhn(body + d))
+    card = [digits[i : i + 4] for i in range(0, 16, 4)]
+    area = draw.randint(200, 989)
+    name, host, top = draw.choice(["maria", "o.stefan", "lena_k", "kofi"]) + number(2), draw.choice(["uni", "my-shop", "corp"]), draw.choice(["com", "org", "co.uk"])
+    return [
+        *(("email", x) for x in (f"{name} {{at}} {host}.{top}".replace("{at}", "{ at }"), f"{name} <at> {host}.{top}", f"{name} (@) {host}.{top}", f"{name}<at>{host}<dot>com", f"{name} [ at ] {host} [ dot ] org", f"{name}@{host}{{.}}com")),
+        *(("ip", x.join(octets)) for x in ("<.>", "{dot}", " (.) ", "{ . }")),
+        *(("card", x.join(card)) for x in ("__", "--", " -- ", " _ ")),
+        *(("phone", x) for x in (f"({area})-{number(3)}-{number(4)}", f"0044-{area}-{number(3)} {number(4)}", f"(0{draw.randint(20, 98)}) {number(3)} {number(2)} {number(2)}", f"+49/{draw.randint(20, 98)}/{number(3)}-{number(4)}", f"{area}/{number(3)}-{number(4)}", f"1.{area}.{number(3)}.{number(4)}")),
+    ]
+
+
+def test_unseen_disguises_of_all_kinds_are_found():
+    draw = random.Random(31)
+    model = P.fit(corpus())
+    found = {k: 0 for k in P.KINDS}
+    asked = dict(found)
+    texts, wanted = [], []
+    for _ in range(40):
+        for kind, entity in unseen(draw):
+            head = draw.choice(["lorem ipsum dolor, ", "sit amet: ", "consectetur elit "])
+            texts.append(head + entity + draw.choice([" sed do", ", eiusmod", ". Tempor in"]))
+            wanted.append((kind, len(head), len(head) + len(entity)))
+    wrong = total = 0
+    for got, want in zip(P.spans_of_all(texts, model), wanted):
+        asked[want[0]] += 1
+        found[want[0]] += want in got[1]
+        more = [x for x in got[1] if x not in got[0]]
+        total += len(more)
+        wrong += sum(x != want for x in more)
+    recall = {k: found[k] / asked[k] for k in P.KINDS}
+    assert sum(found.values()) >= 0.9 * sum(asked.values()) and min(recall.values()) >= 0.75, recall
+    assert wrong <= 0.05 * total, (wrong, total)
+    plain = ["on 2024-01-15 or 15.01.2024 and 1/15/2024", "12 345 678 of 1,234,567.89", "1990-1995, 2001 2002 2003 2004", "1, 2, 3, 4 and 10 20 30 40", "see it at shop.example.com today", "0.5 1.25 2.75 3.5", "v1.2.3 (2019) 450-320", "order 20240115 has 17 at 3.50", "978-3-16-148410-0"]
+    assert [m for b, m in P.spans_of_all(plain, model)] == [b for b, m in P.spans_of_all(plain, model)]
+
+
+def test_long_tables_of_numbers_take_linear_time():
+    draw = random.Random(2)
+    model = P.fit(corpus())
+    small, large = (" ".join(str(draw.randint(0, 99999)) for _ in range(n)) for n in (20_000, 160_000))
+    took = []
+    for text in (small, small, large):
+        start = time.process_time()
+        P.spans_of(text, model)
+        took.append(time.process_time() - start)
+    assert took[2] < 25 and took[2] < 16 * max(took[1], 0.2)
+
+
+def test_batches_equal_single_texts():
+    model = P.fit(corpus())
+    draw = random.Random(8)
+    texts = [None, ""] + corpus(50) + [" ".join(e for _, e in unseen(draw)) for _ in range(5)] + ["\n".join(e for _, e in unseen(draw))]
+    assert P.spans_of_all(texts, model) == [P.spans_of(t or "", model) for t in texts]
+    assert P.fit(corpus()).weights.tobytes() == model.weights.tobytes()
+
+
+def test_candidates_by_plain_rules():
+    """Of short strings every candidate, from the definition: atoms, first and last, what may stand inside."""
+    got = P.Candidates(["12 3456-789, x", "+4 (55) 66 777\n8888888", "a.b [at] c1.de", "1.2.3.4"])
+    spans = {(int(a), int(b)) for a, b in zip(got.first, got.last)}
+    whole = "12 3456-789, x\n+4 (55) 66 777\n8888888\na.b [at] c1.de\n1.2.3.4\n"
+    shown = sorted(whole[a:b] for a, b in spans)
+    assert shown == sorted(["12 3456-789", "3456-789", "+4 (55) 66 777", "4 (55) 66 777", "(55) 66 777", "55) 66 777", "8888888", "a.b [at] c1.de", "b [at] c1.de", "1.2.3.4"])
