@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ENTITY = "id bigint, name string, label string, type string"
+ENTITY = "id bigint, name string, label string, type string, team_name string"
 
 
 def null_if_nan(c: Column) -> Column:
@@ -53,9 +53,9 @@ def entity(c: Column) -> Column:
 
 
 def entity_name(c: Column) -> Column:
-    """Name, label or type of an entity cell; a plain text is its own name."""
+    """Name, label, type or team name of an entity cell; a plain text is its own name."""
     plain = F.when(~F.startswith(F.ltrim(c), F.lit("{")), c)
-    return F.coalesce(entity(c)["name"], entity(c)["label"], entity(c)["type"], plain)
+    return F.coalesce(entity(c)["name"], entity(c)["label"], entity(c)["type"], entity(c)["team_name"], plain)
 
 
 def entity_id(c: Column) -> Column:
@@ -85,8 +85,9 @@ def sum_or_zero(*cols: Column) -> Column:
     return reduce(lambda a, b: a + b, (F.coalesce(c, F.lit(0.0)) for c in cols))
 
 
-def round4(c: Column) -> Column:
-    return F.bround(c, 4)
+def round4(c: Column, places: int | None = 4) -> Column:
+    """To four places, or so many, ties to even; None leaves the value."""
+    return c if places is None else F.bround(c, places)
 
 
 def weighted_mean(pairs: list[tuple[Column, float]]) -> Column:

@@ -83,6 +83,19 @@ def clock_seconds(timestamp: Column, period: Column, minute: Column, second: Col
     return F.coalesce(parsed, (period - 1) * 3600.0 + minute * 60 + second)
 
 
+def pitch_size(events: DataFrame, q: float = 0.995, exact: bool = True) -> DataFrame:
+    """(length, width): one row with the size of the pitch that the coordinates suggest; 120 by 80 without any.
+
+    The length is a high quantile of x between 100 and 120. The width is 80 or 100 where a high quantile of y is little
+    above that, else the greatest y between 80 and 120.
+    """
+    pick = (lambda c: F.percentile(c, q)) if exact else (lambda c: F.percentile_approx(c, q, 100_000))
+    ends = events.agg(pick(F.col("x")).alias("x"), pick(F.col("y")).alias("y"), F.max("y").alias("most"))
+    within = lambda c, lo, hi: F.least(F.lit(hi), F.greatest(F.lit(lo), c))
+    width = F.when(F.col("y") <= 82, 80.0).when(F.col("y") <= 102, 100.0).otherwise(within(F.col("most"), 80.0, 120.0))
+    return ends.select(F.coalesce(F.when(F.col("x").isNotNull(), within(F.col("x"), 100.0, 120.0)), F.lit(LENGTH)).alias("length"), F.coalesce(F.when(F.col("y").isNotNull(), width), F.lit(WIDTH)).alias("width"))
+
+
 def dimensions(events: DataFrame, q: float = 0.995, exact: bool = True) -> DataFrame:
     """(length, width): one row, from a high quantile of the coordinates; approximate on request for very large input."""
     pick = (lambda c: F.percentile(c, q)) if exact else (lambda c: F.percentile_approx(c, q, 100_000))

@@ -57,6 +57,18 @@ def detail_table(df: DataFrame, key: str, cohort: list[str], columns: list[str],
     return ranked.join(means, [*cohort, "metric"])
 
 
+def detail_against(ranked: DataFrame, key: str, pairs: DataFrame, least: int = 3) -> DataFrame:
+    """(key, other, metric, pct, other_pct): the rows of detail_table of one entity beside those of another, aligned by metric.
+
+    pairs holds (key, other). A metric that the first entity lacks is left out; one that only the other lacks has a
+    null other_pct. Entities with fewer than `least` metrics have no table.
+    """
+    one = pairs.join(ranked.select(key, "metric", "pct"), key)
+    enough = one.groupBy(key, "other").agg(F.count("*").alias("n")).where(F.col("n") >= least).drop("n")
+    beside = ranked.select(F.col(key).alias("other"), "metric", F.col("pct").alias("other_pct"))
+    return one.join(enough, [key, "other"], "left_semi").join(beside, ["other", "metric"], "left").select(key, "other", "metric", "pct", "other_pct")
+
+
 def entity_card(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.select(*[F.col(source).alias(name) for name, source in columns.items() if source in df.columns])
 

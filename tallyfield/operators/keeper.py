@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,61 +21,72 @@ def psxg_column(columns: list[str]) -> str | None:
 
 def keepers(events: DataFrame, summary: DataFrame) -> DataFrame:
     """player_id of those who kept goal by main position, by a keeper event or by the position of an event."""
-    acted = events.where((F.col("type") == "Goal Keeper") | F.col("position").contains("Goalkeeper")).select("player_id")
+    acted = events.where(_acts(events)).select("player_id")
     return summary.where("primary_position = 'Goalkeeper'").select("player_id").union(acted).where("player_id is not null").distinct()
 
 
-def shot_links(events: DataFrame, penalties: bool = False, psxg: str | None = None) -> DataFrame:
-    """One row for each keeper event and related shot; penalties or all other shots.
+def _acts(events: DataFrame) -> Column:
+    return F.coalesce((F.col("type") == "Goal Keeper") | F.contains("position", F.lit("Goalkeeper")), F.lit(False))
+
+
+def shot_links(events: DataFrame, penalties: bool | None = False, psxg: str | None = None) -> DataFrame:
+    """One row for each keeper event and related shot; penalties, all other shots, or (None) both.
 
     Joined on the event id, which no group shares, so neither side is skewed.
     """
     psxg = psxg or psxg_column(events.columns)
     kept = events.where("type = 'Goal Keeper' and player_id is not null").select("player_id", "x", "goalkeeper_outcome", F.explode("related_events").alias("shot_id"))
-    is_penalty = F.coalesce(F.col("shot_type") == "Penalty", F.lit(False))
     value = F.coalesce(C.safe_double(F.col(psxg)), F.lit(0.0)) if psxg else F.lit(0.0)
-    shots = events.where("type = 'Shot'").where(is_penalty if penalties else ~is_penalty).select(F.col("id").alias("shot_id"), "shot_outcome", "shot_type", value.alias("psxg"))
-    return kept.join(shots, "shot_id")
+    shots = events.where("type = 'Shot'")
+    if penalties is not None:
+        shots = shots.where(is_penalty() if penalties else ~is_penalty())
+    return kept.join(shots.select(F.col("id").alias("shot_id"), "shot_outcome", "shot_type", value.alias("psxg")), "shot_id")
 
 
-def shot_stopping(links: DataFrame, prevented_given: bool = False) -> DataFrame:
-    """With prevented_given the post-shot column is goals prevented itself, else goals are taken off."""
-    on_target, saved, goal = F.col("shot_outcome").isin("Saved", "Goal"), F.col("shot_outcome") == "Saved", F.col("shot_outcome") == "Goal"
-    error = F.col("goalkeeper_outcome").isin(*ERRORS)
-    psxg = F.sum("psxg")
-    return links.groupBy("player_id").agg(
-        F.count_if(on_target).alias("gk_shots_on_target_against"),
-        F.count_if(saved).alias("gk_saves"),
-        C.ratio(F.count_if(saved), F.count_if(on_target)).alias("gk_save_pct"),
-        F.count_if(goal).alias("gk_goals_conceded_shots"),
-        psxg.alias("gk_psxg_faced"),
-        (psxg if prevented_given else psxg - F.count_if(goal)).alias("gk_goals_prevented"),
-        F.count_if(error).alias("gk_errors_leading_to_shot"),
-        F.count_if(error & goal).alias("gk_errors_leading_to_goal"),
-        F.count_if((F.col("shot_type") == "Open Play") & (F.col("x") < BOX_LINE)).alias("gk_shots_open_play_in_box_against"),
-    )
+def is_penalty() -> Column:
+    return F.coalesce(F.col("shot_type") == "Penalty", F.lit(False))
 
 
-def penalties_faced(links: DataFrame) -> DataFrame:
-    saved, goal = F.count_if(F.col("shot_outcome") == "Saved"), F.count_if(F.col("shot_outcome") == "Goal")
+def faced(links: DataFrame, prevented_given: bool = False) -> DataFrame:
+    """Shot stopping and penalties of each keeper, from links to all shots, in one aggregation.
+
+    With prevented_given the post-shot column is goals prevented itself, else goals are taken off. A keeper without
+    shots of a kind has no value in its columns.
+    """
+    penalty = is_penalty()
+    n, n_pen = F.count_if(~penalty), F.count_if(penalty)
+    goal, saved = F.coalesce(F.col("shot_outcome") == "Goal", F.lit(False)), F.coalesce(F.col("shot_outcome") == "Saved", F.lit(False))
+    error = F.coalesce(F.col("goalkeeper_outcome").isin(*ERRORS), F.lit(False))
+    play = lambda which: F.when(n > 0, F.count_if(~penalty & which))
+    pen = lambda which: F.when(n_pen > 0, F.count_if(penalty & which))
+    psxg = F.sum(F.when(~penalty, F.col("psxg")))
     return links.groupBy("player_id").agg(
-        F.count("*").alias("gk_penalties_faced"),
-        saved.alias("gk_penalties_saved"),
-        goal.alias("gk_penalties_conceded"),
-        C.ratio(saved, F.count("*")).alias("gk_penalty_save_pct"),
-        F.sum("psxg").alias("gk_penalties_psxg"),
+        play(saved | goal).alias("gk_shots_on_target_against"),
+        play(saved).alias("gk_saves"),
+        C.ratio(F.count_if(~penalty & saved), F.count_if(~penalty & (saved | goal))).alias("gk_save_pct"),
+        play(goal).alias("gk_goals_conceded_shots"),
+        psxg.alias("gk_psxg_faced"),
+        (psxg if prevented_given else psxg - F.count_if(~penalty & goal)).alias("gk_goals_prevented"),
+        play(error).alias("gk_errors_leading_to_shot"),
+        play(error & goal).alias("gk_errors_leading_to_goal"),
+        play(F.coalesce((F.col("shot_type") == "Open Play") & (F.col("x") < BOX_LINE), F.lit(False))).alias("gk_shots_open_play_in_box_against"),
+        F.when(n_pen > 0, n_pen).alias("gk_penalties_faced"),
+        pen(saved).alias("gk_penalties_saved"),
+        pen(goal).alias("gk_penalties_conceded"),
+        C.ratio(F.count_if(penalty & saved), n_pen).alias("gk_penalty_save_pct"),
+        F.sum(F.when(penalty, F.col("psxg"))).alias("gk_penalties_psxg"),
     )
 
 
-def on_the_ball(events: DataFrame, ids: DataFrame) -> DataFrame:
-    """Passing, play outside the box and claims of the keepers, in one aggregation."""
-    own = events.join(ids, "player_id", "left_semi")
+def on_the_ball(events: DataFrame) -> DataFrame:
+    """Passing, play outside the box and claims of every player, and whether they acted as keeper, in one aggregation."""
     passed = F.col("type") == "Pass"
     done = passed & F.col("pass_outcome").isNull()
     long_ = passed & F.coalesce(F.col("pass_length") > LONG_BALL, F.lit(False))
     pressed = passed & F.coalesce(F.col("x") < DEFENSIVE_THIRD, F.lit(False)) & C.truthy(F.col("under_pressure"))
     n = F.count_if(passed)
-    return own.groupBy("player_id").agg(
+    return events.where("player_id is not null").groupBy("player_id").agg(
+        F.bool_or(_acts(events)).alias("acted"),
         C.ratio(F.count_if(done), n).alias("gk_pass_completion_pct"),
         F.sum(F.when(passed, F.coalesce("obv_total_net", F.lit(0.0)))).alias("gk_pass_obv"),
         C.ratio(F.count_if(long_), n).alias("gk_long_ball_pct"),
@@ -89,10 +98,11 @@ def on_the_ball(events: DataFrame, ids: DataFrame) -> DataFrame:
     )
 
 
-def own_goals(events: DataFrame, ids: DataFrame) -> DataFrame:
-    """Own goals against the team that each keeper first appears for in a match."""
-    seen = events.join(ids, "player_id", "left_semi").groupBy("player_id", "match_id").agg(F.min_by("team", F.struct("period", "idx")).alias("team"))
+def own_goals(events: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """Own goals against the team that each player, or each of ids, first appears for in a match."""
+    rows = events.where("player_id is not null") if ids is None else events.join(ids, "player_id", "left_semi")
     own = events.where("type = 'Own Goal Against'").groupBy("match_id", "team").agg(F.count("*").alias("n"))
+    seen = rows.groupBy("match_id", "player_id").agg(F.min_by("team", F.struct("period", "idx")).alias("team"))
     return seen.join(own, ["match_id", "team"]).groupBy("player_id").agg(F.sum("n").alias("gk_own_goals_against"))
 
 
@@ -109,22 +119,19 @@ OUTPUT = (
 RATED = {c: "gk_goals_conceded_total" if c == "gk_goals_conceded_per90" else c.removesuffix("_per90") for c in OUTPUT if c.endswith("_per90")}
 
 
-def _rounded(df: DataFrame, name: str) -> Column:
-    return C.round4(F.col(name)).alias(name) if dict(df.dtypes)[name] == "double" else F.col(name)
+def _rounded(df: DataFrame, name: str, places: int | None) -> Column:
+    return C.round4(F.col(name), places).alias(name) if dict(df.dtypes)[name] == "double" else F.col(name)
 
 
-def keeper_metrics(events: DataFrame, summary: DataFrame) -> DataFrame:
-    """All keeper metrics of those with minutes, in the order of OUTPUT, doubles to four places."""
-    ids = keepers(events, summary)
-    psxg = psxg_column(events.columns)
-    parts = [
-        shot_stopping(shot_links(events), psxg == PSXG[0]),
-        penalties_faced(shot_links(events, penalties=True)),
-        on_the_ball(events, ids),
-        own_goals(events, ids),
-    ]
-    base = ids.join(summary.select("player_id", "total_minutes"), "player_id").where("total_minutes > 0")
-    out = reduce(lambda a, b: a.join(b, "player_id", "left"), parts, base)
+def keeper_metrics(events: DataFrame, summary: DataFrame, places: int | None = 4) -> DataFrame:
+    """All keeper metrics of those with minutes, in the order of OUTPUT, doubles to four places (None: as they are).
+
+    Each part is one aggregation by player; who kept goal is told by the first of them and the main position.
+    """
+    links = shot_links(events, penalties=None)
+    mine = on_the_ball(events).join(summary.select("player_id", "primary_position", "total_minutes"), "player_id", "right")
+    base = mine.where("total_minutes > 0 and (acted or primary_position = 'Goalkeeper')")
+    out = base.join(faced(links, psxg_column(events.columns) == PSXG[0]), "player_id", "left").join(own_goals(events), "player_id", "left")
     out = out.fillna(0, ["gk_goals_conceded_shots", "gk_own_goals_against"]).withColumn("gk_goals_conceded_total", F.col("gk_goals_conceded_shots"))
     out = out.withColumns({name: C.per90(F.col(source), F.col("total_minutes")) for name, source in RATED.items()})
-    return out.select("player_id", *[_rounded(out, c) for c in OUTPUT])
+    return out.select("player_id", *[_rounded(out, c, places) for c in OUTPUT])

@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import pitch as P
 
 EPS = 1e-9
+OUTPUT = "obv_from_ext obv_from_int obv_from_ext_per90 obv_from_int_per90 lane_bias_index".split()
 
 
-def lane_bias(events: DataFrame, minutes: DataFrame, width: float = P.WIDTH, least_passes: int = 50, value: str = "obv_total_net") -> DataFrame:
+def lane_bias(events: DataFrame, minutes: DataFrame, width: float = P.WIDTH, least_passes: int = 50, value: str = "obv_total_net", y: Column | None = None) -> DataFrame:
     """(player_id, obv_from_ext, obv_from_int, per 90 of both, passes, lane_bias_index).
 
-    The index is the inner minus the outer share of value; null below least_passes passes.
+    The index is the inner minus the outer share of value; null below least_passes passes. y is where an event is
+    across the pitch, if not a column of that name.
     """
-    group = P.lane_group(P.lane(F.col("y"), width))
+    y = F.col("y") if y is None else y
+    group = P.lane_group(P.lane(y, width))
     part = lambda g: F.coalesce(F.sum(F.when(group == g, F.col(value))), F.lit(0.0))
-    made = events.where(f"player_id is not null and y is not null and {value} is not null").groupBy("player_id").agg(part("ext").alias("obv_from_ext"), part("int").alias("obv_from_int"))
+    made = events.where(F.col("player_id").isNotNull() & y.isNotNull() & F.col(value).isNotNull()).groupBy("player_id").agg(part("ext").alias("obv_from_ext"), part("int").alias("obv_from_int"))
     passes = events.where("type = 'Pass' and player_id is not null").groupBy("player_id").agg(F.count("*").alias("passes"))
     out = made.join(minutes.select("player_id", "total_minutes"), "player_id").join(passes, "player_id", "left")
     inner, outer = F.col("obv_from_int"), F.col("obv_from_ext")

@@ -80,30 +80,79 @@ def pass_completion(outcome: str = "pass_outcome") -> list[Column]:
     return [total.alias("total_passes"), missed.alias("incomplete_passes"), (total - missed).alias("complete_passes"), C.ratio(total - missed, total).alias("pass_completion_rate")]
 
 
-def success_rate(where: Column, outcome: Column, won: list[str], lost: list[str], name: str) -> Column:
-    """Share of outcomes counted as won among those counted as won or lost."""
-    good, bad = F.count_if(where & outcome.isin(won)), F.count_if(where & outcome.isin(lost))
-    return C.ratio(good, good + bad).alias(name)
-
-
-def defensive_rates(type_: str = "type") -> list[Column]:
-    """Success of duels, tackles, recoveries, interceptions and aerial duels, and totals of defensive work."""
-    t, duel, out = F.col(type_), F.col("duel_type"), F.col("duel_outcome")
-    won, lost = ["Won", "Success In Play", "Success Out"], ["Lost In Play", "Lost Out"]
-    caught = F.col("interception_outcome")
-    failed = C.truthy(F.col("ball_recovery_recovery_failure"))
-    recovered = F.count_if(t == "Ball Recovery")
-    return [
-        success_rate(t == "Duel", out, ["Won"], ["Lost In Play"], "duel_success_rate"),
-        success_rate((t == "Duel") & (duel == "Tackle"), out, won, lost, "tackle_success_pct"),
-        success_rate((t == "Duel") & (duel == "Aerial Lost"), out, won, lost, "aerial_success_rate"),
-        success_rate(t == "Interception", caught, won, lost, "interception_success_rate"),
-        C.ratio(recovered - F.count_if((t == "Ball Recovery") & failed), recovered).alias("ball_recovery_success_pct"),
-        F.count_if(t == "Clearance").alias("clearances_total"),
-        F.count_if(t == "Block").alias("blocks_total"),
-        (F.count_if(t == "Foul Committed") + F.count_if(t == "Foul Won")).alias("fouls_total"),
-        (F.count_if((t == "Duel") & out.isin(lost)) + F.count_if((t == "Interception") & caught.isin(lost))).alias("defensive_actions_lost"),
-    ]
+def success_rate(good: Column, bad: Column, name: str) -> Column:
+    """Share of rows counted as good among those counted as good or bad."""
+    won, lost = F.count_if(good), F.count_if(bad)
+    return C.ratio(won, won + lost).alias(name)
+
+
+def outcome_rates(columns: list[str], duel_won: str = "Won", duel_lost: str = "Lost In Play", caught_won: str = "Won", caught_lost: str = "Lost In Play") -> list[Column]:
+    """Success of duels, tackles, aerial duels and interceptions by the outcomes of their events, as far as the columns exist.
+
+    duel_success_rate and interception_success_rate take one outcome as won and one as lost, which the caller may name.
+    tackle_success_pct takes all duels: won, success in play or success out against lost in play or lost out. Aerial
+    duels are those whose type says so.
+    """
+    out = []
+    if "duel_outcome" in columns:
+        duel = F.col("duel_outcome")
+        part = F.translate(F.lower(duel), " -", "__")
+        won = F.contains(part, F.lit("won")) | F.contains(part, F.lit("success_in_play")) | F.contains(part, F.lit("success_out"))
+        out += [success_rate(won, ~won & (F.contains(part, F.lit("lost_in_play")) | F.contains(part, F.lit("lost_out"))), "tackle_success_pct"), success_rate(duel == duel_won, duel == duel_lost, "duel_success_rate")]
+        if "duel_type" in columns:
+            high, good = F.contains(F.lower("duel_type"), F.lit("aerial")), F.contains(part, F.lit("won")) | F.contains(part, F.lit("success"))
+            out.append(success_rate(high & good, high & ~good & F.contains(part, F.lit("lost")), "aerial_duel_success_rate"))
+    if "interception_outcome" in columns:
+        caught = F.col("interception_outcome")
+        out.append(success_rate(caught == caught_won, caught == caught_lost, "interception_success_rate"))
+    return out
+
+
+def event_counts(columns: list[str]) -> list[Column]:
+    """Counts of kinds of events that some sources carry as columns of their own; only those that this one lacks."""
+    kind = F.col("type")
+    each = {
+        "pressure": (("type",), lambda: kind == "Pressure"),
+        "duel_tackle": (("duel_type",), lambda: F.col("duel_type") == "Tackle"),
+        "completed_passes_under_pressure": (("pass_outcome", "under_pressure"), lambda: (kind == "Pass") & F.col("pass_outcome").isNull() & C.truthy(F.col("under_pressure"))),
+        "goals": (("shot_outcome",), lambda: (kind == "Shot") & (F.col("shot_outcome") == "Goal")),
+    }
+    return [F.count_if(which()).alias(name) for name, (needs, which) in each.items() if name not in columns and set(needs) <= set(columns)]
+
+
+#: The columns that make up fouls, clearances and blocks.
+FOULS = ("foul_committed_advantage", "foul_committed_penalty", "foul_committed_offensive")
+CLEARANCES = ("clearance_aerial_won", "clearance_head", "clearance_left_foot", "clearance_right_foot", "clearance_other")
+BLOCKS = ("block_deflection", "block_save_block")
+#: The outcome whose duels count as lost defensive actions; more may be named.
+LOST_DUELS = ("Lost In Play",)
+
+
+def _present(df: DataFrame, names) -> list[Column]:
+    return [F.col(f"`{n}`") for n in names if n in df.columns]
+
+
+def total_ratios(df: DataFrame) -> DataFrame:
+    """Ratios and sums of totals: duel_win_pct, ball_recovery_success_pct and foul_committed, as far as their parts exist.
+
+    Fouls are 0 without parts, and null parts count as zero; a ratio with a null part is null.
+    """
+    added = {}
+    for name, good, bad in (("duel_win_pct", "duel_won", "duel_lost"), ("ball_recovery_success_pct", "ball_recovery_offensive", "ball_recovery_recovery_failure")):
+        if good in df.columns and bad in df.columns:
+            added[name] = C.ratio(F.col(good), F.col(good) + F.col(bad))
+    fouls = _present(df, FOULS)
+    return df.withColumns(added | {"foul_committed": C.sum_or_zero(*fouls) if fouls else F.lit(0.0)})
+
+
+def composites(df: DataFrame, lost_duels: tuple[str, ...] = LOST_DUELS) -> DataFrame:
+    """Rates made of rates: lost duels and fouls, clearances, and blocks per 90 minutes, null parts as zero."""
+    parts = {
+        "defensive_actions_lost_per90": [*(f"n_events_duel_outcome_{C.name_part(v)}_per90" for v in lost_duels), "foul_committed_per90"],
+        "clearances_total_per90": [f"{c}_per90" for c in CLEARANCES],
+        "blocks_total_per90": [f"{c}_per90" for c in BLOCKS],
+    }
+    return df.withColumns({name: C.sum_or_zero(*own) for name, names in parts.items() if (own := _present(df, names))})
 
 
 def shots_and_touches(xg: str = "shot_statsbomb_xg", length: float = P.LENGTH, width: float = P.WIDTH) -> list[Column]:

@@ -36,20 +36,26 @@ def minutes_played(events: DataFrame, lineup: DataFrame, on: DataFrame, off: Dat
     or else the most frequent in the player's events (first by name of equals); the team is that of the first event,
     or the line-up's.
     """
-    first = lambda df, name: df.groupBy("match_id", "player_id").agg(F.min("minute").alias(name))
     keys = ["match_id", "player_id"]
-    started = lineup.groupBy(*keys).agg(F.min("position").alias("xi_position"), F.min("team").alias("xi_team"), F.lit(True).alias("starter"))
-    places = events.where("player_id is not null and position is not null").groupBy(*keys, "position").agg(F.count("*").alias("n"))
-    usual = places.groupBy(*keys).agg(F.min(F.struct((-F.col("n")).alias("n"), "position"))["position"].alias("usual"))
-    acted = events.where("player_id is not null").groupBy(*keys).agg(F.min_by("team", F.struct("period", "idx")).alias("team"))
-    who = acted.select(*keys).unionByName(started.select(*keys)).unionByName(on.select(*keys)).unionByName(off.select(*keys)).distinct()
-    all_ = who.join(match_end(events, cap), "match_id", "left")
-    for part in (started, first(on, "on"), first(off, "off"), usual, acted):
-        all_ = all_.join(part, keys, "left")
-    starter = F.coalesce("starter", F.lit(False))
+    # All that is known of an appearance comes together in one shuffle.
+    nothing = {"seen": "struct<period int, idx bigint, team string>", "usual": "string", "xi": "boolean", "xi_position": "string", "xi_team": "string", "on": "long", "off": "long"}
+    whole = lambda df, **given: df.select(*keys, *[given[n].cast(t).alias(n) if n in given else F.lit(None).cast(t).alias(n) for n, t in nothing.items()])
+    rows = whole(events.where("player_id is not null"), seen=F.struct(F.col("period").cast("int").alias("period"), F.col("idx").cast("long").alias("idx"), "team"), usual=F.col("position"))
+    rows = rows.unionByName(whole(lineup, xi=F.lit(True), xi_position=F.col("position"), xi_team=F.col("team")))
+    rows = rows.unionByName(whole(on, on=F.col("minute"))).unionByName(whole(off, off=F.col("minute")))
+    all_ = rows.groupBy(*keys).agg(
+        F.min("seen")["team"].alias("team"),
+        F.mode("usual", True).alias("usual"),
+        F.coalesce(F.bool_or("xi"), F.lit(False)).alias("starter"),
+        F.min("xi_position").alias("xi_position"),
+        F.min("xi_team").alias("xi_team"),
+        F.min("on").alias("on"),
+        F.min("off").alias("off"),
+    )
+    all_ = all_.join(match_end(events, cap), "match_id", "left")
     end = F.coalesce("end_minute", F.lit(90))
-    played = F.when(starter, F.coalesce("off", end)).when(F.col("on").isNotNull(), F.coalesce("off", end) - F.col("on")).otherwise(0)
-    out = all_.select(*keys, F.coalesce("team", "xi_team").alias("team"), F.greatest(F.lit(0), played).cast("long").alias("minutes"), starter.alias("starter"), F.coalesce("xi_position", "usual").alias("position_match"))
+    played = F.when(F.col("starter"), F.coalesce("off", end)).when(F.col("on").isNotNull(), F.coalesce("off", end) - F.col("on")).otherwise(0)
+    out = all_.select(*keys, F.coalesce("team", "xi_team").alias("team"), F.greatest(F.lit(0), played).cast("long").alias("minutes"), "starter", F.coalesce("xi_position", "usual").alias("position_match"))
     return out.where("minutes > 0")
 
 
@@ -58,7 +64,7 @@ def minutes_summary(minutes: DataFrame) -> DataFrame:
     total = minutes.groupBy("player_id").agg(
         F.sum("minutes").alias("total_minutes"),
         F.countDistinct("match_id").alias("matches_played"),
-        F.sum(F.col("starter").cast("long")).alias("times_started"),
+        F.sum(F.col("starter").cast("long")).alias("times_starter"),
         F.array_sort(F.collect_set("season")).alias("seasons"),
     )
     by = minutes.where("position_match is not null").groupBy("player_id", "position_match").agg(F.sum("minutes").alias("m"))

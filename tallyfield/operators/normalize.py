@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from ..functions import columns as C
 
 #: Numeric columns that identify or place an event and are no metrics.
-NOT_METRICS = frozenset("match_id index period minute second player_id possession idx event_id x y pass_end_x pass_end_y carry_end_x carry_end_y end_x end_y".split())
+NOT_METRICS = frozenset("match_id index period minute second player_id possession idx event_id team_id possession_team_id id t x y z pass_end_x pass_end_y carry_end_x carry_end_y end_x end_y".split())
 POINTS = {"location": ("x", "y"), "pass_end_location": ("pass_end_x", "pass_end_y"), "carry_end_location": ("carry_end_x", "carry_end_y")}
 NAMED = ("team", "possession_team", "play_pattern", "position", "type")
 
@@ -29,7 +29,7 @@ def normalize_events(raw: DataFrame) -> DataFrame:
     added |= {n: C.entity_name(F.col(n)) for n in NAMED if n in strings}
     if "player" in strings:
         added["player_name"] = C.entity_name(F.col("player"))
-        ids = [C.safe_long(F.col(c)) for c in ("player_id", "playerId", "player.id") if c in raw.columns and "." not in c]
+        ids = [C.safe_long(F.col(f"`{c}`")) for c in ("player_id", "playerId", "player.id") if c in raw.columns]
         added["player_id"] = F.coalesce(*ids, C.entity(F.col("player"))["id"])
     elif "player_id" in raw.columns:
         added["player_id"] = C.safe_long(F.col("player_id"))
@@ -39,6 +39,7 @@ def normalize_events(raw: DataFrame) -> DataFrame:
 
 
 def metric_columns(df: DataFrame) -> list[str]:
+    """The numeric columns that are metrics, by the schema alone."""
     return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType) and f.name not in NOT_METRICS]
 
 
@@ -51,8 +52,9 @@ def encode_flags(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return df.withColumns({c: C.flag_value(F.col(c)) for c in columns})
 
 
-def of_known_players(events: DataFrame, players: DataFrame) -> DataFrame:
-    return events.join(players.select("player_id").distinct(), "player_id", "left_semi")
+def of_known_players(rows: DataFrame, players: DataFrame) -> DataFrame:
+    """The rows of players that a line-up or a positioned event names; players without an id are none of them."""
+    return rows.join(players.select("player_id").distinct(), "player_id", "left_semi")
 
 
 def contract(df: DataFrame, ordered: list[str]) -> DataFrame:
@@ -62,6 +64,6 @@ def contract(df: DataFrame, ordered: list[str]) -> DataFrame:
 
 def player_dimension(lineup: DataFrame, events: DataFrame) -> DataFrame:
     """(player_id, positions, teams): distinct names, sorted and comma-joined, from line-ups and events."""
-    rows = lineup.select("player_id", "position", "team").unionByName(events.select("player_id", "position", "team")).where("player_id is not null")
+    rows = lineup.select("player_id", "position", "team").unionByName(events.where("position is not null").select("player_id", "position", "team")).where("player_id is not null")
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ", ")
     return rows.groupBy("player_id").agg(joined("position").alias("all_positions"), joined("team").alias("teams"))

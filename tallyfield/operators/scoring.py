@@ -89,22 +89,59 @@ def score(df: DataFrame, keys: list[str], cohort: list[str], spec: Spec, q: floa
     return out.withColumn("profile", profile(spec.labels))
 
 
-def score_position(players: DataFrame, group: str, cohort: list[str] | None = None, min_minutes: int = 450, min_matches: int = 5, teams: list[str] | None = None, q: float = QUANTILE, derive: Callable[[DataFrame], DataFrame] | None = None, spec: Spec | None = None) -> DataFrame:
+#: Columns that stand in for a metric of a group where it is absent, in order of preference.
+STAND_INS = {
+    "Volante": {
+        "complete_passes_per90": ("passes_completed_per90", "completed_passes"),
+        "completed_passes_under_pressure_per90": ("passes_under_pressure_completed_per90",),
+        "duel_tackle_per90": ("tackles_per90",),
+    }
+}
+
+
+def derived_metrics(players: DataFrame, group: str) -> DataFrame:
+    """Metrics of a group that other columns give, where they are absent: stand-ins, passes per 90 minutes, xG per shot."""
+    have, added = set(players.columns), {}
+    for name, others in STAND_INS.get(group, {}).items():
+        source = next((c for c in others if c in have), None)
+        if name not in have and source:
+            added[name] = C.safe_double(F.col(source))
+    minutes = next((c for c in ("minutes", "total_minutes") if c in have), None)
+    if group == "Interior/Mediapunta" and "complete_passes_per90" not in have and "complete_passes" in have and minutes:
+        added["complete_passes_per90"] = C.per90(C.safe_double(F.col("complete_passes")), C.safe_double(F.col(minutes)))
+    if group in ("Delantero", "Extremo") and "xg_per_shot" not in have and {"shot_statsbomb_xg_per90", "total_shots_per90"} <= have:
+        added["xg_per_shot"] = C.ratio(C.safe_double(F.col("shot_statsbomb_xg_per90")), C.safe_double(F.col("total_shots_per90")))
+    return players.withColumns(added)
+
+
+#: Least minutes and matches of a group's own entry point, and of the others.
+ENTRY = {"Zaguero": (600, 5)}
+ENTRY_ELSE = (450, 3)
+
+
+def run_position(players: DataFrame, group: str, **given) -> DataFrame:
+    """score_position with the thresholds of the group's entry point, unless others are given."""
+    least = dict(zip(("min_minutes", "min_matches"), ENTRY.get(group, ENTRY_ELSE)))
+    return score_position(players, group, **(least | given))
+
+
+def score_position(players: DataFrame, group: str, cohort: list[str] | None = None, min_minutes: int = 450, min_matches: int = 5, teams: list[str] | None = None, q: float = QUANTILE, derive: Callable[[DataFrame], DataFrame] | None = None, spec: Spec | None = None, mix: tuple[float, float] | None = None) -> DataFrame:
     """Score the players of a position group; fullbacks get the mixed defensive category, wingers a lane profile.
 
-    derive may add or map metric columns before scoring, and spec replaces the group's specification.
+    The group's derived metrics are added where they are absent; derive may add or map more columns before that, and
+    spec replaces the group's specification. mix gives the fullback's weights of execution and value.
     """
     spec = spec or SPECS[group]
-    players = players.transform(derive) if derive else players
+    players = derived_metrics(players.transform(derive) if derive else players, group)
     own = eligible(players.where(F.col("primary_position").isin(P.positions_of(group))), min_minutes, min_matches, teams)
     cohort = cohort or ["season"]
     keys = ["player_id"]
     if group != "Lateral":
         out = score(own, keys, cohort, spec, q)
     else:
-        out = _lateral(own, keys, cohort, spec, q)
-    if group == "Extremo" and "lane_bias_index" in own.columns:
-        out = lane_columns(out, own, keys)
+        out = _lateral(own, keys, cohort, spec, q, mix)
+    if group == "Extremo":
+        out = lane_columns(out, own if "lane_bias_index" in own.columns else own.withColumn("lane_bias_index", F.lit(None).cast("double")), keys)
     return out.orderBy(F.desc_nulls_last("Score_Overall"), *keys)
 
 
@@ -114,14 +151,15 @@ def lane_columns(scored: DataFrame, players: DataFrame, keys: list[str]) -> Data
     return scored.join(lane_profile(players.select(*keys, "lane_bias_index")), keys, "left")
 
 
-def _lateral(own: DataFrame, keys: list[str], cohort: list[str], spec: Spec, q: float) -> DataFrame:
+def _lateral(own: DataFrame, keys: list[str], cohort: list[str], spec: Spec, q: float, mix_weights: tuple[float, float] | None = None) -> DataFrame:
     mixed = Spec(spec.group, {f"_{n}": w for n, (w, _) in LATERAL_MIX.items()}, {f"_{n}": m for n, (_, m) in LATERAL_MIX.items()})
     metrics = [m for m in dict.fromkeys([*spec.all_metrics(), *mixed.all_metrics()]) if m in own.columns]
     ranked = long_percentiles(own, keys, cohort, metrics)
     ids = list(dict.fromkeys([*keys, *cohort]))
     cats = category_scores(ranked, keys, cohort, spec).drop("Score_Defensivo")
     parts = category_scores(ranked, keys, cohort, mixed)
-    mix = composed(*[(F.col(f"Score__{n}"), w) for n, (w, _) in LATERAL_MIX.items()])
+    weights = mix_weights or tuple(w for w, _ in LATERAL_MIX.values())
+    mix = composed(*[(F.col(f"Score__{n}"), w) for n, w in zip(LATERAL_MIX, weights)])
     out = cats.join(parts.select(*ids, mix.alias("Score_Defensivo")), ids, "left").withColumn("Score_Overall", total_score(spec))
     out = flags(out, cohort, ["Score_Overall", *[f"Score_{c}" for c in spec.weights]], q)
     return out.withColumn("profile", profile(spec.labels))

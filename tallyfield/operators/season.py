@@ -8,33 +8,54 @@ from pyspark.sql import functions as F
 from ..functions import pitch as P
 from . import keeper, lanes, metrics, minutes, normalize, turnovers, zones
 
-#: Ratios and averages, which are not divided by minutes.
-NOT_RATED = frozenset("pass_completion_rate duel_success_rate tackle_success_pct aerial_success_rate interception_success_rate ball_recovery_success_pct xg_per_shot shot_touch_pct touches_in_opp_box_pct".split())
+#: The columns that come first.
+BASE = "player_id player_name primary_position all_positions teams total_minutes minutes_primary_position primary_position_share matches_played times_starter".split()
+#: Counts that are rated after the others.
+COUNTED = ("total_shots", "total_touches", "touches_in_opp_box", "complete_passes")
+RATIOS = "duel_win_pct tackle_success_pct ball_recovery_success_pct duel_success_rate aerial_duel_success_rate interception_success_rate pass_completion_rate".split()
+COMPOSITES = "defensive_actions_lost_per90 clearances_total_per90 blocks_total_per90".split()
+TOUCHES = "xg_per_shot shot_touch_pct touches_in_opp_box touches_in_opp_box_pct".split()
 
 
-def player_season(events: DataFrame, lineup: DataFrame, on: DataFrame, off: DataFrame, break_down: dict[str, list[str]], turnover_kinds: list[str], value_metrics: tuple[str, ...] = metrics.SPLIT_METRICS, third_types: tuple[str, ...] = metrics.THIRD_TYPES, zone_types: tuple[str, ...] = zones.DEFENSIVE, least_passes: int = 50, length: float = P.LENGTH, width: float = P.WIDTH) -> DataFrame:
+def player_season(events: DataFrame, lineup: DataFrame, on: DataFrame, off: DataFrame, break_down: dict[str, list[str]], turnover_kinds: list[str], value_metrics: tuple[str, ...] = metrics.SPLIT_METRICS, third_types: tuple[str, ...] = metrics.THIRD_TYPES, zone_types: tuple[str, ...] = zones.DEFENSIVE, least_passes: int = 50, size: tuple[float, float] | None = None, flags: list[str] | None = None, lost_duels: tuple[str, ...] = metrics.LOST_DUELS, places: int | None = 4) -> DataFrame:
     """One row per player with minutes: totals, breakdowns, rates per 90 minutes, turnovers, lanes, zones and keeping.
 
-    All event totals come from one aggregation; the other parts are small tables by player. break_down gives the
-    values of each column to break down by, so that no extra pass is needed for them.
+    All event totals come from one aggregation; the other parts are small tables by player. Text columns of true and
+    false count as 0 and 1 and are summed with the numeric metrics. break_down gives the values of each column to break
+    down by, flags the columns of true and false, size the pitch; what is not given is found in one pass each. Lanes
+    and zones are measured on the standard pitch. Zone and keeper values are rounded to places.
     """
+    if size is None:
+        size = tuple(P.pitch_size(events).first())
+    length, width = size
+    coded = normalize.encode_flags(events, flags)
+    numeric = normalize.metric_columns(coded)
     played = minutes.minutes_played(events, lineup, on, off)
     summary = minutes.minutes_summary(played.join(events.select("match_id", "season").distinct(), "match_id"))
-    sums = {c: v for c, v in break_down.items() if c not in metrics.COUNT_ONLY}
-    counts = {c: v for c, v in break_down.items() if c in metrics.COUNT_ONLY}
-    own = metrics.totals(list(value_metrics)) + metrics.breakdown_sums(sums, list(value_metrics)) + metrics.breakdown_counts(counts)
-    own += metrics.thirds([value_metrics[0]], third_types, length) + metrics.open_play_crosses([value_metrics[0]], length)
-    own += metrics.pass_completion() + metrics.defensive_rates() + metrics.shots_and_touches(length=length, width=width) + metrics.final_third(length)
-    totals = metrics.season_table(events, own)
-    totals = totals.join(turnovers.turnover_counts(turnovers.turnovers(events), turnover_kinds), "player_id", "left")
-    totals = totals.fillna(0, [c for c in totals.columns if "turnovers" in c])
-    rated = [c for c in totals.columns if c != "player_id" and c not in NOT_RATED]
-    table = metrics.with_rates(totals, summary, rated).where("total_minutes is not null")
-    table = table.join(normalize.player_dimension(lineup, events), "player_id", "left")
-    table = table.join(lanes.lane_bias(events, summary, width, least_passes).drop("passes"), "player_id", "left")
-    damage = zones.zone_damage(events, zones.zone_rectangles(events, types=zone_types), summary, length, width)
-    table = table.join(damage, "player_id", "left")
-    return table.join(keeper.keeper_metrics(events, summary), "player_id", "left")
+    split = list(value_metrics)
+    parts = metrics.breakdown_sums({c: v for c, v in break_down.items() if c not in metrics.COUNT_ONLY}, split)
+    parts += metrics.breakdown_counts({c: v for c, v in break_down.items() if c in metrics.COUNT_ONLY})
+    parts += metrics.thirds(split[:1], third_types, length) + metrics.open_play_crosses(split[:1], length)
+    sums = metrics.totals(numeric) + metrics.final_third(length) + metrics.event_counts(coded.columns)
+    rest = metrics.pass_completion() + metrics.outcome_rates(coded.columns) + metrics.shots_and_touches(length=length, width=width)
+    dimension = normalize.player_dimension(lineup, events)
+    table = normalize.of_known_players(metrics.season_table(coded, sums + parts + rest), dimension)
+    lost = turnovers.turnover_counts(turnovers.turnovers(events), turnover_kinds)
+    table = table.join(lost, "player_id", "left").fillna(0, [c for c in lost.columns if c != "player_id"])
+    table = metrics.total_ratios(table)
+    names = lambda columns: table.select("player_id", *columns).columns[1:]
+    own = [c for c in table.columns if c not in {"player_id", *RATIOS, *TOUCHES, *COUNTED, "total_passes", "incomplete_passes"}]
+    broken = [c for c in own if any(c.startswith((f"{m}_{d}_", f"{m}_third_")) for m in split for d in break_down) or c.startswith("n_events_")]
+    plain = [c for c in names([f"`{c}`" for c in own]) if c not in set(broken)]
+    table = metrics.composites(metrics.with_rates(table, summary, [*plain, *broken, *COUNTED]).where("total_minutes is not null"), lost_duels)
+    table = table.join(dimension, "player_id", "left")
+    table = table.join(lanes.lane_bias(events, summary, least_passes=least_passes).drop("passes"), "player_id", "left")
+    damage = zones.zone_damage(events, zones.zone_rectangles(events, types=zone_types), summary, places=places)
+    table = table.join(damage, "player_id", "left").join(keeper.keeper_metrics(events, summary, places), "player_id", "left")
+    rated = [f"{c}_per90" for c in (*plain, *broken)]
+    placed = [*lanes.OUTPUT, *zones.OUTPUT, *keeper.OUTPUT]
+    order = [*BASE, *plain, *RATIOS, *broken, *rated, *COMPOSITES, *TOUCHES, "total_passes", "incomplete_passes", *COUNTED, *[f"{c}_per90" for c in COUNTED], *placed]
+    return normalize.contract(table, list(dict.fromkeys(order)))
 
 
 def minutes_export(played: DataFrame, players: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,12 +11,29 @@ POSITIONS = ("Goalkeeper", "Center Back", "Left Back", "Center Defensive Midfiel
 SEASON = "2024_2025"
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The table written once to the shared folder of spark.checkpoint.dir, for plans that read it several times; without one it stays a plan."""
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return df
+    path = f"{folder.rstrip('/')}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Columns of the match view that hold true and false as text.
+FLAGS = "under_pressure pass_cross counterpress pass_switch pass_through_ball pass_shot_assist pass_goal_assist ball_recovery_offensive ball_recovery_recovery_failure foul_committed_advantage foul_committed_offensive clearance_head clearance_left_foot block_deflection".split()
+
+
 def match_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as a match log: six days are a match, half an hour a possession, users are players of two teams."""
+    """Events as a match log: 22 users meet in two teams for six days a match, half an hour is a possession.
+
+    Matches are of bounded size: more users or days make more of them, not larger ones.
+    """
     e = read(spark, sf_dir, "events")
     day = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).cast("long")
     k = F.get_json_object("props", "$.k").cast("long")
@@ -22,14 +41,15 @@ def match_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = F.col("d") % 6 * 1440 + F.col("m")
     i, u = F.col("event_id"), F.col("user_id")
     pick = lambda c, *values: F.get(F.array(*map(F.lit, values)), c.cast("int"))
-    kind = F.when((u % 7 == 0) & (F.col("event_type") == "signup"), "Goal Keeper")
-    for source, name in (("view", "Pass"), ("click", "Carry"), ("purchase", "Shot"), ("signup", "Pressure"), ("error", "Duel")):
-        kind = kind.when(F.col("event_type") == source, name)
+    was = F.col("event_type")
+    kind = F.when((u % 7 == 0) & (was == "signup"), "Goal Keeper").when(was == "view", "Pass").when(was == "click", F.when(i % 5 == 0, "Dribble").otherwise("Carry")).when(was == "purchase", "Shot")
+    kind = kind.when(was == "signup", pick(i % 4, "Pressure", "Pressure", "Ball Recovery", "Interception")).when(was == "error", pick(i % 6, "Clearance", "Foul Committed", "Block", "Duel", "Duel", "Duel"))
+    flag = lambda own, test: F.when(kind == own, test).cast("string")
     v = e.select(
         i.alias("idx"),
         i.cast("string").alias("id"),
         u.alias("player_id"),
-        F.floor(F.col("d") / 6).alias("match_id"),
+        (F.floor(F.col("d") / 6) * 1_000_000_000 + F.floor(u / 22)).alias("match_id"),
         F.floor(w / 96).cast("int").alias("minute"),
         F.floor(w / 30).alias("possession"),
         (w * 60 + F.col("s")).cast("double").alias("t"),
@@ -43,15 +63,29 @@ def match_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         (i * 53 % 121).cast("double").alias("carry_end_x"),
         ((F.col("value") - 10) / 100).alias("obv_total_net"),
         F.when(kind == "Shot", F.col("value") / 500).alias("shot_statsbomb_xg"),
+        F.when((kind == "Pass") & (i % 8 == 0), F.col("value") / 500).alias("xa"),
         F.when((kind == "Pass") & (i % 5 == 0), "Incomplete").alias("pass_outcome"),
         F.when(kind == "Duel", pick(i % 3, "Won", "Lost In Play", "Lost Out")).alias("duel_outcome"),
         F.when(kind == "Duel", pick(i % 2, "Tackle", "Aerial Lost")).alias("duel_type"),
+        F.when(kind == "Interception", pick(i % 3, "Won", "Lost In Play", "Success Out")).alias("interception_outcome"),
         F.when(kind == "Shot", pick(i % 3, "Goal", "Saved", "Off T")).alias("shot_outcome"),
         F.when(kind == "Shot", F.when(i % 11 == 0, "Penalty").otherwise("Open Play")).alias("shot_type"),
         F.when(kind == "Goal Keeper", pick(i % 4, "Claim", "No Catch", None, None)).alias("goalkeeper_outcome"),
         F.when(kind == "Goal Keeper", F.array((i - 1).cast("string"), (i - 2).cast("string"))).alias("related_events"),
         F.when(i % 2 == 0, "true").otherwise("false").alias("under_pressure"),
         F.when(i % 4 == 0, "True").otherwise("False").alias("pass_cross"),
+        F.when(i % 3 == 0, "true").otherwise("false").alias("counterpress"),
+        flag("Pass", i % 7 == 0).alias("pass_switch"),
+        flag("Pass", i % 9 == 0).alias("pass_through_ball"),
+        flag("Pass", i % 8 == 0).alias("pass_shot_assist"),
+        flag("Pass", i % 16 == 0).alias("pass_goal_assist"),
+        flag("Ball Recovery", i % 8 == 2).alias("ball_recovery_offensive"),
+        flag("Ball Recovery", i % 3 == 0).alias("ball_recovery_recovery_failure"),
+        flag("Foul Committed", i % 4 == 1).alias("foul_committed_advantage"),
+        flag("Foul Committed", i % 5 == 0).alias("foul_committed_offensive"),
+        flag("Clearance", i % 4 == 0).alias("clearance_head"),
+        flag("Clearance", i % 4 == 2).alias("clearance_left_foot"),
+        flag("Block", i % 4 == 0).alias("block_deflection"),
         (i % 60).cast("double").alias("pass_length"),
         pick(u % 7, *POSITIONS).alias("position"),
         F.lit(SEASON).alias("season"),
@@ -74,20 +108,29 @@ e0 AS (
     CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS BIGINT) AS d, hour(ts) * 60 + minute(ts) AS m, second(ts) AS s FROM events),
 e1 AS (
   SELECT *, (d % 6) * 1440 + m AS w, CASE WHEN user_id % 7 = 0 AND event_type = 'signup' THEN 'Goal Keeper' WHEN event_type = 'view' THEN 'Pass'
-    WHEN event_type = 'click' THEN 'Carry' WHEN event_type = 'purchase' THEN 'Shot' WHEN event_type = 'signup' THEN 'Pressure' WHEN event_type = 'error' THEN 'Duel' END AS type FROM e0),
+    WHEN event_type = 'click' THEN CASE WHEN event_id % 5 = 0 THEN 'Dribble' ELSE 'Carry' END WHEN event_type = 'purchase' THEN 'Shot'
+    WHEN event_type = 'signup' THEN CASE event_id % 4 WHEN 2 THEN 'Ball Recovery' WHEN 3 THEN 'Interception' ELSE 'Pressure' END
+    WHEN event_type = 'error' THEN CASE event_id % 6 WHEN 0 THEN 'Clearance' WHEN 1 THEN 'Foul Committed' WHEN 2 THEN 'Block' ELSE 'Duel' END END AS type FROM e0),
 ev AS (
-  SELECT event_id AS idx, CAST(event_id AS VARCHAR) AS id, user_id AS player_id, d // 6 AS match_id, w // 96 AS minute, w // 30 AS possession, w * 60 + s AS t,
+  SELECT event_id AS idx, CAST(event_id AS VARCHAR) AS id, user_id AS player_id, (d // 6) * 1000000000 + user_id // 22 AS match_id, w // 96 AS minute, w // 30 AS possession, w * 60 + s AS t,
     'T' || (user_id % 2) AS team, 'T' || ((w // 30) % 2) AS possession_team, type,
     CASE WHEN k < 70 THEN 'Regular Play' WHEN k < 85 THEN 'From Throw In' ELSE 'From Corner' END AS play_pattern,
     k * CAST(1.2 AS DOUBLE) AS x, CAST(event_id * 37 % 80 AS DOUBLE) AS y, CAST(event_id * 53 % 121 AS DOUBLE) AS end_x,
     (value - 10) / 100 AS obv_total_net, CASE WHEN type = 'Shot' THEN value / 500 END AS shot_statsbomb_xg,
-    CASE WHEN type = 'Pass' AND event_id % 5 = 0 THEN 'Incomplete' END AS pass_outcome,
+    CASE WHEN type = 'Pass' AND event_id % 8 = 0 THEN value / 500 END AS xa, CASE WHEN type = 'Pass' AND event_id % 5 = 0 THEN 'Incomplete' END AS pass_outcome,
     CASE WHEN type = 'Duel' THEN CASE event_id % 3 WHEN 0 THEN 'Won' WHEN 1 THEN 'Lost In Play' ELSE 'Lost Out' END END AS duel_outcome,
     CASE WHEN type = 'Duel' THEN CASE event_id % 2 WHEN 0 THEN 'Tackle' ELSE 'Aerial Lost' END END AS duel_type,
+    CASE WHEN type = 'Interception' THEN CASE event_id % 3 WHEN 0 THEN 'Won' WHEN 1 THEN 'Lost In Play' ELSE 'Success Out' END END AS interception_outcome,
     CASE WHEN type = 'Shot' THEN CASE event_id % 3 WHEN 0 THEN 'Goal' WHEN 1 THEN 'Saved' ELSE 'Off T' END END AS shot_outcome,
     CASE WHEN type = 'Shot' THEN CASE WHEN event_id % 11 = 0 THEN 'Penalty' ELSE 'Open Play' END END AS shot_type,
     CASE WHEN type = 'Goal Keeper' THEN CASE event_id % 4 WHEN 0 THEN 'Claim' WHEN 1 THEN 'No Catch' END END AS goalkeeper_outcome,
-    event_id % 2 = 0 AS pressed, event_id % 4 = 0 AS crossed, CAST(event_id % 60 AS DOUBLE) AS pass_length,
+    event_id % 2 = 0 AS under_pressure, event_id % 4 = 0 AS pass_cross, event_id % 3 = 0 AS counterpress,
+    CASE WHEN type = 'Pass' THEN event_id % 7 = 0 END AS pass_switch, CASE WHEN type = 'Pass' THEN event_id % 9 = 0 END AS pass_through_ball,
+    CASE WHEN type = 'Pass' THEN event_id % 8 = 0 END AS pass_shot_assist, CASE WHEN type = 'Pass' THEN event_id % 16 = 0 END AS pass_goal_assist,
+    CASE WHEN type = 'Ball Recovery' THEN event_id % 8 = 2 END AS ball_recovery_offensive, CASE WHEN type = 'Ball Recovery' THEN event_id % 3 = 0 END AS ball_recovery_recovery_failure,
+    CASE WHEN type = 'Foul Committed' THEN event_id % 4 = 1 END AS foul_committed_advantage, CASE WHEN type = 'Foul Committed' THEN event_id % 5 = 0 END AS foul_committed_offensive,
+    CASE WHEN type = 'Clearance' THEN event_id % 4 = 0 END AS clearance_head, CASE WHEN type = 'Clearance' THEN event_id % 4 = 2 END AS clearance_left_foot,
+    CASE WHEN type = 'Block' THEN event_id % 4 = 0 END AS block_deflection, CAST(event_id % 60 AS DOUBLE) AS pass_length,
     CASE user_id % 7 WHEN 0 THEN 'Goalkeeper' WHEN 1 THEN 'Center Back' WHEN 2 THEN 'Left Back' WHEN 3 THEN 'Center Defensive Midfield' WHEN 4 THEN 'Center Midfield' WHEN 5 THEN 'Left Wing' ELSE 'Center Forward' END AS position,
     CASE WHEN w // 96 < 45 THEN 1 ELSE 2 END AS period FROM e1),
 mp AS (
@@ -99,7 +142,7 @@ played AS (
   FROM mp JOIN ends USING (match_id)),
 pmm AS (SELECT * FROM played WHERE minutes > 0),
 pms AS (
-  SELECT player_id, CAST(sum(minutes) AS BIGINT) AS total_minutes, count(DISTINCT match_id) AS matches_played, CAST(sum(CASE WHEN starter THEN 1 ELSE 0 END) AS BIGINT) AS times_started, min(position_match) AS primary_position FROM pmm GROUP BY player_id)
+  SELECT player_id, CAST(sum(minutes) AS BIGINT) AS total_minutes, count(DISTINCT match_id) AS matches_played, CAST(sum(CASE WHEN starter THEN 1 ELSE 0 END) AS BIGINT) AS times_starter, min(position_match) AS primary_position FROM pmm GROUP BY player_id)
 """
 
 

@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import pitch as P
-from ..operators import keeper, lanes, metrics, minutes, normalize, season, turnovers, zones
-from .adapters import lineups, match_sql, match_view
+from ..operators import keeper, lanes, metrics, minutes, normalize, scoring, season, specs, turnovers, zones
+from .adapters import FLAGS, lineups, match_sql, match_view, settled
 
-TYPES = ("Pass", "Carry", "Shot", "Pressure", "Duel", "Goal Keeper")
+TYPES = ("Pass", "Carry", "Dribble", "Shot", "Pressure", "Ball Recovery", "Interception", "Clearance", "Block", "Foul Committed", "Duel", "Goal Keeper")
 PATTERNS = ("Regular Play", "From Throw In", "From Corner")
 SPLIT = ["obv_total_net", "shot_statsbomb_xg"]
-ZONE_TYPES = ("Pressure", "Duel")
+DUEL_TYPES, SHOT_TYPES = ("Tackle", "Aerial Lost"), ("Penalty", "Open Play")
+DUEL_OUTCOMES = ("Won", "Lost In Play", "Lost Out")
+CAUGHT = ("Won", "Lost In Play", "Success Out")
 QUERIES, SQL = {}, {}
 
 
@@ -27,8 +29,10 @@ def query(sql: str | None = None):
     return register
 
 
-def rounded(df: DataFrame, places: int = 4) -> DataFrame:
-    return df.select(*[F.round(F.col(f"`{c}`"), places).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
+def rounded(df: DataFrame, places: int = 4, nudge: float | None = None) -> DataFrame:
+    """Doubles to so many places; a nudge takes decimal ties, and minus zero, off the edge, so that the order of sums decides nothing."""
+    shown = lambda c: F.round(c, places) if nudge is None else F.round(c + nudge, places) + 0.0
+    return df.select(*[shown(F.col(f"`{c}`")).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
 
 
 def _played(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -65,27 +69,32 @@ def breakdown_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 THIRD = "CASE WHEN x < 40 THEN 'defensive' WHEN x < 80 THEN 'middle' ELSE 'attacking' END"
 
 
-@query(f"SELECT player_id, " + ", ".join(f"round(coalesce(sum(CASE WHEN {THIRD} = '{p}' AND type = '{t}' THEN obv_total_net END), 0), 4) AS obv_total_net_third_{p}_{C.name_part(t)}, count(CASE WHEN {THIRD} = '{p}' AND type = '{t}' THEN 1 END) AS n_events_third_{p}_{C.name_part(t)}" for p in ("defensive", "middle", "attacking") for t in ("Carry", "Pass", "Duel", "Pressure")) + f", round(coalesce(sum(CASE WHEN {THIRD} = 'attacking' AND type = 'Pass' AND crossed AND play_pattern = 'Regular Play' THEN obv_total_net END), 0), 4) AS obv_total_net_third_attacking_pass_cross_openplay, count(CASE WHEN {THIRD} = 'attacking' AND type = 'Pass' AND crossed AND play_pattern = 'Regular Play' THEN 1 END) AS n_events_third_attacking_pass_cross_openplay FROM ev GROUP BY player_id")
+@query(f"SELECT player_id, " + ", ".join(f"round(coalesce(sum(CASE WHEN {THIRD} = '{p}' AND type = '{t}' THEN obv_total_net END), 0), 4) AS obv_total_net_third_{p}_{C.name_part(t)}, count(CASE WHEN {THIRD} = '{p}' AND type = '{t}' THEN 1 END) AS n_events_third_{p}_{C.name_part(t)}" for p in ("defensive", "middle", "attacking") for t in ("Carry", "Pass", "Duel", "Pressure")) + f", round(coalesce(sum(CASE WHEN {THIRD} = 'attacking' AND type = 'Pass' AND pass_cross AND play_pattern = 'Regular Play' THEN obv_total_net END), 0), 4) AS obv_total_net_third_attacking_pass_cross_openplay, count(CASE WHEN {THIRD} = 'attacking' AND type = 'Pass' AND pass_cross AND play_pattern = 'Regular Play' THEN 1 END) AS n_events_third_attacking_pass_cross_openplay FROM ev GROUP BY player_id")
 def thirds_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = metrics.thirds(["obv_total_net"], ("Carry", "Pass", "Duel", "Pressure")) + metrics.open_play_crosses(["obv_total_net"])
     return rounded(metrics.season_table(match_view(spark, sf_dir), own))
 
 
-def _rate(good: str, bad: str) -> str:
-    return f"round(CASE WHEN count(CASE WHEN {good} OR {bad} THEN 1 END) > 0 THEN count(CASE WHEN {good} THEN 1 END) / count(CASE WHEN {good} OR {bad} THEN 1 END) END, 6)"
+def _rate(good: str, bad: str, places: int | None = 6) -> str:
+    share = f"CASE WHEN count(CASE WHEN {good} OR {bad} THEN 1 END) > 0 THEN count(CASE WHEN {good} THEN 1 END) / count(CASE WHEN {good} OR {bad} THEN 1 END) END"
+    return share if places is None else f"round({share}, {places})"
 
 
-LOST = "duel_outcome IN ('Lost In Play', 'Lost Out')"
+#: Share of events counted as good among those counted as good or bad.
+RATES = {
+    "pass_completion_rate": ("type = 'Pass' AND pass_outcome IS NULL", "type = 'Pass' AND pass_outcome IS NOT NULL"),
+    "duel_success_rate": ("duel_outcome = 'Won'", "duel_outcome = 'Lost In Play'"),
+    "tackle_success_pct": ("duel_outcome = 'Won'", "duel_outcome IN ('Lost In Play', 'Lost Out')"),
+    "aerial_duel_success_rate": ("duel_type = 'Aerial Lost' AND duel_outcome = 'Won'", "duel_type = 'Aerial Lost' AND duel_outcome IN ('Lost In Play', 'Lost Out')"),
+    "interception_success_rate": ("interception_outcome = 'Won'", "interception_outcome = 'Lost In Play'"),
+}
 
 
-@query(f"""SELECT player_id, count(CASE WHEN type = 'Pass' THEN 1 END) AS total_passes, count(pass_outcome) AS incomplete_passes,
-  count(CASE WHEN type = 'Pass' THEN 1 END) - count(pass_outcome) AS complete_passes, {_rate("type = 'Pass' AND pass_outcome IS NULL", "type = 'Pass' AND pass_outcome IS NOT NULL")} AS pass_completion_rate,
-  {_rate("duel_outcome = 'Won'", "duel_outcome = 'Lost In Play'")} AS duel_success_rate, {_rate("duel_type = 'Tackle' AND duel_outcome = 'Won'", "duel_type = 'Tackle' AND " + LOST)} AS tackle_success_pct,
-  {_rate("duel_type = 'Aerial Lost' AND duel_outcome = 'Won'", "duel_type = 'Aerial Lost' AND " + LOST)} AS aerial_success_rate, CAST(NULL AS DOUBLE) AS interception_success_rate,
-  CAST(NULL AS DOUBLE) AS ball_recovery_success_pct, CAST(0 AS BIGINT) AS clearances_total, CAST(0 AS BIGINT) AS blocks_total, CAST(0 AS BIGINT) AS fouls_total, count(CASE WHEN {LOST} THEN 1 END) AS defensive_actions_lost FROM ev GROUP BY player_id""")
+@query("""SELECT player_id, count(CASE WHEN type = 'Pass' THEN 1 END) AS total_passes, count(pass_outcome) AS incomplete_passes,
+  count(CASE WHEN type = 'Pass' THEN 1 END) - count(pass_outcome) AS complete_passes, """ + ", ".join(f"{_rate(*w)} AS {n}" for n, w in RATES.items()) + " FROM ev GROUP BY player_id")
 def success_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = match_view(spark, sf_dir).withColumns({"interception_outcome": F.lit(None).cast("string"), "ball_recovery_recovery_failure": F.lit("false")})
-    return rounded(metrics.season_table(events, metrics.pass_completion() + metrics.defensive_rates()), 6)
+    events = match_view(spark, sf_dir)
+    return rounded(metrics.season_table(events, metrics.pass_completion() + metrics.outcome_rates(events.columns)), 6)
 
 
 @query("""SELECT player_id, count(shot_outcome) AS total_shots, round(sum(shot_statsbomb_xg) / count(shot_outcome), 6) AS xg_per_shot, count(*) AS total_touches, round(count(shot_outcome) / count(*), 6) AS shot_touch_pct,
@@ -109,7 +118,7 @@ def minutes_played(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _played(spark, sf_dir)[1].drop("season")
 
 
-@query("SELECT player_id, total_minutes, matches_played, times_started, '2024_2025' AS seasons, primary_position, total_minutes AS minutes_primary_position, CAST(1 AS DOUBLE) AS primary_position_share FROM pms")
+@query("SELECT player_id, total_minutes, matches_played, times_starter, '2024_2025' AS seasons, primary_position, total_minutes AS minutes_primary_position, CAST(1 AS DOUBLE) AS primary_position_share FROM pms")
 def minutes_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _summary(spark, sf_dir)[1].withColumn("seasons", F.array_join("seasons", ","))
 
@@ -126,7 +135,7 @@ TURNOVER_SQL = """, led AS (
   SELECT *, lead(possession_team) OVER o AS np, lead(play_pattern) OVER o AS npp, lead(idx) OVER o AS next_idx, lead(team) OVER o AS next_team, lead(type) OVER o AS next_type FROM ev WINDOW o AS (PARTITION BY match_id ORDER BY period, idx)),
 lost AS (
   SELECT *, CASE WHEN type = 'Pass' THEN CASE WHEN pass_outcome IS NULL THEN 'Pass' ELSE 'Pass: ' || pass_outcome END WHEN type = 'Duel' THEN 'Duel: ' || duel_outcome ELSE type END AS turnover_how
-  FROM led WHERE team = possession_team AND possession_team <> np AND play_pattern = 'Regular Play' AND coalesce(npp NOT IN ('From Corner', 'From Throw In'), TRUE) AND type <> 'Shot' AND player_id IS NOT NULL)
+  FROM led WHERE team = possession_team AND possession_team <> np AND play_pattern = 'Regular Play' AND coalesce(npp NOT IN ('From Corner', 'From Throw In'), TRUE) AND type NOT IN ('Shot', 'Foul Committed') AND player_id IS NOT NULL)
 """
 
 
@@ -135,7 +144,7 @@ def turnover_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turnovers.turnovers(match_view(spark, sf_dir)).select("match_id", "period", "idx", "player_id", "team", "type", "turnover_team_lost", "turnover_team_won", "turnover_how", "next_idx", "next_team", "next_type")
 
 
-KINDS = ["Pass", "Pass: Incomplete", "Carry", "Pressure", "Duel: Won", "Duel: Lost In Play", "Duel: Lost Out", "Goal Keeper"]
+KINDS = ["Pass", "Pass: Incomplete", "Carry", "Dribble", "Pressure", "Ball Recovery", "Interception", "Clearance", "Block", "Duel: Won", "Duel: Lost In Play", "Duel: Lost Out", "Goal Keeper"]
 
 
 @query(TURNOVER_SQL + "SELECT player_id, count(*) AS total_turnovers, " + ", ".join(f"count({_case(k, 'turnover_how', '1')}) AS turnovers_{C.turnover_part(k)}" for k in KINDS) + " FROM lost GROUP BY player_id")
@@ -197,7 +206,7 @@ def own_goal_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keeper.own_goals(own, ids)
 
 
-ZONE_SQL = """, act AS (SELECT match_id, player_id, team, x, y FROM ev WHERE type IN ('Pressure', 'Duel')),
+ZONE_SQL = """, act AS (SELECT match_id, player_id, team, x, y FROM ev WHERE type IN ('Pressure', 'Ball Recovery', 'Duel', 'Clearance', 'Block', 'Interception')),
 mom AS (SELECT match_id, player_id, min(team) AS team, count(*) AS n_actions, avg(x) AS mu_x, avg(y) AS mu_y, atan2(2 * covar_samp(x, y), var_samp(x) - var_samp(y)) / 2 AS th FROM act GROUP BY match_id, player_id HAVING count(*) >= 5),
 uv AS (SELECT m.match_id, m.player_id, (x - mu_x) * cos(th) + (y - mu_y) * sin(th) AS u, (y - mu_y) * cos(th) - (x - mu_x) * sin(th) AS v FROM act JOIN mom m ON act.match_id = m.match_id AND act.player_id = m.player_id),
 rng AS (SELECT match_id, player_id, quantile_cont(u, 0.15) AS u_lo, quantile_cont(u, 0.85) AS u_hi, quantile_cont(v, 0.15) AS v_lo, quantile_cont(v, 0.85) AS v_hi FROM uv GROUP BY match_id, player_id),
@@ -207,21 +216,21 @@ zone AS (SELECT mom.*, u_lo, u_hi, v_lo, v_hi FROM mom JOIN rng ON mom.match_id
 
 @query(ZONE_SQL + "SELECT match_id, player_id, team, n_actions, round(mu_x, 4) AS mu_x, round(mu_y, 4) AS mu_y, round(u_hi - u_lo, 4) AS u_width, round(v_hi - v_lo, 4) AS v_width, round(abs(cos(th)), 4) AS axis FROM zone")
 def zone_rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = zones.zone_rectangles(match_view(spark, sf_dir), types=ZONE_TYPES)
+    own = zones.zone_rectangles(match_view(spark, sf_dir))
     shown = own.select("match_id", "player_id", "team", "n_actions", "mu_x", "mu_y", (F.col("u_hi") - F.col("u_lo")).alias("u_width"), (F.col("v_hi") - F.col("v_lo")).alias("v_width"), F.abs("cos").alias("axis"))
     return rounded(shown)
 
 
 @query(ZONE_SQL + """, met AS (
   SELECT z.match_id, z.player_id, e.possession, e.t, e.type, obv_total_net AS o, shot_statsbomb_xg AS g,
-    ((120 - e.x) - mu_x) * cos(th) + ((80 - e.y) - mu_y) * sin(th) BETWEEN u_lo AND u_hi AND ((80 - e.y) - mu_y) * cos(th) - ((120 - e.x) - mu_x) * sin(th) BETWEEN v_lo AND v_hi AS inside
+    ((120 - e.x) - mu_x) * cos(th) + ((80 - e.y) - mu_y) * sin(th) BETWEEN u_lo - 1e-9 AND u_hi + 1e-9 AND ((80 - e.y) - mu_y) * cos(th) - ((120 - e.x) - mu_x) * sin(th) BETWEEN v_lo - 1e-9 AND v_hi + 1e-9 AS inside
   FROM zone z JOIN ev e ON e.match_id = z.match_id AND e.team <> z.team),
 con AS (SELECT *, min(CASE WHEN inside THEN t END) OVER (PARTITION BY match_id, player_id, possession) AS t0 FROM met)
 SELECT con.player_id, count(DISTINCT match_id) AS zone_matches, round(coalesce(sum(CASE WHEN inside THEN o END), 0), 4) AS obv_into_area, round(coalesce(sum(CASE WHEN t >= t0 THEN o END), 0), 4) AS obv_from_area,
   count(CASE WHEN t >= t0 AND type = 'Shot' THEN 1 END) AS shots_from_area, round(coalesce(sum(CASE WHEN t >= t0 AND type = 'Shot' THEN g END), 0), 4) AS xg_from_area FROM con JOIN pms ON con.player_id = pms.player_id GROUP BY con.player_id""")
 def zone_damage(spark: SparkSession, sf_dir: str) -> DataFrame:
     events, summary = _summary(spark, sf_dir)
-    own = zones.zone_damage(events, zones.zone_rectangles(events, types=ZONE_TYPES), summary)
+    own = zones.zone_damage(events, zones.zone_rectangles(events), summary)
     return rounded(own.select("player_id", "zone_matches", "obv_into_area", "obv_from_area", "shots_from_area", "xg_from_area"))
 
 
@@ -239,7 +248,7 @@ def parsed_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("idx", "x", "y", F.col("player_id").alias("parsed_id"), F.col("player_name").alias("parsed_name"), F.get("related_events", F.lit(0)).alias("first_related"))
 
 
-@query("SELECT player_id, sum(CASE WHEN pressed THEN 1.0 ELSE 0.0 END)::DOUBLE AS under_pressure, sum(CASE WHEN crossed THEN 1.0 ELSE 0.0 END)::DOUBLE AS pass_cross FROM ev GROUP BY player_id")
+@query("SELECT player_id, sum(CASE WHEN under_pressure THEN 1.0 ELSE 0.0 END)::DOUBLE AS under_pressure, sum(CASE WHEN pass_cross THEN 1.0 ELSE 0.0 END)::DOUBLE AS pass_cross FROM ev GROUP BY player_id")
 def boolean_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = normalize.encode_flags(match_view(spark, sf_dir).select("player_id", "under_pressure", "pass_cross", "team"))
     return metrics.season_table(coded, metrics.totals(["under_pressure", "pass_cross"]))
@@ -275,19 +284,178 @@ def clock_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("idx", own(text).alias("clock"), own(F.lit(None).cast("string")).alias("fallback"))
 
 
-@query(TURNOVER_SQL + LANE_SQL + ZONE_SQL + """, met AS (
-  SELECT z.match_id, z.player_id, e.obv_total_net AS o,
-    ((120 - e.x) - mu_x) * cos(th) + ((80 - e.y) - mu_y) * sin(th) BETWEEN u_lo AND u_hi AND ((80 - e.y) - mu_y) * cos(th) - ((120 - e.x) - mu_x) * sin(th) BETWEEN v_lo AND v_hi AS inside
+SIZE_SQL = """, q AS (SELECT quantile_cont(x, 0.995) AS x, quantile_cont(y, 0.995) AS y, max(y) AS most FROM ev),
+size AS (SELECT least(120, greatest(100, x)) AS length, CASE WHEN y <= 82 THEN 80.0::DOUBLE WHEN y <= 102 THEN 100.0::DOUBLE ELSE least(120, greatest(80, most)) END AS width FROM q)
+"""
+
+
+@query(SIZE_SQL + "SELECT round(length, 6) AS length, round(width, 6) AS width FROM size")
+def pitch_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(P.pitch_size(match_view(spark, sf_dir)), 6)
+
+
+# The season table in SQL, from the same lists of columns as its definition in prose: totals, breakdowns, rates.
+
+
+def _sum(test: str, metric: str) -> str:
+    return f"coalesce(sum(CASE WHEN {test} THEN {metric} END), 0)"
+
+
+def _n(test: str) -> str:
+    return f"count(CASE WHEN {test} THEN 1 END)"
+
+
+FLAG_SUM = "sum(CASE WHEN {0} THEN 1.0::DOUBLE WHEN NOT {0} THEN 0.0::DOUBLE END)"
+TOTALS = {m: f"sum({m})" for m in ("obv_total_net", "shot_statsbomb_xg", "xa", "pass_length")} | {f: FLAG_SUM.format(f) for f in FLAGS}
+TOTALS |= {f"{k.lower()}_into_final_third": f"sum(CASE WHEN type = '{k}' AND end_x >= length * 2 / 3 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)" for k in ("Pass", "Carry")}
+TOTALS |= {"pressure": _n("type = 'Pressure'"), "duel_tackle": _n("duel_type = 'Tackle'"), "completed_passes_under_pressure": _n("type = 'Pass' AND pass_outcome IS NULL AND under_pressure"), "goals": _n("shot_outcome = 'Goal'")}
+LOSSES = {"total_turnovers": "count(*)"} | {f"turnovers_{C.turnover_part(k)}": _n(f"turnover_how = '{k}'") for k in KINDS}
+BROKEN = {f"{m}_{c}_{C.name_part(v)}": _sum(f"{c} = '{v}'", m) for c, own in (("type", TYPES), ("play_pattern", PATTERNS), ("duel_type", DUEL_TYPES), ("shot_type", SHOT_TYPES)) for v in own for m in SPLIT}
+BROKEN |= {f"n_events_{c}_{C.name_part(v)}": _n(f"{c} = '{v}'") for c, own in (("duel_outcome", DUEL_OUTCOMES), ("interception_outcome", CAUGHT), ("pass_outcome", ("Incomplete",))) for v in own}
+THIRD_OF = "CASE WHEN x < length / 3 THEN 'defensive' WHEN x < length * 2 / 3 THEN 'middle' ELSE 'attacking' END"
+for part in ("defensive", "middle", "attacking"):
+    for kind in metrics.THIRD_TYPES:
+        at = f"{THIRD_OF} = '{part}' AND type = '{kind}'"
+        BROKEN |= {f"obv_total_net_third_{part}_{C.name_part(kind)}": _sum(at, "obv_total_net"), f"n_events_third_{part}_{C.name_part(kind)}": _n(at)}
+CROSS = f"{THIRD_OF} = 'attacking' AND type = 'Pass' AND pass_cross AND play_pattern = 'Regular Play'"
+BROKEN |= {"obv_total_net_third_attacking_pass_cross_openplay": _sum(CROSS, "obv_total_net"), "n_events_third_attacking_pass_cross_openplay": _n(CROSS)}
+BOX = "x >= length - 18 AND y BETWEEN width / 2 - 22 AND width / 2 + 22"
+COUNTED = {"total_shots": _n("type = 'Shot'"), "total_touches": "count(*)", "touches_in_opp_box": _n(BOX), "complete_passes": _n("type = 'Pass' AND pass_outcome IS NULL")}
+OTHER = {n: _rate(*w, places=None) for n, w in RATES.items()} | {
+    "total_passes": _n("type = 'Pass'"),
+    "incomplete_passes": "count(pass_outcome)",
+    "xg_per_shot": "CASE WHEN count(shot_outcome) > 0 THEN sum(shot_statsbomb_xg) / count(shot_outcome) END",
+    "shot_touch_pct": "count(shot_outcome) / count(*)",
+    "touches_in_opp_box_pct": f"{_n(BOX)} / count(*)",
+}
+KEPT = {
+    "gk_save_pct": "sv / nullif(sot, 0)", "gk_shots_on_target_against": "sot", "gk_saves": "sv", "gk_psxg_faced": "px", "gk_goals_prevented": "px - gl", "gk_errors_leading_to_shot": "er", "gk_errors_leading_to_goal": "eg",
+    "gk_goals_conceded_shots": "coalesce(gl, 0)", "gk_goals_conceded_total": "coalesce(gl, 0)", "gk_own_goals_against": "CAST(0 AS BIGINT)", "gk_penalty_save_pct": "ps / pf", "gk_penalties_faced": "pf", "gk_penalties_saved": "ps", "gk_penalties_conceded": "pg", "gk_penalties_psxg": "pp",
+    "gk_shots_open_play_in_box_against": "bx", "gk_claims": "cl", "gk_pass_completion_pct": "CASE WHEN n > 0 THEN ok / n END", "gk_long_ball_pct": "CASE WHEN n > 0 THEN lg / n END", "gk_pass_obv": "po", "gk_pressured_passes_def_third": "CASE WHEN n > 0 THEN pr END",
+    "gk_pressured_passes_def_third_completion_pct": "CASE WHEN pr > 0 THEN pk / pr END", "gk_actions_outside_box": "ob", "gk_aggressive_distance_avg": "ax",
+}
+KEPT_WHOLE = {n for n, x in KEPT.items() if x in ("sot", "sv", "er", "eg", "pf", "ps", "pg", "bx", "cl", "ob") or "gl, 0" in x or "BIGINT" in x or x.endswith("THEN pr END")}
+KEEPER_ALL = """, stop AS (
+  SELECT player_id, count(CASE WHEN so IN ('Saved', 'Goal') THEN 1 END) AS sot, count(CASE WHEN so = 'Saved' THEN 1 END) AS sv, count(CASE WHEN so = 'Goal' THEN 1 END) AS gl, sum(psxg) AS px,
+    count(CASE WHEN g = 'No Catch' THEN 1 END) AS er, count(CASE WHEN g = 'No Catch' AND so = 'Goal' THEN 1 END) AS eg, count(CASE WHEN x < 18 AND st = 'Open Play' THEN 1 END) AS bx FROM links WHERE st <> 'Penalty' GROUP BY player_id),
+pen AS (SELECT player_id, count(*) AS pf, count(CASE WHEN so = 'Saved' THEN 1 END) AS ps, count(CASE WHEN so = 'Goal' THEN 1 END) AS pg, sum(psxg) AS pp FROM links WHERE st = 'Penalty' GROUP BY player_id),
+foot AS (
+  SELECT player_id, count(CASE WHEN type = 'Pass' THEN 1 END) AS n, count(CASE WHEN type = 'Pass' AND pass_outcome IS NULL THEN 1 END) AS ok, sum(CASE WHEN type = 'Pass' THEN obv_total_net END) AS po, count(CASE WHEN type = 'Pass' AND pass_length > 32 THEN 1 END) AS lg,
+    count(CASE WHEN type = 'Pass' AND x < 40 AND under_pressure THEN 1 END) AS pr, count(CASE WHEN type = 'Pass' AND x < 40 AND under_pressure AND pass_outcome IS NULL THEN 1 END) AS pk,
+    count(CASE WHEN x > 18 THEN 1 END) AS ob, avg(x) AS ax, count(CASE WHEN goalkeeper_outcome = 'Claim' THEN 1 END) AS cl FROM ev WHERE position = 'Goalkeeper' GROUP BY player_id),
+kp AS (SELECT foot.player_id, """ + ", ".join(f"{e} AS {n}" for n, e in KEPT.items()) + """ FROM foot LEFT JOIN stop ON foot.player_id = stop.player_id LEFT JOIN pen ON foot.player_id = pen.player_id)
+"""
+DAMAGE_SQL = """, met AS (
+  SELECT z.match_id, z.player_id, e.possession, e.t, e.type, obv_total_net AS o, shot_statsbomb_xg AS g,
+    ((120 - e.x) - mu_x) * cos(th) + ((80 - e.y) - mu_y) * sin(th) BETWEEN u_lo - 1e-9 AND u_hi + 1e-9 AND ((80 - e.y) - mu_y) * cos(th) - ((120 - e.x) - mu_x) * sin(th) BETWEEN v_lo - 1e-9 AND v_hi + 1e-9 AS inside
   FROM zone z JOIN ev e ON e.match_id = z.match_id AND e.team <> z.team),
-dmg AS (SELECT player_id, coalesce(sum(CASE WHEN inside THEN o END), 0) AS into_area FROM met GROUP BY player_id),
-tn AS (SELECT player_id, count(*) AS n FROM lost GROUP BY player_id),
-tt AS (SELECT player_id, sum(obv_total_net) AS obv, count(CASE WHEN type = 'Pass' THEN 1 END) AS passes, count(*) AS touches, coalesce(sum(CASE WHEN type = 'Pass' THEN obv_total_net END), 0) AS obv_pass FROM ev GROUP BY player_id)
-SELECT pms.player_id, pms.total_minutes, primary_position, 'T' || (pms.player_id % 2) AS teams, round(obv, 4) AS obv_total_net, round(obv_pass / pms.total_minutes * 90, 4) AS obv_total_net_type_pass_per90, tt.passes AS total_passes, round(touches / pms.total_minutes * 90, 4) AS total_touches_per90,
-  coalesce(n, 0) AS total_turnovers, round(coalesce(n, 0) / pms.total_minutes * 90, 4) AS total_turnovers_per90, round(b, 4) AS lane_bias_index, round(into_area, 4) AS obv_into_area
-FROM pms JOIN tt ON tt.player_id = pms.player_id LEFT JOIN tn ON tn.player_id = pms.player_id LEFT JOIN lane ON lane.player_id = pms.player_id LEFT JOIN dmg ON dmg.player_id = pms.player_id""")
+con AS (SELECT *, min(CASE WHEN inside THEN t END) OVER (PARTITION BY match_id, player_id, possession) AS t0 FROM met),
+dmg AS (
+  SELECT player_id, coalesce(sum(CASE WHEN inside THEN o END), 0) AS obv_into_area, coalesce(sum(CASE WHEN t >= t0 THEN o END), 0) AS obv_from_area,
+    count(CASE WHEN t >= t0 AND type = 'Shot' THEN 1 END) AS shots_from_area, coalesce(sum(CASE WHEN t >= t0 AND type = 'Shot' THEN g END), 0) AS xg_from_area FROM con GROUP BY player_id)
+"""
+AREA = ("obv_into_area", "obv_from_area", "shots_from_area", "xg_from_area")
+RATED = [*TOTALS, *LOSSES, "foul_committed", *BROKEN, *COUNTED]
+SEASON_SQL = TURNOVER_SQL + LANE_SQL + ZONE_SQL + DAMAGE_SQL + KEEPER_SQL + KEEPER_ALL + SIZE_SQL + ", tn AS (SELECT player_id, " + ", ".join(f"{e} AS {n}" for n, e in LOSSES.items()) + " FROM lost GROUP BY player_id), tt AS (SELECT player_id, " + ", ".join(f"{e} AS {n}" for n, e in (TOTALS | BROKEN | COUNTED | OTHER).items()) + """ FROM ev, size GROUP BY player_id),
+total AS (
+  SELECT pms.player_id, primary_position, primary_position AS all_positions, 'T' || (pms.player_id % 2) AS teams, pms.total_minutes, pms.total_minutes AS minutes_primary_position, 1.0::DOUBLE AS primary_position_share, matches_played, times_starter,
+    tt.* EXCLUDE (player_id), """ + ", ".join(f"coalesce(tn.{n}, 0) AS {n}" for n in LOSSES) + """,
+    coalesce(foul_committed_advantage, 0) + coalesce(foul_committed_offensive, 0) AS foul_committed, CASE WHEN ball_recovery_offensive + ball_recovery_recovery_failure > 0 THEN ball_recovery_offensive / (ball_recovery_offensive + ball_recovery_recovery_failure) END AS ball_recovery_success_pct,
+    e AS obv_from_ext, i AS obv_from_int, b AS lane_bias_index, """ + ", ".join(f"dmg.{c} AS {c}" for c in AREA) + ", " + ", ".join(f"kp.{c} AS {c}" for c in KEPT) + """
+  FROM pms JOIN tt ON tt.player_id = pms.player_id LEFT JOIN tn ON tn.player_id = pms.player_id LEFT JOIN lane ON lane.player_id = pms.player_id LEFT JOIN dmg ON dmg.player_id = pms.player_id LEFT JOIN kp ON kp.player_id = pms.player_id),
+rated AS (SELECT *, """ + ", ".join(f'"{c}" / total_minutes * 90 AS "{c}_per90"' for c in (*RATED, "obv_from_ext", "obv_from_int")) + ", " + ", ".join(f"{source} / total_minutes * 90 AS {name}" for name, source in ({f"{c}_per90": c for c in AREA} | keeper.RATED).items()) + """ FROM total),
+season AS (
+  SELECT *, coalesce(n_events_duel_outcome_lost_in_play_per90, 0) + coalesce(foul_committed_per90, 0) AS defensive_actions_lost_per90,
+    coalesce(clearance_head_per90, 0) + coalesce(clearance_left_foot_per90, 0) AS clearances_total_per90, coalesce(block_deflection_per90, 0) AS blocks_total_per90 FROM rated)
+"""
+EXACT = ("player_id", "primary_position", "all_positions", "teams", "total_minutes", "minutes_primary_position", "matches_played", "times_starter")
+
+
+def season_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = match_view(spark, sf_dir)
+    values = {"type": list(TYPES), "play_pattern": list(PATTERNS), "duel_type": list(DUEL_TYPES), "shot_type": list(SHOT_TYPES), "duel_outcome": list(DUEL_OUTCOMES), "interception_outcome": list(CAUGHT), "pass_outcome": ["Incomplete"]}
+    return season.player_season(events, *lineups(events), values, KINDS, least_passes=5, flags=FLAGS, places=None)
+
+
+SEASON_COLUMNS = [*TOTALS, *LOSSES, "foul_committed", *BROKEN, *COUNTED, *OTHER, "ball_recovery_success_pct", "lane_bias_index", *AREA, *KEPT, "obv_from_ext", "obv_from_int"]
+SEASON_COLUMNS += [f"{c}_per90" for c in (*RATED, "obv_from_ext", "obv_from_int", *AREA)] + [*keeper.RATED, "defensive_actions_lost_per90", "clearances_total_per90", "blocks_total_per90"]
+#: Columns of whole numbers, which are compared as they are.
+WHOLE_NUMBERS = {*[n for n, x in (TOTALS | BROKEN | COUNTED | OTHER).items() if x.startswith("count(") and not x.endswith("/ count(*)")], *LOSSES, "shots_from_area", *KEPT_WHOLE}
+WHOLE = [*EXACT, *[c for c in SEASON_COLUMNS if c in WHOLE_NUMBERS]]
+
+
+@query(SEASON_SQL + "SELECT " + ", ".join(WHOLE) + ", round(COLUMNS(* EXCLUDE (" + ", ".join(WHOLE) + ")) + 1e-9, 4) + 0 FROM season")
 def player_season(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The season table end to end; the columns that stand for each of its parts."""
-    events = match_view(spark, sf_dir).withColumns({c: F.lit(None).cast("string") for c in ("interception_outcome", "ball_recovery_recovery_failure")})
-    values = {"type": list(TYPES), "play_pattern": list(PATTERNS), "duel_outcome": ["Won", "Lost In Play", "Lost Out"], "pass_outcome": ["Incomplete"]}
-    own = season.player_season(events, *lineups(events), values, KINDS, zone_types=ZONE_TYPES, least_passes=5)
-    return rounded(own.select("player_id", "total_minutes", "primary_position", "teams", "obv_total_net", "obv_total_net_type_pass_per90", "total_passes", "total_touches_per90", "total_turnovers", "total_turnovers_per90", "lane_bias_index", "obv_into_area"))
+    """The season table end to end, all of its columns."""
+    return rounded(season_view(spark, sf_dir), nudge=1e-9)
+
+
+# Position scoring through the season table.
+
+LEAST = {"min_minutes": 200, "min_matches": 3}
+
+
+def _scores_sql() -> str:
+    """Long scores of all position groups: category, total and adjusted by their weights; written from the specifications' lists."""
+    rows, mixed = [], []
+    for group, own in specs.SPECS.items():
+        for category, listed in own.metrics.items():
+            parts = [(f"{category}", listed)]
+            if group == "Lateral" and category == "Defensivo":
+                parts = [(f"_{n}", m) for n, (_, m) in specs.LATERAL_MIX.items()]
+            rows += [(group, c, m, w, inv) for c, metrics_ in parts for m, w, inv in metrics_]
+        mixed += [(group, c, w) for c, w in own.weights.items()]
+    names = sorted({m for _, _, m, _, _ in rows} & set(SEASON_COLUMNS))
+    group_of = " ".join(f"WHEN primary_position = '{p}' THEN '{g}'" for p, g in P.POSITION_GROUP.items())
+    values = ", ".join(f"('{g}', '{c}', '{m}', {w!r}::DOUBLE, {str(inv).upper()})" for g, c, m, w, inv in rows)
+    weights = ", ".join(f"('{g}', '{c}', {w!r}::DOUBLE)" for g, c, w in mixed)
+    return f""", pool AS (SELECT *, CASE {group_of} END AS grp FROM season WHERE total_minutes >= 200 AND matches_played >= 3),
+spec(grp, category, metric, w, inv) AS (VALUES {values}), weight(grp, category, w) AS (VALUES {weights}),
+long AS ({" UNION ALL ".join(f"SELECT player_id, grp, '{m}' AS metric, round(CAST({m} AS DOUBLE) + 1e-9, 6) AS v FROM pool WHERE {m} IS NOT NULL" for m in names)}),
+pc AS (SELECT *, (rank() OVER (PARTITION BY grp, metric ORDER BY v) + (count(*) OVER (PARTITION BY grp, metric, v) - 1) / 2) / count(*) OVER (PARTITION BY grp, metric) * 100 AS p FROM long),
+cat AS (SELECT pc.player_id, pc.grp, category, sum(CASE WHEN inv THEN 100 - p ELSE p END * w) / sum(w) AS s FROM pc JOIN spec ON spec.grp = pc.grp AND spec.metric = pc.metric GROUP BY 1, 2, 3),
+mix AS (SELECT a.player_id, a.grp, 'Defensivo' AS category, a.s * 0.6 + b.s * 0.4 AS s FROM cat a JOIN cat b ON a.player_id = b.player_id AND a.category = '_exec' AND b.category = '_obv'),
+cats AS (SELECT * FROM cat WHERE category NOT LIKE '\\_%' ESCAPE '\\' UNION ALL SELECT * FROM mix),
+overall AS (SELECT player_id, cats.grp, 'Overall' AS category, sum(s * w) / sum(w) AS s FROM cats JOIN weight ON weight.grp = cats.grp AND weight.category = cats.category GROUP BY 1, 2),
+every AS MATERIALIZED (SELECT * FROM cats UNION ALL SELECT * FROM overall),
+lim AS (SELECT grp, category, quantile_cont(s, 0.75) AS q FROM every GROUP BY 1, 2)
+SELECT player_id, every.grp AS position_group, every.category, round(s, 4) AS score, s >= q AS flag FROM every JOIN lim ON lim.grp = every.grp AND lim.category = every.category"""
+
+
+@query(SEASON_SQL + _scores_sql())
+def position_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores and flags of the players of all seven groups, a row for each category and the total."""
+    players = season_view(spark, sf_dir).withColumn("season", F.lit("2024_2025"))
+    players = normalize.contract(players, list(dict.fromkeys([*season.BASE, "season", "lane_bias_index", *[m for s in specs.SPECS.values() for m in s.all_metrics()], *[m for _, own in specs.LATERAL_MIX.values() for m, _, _ in own]])))
+    players = settled(rounded(players, 6, nudge=1e-9))  # so that equal values tie whatever the order of their sums
+    out = None
+    for group, own in specs.SPECS.items():
+        scored = scoring.score_position(players, group, **LEAST)
+        each = F.array(*[F.struct(F.lit(c).alias("category"), F.col(f"Score_{c}").alias("score"), F.col(f"flag_Score_{c}").alias("flag")) for c in (*own.weights, "Overall")])
+        rows = scored.select("player_id", F.lit(group).alias("position_group"), F.explode(each).alias("e")).select("player_id", "position_group", "e.*").where("score is not null")
+        out = rows if out is None else out.unionByName(rows)
+    return rounded(out)
+
+
+@query(""", xi AS (SELECT DISTINCT match_id, player_id, position, team FROM ev WHERE player_id % 3 <> 0),
+sub AS (SELECT match_id, player_id, min(minute) AS minute FROM ev WHERE player_id % 3 = 0 GROUP BY 1, 2)
+SELECT 'xi' AS kind, match_id, player_id, position, team, CAST(NULL AS INTEGER) AS minute FROM xi UNION ALL SELECT 'on', match_id, player_id, NULL, NULL, CAST(minute AS INTEGER) FROM sub UNION ALL SELECT 'off', match_id, player_id + 1, NULL, NULL, CAST(minute AS INTEGER) FROM sub""")
+def parsed_lineups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line-ups and substitutions as the cells of event files hold them, and what comes out of them again."""
+    xi, on, _ = lineups(match_view(spark, sf_dir))
+    cell = F.format_string("{'player': {'id': %d, 'name': None}, 'position': {'id': 1, 'name': '%s'}, 'jersey_number': 7}", "player_id", "position")
+    tactics = F.concat(F.lit("{'formation': 442, 'lineup': ["), F.array_join(F.sort_array(F.collect_list(cell)), ", "), F.lit("]}"))
+    starts = xi.groupBy("match_id", "team").agg(tactics.alias("tactics")).withColumn("type", F.lit("Starting XI"))
+    changes = on.select("match_id", (F.col("player_id") + 1).alias("player_id"), "minute", F.lit("Substitution").alias("type"), F.format_string("{'id': %d, 'name': None}", "player_id").alias("substitution_replacement"))
+    came, left = minutes.substitutions(changes)
+    rows = minutes.lineup_from_tactics(starts).select(F.lit("xi").alias("kind"), "match_id", "player_id", "position", "team", F.lit(None).cast("int").alias("minute"))
+    for kind, part in (("on", came), ("off", left)):
+        rows = rows.unionByName(part.select(F.lit(kind).alias("kind"), "match_id", "player_id", F.lit(None).cast("string").alias("position"), F.lit(None).cast("string").alias("team"), "minute"))
+    return rows
+
+
+@query("SELECT match_id, pmm.player_id, CAST(minutes AS BIGINT) AS minutes, starter, position_match, primary_position FROM pmm JOIN pms ON pms.player_id = pmm.player_id")
+def minutes_by_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    played = _played(spark, sf_dir)[1]
+    out = season.minutes_export(played, minutes.minutes_summary(played))
+    return out.select("match_id", "player_id", "minutes", "starter", "position_match", "primary_position")

@@ -11,10 +11,16 @@ SCORES = "player_id bigint, player_name string, team_name string, matches double
 COST_USE = "team_name string, player_name string, minutes_played_percentage double, player_annual_cost_percentage double, talent_cost_utilization_per_player double"
 
 
-def read_events(spark: SparkSession, path: str, season: str | None = None, schema: str | None = None, encoding: str = "UTF-8") -> DataFrame:
-    """Event CSV or Parquet with its season: the one given, or the one in the file name."""
+def encoding_of(spark: SparkSession, path: str) -> str:
+    """UTF-8 where all lines of the text files are valid in it, else Windows-1252."""
+    broken = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).count()
+    return "windows-1252" if broken else "UTF-8"
+
+
+def read_events(spark: SparkSession, path: str, season: str | None = None, schema: str | None = None, encoding: str | None = None) -> DataFrame:
+    """Event CSV or Parquet with its season: the one given, or the one in the file name. Without an encoding the files tell it."""
     if path.rstrip("/").endswith((".csv", ".csv.gz")):
-        reader = spark.read.option("header", True).option("encoding", encoding).option("quote", '"').option("escape", '"').option("multiLine", True)
+        reader = spark.read.option("header", True).option("encoding", encoding or encoding_of(spark, path)).option("quote", '"').option("escape", '"').option("multiLine", True)
         df = (reader.schema(schema) if schema else reader).csv(path)
     else:
         df = spark.read.parquet(path)
@@ -36,14 +42,26 @@ def write_season(df: DataFrame, root: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("season").parquet(root)
 
 
-def read_scores(spark: SparkSession, path: str, schema: str | None = None, encoding: str = "UTF-8") -> DataFrame:
-    """Score CSV with repaired names; without a schema all columns are text."""
-    reader = spark.read.option("header", True).option("encoding", encoding)
+def read_scores(spark: SparkSession, path: str, schema: str | None = None, encoding: str | None = None) -> DataFrame:
+    """Score CSV with repaired names; without a schema all columns are text, without an encoding the files tell it."""
+    reader = spark.read.option("header", True).option("encoding", encoding or encoding_of(spark, path))
     df = (reader.schema(schema) if schema else reader).csv(path)
     texts = [c for c, t in df.dtypes if t == "string"]
     return df.withColumns({c: C.repair_mojibake(F.col(f"`{c}`")) for c in texts})
 
 
-def write_csv(df: DataFrame, path: str, order: list | None = None) -> None:
-    """CSV parts under path, globally sorted where an order is given."""
-    (df.orderBy(*order) if order else df).write.mode("overwrite").option("header", True).csv(path)
+def read_cost_use(spark: SparkSession, path: str) -> DataFrame:
+    """Shares of minutes and cost of each player, and their product."""
+    return read_scores(spark, path, COST_USE)
+
+
+def export_season(players: DataFrame, path: str) -> None:
+    """The season table as CSV with a byte order mark, most minutes first."""
+    write_csv(players, path, [F.desc("total_minutes"), "player_id"], mark=True)
+
+
+def write_csv(df: DataFrame, path: str, order: list | None = None, mark: bool = False) -> None:
+    """CSV parts under path, globally sorted where an order is given; each part begins with a byte order mark on request."""
+    df = df.orderBy(*order) if order else df
+    df = df.toDF(f"\ufeff{df.columns[0]}", *df.columns[1:]) if mark else df
+    df.write.mode("overwrite").option("header", True).csv(path)

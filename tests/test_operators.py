@@ -82,7 +82,7 @@ def test_minutes(spark):
     assert got[1].starter and not got[3].starter and got[1].position_match == "Goalkeeper" and got[3].position_match == "Left Wing"
     played = spark.createDataFrame([(1, 1, "s", 40, True, "B"), (1, 2, "s", 40, False, "A"), (1, 3, "s2", 20, True, None)], "player_id long, match_id long, season string, minutes long, starter boolean, position_match string")
     (row,) = minutes.minutes_summary(played).collect()
-    assert (row.total_minutes, row.matches_played, row.times_started, row.seasons, row.primary_position, row.minutes_primary_position, row.primary_position_share) == (100, 3, 2, ["s", "s2"], "A", 40, 0.4)
+    assert (row.total_minutes, row.matches_played, row.times_starter, row.seasons, row.primary_position, row.minutes_primary_position, row.primary_position_share) == (100, 3, 2, ["s", "s2"], "A", 40, 0.4)
 
 
 def test_lineup_cells(spark):
@@ -142,9 +142,10 @@ def test_keeper_links(spark):
         ("k1", 1, "Goal Keeper", 5.0, "No Catch", ["s1", "s2", "zz"], None, None, None), ("k2", 1, "Goal Keeper", 25.0, None, ["p1"], None, None, None), ("k3", 1, "Goal Keeper", 5.0, None, None, None, None, None),
         ("s1", 2, "Shot", 110.0, None, None, "Goal", "Open Play", "0.5"), ("s2", 2, "Shot", 110.0, None, None, "Saved", None, "bad"), ("p1", 2, "Shot", 108.0, None, None, "Goal", "Penalty", "0.8"),
     ], "id string, player_id long, type string, x double, goalkeeper_outcome string, related_events array<string>, shot_outcome string, shot_type string, shot_statsbomb_xg string")
-    (s,) = keeper.shot_stopping(keeper.shot_links(ev)).collect()
+    (s,) = keeper.faced(keeper.shot_links(ev)).collect()
     assert (s.gk_shots_on_target_against, s.gk_saves, s.gk_save_pct, s.gk_psxg_faced, s.gk_goals_prevented, s.gk_errors_leading_to_shot, s.gk_errors_leading_to_goal, s.gk_shots_open_play_in_box_against) == (2, 1, 0.5, 0.5, -0.5, 2, 1, 1)
-    (p,) = keeper.penalties_faced(keeper.shot_links(ev, penalties=True)).collect()
+    (p,) = keeper.faced(keeper.shot_links(ev, penalties=None)).collect()
+    assert all(getattr(s, c) == getattr(p, c) for c in keeper.OUTPUT if c in s.asDict() and "penalt" not in c) and s.gk_penalties_faced is None
     assert (p.gk_penalties_faced, p.gk_penalties_conceded, p.gk_penalty_save_pct, p.gk_penalties_psxg) == (1, 1, 0.0, 0.8)
     assert keeper.psxg_column(["shot_statsbomb_xg", "shot_shot_execution_xg"]) == "shot_shot_execution_xg"
 
