@@ -239,3 +239,26 @@ def mojibake_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("doc_id", "text", spoilt.alias("spoilt")).select("doc_id", (fixed == F.col("text")).alias("restored"), F.char_length(fixed).alias("n"))
 
 
+
+
+@query(RANK_SQL + """, pairs AS (SELECT entity, min(entity) OVER (PARTITION BY region) AS other FROM facts), many AS (SELECT entity FROM pr GROUP BY entity HAVING count(*) >= 3)
+SELECT a.entity, pairs.other, a.metric, round(a.pct, 6) AS pct, round(b.pct, 6) AS other_pct FROM pr a JOIN pairs ON pairs.entity = a.entity JOIN many ON many.entity = a.entity LEFT JOIN pr b ON b.entity = pairs.other AND b.metric = a.metric""")
+def detail_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every supplier's percentiles beside those of the first supplier of its region, aligned by metric."""
+    own = supplier_facts(spark, sf_dir)
+    ranked = compare.detail_table(own, "entity", ["region"], METRICS)
+    first = own.groupBy("region").agg(F.min("entity").alias("other"))
+    return rounded(compare.detail_against(ranked, "entity", own.join(first, "region").select("entity", "other")), 6)
+
+
+@query(CURVE_SQL + "SELECT entity, CAST(floor((cost + 0.1) / 0.2) AS INTEGER) AS rung FROM pt")
+def ladder_rungs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bucket of cost that each supplier falls in."""
+    return market.ladder_rung(_priced(spark, sf_dir)[0], "cost", -0.1, 0.2).select("entity", "rung")
+
+
+@query(SCORE_SQL + "SELECT s.entity AS name, s.region AS team, items AS matches, round(tot, 4) AS score, profile FROM s JOIN facts ON facts.entity = s.entity")
+def entity_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a card of each supplier shows."""
+    own = _scores(spark, sf_dir).join(supplier_facts(spark, sf_dir).select("entity", "items"), "entity")
+    return rounded(compare.entity_card(own, {"name": "entity", "team": "region", "minutes": "absent", "matches": "items", "score": "Score_Overall", "profile": "profile"}))

@@ -419,7 +419,7 @@ cats AS (SELECT * FROM cat WHERE category NOT LIKE '\\_%' ESCAPE '\\' UNION ALL
 overall AS (SELECT player_id, cats.grp, 'Overall' AS category, sum(s * w) / sum(w) AS s FROM cats JOIN weight ON weight.grp = cats.grp AND weight.category = cats.category GROUP BY 1, 2),
 every AS MATERIALIZED (SELECT * FROM cats UNION ALL SELECT * FROM overall),
 lim AS (SELECT grp, category, quantile_cont(s, 0.75) AS q FROM every GROUP BY 1, 2)
-SELECT player_id, every.grp AS position_group, every.category, round(s, 4) AS score, s >= q AS flag FROM every JOIN lim ON lim.grp = every.grp AND lim.category = every.category"""
+SELECT player_id, every.grp AS position_group, every.category, round(s, 4) AS score, s >= q - 1e-9 AS flag FROM every JOIN lim ON lim.grp = every.grp AND lim.category = every.category"""
 
 
 @query(SEASON_SQL + _scores_sql())

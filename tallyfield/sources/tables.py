@@ -11,17 +11,30 @@ SCORES = "player_id bigint, player_name string, team_name string, matches double
 COST_USE = "team_name string, player_name string, minutes_played_percentage double, player_annual_cost_percentage double, talent_cost_utilization_per_player double"
 
 
-def encoding_of(spark: SparkSession, path: str) -> str:
-    """UTF-8 where all lines of the text files are valid in it, else Windows-1252."""
-    broken = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).count()
-    return "windows-1252" if broken else "UTF-8"
+def is_utf8(spark: SparkSession, path: str) -> bool:
+    """Whether all lines of the text files are valid UTF-8."""
+    return spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).count() == 0
+
+
+#: What Windows-1252 has in the place of the control characters of Latin-1.
+WINDOWS = {chr(b): bytes([b]).decode("cp1252") for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+
+
+def _csv(spark: SparkSession, path: str, schema: str | None, encoding: str | None, **options) -> DataFrame:
+    """CSV files in the encoding given, or in UTF-8 if they are valid in it, or else in Windows-1252."""
+    windows = encoding is None and not is_utf8(spark, path)
+    reader = spark.read.options(header=True, encoding="ISO-8859-1" if windows else encoding or "UTF-8", **options)
+    df = (reader.schema(schema) if schema else reader).csv(path)
+    if not windows:
+        return df
+    texts = [c for c, t in df.dtypes if t == "string"]
+    return df.withColumns({c: F.translate(F.col(f"`{c}`"), "".join(WINDOWS), "".join(WINDOWS.values())) for c in texts})
 
 
 def read_events(spark: SparkSession, path: str, season: str | None = None, schema: str | None = None, encoding: str | None = None) -> DataFrame:
     """Event CSV or Parquet with its season: the one given, or the one in the file name. Without an encoding the files tell it."""
     if path.rstrip("/").endswith((".csv", ".csv.gz")):
-        reader = spark.read.option("header", True).option("encoding", encoding or encoding_of(spark, path)).option("quote", '"').option("escape", '"').option("multiLine", True)
-        df = (reader.schema(schema) if schema else reader).csv(path)
+        df = _csv(spark, path, schema, encoding, quote='"', escape='"', multiLine=True)
     else:
         df = spark.read.parquet(path)
     return df.withColumn("season", F.lit(season) if season else C.season_of(F.col("_metadata.file_name")))
@@ -44,8 +57,7 @@ def write_season(df: DataFrame, root: str) -> None:
 
 def read_scores(spark: SparkSession, path: str, schema: str | None = None, encoding: str | None = None) -> DataFrame:
     """Score CSV with repaired names; without a schema all columns are text, without an encoding the files tell it."""
-    reader = spark.read.option("header", True).option("encoding", encoding or encoding_of(spark, path))
-    df = (reader.schema(schema) if schema else reader).csv(path)
+    df = _csv(spark, path, schema, encoding)
     texts = [c for c, t in df.dtypes if t == "string"]
     return df.withColumns({c: C.repair_mojibake(F.col(f"`{c}`")) for c in texts})
 
