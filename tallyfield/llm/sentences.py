@@ -1,180 +1,341 @@
 """Repeated passages, found as sliding runs of consecutive sentences.
 
-A run starts at every sentence and takes the fewest sentences that make at least RUN sentences and RUN_WORDS words.
-Runs are found twice, so that they are never written as a table: the first pass counts the first halves of their hashes
-over the whole corpus, combined before the shuffle; the second keeps the runs whose half was counted more than once,
-and groups these by the whole hash. The first occurrence of a run, by document id and place, stays; sentences that any
-other occurrence covers are removed.
+A text is cut into sentences at stops and line ends, and these after words whose hash says so, which depends on the
+word alone, so that copies of a passage are cut alike wherever they stand. A run starts at every sentence and takes the
+fewest that make at least RUN sentences and RUN_WORDS words. The first occurrence of a run, by document id, text hash
+and place, stays; sentences that any other occurrence covers are removed.
+
+Flow: a task hashes the runs of a chunk of documents. Of runs that repeat within the chunk all but the first are marked
+at once, so the chunk sends each distinct run once, to the bucket of its hash; a run in a third of all documents thus
+has one entry for each chunk, not for each document. Buckets answer with the entries that have company, and these few
+are grouped by their whole hash to find the first.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import only, settle, ship
+from .packed import pack, unpack
 
 RUN = 3
-RUN_WORDS = 15
-#: A longer sentence is cut after words whose checksum is a multiple of CUT, which depends on the words alone, so that
-#: copies are cut alike wherever they stand; and after so many words in any case.
-SENTENCE_WORDS = 12
-CUT = 6
+RUN_WORDS = 30
+#: A text of at least so many words that has no run, for lack of sentences, is one run as a whole.
+WHOLE_WORDS = 15
+#: One word in CUT ends a sentence; so does every LONGEST_WORDS-th word of what is longer still.
+CUT = 3
 LONGEST_WORDS = 20
-#: Words whose checksum is remembered in a process.
-KNOWN = 200_000
-
-_stop = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
-_word = re.compile(r"\S+")
-_cuts: dict[str, bool] = {}
-
-
-def _cuts_after(word: str) -> bool:
-    if len(_cuts) >= KNOWN:
-        _cuts.clear()
-    found = _cuts[word] = zlib.crc32(word.lower().encode()) % CUT == 0
-    return found
-
-
-def sentences(text: str) -> list[tuple[int, int, list[str]]]:
-    """(start, end, words) of the sentences; together they cover the text, so that dropping some joins the others."""
-    out = []
-    start = 0
-    known = _cuts.get
-    for stop in [*(m.end() for m in _stop.finditer(text)), len(text)]:
-        words = text[start:stop].split()
-        if not words:
-            if out and stop > start:
-                out[-1] = (out[-1][0], stop, out[-1][2])
-                start = stop
-            continue
-        if len(words) > SENTENCE_WORDS:
-            places: list[int] = []
-            first, last = 0, len(words)
-            for at, word in enumerate(words, 1):
-                cut = known(word)
-                if at == last or at - first >= LONGEST_WORDS or (_cuts_after(word) if cut is None else cut):
-                    if at < last and not places:
-                        places = [m.start() for m in _word.finditer(text, start, stop)]
-                    end = stop if at == last else places[at]
-                    out.append((start if not first else places[first], end, words[first:at]))
-                    first = at
-            start = stop
-        else:
-            out.append((start, stop, words))
-            start = stop
-    return out
-
-
-def runs(parts: list[tuple[int, int, list[str]]]) -> Iterator[tuple[int, int]]:
-    """(first sentence, sentences) of every run."""
-    end = words = 0
-    for at, (_, _, own) in enumerate(parts):
-        while end < len(parts) and (end - at < RUN or words < RUN_WORDS):
-            words += len(parts[end][2])
-            end += 1
-        if end - at < RUN or words < RUN_WORDS:
-            return
-        yield at, end - at
-        words -= len(own)
-
-
-def _digests(parts: list[tuple[int, int, list[str]]], found: list[tuple[int, int]]) -> list[bytes]:
-    """128-bit hashes of the runs."""
-    keys = [" ".join(w).lower().encode() for _, _, w in parts]
-    ends = np.cumsum([len(k) + 1 for k in keys]).tolist()
-    joined, digest = b" ".join(keys), xxhash.xxh3_128_digest
-    return [digest(joined[ends[at] - len(keys[at]) - 1 : ends[at + n - 1] - 1]) for at, n in found]
-
-
-def _run_halves(docs: DataFrame, text_col: str) -> DataFrame:
-    """(h1): the first half of the hash of every run."""
+#: Bytes of text that are hashed at a time, in a chunk and in the share of a bucket; at least so many buckets. Chunks
+#: and shares grow together, so that a chunk's message to a bucket stands for ROW bytes of text at least.
+STEP = 3_000_000
+CHUNK = 6_000_000
+SHARE = 16_000_000
+ROW = 20_000
+BUCKETS = 48
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            digests = []
-            for text in batch.column(0).to_pylist():
-                parts = sentences(text or "")
-                digests += _digests(parts, list(runs(parts)))
-            both = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy())], names=["h1"])
+_blank = np.zeros(256, bool)
+_blank[[*range(9, 14), 32]] = True
+_lower = np.arange(256, dtype=np.uint64) + np.uint64(1)
+_lower[65:91] += np.uint64(32)
+_stops = np.zeros(256, bool)
+_stops[list(b".!?")] = True
+
+#: Odd bases of the hashes of words and of runs (two, for 80 bits).
+WORD_BASE = 0x9E3779B97F4A7C15
+RUN_BASES = (0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)
+_powers: dict[int, np.ndarray] = {}
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    """base to the powers 0, 1, ... modulo 2 to the 64, at least n of them."""
+    have = _powers.get(base)
+    if have is None or len(have) < n:
+        own = np.full(max(1024, 1 << (n - 1).bit_length() if n > 1 else 1), base, np.uint64)
+        own[0] = 1
+        have = _powers[base] = np.multiply.accumulate(own)
+    return have
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+@dataclass
+class Parts:
+    """The sentences of texts laid end to end: of each text the first sentence (and one past the last), of each sentence its bytes, words and hash sums."""
+
+    texts: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    words: np.ndarray  # words before each sentence, and their number
+    sums: tuple[np.ndarray, ...]  # of word hashes times powers, before each of these
+
+    def runs(self) -> tuple[np.ndarray, np.ndarray]:
+        """First sentence, and one past the last, of every run."""
+        n = len(self.start)
+        last = np.repeat(self.texts[1:], np.diff(self.texts))
+        at = np.arange(n)
+        end = np.maximum(np.searchsorted(self.words, self.words[:-1] + RUN_WORDS), at + RUN)
+        fits = end <= last
+        first, stop = self.texts[:-1], self.texts[1:]
+        counts = np.concatenate(([0], np.cumsum(fits)))
+        none = (counts[stop] == counts[first]) & (self.words[stop] - self.words[first] >= WHOLE_WORDS)
+        fits[first[none]], end[first[none]] = True, stop[none]
+        return at[fits], end[fits]
+
+    def hashes(self, at: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+        """Two 64-bit hashes of the words of runs."""
+        out = []
+        for base, sums in zip(RUN_BASES, self.sums):
+            inverse = _power(pow(base, -1, 1 << 64), int(self.words[-1]) + 1)
+            out.append(_mix((sums[end] - sums[at]) * inverse[self.words[at]]))
+        return out
+
+
+def cut(data: np.ndarray, offsets: np.ndarray) -> Parts:
+    """The sentences of the texts that stand in data (bytes) between offsets; sentences cover a text that has words."""
+    size, texts = len(data), len(offsets) - 1
+    inside = ~_blank[data]
+    before, after = np.zeros(size, bool), np.zeros(size, bool)
+    before[1:], after[:-1] = inside[:-1], inside[1:]
+    before[offsets[:-1][offsets[:-1] < size]] = False
+    after[offsets[1:][offsets[1:] > offsets[:-1]] - 1] = False
+    starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+    count = len(starts)
+    if not count:
+        none = np.zeros(0, np.int64)
+        return Parts(np.zeros(texts + 1, np.int64), none, none, np.zeros(1, np.int64), tuple(np.zeros(1, np.uint64) for _ in RUN_BASES))
+    # A word's hash is the sum of its letters times powers of a base, taken from sums over all bytes of a step.
+    words = np.empty(count, np.uint64)
+    edges = np.unique(np.append(np.searchsorted(starts, np.arange(0, size, STEP)), count))
+    for a, b in zip(edges[:-1], edges[1:]):
+        low, high = int(starts[a]), int(ends[b - 1])
+        total = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(_lower[data[low:high]] * _power(WORD_BASE, high - low)[: high - low], out=total[1:])
+        at = starts[a:b] - low
+        words[a:b] = _mix((total[ends[a:b] - low] - total[at]) * _power(pow(WORD_BASE, -1, 1 << 64), high - low)[at])
+
+    per_text = np.searchsorted(starts, offsets)
+    stop = _stops[data[ends - 1]]
+    stop[per_text[1:][np.diff(per_text) > 0] - 1] = True
+    lines = np.searchsorted(starts, np.flatnonzero(data == 10)) - 1
+    stop[lines[lines >= 0]] = True
+    stop |= (words >> np.uint64(40)) % np.uint64(CUT) == 0
+    opens = np.concatenate(([0], np.flatnonzero(stop[:-1]) + 1))
+    within = np.arange(count) - np.repeat(opens, np.diff(np.append(opens, count)))
+    stop |= within % LONGEST_WORDS == LONGEST_WORDS - 1
+    opens = np.concatenate(([0], np.flatnonzero(stop[:-1]) + 1))
 
-    return docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(hashed, "h1 long")
+    of_text = np.searchsorted(opens, per_text)
+    start = starts[opens].astype(np.int64)
+    heads = of_text[:-1][np.diff(of_text) > 0]
+    start[heads] = offsets[:-1][np.diff(of_text) > 0]  # blanks in front belong to the first sentence
+    end = np.append(start[1:], 0)
+    tails = of_text[1:][np.diff(of_text) > 0] - 1
+    end[tails] = offsets[1:][np.diff(of_text) > 0]
+    bounds = np.append(opens, count)
+    sums = []
+    for k, base in enumerate(RUN_BASES):
+        own = words if not k else _mix(words + np.uint64(k))
+        total = np.zeros(count + 1, np.uint64)
+        np.cumsum(own * _power(base, count)[:count], out=total[1:])
+        sums.append(total[bounds])
+    return Parts(of_text, start, end, bounds.astype(np.int64), tuple(sums))
 
 
-def _run_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(h1, h2, doc, h, at, n): a row per run; h1 and h2 are its 128-bit hash, h a hash of the document's text, which tells rows of one id apart."""
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Data and offsets of a text column; null is empty."""
+    column = pc.fill_null(column, "").cast(pa.large_string())
+    _, offsets, data = column.buffers()
+    places = np.frombuffer(offsets, np.int64, len(column) + 1, 8 * column.offset)
+    whole = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return whole[places[0] : places[-1]], places - places[0]
+
+
+def _steps(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about STEP bytes; a longer text goes alone."""
+    at, n = 0, len(offsets) - 1
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + STEP, side="right")) - 1)
+        yield at, min(to, n)
+        at = to
+
+
+def _each(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, Parts]]:
+    """(first text, data, offsets, sentences) of parts of a text column."""
+    data, offsets = _bytes(column)
+    for a, b in _steps(offsets):
+        own = data[offsets[a] : offsets[b]]
+        places = offsets[a : b + 1] - offsets[a]
+        yield a, own, places, cut(own, places)
+
+
+def sentences(text: str) -> list[tuple[int, int]]:
+    """(start, end) in bytes of the sentences of one text."""
+    for _, _, _, parts in _each(pa.array([text])):
+        return list(zip(parts.start.tolist(), parts.end.tolist()))
+    return []
+
+
+PARTS = "chunk long, doc int, at int, h1 long, h2 int, ids array<{id}>, hs array<long>"
+
+
+def _entries(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int, buckets: int) -> DataFrame:
+    """Messages of chunks to buckets (packed distinct runs), and of each chunk its documents and what repeats within it (bucket below 0)."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
-            digests, owner, ats, counts = [], [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                parts = sentences(text or "")
-                found = list(runs(parts))
-                digests += _digests(parts, found)
-                owner += [i] * len(found)
-                ats += [at for at, _ in found]
-                counts += [n for _, n in found]
-            both = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
-            index = pa.array(owner, pa.int64())
-            columns = [pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), batch.column(0).take(index), batch.column(2).take(index), pa.array(ats, pa.int32()), pa.array(counts, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, names=["h1", "h2", "doc", "h", "at", "n"])
+            schema = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("runs", pa.binary()), ("again", pa.binary()), ("ids", pa.list_(batch.schema.field(0).type)), ("hs", pa.list_(pa.int64()))])
+            # In order of id and text, so that the first of equal runs in the chunk is the first by that order; a document once.
+            table = pa.table({"id": batch.column(0), "text": batch.column(1), "h": pc.fill_null(batch.column(2), 0)})
+            table = table.take(pc.sort_indices(table, sort_keys=[("id", "ascending"), ("h", "ascending")], null_placement="at_start")).combine_chunks()
+            own, h = table["id"].chunk(0) if table["id"].num_chunks else pa.array([], batch.schema.field(0).type), table["h"].to_numpy()
+            same_id = np.array(pc.fill_null(pc.equal(own[1:], own[:-1]), False)) | (np.array(own[1:].is_null()) & np.array(own[:-1].is_null()))
+            new = np.concatenate(([True], ~(same_id & (h[1:] == h[:-1])))) if len(h) else np.zeros(0, bool)
+            table = table.filter(pa.array(new)).combine_chunks()
+            found: list[tuple[np.ndarray, ...]] = []
+            first = size = 0
+            texts = table["text"].chunk(0) if table["text"].num_chunks else pa.array([], pa.string())
+            for a, data, offsets, parts in _each(texts):
+                at, end = parts.runs()
+                h1, h2 = parts.hashes(at, end)
+                doc = np.searchsorted(parts.texts, at, side="right") - 1
+                found.append((h1, (h2 >> np.uint64(48)).astype(np.uint32), (doc + (a - first)).astype(np.uint32), (at - parts.texts[doc]).astype(np.uint32)))
+                size += len(data)
+                last = a + len(offsets) - 1 == len(texts)
+                if size >= chunk_bytes or last:
+                    upto = a + len(offsets) - 1
+                    here = table.slice(first, upto - first)
+                    yield pa.RecordBatch.from_pylist(list(messages(chunk, here, [np.concatenate(x) for x in zip(*found)])), schema)
+                    chunk, first, size, found = chunk + 1, upto, 0, []
+
+    def messages(chunk: int, docs: pa.Table, runs: list[np.ndarray]) -> Iterator[dict]:
+        h1, h2, doc, at = runs
+        order = np.argsort(h1, kind="stable")
+        again = np.zeros(len(h1), bool)
+        again[order[1:]] = (h1[order[1:]] == h1[order[:-1]]) & (h2[order[1:]] == h2[order[:-1]])
+        yield {"chunk": chunk, "bucket": -1 - chunk % buckets, "ids": docs["id"].to_pylist(), "hs": docs["h"].to_pylist(), "again": pack(doc[again], at[again])}
+        own = np.flatnonzero(~again)
+        bucket = (h1[own] >> np.uint64(20)) % np.uint64(buckets)
+        own = own[np.argsort(bucket, kind="stable")]
+        bucket = np.sort(bucket)
+        for part in np.split(np.arange(len(own)), np.flatnonzero(np.diff(bucket)) + 1) if len(own) else ():
+            take = own[part]
+            runs_ = pack(h1[take] & np.uint64(0xFFFFFFFF), h1[take] >> np.uint64(32), h2[take], doc[take], at[take])
+            yield {"chunk": chunk, "bucket": int(bucket[part[0]]), "runs": runs_}
 
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.col(f"`{text_col}`").cast("string")
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc"), text.alias("text"), F.xxhash64(text).alias("h"))
-    return rows.mapInArrow(hashed, f"h1 long, h2 long, doc {kind}, h long, at int, n int")
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.xxhash64(text).alias("h"))
+    return rows.mapInArrow(hashed, f"chunk long, bucket int, runs binary, again binary, ids array<{kind}>, hs array<long>")
+
 
+def _with_company(entries: DataFrame, kind: str, buckets: int) -> DataFrame:
+    """PARTS: entries whose run other chunks have too (h1, h2), what repeats within chunks (no hash), and the chunks' documents."""
+    schema = pa.schema([("chunk", pa.int64()), ("doc", pa.int32()), ("at", pa.int32()), ("h1", pa.int64()), ("h2", pa.int32())])
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, h, spans): for each document with non-first repeated runs, their sentences as (at, n)."""
+    def meet(table: pa.Table) -> pa.Table:
+        chunks = np.array(table["chunk"].to_pylist(), np.int64)
+        ids, hs = table["ids"].combine_chunks(), table["hs"].combine_chunks()
+        if table["bucket"][0].as_py() < 0:
+            got = [unpack(x) for x in table["again"].to_pylist()]
+            owner = np.repeat(chunks, [len(g[0]) for g in got])
+            doc, at = (np.concatenate([g[i] for g in got]).astype(np.int32) for i in (0, 1))
+            columns = [pa.array(owner), pa.array(doc), pa.array(at), pa.nulls(len(doc), pa.int64()), pa.nulls(len(doc), pa.int32())]
+            again = pa.table([*columns, pa.nulls(len(doc), ids.type), pa.nulls(len(doc), hs.type)], names=[*schema.names, "ids", "hs"])
+            n = len(chunks)
+            whole = pa.table([pa.array(chunks), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), ids, hs], names=again.column_names)
+            return pa.concat_tables([again, whole])
+        got = [unpack(x) for x in table["runs"].to_pylist()]
+        owner = np.repeat(chunks, [len(g[0]) for g in got])
+        low, high, h2, doc, at = (np.concatenate([g[i] for g in got]) for i in range(5))
+        del got
+        h1 = high.astype(np.uint64) << np.uint64(32) | low
+        order = np.lexsort((h2, h1))
+        a, b = h1[order], h2[order]
+        same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+        some = np.zeros(len(order), bool)
+        some[1:] |= same
+        some[:-1] |= same
+        take = order[some]
+        columns = [pa.array(owner[take]), pa.array(doc[take].astype(np.int32)), pa.array(at[take].astype(np.int32)), pa.array(h1[take].view(np.int64)), pa.array(h2[take].astype(np.int32))]
+        return pa.table([*columns, pa.nulls(len(take), ids.type), pa.nulls(len(take), hs.type)], names=[*schema.names, "ids", "hs"])
+
+    return entries.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(meet, PARTS.format(id=kind))
+
+
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(own, h, ats): for each document, by id and hash of its text, the first sentences of its non-first repeated runs."""
     ship(docs.sparkSession)
-    halves = settle(_run_halves(docs, text_col).groupBy("h1").agg(F.count("*").alias("times")).where("times > 1").select("h1"), "repeated-halves")
-    table = settle(_run_table(docs, id_col, text_col).join(halves, "h1", "left_semi"), "repeated-runs")
-    place = F.struct("doc", "h", "at")
-    repeated = table.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min(place).alias("first")).where("times > 1").select("h1", "h2", "first")
-    later = table.join(settle(repeated, "first-runs"), ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
-    return later.groupBy("doc", "h").agg(F.collect_set(F.struct("at", "n")).alias("spans"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")))).first()[0] or 0
+    even = math.isqrt(size * ROW)
+    buckets = max(BUCKETS, -(-size // max(SHARE, even)))
+    parts = settle(_with_company(_entries(docs, id_col, text_col, max(CHUNK, even), buckets), kind, buckets), "run-parts")
+    named = parts.where("ids is not null").select("chunk", F.posexplode(F.arrays_zip("ids", "hs")).alias("doc", "d")).select("chunk", "doc", F.col("d.ids").alias("own"), F.coalesce("d.hs", F.lit(0)).alias("h"))
+    found = settle(parts.where("at is not null").join(named, ["chunk", "doc"]).select("h1", "h2", "own", "h", "at"), "repeated-runs")
+    place = F.struct("own", "h", "at")
+    first = settle(found.where("h1 is not null").groupBy("h1", "h2").agg(F.min(place).alias("first")), "first-runs")
+    later = found.join(first, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first"))).select("own", "h", "at")
+    return later.unionByName(found.where("h1 is null").select("own", "h", "at")).groupBy("own", "h").agg(F.collect_set("at").alias("ats"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, n_sentences, n_removed, removed): every document without the sentences that others said first.
 
     removed lists start:end in code points of the old text, neighbours joined. A null text stays null with no
-    sentences. Rows with equal id and text are one document and get equal results. Texts too short for a run are left
-    as they are. Other columns are ignored; an empty table gives no rows.
+    sentences. Rows with equal id and text are one document and get equal results; of null ids each text is one.
+    Words are told apart by blanks and compared with A-Z lower-cased. Texts with fewer than WHOLE_WORDS words, and
+    repeats shorter than a run, stay. Texts are taken whole however long, one at a time if need be. Other columns are
+    ignored whatever their names; an empty table gives no rows.
     """
-    found = repeated_spans(docs, id_col, text_col)
+    found = repeated_runs(docs, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.col(f"`{text_col}`").cast("string")
-    own = docs.select(F.col(f"`{id_col}`").alias("own"), text.alias("text"), F.xxhash64(text).alias("own_h"))
-    joined = own.join(found, F.col("own").eqNullSafe(F.col("doc")) & (F.col("own_h") == F.col("h")), "left").select("own", "text", "spans.at", "spans.n")
+    own = docs.select(F.col(f"`{id_col}`").alias("mine"), text.alias("text"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("my_h"))
+    joined = own.join(found, F.col("mine").eqNullSafe(F.col("own")) & (F.col("my_h") == F.col("h")), "left").select("mine", "text", "ats")
 
     def rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for text, ats, sizes in zip(*(c.to_pylist() for c in batch.columns[1:])):
-                parts = sentences(text or "")
-                gone = np.zeros(len(parts), bool)
-                for at, n in zip(ats or (), sizes or ()):
-                    gone[at : at + n] = True
-                cut: list[list[int]] = []
-                for k in np.flatnonzero(gone):
-                    a, b = parts[k][:2]
-                    if cut and cut[-1][1] == a:
-                        cut[-1][1] = b
-                    else:
-                        cut.append([a, b])
-                left = text if not cut else "".join(text[a:b] for a, b in zip([0, *(c[1] for c in cut)], [*(c[0] for c in cut), len(text)]))
-                rows.append((left, len(parts), int(gone.sum()), ",".join(f"{a}:{b}" for a, b in cut)))
-            types = [pa.string(), pa.int64(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(types))], names=[id_col, "text", "n_sentences", "n_removed", "removed"])
+            lists = batch.column(2).to_pylist()
+            left, counts, gone_counts, shown = [], [], [], []
+            texts = batch.column(1)
+            for first, data, offsets, parts in _each(texts):
+                at, end = parts.runs()
+                counts += np.diff(parts.texts).tolist()
+                for k in range(len(offsets) - 1):
+                    ats = lists[first + k]
+                    if not ats:
+                        left.append(texts[first + k].as_py())
+                        gone_counts.append(0)
+                        shown.append("")
+                        continue
+                    own_first, own_last = int(parts.texts[k]), int(parts.texts[k + 1])
+                    sent = np.array(sorted(ats)) + own_first
+                    place = np.searchsorted(at, sent)
+                    edge = np.zeros(own_last - own_first + 1, np.int64)
+                    np.add.at(edge, sent - own_first, 1)
+                    np.add.at(edge, end[place] - own_first, -1)
+                    gone = np.cumsum(edge[:-1]) > 0
+                    turns = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8)))
+                    cuts = [(int(parts.start[own_first + a]), int(parts.end[own_first + b - 1])) for a, b in turns.reshape(-1, 2)]
+                    low, high = int(offsets[k]), int(offsets[k + 1])
+                    signs = np.concatenate(([0], np.cumsum((data[low:high] & 0xC0) != 0x80)))
+                    left.append(b"".join(data[x:y].tobytes() for x, y in zip([low, *(c[1] for c in cuts)], [*(c[0] for c in cuts), high])).decode())
+                    gone_counts.append(int(gone.sum()))
+                    shown.append(",".join(f"{signs[x - low]}:{signs[y - low]}" for x, y in cuts))
+            columns = [pa.array(left, pa.string()), pa.array(counts, pa.int64()), pa.array(gone_counts, pa.int64()), pa.array(shown, pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[id_col, "text", "n_sentences", "n_removed", "removed"])
 
     return joined.mapInArrow(rebuilt, f"`{id_col}` {kind}, text string, n_sentences long, n_removed long, removed string")
