@@ -1,10 +1,11 @@
 """Vector bin packing of examples into sequences under limits on tokens, segments and loss-bearing tokens.
 
 Each partition packs the examples that it holds; nothing is shuffled. A partition keeps a bounded pool of pending
-examples. The open sequence takes, of the examples that fit, the one whose demand has the largest dot product with
-what is left of the limits; when none fits, one is cut so that the tokens come out even. Where a limit other than the
-tokens binds, the sequence is cut at the largest power of two it holds, a size that needs no padding, and the rest
-returns to the pool; the last tokens of a partition go out as powers of two as well.
+examples. The open sequence takes, of the examples that fit whole, the one whose demand has the largest dot product
+with what is left of the limits (each limit weighted by the mean demand for it); when none fits whole, the one whose
+longest start that fits has the largest, and that start. A sequence that a limit other than the tokens leaves short is
+cut at the largest power of two it holds, a size that needs no padding, and the rest returns to the pool; the last
+tokens of a partition go out as powers of two as well.
 """
 
 from __future__ import annotations
@@ -30,11 +31,17 @@ KEEP = 500_000
 KEEP_BYTES = 64
 
 
+#: The share of a document's tokens, at its start, that counts as its prompt and bears no loss.
+PROMPT = 0.25
+
+
 @dataclass(frozen=True)
 class Limits:
+    """Loss-bearing tokens may fill seven eighths of a sequence, and a sequence has 16 segments at most, so that all three limits bind."""
+
     tokens: int = 2048
-    segments: int = 64
-    loss: int = 2048
+    segments: int = 16
+    loss: int = 1792
 
 
 @dataclass
@@ -90,37 +97,43 @@ class Packer:
     def finish(self) -> None:
         self._pack(0)
 
-    def _demand(self, piece: Piece) -> np.ndarray:
-        return np.array([piece.length, 1, piece.bearing()], float) / self.full
+    def _demand(self, piece: Piece) -> tuple[int, int]:
+        """Tokens of a piece, and those of them, at its start, that bear no loss."""
+        return piece.length, min(piece.length, max(0, piece.total - piece.loss - piece.start))
 
     def _pack(self, least: int) -> None:
         """Fill sequences until at most `least` examples are pending."""
         if not self.pool:
             return
-        demand = np.array([self._demand(p) for p in self.pool])
+        length, plain = (np.array(x, np.int64) for x in zip(*map(self._demand, self.pool)))
         here = np.ones(len(self.pool), bool)
-        weight = demand.mean(axis=0)
+        weight = np.array([length.mean(), 1.0, (length - plain).mean()]) / self.full
         while here.sum() > least:
-            self._fill(demand, here, weight)
+            self._fill(length, plain, here, weight)
         self.pool = [p for p, keep in zip(self.pool, here) if keep]
 
-    def _fill(self, demand: np.ndarray, here: np.ndarray, weight: np.ndarray) -> None:
+    def _fill(self, length: np.ndarray, plain: np.ndarray, here: np.ndarray, weight: np.ndarray) -> None:
         """One sequence from the pending examples; what is cut off stays pending in its place."""
-        left, taken, slack = np.ones(3), [], 1e-9
-        while left[0] > slack and left[1] > slack:
+        left = [self.limits.tokens, self.limits.segments, self.limits.loss]
+        taken: list[tuple[int, Piece]] = []
+        while left[0] and left[1]:
             open_ = np.flatnonzero(here)
             if not len(open_):
                 break
-            need = demand[open_]
-            gain = (need * weight) @ left
-            fits = (need <= left + slack).all(axis=1)
-            at = int(open_[np.argmax(np.where(fits, gain, -1.0) if fits.any() else gain)])
-            size = self.pool[at].head(round(left[0] * self.full[0]), round(left[2] * self.full[2]))
+            tokens, first = length[open_], plain[open_]
+            head = np.minimum(np.minimum(tokens, left[0]), first + left[2])
+            whole = head == tokens
+            value = weight / self.full * left / self.full
+            gain = head * value[0] + value[1] + np.maximum(head - first, 0) * value[2]
+            gain[head == 0] = -1.0
+            at = int(np.argmax(np.where(whole, gain, -1.0) if whole.any() else gain))
+            size = int(head[at])
             if not size:
                 break
+            at = int(open_[at])
             here[at] = False
             taken.append((at, self.pool[at].cut(size)[0]))
-            left = left - self._demand(taken[-1][1])
+            left = [left[0] - size, left[1] - 1, left[2] - max(0, size - int(plain[at]))]
         total = sum(p.length for _, p in taken)
         if total < self.limits.tokens:
             over = total - (1 << total.bit_length() - 1)
@@ -132,10 +145,10 @@ class Packer:
                 here[at] = True
                 over -= last.length
         for at, piece in taken:
-            whole = self.pool[at]
-            if piece.end < whole.end:
-                self.pool[at] = whole.cut(piece.length)[1]
-                demand[at], here[at] = self._demand(self.pool[at]), True
+            whole_piece = self.pool[at]
+            if piece.end < whole_piece.end:
+                self.pool[at] = whole_piece.cut(piece.length)[1]
+                (length[at], plain[at]), here[at] = self._demand(self.pool[at]), True
         self.done([p for _, p in taken])
 
 
@@ -212,15 +225,15 @@ def encoder(path: str) -> WordIds:
     return _encoders[path]
 
 
-COLUMNS = {"start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "doc_tokens": pa.int64(), "sequence_id": pa.int64(), "offset": pa.int64()}
+COLUMNS = {"start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "doc_tokens": pa.int64(), "sequence_id": pa.int64(), "offset": pa.int64(), "loss": pa.int64()}
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits(), end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece of a document: its place in the document and in its sequence, and a checksum of its ids.
+def pack_documents(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits(), end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", prompt: float = PROMPT) -> DataFrame:
+    """One row per piece of a document: its place in the document and in its sequence, a checksum of its ids, and its loss-bearing tokens.
 
-    A document is the ids of its whole text and end_id; a null or empty text is end_id alone. All tokens of a document
-    bear loss. Repeated rows and null ids are documents of their own. Sequences are numbered within their partition,
-    whose number is in the upper bits. Other columns are ignored; an empty table gives no rows.
+    A document is the ids of its whole text and end_id; a null or empty text is end_id alone. The first `prompt` share
+    of a document's tokens bears no loss. Texts are encoded whole however long. Repeated rows and null ids are documents of their own. Sequences are numbered within their partition,
+    whose number is in the upper bits. Other columns are ignored whatever their names; an empty table gives no rows.
     """
     ship(docs.sparkSession)
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in COLUMNS)
@@ -239,7 +252,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits
             offset = 0
             for p in pieces:
                 own, ids, open_ = held[p.key]
-                rows.append((own, p.start, p.length, zlib.crc32(memoryview(ids)[4 * p.start : 4 * p.end]), p.total, sequence, offset))
+                rows.append((own, p.start, p.length, zlib.crc32(memoryview(ids)[4 * p.start : 4 * p.end]), p.total, sequence, offset, p.bearing()))
                 offset += p.length
                 if open_ == p.length:
                     del held[p.key]
@@ -260,7 +273,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits
             for own, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = codes.ids(text) + closing
                 held[seen] = (own, ids, len(ids) // 4)
-                packer.add(seen, len(ids) // 4)
+                total = len(ids) // 4
+                packer.add(seen, total, total - int(total * prompt))
                 seen += 1
             if rows:
                 yield out()

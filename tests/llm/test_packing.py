@@ -79,6 +79,76 @@ def test_limits_hold(items, segments, loss):
     assert max(bearing, default=0) <= loss
 
 
+def plain_sequences(items, limits):
+    """(key, start, end) by sequence, from the rule: whole examples by dot product, else the best start; short sequences cut to a power of two."""
+    pending = [[k, 0, n, n - l] for k, n, l in items if n]  # key, start, end, tokens without loss at the start
+    full = (limits.tokens, limits.segments, limits.loss)
+    free = lambda p: max(0, p[3] - p[1])
+    demand = lambda p, n: (n, 1, max(0, n - free(p)))
+    mean = [sum(demand(p, p[2] - p[1])[d] for p in pending) / len(pending) / full[d] for d in range(3)] if pending else []
+    out = []
+    while pending:
+        left, taken = list(full), []
+        while left[0] and left[1] and len(taken) < len(pending):
+            best = None
+            for at, p in enumerate(pending):
+                if any(at == t for t, _ in taken):
+                    continue
+                head = min(p[2] - p[1], left[0], free(p) + left[2])
+                gain = sum(demand(p, head)[d] / full[d] * mean[d] * left[d] / full[d] for d in range(3))
+                key = (head == p[2] - p[1], round(gain, 12))
+                if head and (best is None or key > best[0]):
+                    best = (key, at, head)
+            if best is None:
+                break
+            _, at, head = best
+            left = [a - b for a, b in zip(left, demand(pending[at], head))]
+            taken.append((at, head))
+        total = sum(n for _, n in taken)
+        over = 0 if total == limits.tokens else total - (1 << total.bit_length() - 1)
+        while over:
+            at, n = taken.pop()
+            if n > over:
+                taken.append((at, n - over))
+            over = max(0, over - n)
+        out.append([(pending[at][0], pending[at][1], pending[at][1] + n) for at, n in taken])
+        for at, n in taken:
+            pending[at][1] += n
+        pending = [p for p in pending if p[1] < p[2]]
+    return out
+
+
+def test_choice_equals_the_rule():
+    draw = random.Random(12)
+    bound = [0, 0, 0]
+    for _ in range(60):
+        limits = Limits(64, draw.choice([3, 5, 64]), draw.choice([40, 56, 64]))
+        items = [(k, n, draw.randint(0, n)) for k, n in enumerate(draw.randint(1, 63) for _ in range(draw.randint(1, 30)))]
+        got = []
+        packer = Packer(limits, lambda pieces: got.append([(p.key, p.start, p.end) for p in pieces]))  # noqa: B023
+        for k, n, l in items:
+            packer.add(k, n, l)
+        packer.finish()
+        assert got == plain_sequences(items, limits)
+        loss = {k: n - l for k, n, l in items}
+        for seq in got:
+            used = [sum(b - a for _, a, b in seq), len(seq), sum(max(0, b - max(a, loss[k])) for k, a, b in seq)]
+            bound = [x + (u == f) for x, u, f in zip(bound, used, (limits.tokens, limits.segments, limits.loss))]
+    assert min(bound) > 10, bound  # every limit binds somewhere
+
+
+def test_all_limits_bind_on_documents(spark):
+    draw = random.Random(5)
+    texts = ["word " * draw.choice([3, 5, 8, 300]) for _ in range(2000)] + ["many words " * draw.randint(800, 4000) for _ in range(120)]
+    got = pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2), PATH).collect()
+    by = defaultdict(lambda: [0, 0, 0])
+    for r in got:
+        by[r.sequence_id] = [x + y for x, y in zip(by[r.sequence_id], (r.length, 1, r.loss))]
+    full = [sum(v[d] == f for v in by.values()) for d, f in enumerate((2048, 16, 1792))]
+    assert all(v[0] <= 2048 and v[1] <= 16 and v[2] <= 1792 for v in by.values()) and min(full) > 3, full
+    assert sum(r.loss for r in got) == sum(n - n // 4 for n in {r.doc_id: r.doc_tokens for r in got}.values())
+
+
 def test_documents(spark):
     draw = random.Random(1)
     texts = [None, "", *ODD, "word " * 9000] + [" ".join(draw.choices(["alpha", "beta", "gamma.", "Été"], k=draw.randint(1, 900))) for _ in range(300)]
