@@ -29,13 +29,16 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a local one only where that is unset (tests)."""
+    """The shared folder named by spark.checkpoint.dir. Without one, a local folder in local mode (tests), else an error: executors would each write their own."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
     have = spark.sparkContext._jsc.sc().getCheckpointDir()
     if have.isDefined():
         return str(have.get()).rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors share (master {master})")
     made = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", made)
     return made
