@@ -31,11 +31,31 @@ def percentile_rank(value: Column, cohort: list[str]) -> Column:
     return F.when(present, (F.rank().over(ordered) + (ties - 1) / 2) / F.count(value).over(by) * 100)
 
 
-def long_percentiles(df: DataFrame, keys: list[str], cohort: list[str], metrics: list[str]) -> DataFrame:
-    """(keys, cohort, metric, value, pct), without null values."""
+def spread_percentiles(long: DataFrame, group: list[str], parts: int) -> DataFrame:
+    """long with pct, as percentile_rank gives it, for cohorts too large for one task.
+
+    The values of a group are cut into ranges by approximate quantiles, ranks are taken within a range, and the counts of
+    the ranges below are added. Equal values share a range, so the result is exact.
+    """
+    cuts = F.percentile_approx("value", [k / parts for k in range(1, parts)], 10_000)
+    bounds = long.groupBy(*group).agg(cuts.alias("cuts"), F.count("*").alias("n"))
+    placed = long.join(bounds, group).withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col("value")))).drop("cuts")
+    sizes = placed.groupBy(*group, "range").agg(F.count("*").alias("own"))
+    below = F.sum("own").over(Window.partitionBy(*group).orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(*group, "range", F.coalesce(below, F.lit(0)).alias("below"))
+    order = Window.partitionBy(*group, "range").orderBy("value")
+    ties = F.count("*").over(order.rangeBetween(Window.currentRow, Window.currentRow))
+    ranked = placed.withColumns({"rank": F.rank().over(order), "ties": ties}).join(starts, [*group, "range"])
+    return ranked.withColumn("pct", (F.col("below") + F.col("rank") + (F.col("ties") - 1) / 2) / F.col("n") * 100).select(*long.columns, "pct")
+
+
+def long_percentiles(df: DataFrame, keys: list[str], cohort: list[str], metrics: list[str], parts: int = 1) -> DataFrame:
+    """(keys, cohort, metric, value, pct), without null values; parts above 1 divides the ranking of each cohort and metric."""
     ids = list(dict.fromkeys([*keys, *cohort]))
     typed = df.select(*ids, *[C.safe_double(F.col(f"`{m}`")).alias(m) for m in metrics])
     long = typed.unpivot(ids, metrics, "metric", "value").where("value is not null")
+    if parts > 1:
+        return spread_percentiles(long, [*cohort, "metric"], parts)
     return long.withColumn("pct", percentile_rank(F.col("value"), [*cohort, "metric"]))
 
 

@@ -121,3 +121,10 @@ def test_encodings_and_byte_order_mark(spark, tmp_path):
     assert [line.split(",")[0] for p in parts for line in p.decode("utf-8-sig").splitlines()[1:]] == ["2", "3", "1"]
     (tmp_path / "use.csv").write_text("team_name,player_name,minutes_played_percentage,player_annual_cost_percentage,talent_cost_utilization_per_player\nA,B,0.5,0.2,0.1\n")
     assert math.isclose(tables.read_cost_use(spark, f"{tmp_path}/use.csv").first().talent_cost_utilization_per_player, 0.1)
+
+
+def test_divided_ranking_equals_the_plain_one(spark):
+    rows = [(i, "g" if i % 3 else "h", float((i * 7919) % 101), None if i % 5 == 0 else float(i % 4)) for i in range(400)]
+    df = spark.createDataFrame(rows, "e long, g string, a double, b double")
+    plain, divided = (sorted(map(tuple, scoring.long_percentiles(df, ["e"], ["g"], ["a", "b"], parts=p).select("e", "g", "metric", "value", F.round("pct", 9)).collect())) for p in (1, 7))
+    assert plain == divided and len(plain) == 720
