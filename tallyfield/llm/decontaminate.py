@@ -20,8 +20,10 @@ from .common import settle
 WINDOW = 10
 #: Words in the shingles that the join uses; a shorter window is one shingle.
 SHINGLE = 3
-#: Largest estimated size of the windows that are sent to every executor; beyond it both sides are shuffled.
+#: Largest estimated size of the windows that are sent to every executor; beyond it both sides are shuffled, but first
+#: positions are kept by their keys alone, as long as the keys stay below this size.
 BROADCAST_BYTES = 32 << 20
+KEY_BYTES = 16
 
 #: Fixed value: what stands between words, after lower-casing.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -77,12 +79,16 @@ def _occurrences(docs: DataFrame, items: DataFrame, id_col: str, text_col: str,
     rows = split.select("doc", "h", F.lit(-1).alias("start"), F.lit(0).alias("size"), F.lit(None).cast("string").alias("item"), F.size("w").alias("n"))
     if not sizes:
         return rows
-    send = F.broadcast if small else (lambda df: df)
+
+    def of_keys(grams: DataFrame, keys: DataFrame) -> DataFrame:
+        """The rows with one of the keys, which are sent out while they are small."""
+        keys = settle(keys.select("key").distinct(), "keys")
+        return grams.join(F.broadcast(keys) if keys.count() * KEY_BYTES <= broadcast_bytes else keys, "key", "left_semi")
 
     in_window = wins.select("item", "win", "size", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("size") - SHINGLE))).alias("offset"))
     key = F.coalesce(*[F.when(F.least("size", F.lit(SHINGLE)) == k, _shingle("win", "offset", k)) for k in sizes])
     shingles = settle(in_window.select("*", key.alias("key")), "shingles")
-    seen = _grams(split, sizes).select("key").join(send(shingles.select("key").distinct()), "key").groupBy("key").agg(F.count("*").alias("n"))
+    seen = of_keys(_grams(split, sizes).select("key"), shingles).groupBy("key").agg(F.count("*").alias("n"))
     rarity = settle(seen, "rarity")
     # The least (count, offset) of each window; a window with a shingle that never occurs cannot occur.
     ranked = shingles.join(rarity, "key", "left").groupBy("item", "win", "size").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "key")).alias("first"))
@@ -97,7 +103,7 @@ def _occurrences(docs: DataFrame, items: DataFrame, id_col: str, text_col: str,
         hit = _grams(split, sizes, -1).join(F.broadcast(prefix.unionByName(whole)), "key")
         hit = hit.where(F.when(F.col("size") == 0, F.col("i") < 0).otherwise(bounds & same))
         return hit.select("doc", "h", start.alias("start"), "size", "item", F.size("w").alias("n"))
-    places = _grams(split, sizes).select("doc", "h", "i", "key", F.size("w").alias("n")).join(prefix, "key").where((start >= 0) & (start + F.col("size") <= F.col("n")))
+    places = of_keys(_grams(split, sizes).select("doc", "h", "i", "key", F.size("w").alias("n")), prefix).join(prefix, "key").where((start >= 0) & (start + F.col("size") <= F.col("n")))
     again = split.select(F.col("doc").alias("doc_"), F.col("h").alias("h_"), "w").dropDuplicates(["doc_", "h_"])
     hit = places.join(again, F.col("doc").eqNullSafe(F.col("doc_")) & F.col("h").eqNullSafe(F.col("h_"))).where(same)
     return rows.unionByName(hit.select("doc", "h", start.alias("start"), "size", "item", "n"))

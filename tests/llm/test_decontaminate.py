@@ -50,7 +50,8 @@ def fixture():
     return docs + [(7, docs[6][1]), (None, "zig")], items
 
 
-@pytest.mark.parametrize("limit", [D.BROADCAST_BYTES, -1])
+# Everything is sent out, only the keys are (some 200 of them, of windows of some 30 kB), or nothing is.
+@pytest.mark.parametrize("limit", [D.BROADCAST_BYTES, 6000, -1])
 def test_matches_brute_force(spark, limit):
     docs, items = fixture()
     d = spark.createDataFrame([(*r, "x") for r in docs], "doc_id long, text string, item_id string")
