@@ -17,7 +17,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import only, ship
+from .common import only, settle, ship
 
 #: Payloads are padded with PAD to a positive multiple of UNIT bytes; UNIT is also the width of a stored image.
 UNIT = 576
@@ -299,26 +299,47 @@ def carve(blobs: DataFrame, id_col: str, blob_col: str, declared_col: str) -> Da
     return only(blobs, id_col, blob_col, declared_col).mapInArrow(cut, schema)
 
 
-def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stores every whole text as media, reads the stored bytes back by their signatures and describes them.
+def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_bytes, blob, declared): every whole text as a media column, embedded in a blob under a declared type.
 
-    A null text counts as empty, and an empty one is padded to one unit. Equal texts give equal values; repeated rows
-    and null ids give a row each; other columns are ignored; an empty table gives no rows.
+    A null text counts as empty, and an empty one is padded to one unit. Other columns are ignored whatever their names.
     """
     ship(docs.sparkSession)
-    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, declared_type string, media_type string"
+    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_bytes long, blob binary, declared string"
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
+            blobs = [store(padded(t)) for t in texts]
+            columns = [batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([b for b, _ in blobs], pa.binary()), pa.array([d for _, d in blobs], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_bytes", "blob", "declared"])
+
+    return only(docs, id_col, text_col).mapInArrow(write, schema)
+
+
+def described(blobs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The media of a column that stored() made, found by their signatures and read back: digests, a feature, the declared and the real type."""
+    ship(blobs.sparkSession)
+    schema = f"`{id_col}` {blobs.schema[id_col].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, declared_type string, media_type string"
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string()]
     names = [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "declared_type", "media_type"]
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text in batch.column(1).to_pylist():
-                data = (text or "").encode()
-                blob, declared = store(padded(data))
+            for size, blob, declared in zip(*(c.to_pylist() for c in batch.columns[1:])):
                 found, media, feature = examine(blob, declared)
                 back = read_payload(found.kind, media)
-                rows.append((len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature, declared, found.kind))
+                rows.append((size, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature, declared, found.kind))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=names)
 
-    return only(docs, id_col, text_col).mapInArrow(describe, schema)
+    return only(blobs, id_col, "n_bytes", "blob", "declared").mapInArrow(describe, schema)
+
+
+def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Stores every whole text as media in a written table, reads the stored bytes back by their signatures and describes them.
+
+    Equal texts give equal values; repeated rows and null ids give a row each; texts of any length are stored whole; other
+    columns are ignored whatever their names; an empty table gives no rows.
+    """
+    return described(settle(stored(docs, id_col, text_col), "media", compression="zstd"), id_col)

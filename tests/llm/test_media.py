@@ -1,6 +1,8 @@
 import gzip
 import hashlib
+import io
 import random
+import wave
 import zlib
 
 import pytest
@@ -69,3 +71,48 @@ def test_carve(spark):
     assert [g[:2] for g in got] == [(1, 0), (4, 0), (4, 1)]
     with pytest.raises(ValueError):
         m.examine(b"nothing", "x")
+
+
+def plain_media(text):
+    """Type, stored file, its place and the declared type of a text, from the formats' definitions."""
+    data = text.encode()
+    payload = data + b"\xff" * (-len(data) % 576 if data else 576)
+    check = zlib.crc32(payload)
+    kinds = ["audio/wav", "image/bmp", "image/png"]
+    kind, declared = kinds[check % 3], kinds[check // 3 % 3]
+    height = len(payload) // 576
+    if kind == "audio/wav":
+        out = io.BytesIO()
+        with wave.open(out, "wb") as w:
+            w.setparams((1, 1, 8000, len(payload), "NONE", ""))
+            w.writeframes(payload)
+        file = out.getvalue()
+    elif kind == "image/bmp":
+        grey = b"".join(bytes([i, i, i, 0]) for i in range(256))
+        little = lambda n, x: x.to_bytes(n, "little", signed=x < 0)
+        head = b"BM" + little(4, 1078 + len(payload)) + bytes(4) + little(4, 1078)
+        file = head + little(4, 40) + little(4, 576) + little(4, -height) + little(2, 1) + little(2, 8) + little(4, 0) + little(4, len(payload)) + bytes(8) + little(4, 256) + bytes(4) + grey + payload
+    else:
+        big = lambda x: x.to_bytes(4, "big")
+        part = lambda k, d: big(len(d)) + k + d + big(zlib.crc32(k + d))
+        rows = b"".join(b"\0" + payload[576 * i : 576 * (i + 1)] for i in range(height))
+        file = b"\x89PNG\r\n\x1a\n" + part(b"IHDR", big(576) + big(height) + b"\x08\0\0\0\0") + part(b"IDAT", zlib.compress(rows, 1)) + part(b"IEND", b"")
+    return kind, file, len(f"--part\r\nContent-Type: {declared}\r\n\r\n"), declared
+
+
+def test_stored_form_and_feature_equal_a_plain_version(spark):
+    draw = random.Random(6)
+    texts = ["", "é" * 700, "x" * 575, "x" * 577] + ["".join(draw.choices("ab ñ.", k=draw.randint(1, 3000))) for _ in range(40)]
+    df = spark.createDataFrame([(i, t, "a", "b") for i, t in enumerate(texts)], "doc_id long, text string, blob string, declared string")
+    rows = {r.doc_id: r for r in m.text_media(df).collect()}
+    for i, text in enumerate(texts):
+        kind, file, place, declared = plain_media(text)
+        r = rows[i]
+        assert (r.media_bytes, r.media_sha256, r.media_type, r.declared_type) == (len(file), hashlib.sha256(file).hexdigest(), kind, declared)
+        verdict = "declared" if kind == declared else f"corrected from {declared}"
+        assert r.feature == f"{kind} at {place} length {len(file)} of 1, {verdict}"
+    assert {r.media_type for r in rows.values()} == set(m.WRITERS)
+    blobs = m.stored(df)
+    carved = {r.doc_id: r for r in m.carve(blobs, "doc_id", "blob", "declared").collect()}
+    assert all(bytes(carved[i].media) == plain_media(t)[1] and carved[i].type_ok == (carved[i].kind == rows[i].declared_type) for i, t in enumerate(texts))
+    assert m.text_media(df.limit(0)).count() == 0
