@@ -662,7 +662,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).where("text rlike '[0-9@]'")
-    count = rows.count()
+    # Copies of a text count once, or a group of copies would shrink the sample.
+    count = rows.agg(F.approx_count_distinct(F.xxhash64("text"))).first()[0]
     taken = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / 1e6 < min(1.0, sample / max(1, count))).distinct()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
