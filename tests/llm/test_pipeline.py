@@ -79,3 +79,20 @@ def test_verdicts_are_by_row_not_by_id(spark, tmp_path):
     assert kept.dtypes == d.dtypes
     assert held(kept) == sorted((r for k, r in enumerate(rows) if k not in (2, 3, 24)), key=str)
     assert held(P.drop_benchmark_passages(spark, d, str(tmp_path))) == sorted((r for r in rows if bench not in r[1]), key=str)
+
+
+def test_extra_columns_and_repeated_rows(spark, tmp_path):
+    text = " ".join(f"tala{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    rows = [(1, text), (1, text), (2, "bruno " * 9000 + "kimo"), (None, None), (None, "")]
+    d = spark.createDataFrame([(i, t, "aa", "s", len(t or ""), 1, 2, 3, 4, 5) for i, t in rows], SCHEMA + ", gone int, row_key int, least int, key int, lang_pred int")
+    spark.createDataFrame([(1, "unseen passage")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    sizes = []
+    for _, stage in P.STAGES[:-1]:
+        out = stage(spark, d, str(tmp_path))
+        assert out.columns == list(P.COLUMNS)
+        sizes.append(sorted(((r.doc_id, r.text) for r in out.collect()), key=str))
+    lettered = [r for r in rows if r[1]]
+    # Two equal rows are one; the null and the empty text form a component, of which the row with the lesser text hash stays.
+    assert sizes[0] == sorted(lettered, key=str) and sizes[2] == sizes[3] == sorted(rows, key=str)
+    assert len(sizes[1]) == 3 and {r for r in sizes[1] if r[0]} == set(lettered)
+    assert {r.doc_id for r in P.pack_sequences(spark, d, str(tmp_path)).collect()} == {1, 2, None}
