@@ -2,7 +2,7 @@
 
 A text is cut into sentences at stops and line ends, and these after words whose hash says so, which depends on the
 word alone, so that copies of a passage are cut alike wherever they stand. A run starts at every sentence and takes the
-fewest that make at least RUN sentences and RUN_WORDS words. The first occurrence of a run, by document id, text hash
+fewest that make at least RUN sentences and RUN_WORDS words; the shortest run that ends the text is added. The first occurrence of a run, by document id, text hash
 and place, stays; sentences that any other occurrence covers are removed.
 
 Flow: a task hashes the runs of a chunk of documents. Of runs that repeat within the chunk all but the first are marked
@@ -80,8 +80,12 @@ class Parts:
     words: np.ndarray  # words before each sentence, and their number
     sums: tuple[np.ndarray, ...]  # of word hashes times powers, before each of these
 
-    def runs(self) -> tuple[np.ndarray, np.ndarray]:
-        """First sentence, and one past the last, of every run."""
+    def runs(self) -> tuple[np.ndarray, ...]:
+        """Of every run the text, its label there, the first sentence and one past the last, in order of text and label.
+
+        A run's label is the place of its first sentence in the text. Where the last run leaves the end of a text out, the
+        shortest run that ends there follows, under the number of sentences.
+        """
         n = len(self.start)
         last = np.repeat(self.texts[1:], np.diff(self.texts))
         at = np.arange(n)
@@ -91,7 +95,15 @@ class Parts:
         counts = np.concatenate(([0], np.cumsum(fits)))
         none = (counts[stop] == counts[first]) & (self.words[stop] - self.words[first] >= WHOLE_WORDS)
         fits[first[none]], end[first[none]] = True, stop[none]
-        return at[fits], end[fits]
+        at, end = at[fits], end[fits]
+        text = np.searchsorted(self.texts, at, side="right") - 1
+        final = np.flatnonzero(np.append(np.diff(text) != 0, True)) if len(text) else text
+        short = final[end[final] < stop[text[final]]]
+        more = text[short]
+        begin = np.minimum(np.searchsorted(self.words, self.words[stop[more]] - RUN_WORDS, side="right") - 1, stop[more] - RUN)
+        text, at, end, label = (np.concatenate(x) for x in ((text, more), (at, begin), (end, stop[more]), (at - first[text], stop[more] - first[more])))
+        order = np.lexsort((label, text))
+        return text[order], label[order], at[order], end[order]
 
     def hashes(self, at: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
         """Two 64-bit hashes of the words of runs."""
@@ -208,10 +220,9 @@ def _entries(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int, buck
             first = size = 0
             texts = table["text"].chunk(0) if table["text"].num_chunks else pa.array([], pa.string())
             for a, data, offsets, parts in _each(texts):
-                at, end = parts.runs()
+                doc, label, at, end = parts.runs()
                 h1, h2 = parts.hashes(at, end)
-                doc = np.searchsorted(parts.texts, at, side="right") - 1
-                found.append((h1, (h2 >> np.uint64(48)).astype(np.uint32), (doc + (a - first)).astype(np.uint32), (at - parts.texts[doc]).astype(np.uint32)))
+                found.append((h1, (h2 >> np.uint64(48)).astype(np.uint32), (doc + (a - first)).astype(np.uint32), label.astype(np.uint32)))
                 size += len(data)
                 last = a + len(offsets) - 1 == len(texts)
                 if size >= chunk_bytes or last:
@@ -276,7 +287,7 @@ def _with_company(entries: DataFrame, kind: str, buckets: int) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(own, h, ats): for each document, by id and hash of its text, the first sentences of its non-first repeated runs."""
+    """(own, h, ats): for each document, by id and hash of its text, the labels of its non-first repeated runs."""
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     size = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")))).first()[0] or 0
@@ -297,7 +308,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     removed lists start:end in code points of the old text, neighbours joined. A null text stays null with no
     sentences. Rows with equal id and text are one document and get equal results; of null ids each text is one.
     Words are told apart by blanks and compared with A-Z lower-cased. Texts with fewer than WHOLE_WORDS words, and
-    repeats shorter than a run, stay. Texts are taken whole however long, one at a time if need be. Other columns are
+    repeats shorter than a run, stay. Ids may be of any type that Arrow sorts. Texts are taken whole however long, one at a time if need be. Other columns are
     ignored whatever their names; an empty table gives no rows.
     """
     found = repeated_runs(docs, id_col, text_col)
@@ -312,7 +323,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             left, counts, gone_counts, shown = [], [], [], []
             texts = batch.column(1)
             for first, data, offsets, parts in _each(texts):
-                at, end = parts.runs()
+                owner, labels, begin, end = parts.runs()
+                of_text = np.searchsorted(owner, np.arange(len(offsets)))
                 counts += np.diff(parts.texts).tolist()
                 for k in range(len(offsets) - 1):
                     ats = lists[first + k]
@@ -322,10 +334,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         shown.append("")
                         continue
                     own_first, own_last = int(parts.texts[k]), int(parts.texts[k + 1])
-                    sent = np.array(sorted(ats)) + own_first
-                    place = np.searchsorted(at, sent)
+                    place = of_text[k] + np.searchsorted(labels[of_text[k] : of_text[k + 1]], ats)
                     edge = np.zeros(own_last - own_first + 1, np.int64)
-                    np.add.at(edge, sent - own_first, 1)
+                    np.add.at(edge, begin[place] - own_first, 1)
                     np.add.at(edge, end[place] - own_first, -1)
                     gone = np.cumsum(edge[:-1]) > 0
                     turns = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8)))

@@ -45,18 +45,24 @@ def plain_runs(parts):
             if sum(count[at : at + n]) >= 30:
                 found.append((at, n))
                 break
-    return found or ([(0, len(parts))] if sum(count) >= 15 else [])
+    if not found:
+        return [(0, 0, len(parts))] if sum(count) >= 15 else []
+    runs = [(at, at, n) for at, n in found]
+    if sum(found[-1]) < len(parts):
+        at = max(a for a in range(len(parts) - 2) if sum(count[a:]) >= 30)
+        runs.append((len(parts), at, len(parts) - at))
+    return runs
 
 
 def brute(docs):
     occ = defaultdict(set)
     parts = {d: plain_sentences(t or "") for d, t in docs}
     for d, p in parts.items():
-        for at, n in plain_runs(p):
-            occ[re.sub("[A-Z]", lambda m: m[0].lower(), " ".join(x for _, _, w in p[at : at + n] for x in w))].add((d, at, n))
+        for label, at, n in plain_runs(p):
+            occ[re.sub("[A-Z]", lambda m: m[0].lower(), " ".join(x for _, _, w in p[at : at + n] for x in w))].add((d, label, at, n))
     gone = defaultdict(set)
     for places in occ.values():
-        for d, at, n in sorted(places)[1:]:
+        for d, _, at, n in sorted(places)[1:]:
             gone[d] |= set(range(at, at + n))
     return {d: ("".join((t or "")[a:b] for k, (a, b, _) in enumerate(parts[d]) if k not in gone[d]) if parts[d] else t, len(parts[d]), len(gone[d])) for d, t in docs}
 
@@ -66,14 +72,14 @@ def brute(docs):
 def test_sentences_and_runs_equal_the_plain_ones(texts):
     seen = 0
     for first, data, offsets, parts in S._each(pa.array(texts, pa.string())):
-        at, end = parts.runs()
+        text, label, at, end = parts.runs()
         for k in range(len(offsets) - 1):
             want = plain_sentences(texts[first + k])
             lo, hi = parts.texts[k : k + 2]
             raw = texts[first + k].encode()
             assert [(a - offsets[k], b - offsets[k]) for a, b in zip(parts.start[lo:hi], parts.end[lo:hi])] == [(len(texts[first + k][:a].encode()), len(texts[first + k][:b].encode())) for a, b, _ in want]
             assert not want or parts.end[hi - 1] - offsets[k] == len(raw)
-            assert [(a - lo, b - a) for a, b in zip(at, end) if lo <= a < hi] == plain_runs(want)
+            assert [(m, a - lo, b - a) for t, m, a, b in zip(text, label, at, end) if t == k] == plain_runs(want)
             seen += 1
     assert seen == len(texts)
 
@@ -119,6 +125,14 @@ def test_repeated_rows_and_nulls(spark):
     assert {r.doc_id: r.n_removed > 5 for r in names} == {"a": False, "b": True}
 
 
+def test_whole_copies_go_to_their_last_word(spark):
+    draw = random.Random(3)
+    texts = [" ".join(f"u{draw.randint(0, 500)}" + draw.choice(["", "", "", ".", "\n"]) for _ in range(draw.randint(15, 90))) for _ in range(120)]
+    rows = [(2 * k + copy, t) for k, t in enumerate(texts) for copy in range(2)]
+    got = {r.doc_id: r.text for r in S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[2 * k] == t and got[2 * k + 1] == "" for k, t in enumerate(texts))
+
+
 def test_a_short_sentence_before_a_passage_hides_nothing(spark):
     passage = "The red sun rose over hills. A moon hung low in mist. Six ships sailed out at dawn. Ten men stood at the old gate and sang of rain and of long roads."
     rows = [(1, passage), (2, "Oh no. " + passage)]
