@@ -38,9 +38,9 @@ LONGEST_WORDS = 20
 #: and shares grow together, so that a chunk's message to a bucket stands for ROW bytes of text at least.
 STEP = 3_000_000
 CHUNK = 6_000_000
-SHARE = 16_000_000
+SHARE = 4_000_000
 ROW = 20_000
-BUCKETS = 48
+BUCKETS = 16
 
 _blank = np.zeros(256, bool)
 _blank[[*range(9, 14), 32]] = True
