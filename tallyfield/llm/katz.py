@@ -10,57 +10,47 @@ word, which counts them over the corpus and answers with ids and counts. Distinc
 the history (of the whole pair, for histories with more than a bucket's share of the tokens), which counts them, stores
 the table of its pairs, and reduces every document to sums that need only the global discounts. So text is encoded
 once, each distinct word and pair of a chunk is sent once, and no key gathers all its occurrences in one task.
+
+save() keeps the counts as tables of words and pairs partitioned by bucket; evaluate() scores any texts by joining their
+tokens with these tables.
 """
 
 from __future__ import annotations
 
+import math
+import string
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_bucket, settle, ship
+from .packed import pack, unpack
 
 #: Largest count that is discounted.
 LARGEST = 5
-#: Bytes of text in a chunk, and in the share of a bucket; at least so many buckets.
+#: Bytes of text in a chunk, and in the share of a bucket; at least so many buckets. Chunks and shares grow together with
+#: the square root of the text, so that a message of a chunk to a bucket stands for ROW bytes and their number is linear.
 CHUNK = 6_000_000
 SHARE = 16_000_000
+ROW = 20_000
 BUCKETS = 48
 START = 0xFFFFFFFF
 #: A word that no text holds: the end of a text.
 END = b""
 
 ENCODED = "chunk long, bucket int, words binary, counts binary, ids array<{id}>, held array<boolean>, lengths binary, tokens binary, places binary"
-ANSWERS = "chunk long, bucket int, word_ids binary, word_counts binary, stats array<long>"
+ANSWERS = "chunk long, bucket int, word_ids binary, word_counts binary, words binary, stats array<long>"
 PAIRS = "chunk long, bucket int, pairs binary, occurrences binary, ids array<{id}>, held array<boolean>, n_tokens array<long>, n_known array<long>, base array<double>"
 PARTS = "chunk long, bucket int, kind string, whole binary, real binary, stats array<long>, ids array<{id}>, held array<boolean>, n_tokens array<long>, n_known array<long>, base array<double>"
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """Unsigned 32-bit arrays, byte plane by byte plane, compressed."""
-    head = np.array([len(arrays), *map(len, arrays)], "<u4").tobytes()
-    planes = [np.ascontiguousarray(np.asarray(a).astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes() for a in arrays]
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(planes))
-
-
-def unpack(blob: bytes) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    n = int(np.frombuffer(raw, "<u4", 1)[0])
-    sizes = np.frombuffer(raw, "<u4", n, 4).tolist()
-    at, out = 4 * (n + 1), []
-    for size in sizes:
-        planes = np.frombuffer(raw, np.uint8, 4 * size, at).reshape(4, size)
-        out.append(np.ascontiguousarray(planes.T).view("<u4").ravel())
-        at += 4 * size
-    return out
-
-
 def discounts(ones: list[int] | np.ndarray) -> np.ndarray:
     """d(0..LARGEST) from the numbers of types seen 1, 2, ... LARGEST + 1 times; d(0) is 1.
 
@@ -106,7 +96,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)
 
 
-def _encoded(docs: DataFrame, id_col: str, text_col: str, folds: int, buckets: int) -> DataFrame:
+def _encoded(docs: DataFrame, id_col: str, text_col: str, folds: int, buckets: int, chunk_bytes: int) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
     own = F.col(f"`{id_col}`")
     rows = docs.select(own.alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.coalesce(id_bucket(own, folds) == 0, F.lit(False)).alias("held"))
@@ -137,18 +127,24 @@ def _encoded(docs: DataFrame, id_col: str, text_col: str, folds: int, buckets: i
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 32
+        ids, held, texts, size, schema = [], [], [], 0, None
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist(list(chunk_rows(chunk, ids, held, texts)), schema)
+
         for batch in batches:
             id_type = batch.schema.field(0).type
             schema = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("words", pa.binary()), ("counts", pa.binary()), ("ids", pa.list_(id_type)), ("held", pa.list_(pa.bool_())), ("lengths", pa.binary()), ("tokens", pa.binary()), ("places", pa.binary())])
-            ids, texts, held = (c.to_pylist() for c in batch.columns)
-            start = size = 0
-            for at in range(len(texts)):
-                texts[at] = texts[at] or ""
-                size += len(texts[at])
-                if size >= CHUNK or at == len(texts) - 1:
-                    part = slice(start, at + 1)
-                    yield pa.RecordBatch.from_pylist(list(chunk_rows(chunk, ids[part], held[part], texts[part])), schema)
-                    chunk, start, size = chunk + 1, at + 1, 0
+            for own, text, out_ in zip(*(c.to_pylist() for c in batch.columns)):
+                ids.append(own)
+                texts.append(text or "")
+                held.append(out_)
+                size += len(texts[-1])
+                if size >= chunk_bytes:
+                    yield out()
+                    chunk, ids, held, texts, size = chunk + 1, [], [], [], 0
+        if ids:
+            yield out()
 
     return settle(rows.mapInArrow(encode, ENCODED.format(id=kind)), "encoded", compression="zstd")
 
@@ -170,10 +166,11 @@ def _answers(encoded: DataFrame, buckets: int) -> DataFrame:
         ones = np.bincount(total[(total > 0) & (total <= LARGEST + 1)], minlength=LARGEST + 2)[1:]
         ends = int(total[index[END]]) if END in index else 0
         rows = [{"chunk": c, "bucket": bucket, "word_ids": pack(p * buckets + bucket), "word_counts": pack(total[p])} for c, p in zip(table["chunk"].to_pylist(), places)]
-        rows.append({"chunk": -1, "bucket": bucket, "stats": [int(total.sum()), int((total > 0).sum()), ends, *map(int, ones)]})
-        return pa.Table.from_pylist(rows, pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("word_ids", pa.binary()), ("word_counts", pa.binary()), ("stats", pa.list_(pa.int64()))]))
+        listed = zstandard.ZstdCompressor(level=1).compress(b"\n".join(index))
+        rows.append({"chunk": -1, "bucket": bucket, "words": listed, "word_counts": pack(total), "stats": [int(total.sum()), int((total > 0).sum()), ends, *map(int, ones)]})
+        return pa.Table.from_pylist(rows, pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("word_ids", pa.binary()), ("word_counts", pa.binary()), ("words", pa.binary()), ("stats", pa.list_(pa.int64()))]))
 
-    return settle(encoded.where("bucket >= 0").select("chunk", "bucket", "words", "counts").groupBy("bucket").applyInArrow(count, ANSWERS), "word-counts", compression="zstd")
+    return settle(encoded.where("bucket >= 0").select("chunk", "bucket", "words", "counts").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(count, ANSWERS), "word-counts", compression="zstd")
 
 
 def _sums(table: DataFrame) -> list[int]:
@@ -205,7 +202,7 @@ def _pairs(encoded: DataFrame, answers: DataFrame, words: Words, trained: int, s
             h[1:], ch[1:] = w[:-1], c[:-1]
             h[first], ch[first] = START, trained
             key = h << np.uint64(32) | w
-            bucket = (np.where(ch > share, _mix(key), _mix(h)) % np.uint64(buckets)).astype(np.uint16)
+            bucket = (np.where(ch > share, _mix(key), _mix(h)) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
             order = np.argsort(key, kind="stable")
             order = order[np.argsort(bucket[order], kind="stable")]
             train = np.repeat(~np.array(held, bool), lengths)[order]
@@ -234,7 +231,7 @@ def _runs(x: np.ndarray) -> tuple[list[int], list[int]]:
     return [0, *edges] if len(x) else [], [*edges, len(x)] if len(x) else []
 
 
-def _reduced(pairs: DataFrame, words: Words, share: int, id_type: str) -> DataFrame:
+def _reduced(pairs: DataFrame, words: Words, share: int, buckets: int, id_type: str) -> DataFrame:
     """Counts of pairs by bucket (kind table), their statistics, and each document's sums (kinds below).
 
     sums: documents, log10 of the undiscounted part, and tokens by count 1 to LARGEST.
@@ -299,23 +296,26 @@ def _reduced(pairs: DataFrame, words: Words, share: int, id_type: str) -> DataFr
                     rows.append({"chunk": chunk, "bucket": bucket, "kind": kind, "whole": pack(doc[chosen], kh[lo][past[chosen]])})
         return pa.Table.from_pylist(rows, schema)
 
-    return settle(pairs.groupBy("bucket").applyInArrow(reduce, PARTS.format(id=id_type)), "pair-counts", compression="zstd")
+    return settle(pairs.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(reduce, PARTS.format(id=id_type)), "pair-counts", compression="zstd")
 
 
-def _spread_histories(parts: DataFrame) -> dict[int, tuple]:
-    """History: (count, types by count, taken) of those spread over buckets, of which there are at most a few for each bucket."""
+def _spread_histories(parts: DataFrame, d: np.ndarray) -> DataFrame:
+    """(h, far, shift): of each history spread over buckets the log of its backoff weight, and what its seen pairs lose where nothing is discounted."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for whole, real in zip(*(c.to_pylist() for c in batch.columns)):
                 h, total, *small = unpack(whole)
                 columns = [pa.array(x.astype(np.int64)) for x in (h, total, *small)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.frombuffer(real, float))], names=["h", "total", *[f"n{i}" for i in range(1, LARGEST + 1)], "taken"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.frombuffer(real, float))], names=["h", "total", *counts, "taken"])
 
     counts = [f"n{i}" for i in range(1, LARGEST + 1)]
     found = parts.where("kind = 'spread'").select("whole", "real").mapInArrow(rows, "h long, total long, " + ", ".join(f"{n} long" for n in counts) + ", taken double")
-    summed = found.groupBy("h").agg(F.max("total").alias("total"), *[F.sum(n).alias(n) for n in counts], F.sum("taken").alias("taken")).toArrow().to_pylist()
-    return {x["h"]: (x["total"], np.array([x[n] for n in counts]), x["taken"]) for x in summed}
+    one = found.groupBy("h").agg(F.max("total").alias("total"), *[F.sum(n).alias(n) for n in counts], F.sum("taken").alias("taken"))
+    norm = F.when(sum((F.col(n) for n in counts), F.lit(0)) > 0, F.col("total")).otherwise(F.col("total") + 1)
+    loose = sum((F.col(n) * float((1 - d[i]) * i) for i, n in enumerate(counts, 1)), F.lit(0.0))
+    far = F.log10((norm - F.col("total") + loose) / norm) - F.log10(1 - F.col("taken"))
+    return one.select("h", far.alias("far"), (F.log10("total") - F.log10(norm)).alias("shift"))
 
 
 def _log_alpha(total: np.ndarray, norm: np.ndarray, small: np.ndarray, taken: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -323,13 +323,30 @@ def _log_alpha(total: np.ndarray, norm: np.ndarray, small: np.ndarray, taken: np
     return np.log10((norm - total + freed(small, d)) / norm) - np.log10(1 - taken)
 
 
-def _final(parts: DataFrame, d: np.ndarray, spread: dict[int, tuple], train_tokens: int, id_col: str, id_type: str) -> DataFrame:
-    far: dict[int, float] = {}
-    shift: dict[int, float] = {}
-    for h, (total, small, taken) in spread.items():
-        norm = total if small.sum() else total + 1
-        far[h] = float(_log_alpha(np.array(total), np.array(norm), small, np.array(taken), d))
-        shift[h] = float(np.log10(total) - np.log10(norm))
+SCORED = "chunk long, kind string, docs binary, hs binary, scores binary"
+
+
+def _of_chunks(parts: DataFrame, spread: DataFrame) -> DataFrame:
+    """(chunk, kind, docs, hs, scores): for each chunk the values of the spread histories that it meets, as a row of kind values."""
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [(chunk, np.unique(unpack(whole)[1]).astype(np.int64)) for chunk, whole in zip(*(c.to_pylist() for c in batch.columns))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat([c for c, _ in got], [len(h) for _, h in got]), pa.int64()), pa.array(np.concatenate([h for _, h in got]) if got else [], pa.int64())], names=["chunk", "h"])
+
+    met = parts.where("kind in ('far', 'stiff')").select("chunk", "whole").mapInArrow(asked, "chunk long, h long").distinct().join(spread, "h")
+    lists = met.groupBy("chunk").agg(F.collect_list(F.struct("h", "far", "shift")).alias("v"))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, v in zip(*(c.to_pylist() for c in batch.columns)):
+                values = np.array([(x["far"], x["shift"]) for x in v], float)
+                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array(["values"]), pa.nulls(1, pa.binary()), pa.array([pack(np.array([x["h"] for x in v]))]), pa.array([values.tobytes()])], names=["chunk", "kind", "docs", "hs", "scores"])
+
+    return lists.mapInArrow(packed, SCORED)
+
+
+def _final(parts: DataFrame, d: np.ndarray, train_tokens: int, id_col: str, id_type: str) -> DataFrame:
     log_d = np.log10(d[1:])
 
     def evaluate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,51 +354,152 @@ def _final(parts: DataFrame, d: np.ndarray, spread: dict[int, tuple], train_toke
             out = []
             for chunk, kind, whole, real in zip(*(c.to_pylist() for c in batch.columns)):
                 x = [a.astype(np.int64) for a in unpack(whole)]
+                if kind in ("far", "stiff"):
+                    out.append((chunk, kind, pack(x[0]), pack(x[1]), None))
+                    continue
                 if kind == "sums":
                     doc, score = x[0], np.frombuffer(real, float) + np.stack(x[1:], axis=1) @ log_d
-                elif kind == "left":
+                else:
                     alpha = _log_alpha(x[2], x[3], np.stack(x[4:], axis=1), np.frombuffer(real, float), d)
                     doc, score = x[0], alpha[x[1]]
-                else:
-                    by = far if kind == "far" else shift
-                    doc, score = x[0], np.array([by[h] for h in x[1].tolist()])
                 docs, slot = np.unique(doc, return_inverse=True)
-                out.append((chunk, pack(docs), np.bincount(slot, weights=score).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["chunk", "docs", "scores"])
+                out.append((chunk, "sums", pack(docs), None, np.bincount(slot, weights=score).tobytes()))
+            types = (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], names=["chunk", "kind", "docs", "hs", "scores"])
 
     def combine(left: pa.Table, right: pa.Table) -> pa.Table:
         (row,) = left.to_pylist()
         score = np.zeros(len(row["ids"]))
-        for docs, scores in zip(right["docs"].to_pylist(), right["scores"].to_pylist()):
-            score[unpack(docs)[0].astype(np.int64)] += np.frombuffer(scores, float)
+        known, values = np.zeros(0, np.int64), np.zeros((0, 2))
+        rows = right.to_pylist()
+        for r in rows:
+            if r["kind"] == "values":
+                known, values = unpack(r["hs"])[0].astype(np.int64), np.frombuffer(r["scores"], float).reshape(-1, 2)
+        order = np.argsort(known)
+        known, values = known[order], values[order]
+        for r in rows:
+            if r["kind"] == "sums":
+                score[unpack(r["docs"])[0].astype(np.int64)] += np.frombuffer(r["scores"], float)
+            elif r["kind"] != "values":
+                own = values[np.searchsorted(known, unpack(r["hs"])[0].astype(np.int64)), 0 if r["kind"] == "far" else 1]
+                np.add.at(score, unpack(r["docs"])[0].astype(np.int64), own)
         n = len(score)
         return pa.Table.from_arrays(
             [pa.array(row["ids"], left.schema.field("ids").type.value_type), pa.array(row["held"]), pa.array(row["n_tokens"], pa.int64()), pa.array(row["n_known"], pa.int64()), pa.array([train_tokens] * n, pa.int64()), pa.array(row["base"], pa.float64()), pa.array(score)],
             names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
-    scored = parts.where("kind in ('sums', 'left', 'far', 'stiff')").select("chunk", "kind", "whole", "real").mapInArrow(evaluate, "chunk long, docs binary, scores binary")
+    scored = parts.where("kind in ('sums', 'left', 'far', 'stiff')").select("chunk", "kind", "whole", "real").mapInArrow(evaluate, SCORED)
+    scored = scored.unionByName(_of_chunks(parts, _spread_histories(parts, d)))
     docs = parts.where("kind = 'docs'").select("chunk", "ids", "held", "n_tokens", "n_known", "base")
     schema = f"`{id_col}` {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return docs.groupBy("chunk").cogroup(scored.groupBy("chunk")).applyInArrow(combine, schema)
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, share_bytes: int = SHARE, least_buckets: int = BUCKETS) -> DataFrame:
-    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every whole text, in log10.
+@dataclass
+class Trained:
+    """What one pass over the training documents leaves: written parts, the words' order, and the discounts of pairs."""
 
-    The model learns from the documents outside the held-out fold. A null text is empty and has one token, the end; a
-    null id is never held out. Repeated rows are documents of their own. Without training documents all unseen mass is
-    one and scores are 0. Other columns are ignored; an empty table gives no rows.
-    """
+    answers: DataFrame
+    parts: DataFrame
+    words: Words
+    discounts: np.ndarray
+    documents: int
+    buckets: int
+
+
+def _trained(docs: DataFrame, id_col: str, text_col: str, folds: int, share_bytes: int, least_buckets: int) -> Trained:
     ship(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     size = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")))).first()[0] or 0
-    buckets = max(least_buckets, -(-size // share_bytes))
-    encoded = _encoded(docs, id_col, text_col, folds, buckets)
+    even = math.isqrt(size * ROW)
+    buckets = max(least_buckets, -(-size // max(share_bytes, even)))
+    encoded = _encoded(docs, id_col, text_col, folds, buckets, max(CHUNK, even))
     answers = _answers(encoded, buckets)
     total, kinds, trained, *ones = _sums(answers) or [0] * (LARGEST + 4)
     words = Words(total, kinds, ones)
     share = max(1, total // (4 * buckets))
-    parts = _reduced(_pairs(encoded, answers, words, trained, share, buckets, id_type), words, share, id_type)
-    d = discounts((_sums(parts) or [0] * (LARGEST + 2))[1:])
-    return _final(parts, d, _spread_histories(parts), total, id_col, id_type)
+    parts = _reduced(_pairs(encoded, answers, words, trained, share, buckets, id_type), words, share, buckets, id_type)
+    return Trained(answers, parts, words, discounts((_sums(parts) or [0] * (LARGEST + 2))[1:]), trained, buckets)
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, share_bytes: int = SHARE, least_buckets: int = BUCKETS) -> DataFrame:
+    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every whole text, in log10.
+
+    The model learns from the documents outside the held-out fold. A null text is empty and has one token, the end; a
+    null id is never held out. Repeated rows are documents of their own. Without training documents all unseen mass is
+    one and scores are 0. Texts are taken whole, the longest as a chunk of its own. Other columns are ignored whatever
+    their names; an empty table gives no rows.
+    """
+    own = _trained(docs, id_col, text_col, folds, share_bytes, least_buckets)
+    return _final(own.parts, own.discounts, own.words.total, id_col, docs.schema[id_col].dataType.simpleString())
+
+
+# The stored model.
+
+
+def save(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, share_bytes: int = SHARE, least_buckets: int = BUCKETS) -> None:
+    """Write the model of the documents outside the held-out fold: words (word, id, n) and pairs (h, w, n), partitioned by bucket, and a row of totals.
+
+    Words that only held-out documents have, and pairs likewise, are not in it. An empty table gives empty tables.
+    """
+    spark = docs.sparkSession
+    own = _trained(docs, id_col, text_col, folds, share_bytes, least_buckets)
+    buckets = own.buckets
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, words, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                n = unpack(counts)[0].astype(np.int64)
+                texts = zstandard.ZstdDecompressor().decompress(words).decode().split("\n")
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), bucket, np.int32)), pa.array(texts, pa.string()), pa.array(np.arange(len(n)) * buckets + bucket), pa.array(n)], names=["bucket", "word", "id", "n"])
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, whole in zip(*(c.to_pylist() for c in batch.columns)):
+                h, w, n = (pa.array(x.astype(np.int64)) for x in unpack(whole))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), bucket, np.int32)), h, w, n], names=["bucket", "h", "w", "n"])
+
+    words = own.answers.where("words is not null").select("bucket", "words", "word_counts").mapInArrow(listed, "bucket int, word string, id long, n long").where("n > 0")
+    words.write.partitionBy("bucket").parquet(f"{path}/words")
+    table = own.parts.where("kind = 'table'").select("bucket", "whole").mapInArrow(pairs, "bucket int, h long, w long, n long")
+    table.write.partitionBy("bucket").parquet(f"{path}/pairs")
+    row = (own.words.total, own.words.kinds, own.documents, [float(x) for x in own.words.d], float(own.words.norm), float(own.words.unseen), [float(x) for x in own.discounts])
+    spark.createDataFrame([row], "total long, kinds long, documents long, word_discounts array<double>, norm double, unseen double, pair_discounts array<double>").write.parquet(f"{path}/model")
+
+
+def evaluate(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_tokens, n_known, base_score, score) of texts under a model that save() wrote, token by token: a pair's own estimate, or else the history's backoff weight times the word's.
+
+    Null texts are empty, repeated rows and null ids give a row each, other columns are ignored, and an empty table gives no rows.
+    """
+    spark = docs.sparkSession
+    model = spark.read.parquet(f"{path}/model").first()
+    # With their schemas, so that tables without rows can be read too.
+    words = spark.read.schema("word string, id long, n long, bucket int").parquet(f"{path}/words").drop("bucket")
+    pairs = spark.read.schema("h long, w long, n long, bucket int").parquet(f"{path}/pairs").drop("bucket")
+
+    def taken_off(n: Column, by: list[float]) -> Column:
+        return n * F.when(n <= LARGEST, F.get(F.array(*map(F.lit, by)), n.cast("int"))).otherwise(1.0)
+
+    one = F.coalesce(taken_off(F.col("n"), model["word_discounts"]) / model["norm"], F.lit(model["unseen"]))
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    lowered = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+    said = F.concat(F.array_remove(F.split(lowered, r"[\x20\x09-\x0D]+"), ""), F.array(F.lit("")))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("own"), said.alias("said"))
+    # Rows are told apart by a number, which is written so that it stays the same wherever a task runs again.
+    rows = settle(rows, "said")
+    # The word before each word; the first has none, which stands for the start.
+    placed = rows.select("row", F.posexplode(F.arrays_zip(F.col("said").alias("word"), F.concat(F.array(F.lit(None).cast("string")), F.col("said")).alias("before"))).alias("at", "t")).where("t.word is not null")
+    known = words.select(F.col("word").alias("before"), F.col("id").alias("h"), F.col("n").alias("times"))
+    tokens = placed.select("row", "t.word", "t.before").join(words, "word", "left").join(known, "before", "left")
+    start = F.col("before").isNull()
+    tokens = tokens.select("row", F.col("id").alias("w"), "n", one.alias("p"), F.when(start, F.lit(START)).otherwise(F.col("h")).alias("h"), F.when(start, F.lit(model["documents"])).otherwise(F.coalesce("times", F.lit(0))).alias("times"))
+    seen = pairs.join(words.select(F.col("id").alias("w"), one.alias("p")), "w").groupBy("h").agg(F.sum("n").alias("all"), F.sum("p").alias("taken"), F.sum(F.col("n") - taken_off(F.col("n"), model["pair_discounts"])).alias("freed"), F.count_if(F.col("n") <= LARGEST).alias("small"))
+    met = tokens.join(pairs.select("h", "w", F.col("n").alias("r")), ["h", "w"], "left").join(seen, "h", "left")
+    norm = F.col("times") + F.when(F.coalesce("small", F.lit(0)) == 0, 1).otherwise(0)
+    alpha = F.log10((norm - F.col("times") + F.coalesce("freed", F.lit(0.0))) / norm) - F.log10(1 - F.coalesce("taken", F.lit(0.0)))
+    own = F.when(F.col("r").isNotNull(), F.log10(taken_off(F.col("r"), model["pair_discounts"]) / norm)).when(F.col("times") > 0, alpha + F.log10("p")).otherwise(F.log10("p"))
+    base = F.log10((F.coalesce("n", F.lit(0)) + 0.1) / (model["total"] + 0.1 * (model["kinds"] + 1)))
+    sums = met.groupBy("row").agg(F.count("*").alias("n_tokens"), F.count("n").alias("n_known"), F.sum(base).alias("base_score"), F.sum(own).alias("score"))
+    return rows.select("row", "own").join(sums, "row").select(F.col("own").alias(id_col), "n_tokens", "n_known", "base_score", "score")

@@ -114,3 +114,25 @@ def test_few_words(spark):
 def test_pack():
     a, b = np.arange(70_000), np.array([], int)
     assert [x.tolist() for x in K.unpack(K.pack(a, b, a * 40_000))] == [a.tolist(), [], (a * 40_000).tolist()]
+
+
+def test_stored_model_scores_texts_token_by_token(spark, tmp_path):
+    docs = corpus()
+    df = spark.createDataFrame([(*d, 0, 0) for d in docs], "doc_id long, text string, h long, word long")
+    path = f"{tmp_path}/model"
+    K.save(df, path, share_bytes=4000, least_buckets=3)
+    plain = Plain(docs)
+    counts = spark.read.parquet(f"{path}/pairs")
+    assert {"bucket", "h", "w", "n"} == set(counts.columns) and sorted(r.n for r in counts.collect()) == sorted(plain.two.values())
+    words = {r.word: r.n for r in spark.read.parquet(f"{path}/words").collect()}
+    assert words == {w or "": n for w, n in plain.one.items()}
+    asked = docs + [(1000, "never seen words at all"), (1001, "w1 never w2"), (1002, "ß W3")]
+    got = K.evaluate(spark.createDataFrame([(*d, "x") for d in asked], "doc_id long, text string, n string"), path).collect()
+    want = [plain.row(*d) for d in asked]
+    assert len(got) == len(want)
+    for g, w in zip(sorted(map(tuple, got), key=str), sorted(((w[0], w[2], w[3], w[5], w[6]) for w in want), key=str)):
+        assert g[:3] == w[:3] and g[3:] == pytest.approx(w[3:], rel=1e-9, abs=1e-9), (g, w)
+    assert K.evaluate(df.limit(0).select("doc_id", "text"), path).count() == 0
+    K.save(df.limit(0), f"{path}-none")
+    lone = K.evaluate(spark.createDataFrame([(1, "a")], "doc_id long, text string"), f"{path}-none").first()
+    assert (lone.n_tokens, lone.n_known, lone.score) == (2, 0, 0.0)
