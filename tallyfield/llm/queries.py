@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, katz, language, media, packing, pii, sentences, simhash, token_counts
+from . import chat, decontaminate, katz, language, lexical, media, negatives, packing, pii, quality, sentences, simhash, token_counts
 from .common import table
 
 
@@ -51,6 +51,19 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), label=negatives.shifted_label())
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.predict(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -64,9 +77,14 @@ QUERIES = {
         op8_substring_dedup,
         op9_vector_packing,
         op10_simhash_near_dedup,
+        op11_hard_negatives,
+        op12_quality,
+        op13_lexical_search,
     )
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_benchmark_decontamination": decontaminate.ORACLE_SQL,
     "op3_chat_formatting": chat.ORACLE_SQL,
+    "op11_hard_negatives": negatives.ORACLE_SQL,
+    "op13_lexical_search": lexical.ORACLE_SQL,
 }

@@ -1,5 +1,6 @@
 """Shapes of the registered queries over the smallest tables."""
 
+import duckdb
 import pytest
 
 from tallyfield.llm.queries import ORACLE_SQL, QUERIES
@@ -14,11 +15,14 @@ COLUMNS = {
     7: "doc_id n_bytes n_tokens over_limit",
     9: "doc_id start length ids_crc32 doc_tokens sequence_id offset",
     10: "doc_id fingerprint component_id",
+    11: "anchor_id positive_id rank negative_id positive_score negative_score",
+    12: "doc_id held_out score predicted",
+    13: "item_id rank doc_id score",
 }
 
 
 def test_names():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert ORACLE_SQL.keys() <= QUERIES.keys()
 
 
@@ -32,6 +36,11 @@ def test_whole_table(spark, name):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     if n == 3:
         assert len(rows) == spark.read.parquet(f"{DIR}/conversations.parquet").select("conv_id").distinct().count()
+    elif n in (11, 13):
+        con = duckdb.connect()
+        for t in ("embeddings", "documents", "benchmark"):
+            con.execute(f"create view {t} as select * from '{DIR}/{t}.parquet'")
+        assert rows and sorted(map(tuple, rows)) == sorted(con.execute(ORACLE_SQL[name]).fetchall())
     elif n == 9:
         assert {r.doc_id for r in rows} == {r.doc_id for r in docs.select("doc_id").collect()}
     else:
