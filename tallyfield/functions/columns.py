@@ -81,6 +81,11 @@ def per90(total: Column, minutes: Column) -> Column:
     return F.when(minutes > 0, total / minutes * 90)
 
 
+def whole_div(part: Column, whole: Column) -> Column:
+    """Division of whole numbers without remainder."""
+    return F.call_function("div", part, whole)
+
+
 def sum_or_zero(*cols: Column) -> Column:
     return reduce(lambda a, b: a + b, (F.coalesce(c, F.lit(0.0)) for c in cols))
 
@@ -90,11 +95,34 @@ def round4(c: Column, places: int | None = 4) -> Column:
     return c if places is None else F.bround(c, places)
 
 
+#: Scores lie on a grid of so many steps a point, weights on one of so many a unit; sums of such whole numbers are exact.
+STEPS, WEIGHT_STEPS = 1_000_000, 1_000_000
+
+
+def steps(score: Column) -> Column:
+    """A score in whole steps of its grid."""
+    return F.round(score * STEPS).cast("long")
+
+
+def weight_steps(weight: float) -> int:
+    return round(weight * WEIGHT_STEPS)
+
+
+def from_steps(whole: Column) -> Column:
+    return whole / F.lit(float(STEPS))
+
+
 def weighted_mean(pairs: list[tuple[Column, float]]) -> Column:
-    """Weights are renormalised over the cells that are not null; null if none is."""
-    top = reduce(lambda a, b: a + b, (F.coalesce(c * w, F.lit(0.0)) for c, w in pairs))
-    low = reduce(lambda a, b: a + b, (F.when(c.isNotNull(), float(w)).otherwise(0.0) for c, w in pairs))
-    return F.when(low > 0, top / low)
+    """Mean of scores on the grid, rounded to it (halves up); weights are renormalised over the cells that are not null, null if none is."""
+    top = reduce(lambda a, b: a + b, (F.coalesce(steps(c) * weight_steps(w), F.lit(0)) for c, w in pairs))
+    low = reduce(lambda a, b: a + b, (F.when(c.isNotNull(), weight_steps(w)).otherwise(0) for c, w in pairs))
+    return F.when(low > 0, from_steps(whole_div(2 * top + low, F.greatest(F.lit(1), 2 * low))))
+
+
+def weighted_sum(pairs: list[tuple[Column, float]]) -> Column:
+    """Plain weighted sum of scores on the grid, rounded to it (halves up); null if any cell is."""
+    top = reduce(lambda a, b: a + b, (steps(c) * weight_steps(w) for c, w in pairs))
+    return from_steps(whole_div(2 * top + WEIGHT_STEPS, F.lit(2 * WEIGHT_STEPS)))
 
 
 def entity_key(*parts: Column) -> Column:

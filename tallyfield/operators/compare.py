@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import ranking
 from .scoring import long_percentiles
 
 
@@ -12,20 +13,21 @@ def melt(df: DataFrame, ids: list[str], columns: list[str], name: str = "metric"
     return df.unpivot(ids, columns, name, value)
 
 
-def box_table(df: DataFrame, ids: list[str], cohort: list[str], columns: list[str]) -> DataFrame:
+def box_table(df: DataFrame, ids: list[str], cohort: list[str], columns: list[str], parts: int = 1) -> DataFrame:
     """Per entity and column: the cohort's median, quartiles and whiskers, and whether the entity is outside them.
 
-    Whiskers are the outermost values within 1.5 interquartile ranges of the box.
+    Whiskers are the outermost values within 1.5 interquartile ranges of the box. Quartiles are exact, from counts of
+    distinct values; parts above 1 finds them in so many ranges.
     """
     long = melt(df, [*ids, *cohort], columns).where("value is not null")
     group = [*cohort, "metric"]
-    box = long.groupBy(*group).agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    box = ranking.quantiles(long, group, "value", [0.25, 0.5, 0.75], parts)
     q1, q2, q3 = (F.get("q", F.lit(i)) for i in range(3))
     box = box.select(*group, q1.alias("p25"), q2.alias("median"), q3.alias("p75"), (q1 - 1.5 * (q3 - q1)).alias("lo"), (q3 + 1.5 * (q3 - q1)).alias("hi"))
-    placed = long.join(box, group)
+    placed = ranking.join_same(long, box, group)
     inside = F.col("value").between(F.col("lo"), F.col("hi"))
     ends = placed.where(inside).groupBy(*group).agg(F.min("value").alias("whisker_low"), F.max("value").alias("whisker_high"))
-    return placed.withColumn("outlier", ~inside).drop("lo", "hi").join(ends, group)
+    return placed.withColumn("outlier", ~inside).drop("lo", "hi").transform(lambda d: ranking.join_same(d, ends, group))
 
 
 def radar_table(df: DataFrame, key: str, entity, cohort: list[str], columns: list[str], other=None) -> DataFrame:
@@ -46,13 +48,14 @@ def radar_tables(df: DataFrame, key: str, cohort: list[str], columns: list[str])
     return long.join(means, [*cohort, "metric"])
 
 
-def detail_table(df: DataFrame, key: str, cohort: list[str], columns: list[str], members: DataFrame | None = None) -> DataFrame:
+def detail_table(df: DataFrame, key: str, cohort: list[str], columns: list[str], members: DataFrame | None = None, parts: int = 1) -> DataFrame:
     """Percentile of every entity and metric in its cohort and the cohort's mean percentile; not inverted.
 
-    members restricts the cohort to given keys; metrics that are null for all are skipped.
+    members restricts the cohort to given keys; metrics that are null for all are skipped; parts above 1 divides the
+    ranking of a cohort.
     """
     own = df if members is None else df.join(members.select(key).distinct(), key, "left_semi")
-    ranked = long_percentiles(own, [key], cohort, columns)
+    ranked = long_percentiles(own, [key], cohort, columns, parts)
     means = ranked.groupBy(*cohort, "metric").agg(F.avg("pct").alias("cohort_pct"), F.count("*").alias("cohort_n"))
     return ranked.join(means, [*cohort, "metric"])
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,22 +9,6 @@ POSITIONS = ("Goalkeeper", "Center Back", "Left Back", "Center Defensive Midfiel
 SEASON = "2024_2025"
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The table written once to the shared folder of spark.checkpoint.dir, for plans that read it several times.
-
-    Without such a folder a local one serves in local mode; on a cluster the table stays a plan.
-    """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            return df
-        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    path = f"{folder.rstrip('/')}/settled-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

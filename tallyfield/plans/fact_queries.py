@@ -41,34 +41,55 @@ pr AS (
   SELECT *, (rank() OVER (PARTITION BY region, metric ORDER BY value) + (count(*) OVER (PARTITION BY region, metric, value) - 1) / 2.0) / count(*) OVER (PARTITION BY region, metric) * 100 AS pct FROM lg WHERE value IS NOT NULL)
 """
 )
+def _mean_sql(pairs: dict[str, float]) -> str:
+    """Steps of the mean of scores that are whole steps, halves up."""
+    top, low = " + ".join(f"{c} * {round(w * 1e6)}" for c, w in pairs.items()), round(sum(pairs.values()) * 1e6)
+    return f"(2 * ({top}) + {low}) // {2 * low}"
+
+
+def _category_sql(pairs: dict[str, float]) -> str:
+    """Steps of the mean of percentiles in whole numbers of 1e-9."""
+    top, low = " + ".join(f"{c} * {round(w * 1e6)}" for c, w in pairs.items()), round(sum(pairs.values()) * 1e6)
+    return f"({top} + {502 * low}) // {1000 * low}"
+
+
+def _reached_sql(score: str) -> str:
+    """Whether a score reaches the upper quartile (linear) of the sorted list beside it; of n, (n - 1) * 3 / 4 is where it lies."""
+    return f"4 * {score} >= l_{score}[(n - 1) * 3 // 4 + 1] * (4 - (n - 1) * 3 % 4) + l_{score}[least(n, (n - 1) * 3 // 4 + 2)] * ((n - 1) * 3 % 4)"
+
+
+#: Whole numbers as the scores have them: percentiles of 1e-9, weights and scores of 1e-6.
 SCORE_SQL = (
     RANK_SQL
-    + """, p AS (
-  SELECT entity, region, max(CASE WHEN metric = 'revenue' THEN pct END) AS rev, max(CASE WHEN metric = 'quantity' THEN pct END) AS qty, max(CASE WHEN metric = 'items' THEN pct END) AS itm, 100 - max(CASE WHEN metric = 'discount' THEN pct END) AS dis,
-    max(CASE WHEN metric = 'balance' THEN pct END) AS bal, 100 - max(CASE WHEN metric = 'returned' THEN pct END) AS ret, max(CASE WHEN metric = 'open_share' THEN pct END) AS opn FROM pr GROUP BY entity, region),
-c AS (SELECT entity, region, rev * 0.6 + qty * 0.3 + itm * 0.1 AS vol, dis * 0.7 + bal * 0.3 AS pri, ret * 0.6 + opn * 0.4 AS qua FROM p),
-t AS (SELECT *, vol * 0.5 + pri * 0.2 + qua * 0.3 AS tot FROM c),
-q AS (SELECT region, quantile_cont(vol, 0.75) AS qv, quantile_cont(pri, 0.75) AS qp, quantile_cont(qua, 0.75) AS qq, quantile_cont(tot, 0.75) AS qt FROM t GROUP BY region),
-f AS (
-  SELECT t.*, vol >= qv - 1e-9 AS fv, pri >= qp - 1e-9 AS fp, qua >= qq - 1e-9 AS fq, tot >= qt - 1e-9 AS ft FROM t JOIN q USING (region)),
+    + ", w AS (SELECT entity, region, metric, CAST(round(pct * 1e9) AS HUGEINT) AS p FROM pr), p AS (SELECT entity, region, "
+    + ", ".join(f"max(CASE WHEN metric = '{m}' THEN {'100000000000 - p' if m in ('discount', 'returned') else 'p'} END) AS {m}" for m in METRICS)
+    + f""" FROM w GROUP BY entity, region),
+c AS (SELECT entity, region, {_category_sql({"revenue": 0.6, "quantity": 0.3, "items": 0.1})} AS vol, {_category_sql({"discount": 0.7, "balance": 0.3})} AS pri, {_category_sql({"returned": 0.6, "open_share": 0.4})} AS qua FROM p),
+t AS (SELECT *, {_mean_sql({"vol": 0.5, "pri": 0.2, "qua": 0.3})} AS tot FROM c),
+q AS (SELECT region, count(*) AS n, list_sort(list(vol)) AS l_vol, list_sort(list(pri)) AS l_pri, list_sort(list(qua)) AS l_qua, list_sort(list(tot)) AS l_tot FROM t GROUP BY region),
+f AS (SELECT t.*, {_reached_sql("vol")} AS fv, {_reached_sql("pri")} AS fp, {_reached_sql("qua")} AS fq, {_reached_sql("tot")} AS ft FROM t JOIN q USING (region)),
 s AS (SELECT *, coalesce(nullif(concat_ws(' | ', CASE WHEN fv THEN 'Volume' END, CASE WHEN fp THEN 'Price' END, CASE WHEN fq THEN 'Quality' END), ''), 'Balanceado') AS profile FROM f)
 """
 )
 
 
+def _points_sql(steps: str) -> str:
+    return f"CAST({steps} AS DOUBLE) / 1e6"
+
+
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.score(supplier_facts(spark, sf_dir), ["entity"], ["region"], SUPPLY)
 
 
-@query(SCORE_SQL + "SELECT region, CAST(position AS INTEGER) AS position, entity, total, profile FROM (SELECT region, entity, round(tot, 4) AS total, profile, row_number() OVER (PARTITION BY region ORDER BY round(tot, 4) DESC, entity) AS position FROM s) WHERE position <= 10")
+@query(SCORE_SQL + f"SELECT region, CAST(position AS INTEGER) AS position, entity, total, profile FROM (SELECT region, entity, {_points_sql('tot')} AS total, profile, row_number() OVER (PARTITION BY region ORDER BY tot DESC, entity) AS position FROM s) WHERE position <= 10")
 def percentile_score_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _scores(spark, sf_dir).withColumn("total", F.round("Score_Overall", 4))
+    own = _scores(spark, sf_dir).withColumn("total", F.col("Score_Overall"))
     return scoring.top_n_per(own, ["region"], "total", 10, "entity").select("region", "position", "entity", "total", "profile")
 
 
-@query(SCORE_SQL + 'SELECT entity, region, round(vol, 4) AS "Score_Volume", round(pri, 4) AS "Score_Price", round(qua, 4) AS "Score_Quality", round(tot, 4) AS "Score_Overall", profile FROM s')
+@query(SCORE_SQL + f'SELECT entity, region, {_points_sql("vol")} AS "Score_Volume", {_points_sql("pri")} AS "Score_Price", {_points_sql("qua")} AS "Score_Quality", {_points_sql("tot")} AS "Score_Overall", profile FROM s')
 def score_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_scores(spark, sf_dir).select("entity", "region", "Score_Volume", "Score_Price", "Score_Quality", "Score_Overall", "profile"))
+    return _scores(spark, sf_dir).select("entity", "region", "Score_Volume", "Score_Price", "Score_Quality", "Score_Overall", "profile")
 
 
 @query(RANK_SQL + "SELECT entity, region, metric, round(pct, 6) AS pct FROM pr")
@@ -77,17 +98,17 @@ def percentile_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(own.select("entity", "region", "metric", "pct"), 6)
 
 
-@query(SCORE_SQL + 'SELECT entity, round(vol * 0.25 + qua * 0.75, 4) AS "Score_Ajustado" FROM s')
+@query(SCORE_SQL + f'SELECT entity, {_points_sql(_mean_sql({"vol": 0.5, "qua": 1.5}))} AS "Score_Ajustado" FROM s')
 def what_if_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = scoring.what_if(_scores(spark, sf_dir), {"Score_Volume": 0.5, "Score_Quality": 1.5})
-    return rounded(own.select("entity", "Score_Ajustado"))
+    return own.select("entity", "Score_Ajustado")
 
 
-@query(SCORE_SQL + 'SELECT entity, round(0.6 * vol + 0.4 * pri, 4) AS composed FROM s')
+@query(SCORE_SQL + f'SELECT entity, {_points_sql(_mean_sql({"vol": 0.6, "pri": 0.4}))} AS composed FROM s')
 def composed_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _scores(spark, sf_dir)
     parts = [(F.col(c), LATERAL_MIX[n][0]) for c, n in (("Score_Volume", "exec"), ("Score_Price", "obv"))]
-    return rounded(own.select("entity", scoring.composed(*parts).alias("composed")))
+    return own.select("entity", scoring.composed(*parts).alias("composed"))
 
 
 @query(SCORE_SQL + "SELECT region, count(*) AS entities, CAST(sum(CASE WHEN ft THEN 1 ELSE 0 END) AS BIGINT) AS flagged, CAST(sum(CASE WHEN fv THEN 1 ELSE 0 END) AS BIGINT) AS flagged_volume FROM s GROUP BY region")
@@ -257,8 +278,8 @@ def ladder_rungs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return market.ladder_rung(_priced(spark, sf_dir)[0], "cost", -0.1, 0.2).select("entity", "rung")
 
 
-@query(SCORE_SQL + "SELECT s.entity AS name, s.region AS team, items AS matches, round(tot, 4) AS score, profile FROM s JOIN facts ON facts.entity = s.entity")
+@query(SCORE_SQL + f"SELECT s.entity AS name, s.region AS team, facts.items AS matches, {_points_sql('tot')} AS score, profile FROM s JOIN facts ON facts.entity = s.entity")
 def entity_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a card of each supplier shows."""
     own = _scores(spark, sf_dir).join(supplier_facts(spark, sf_dir).select("entity", "items"), "entity")
-    return rounded(compare.entity_card(own, {"name": "entity", "team": "region", "minutes": "absent", "matches": "items", "score": "Score_Overall", "profile": "profile"}))
+    return compare.entity_card(own, {"name": "entity", "team": "region", "minutes": "absent", "matches": "items", "score": "Score_Overall", "profile": "profile"})

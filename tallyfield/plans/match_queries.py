@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import pitch as P
 from ..operators import keeper, lanes, metrics, minutes, normalize, scoring, season, specs, turnovers, zones
-from .adapters import FLAGS, lineups, match_sql, match_view, settled
+from ..sources.scratch import settle
+from .adapters import FLAGS, lineups, match_sql, match_view
 
 TYPES = ("Pass", "Carry", "Dribble", "Shot", "Pressure", "Ball Recovery", "Interception", "Clearance", "Block", "Foul Committed", "Duel", "Goal Keeper")
 PATTERNS = ("Regular Play", "From Throw In", "From Corner")
@@ -395,10 +396,13 @@ def player_season(spark: SparkSession, sf_dir: str) -> DataFrame:
 LEAST = {"min_minutes": 200, "min_matches": 3}
 
 
-def _scores_sql() -> str:
-    """Long scores of all position groups: category, total and adjusted by their weights; written from the specifications' lists."""
+def _scores_sql(least: dict[str, tuple[int, int]], used: dict[str, specs.Spec] = specs.SPECS, teams: str = "", mix: tuple[float, float] = (0.6, 0.4)) -> str:
+    """Tables `flagged` (player_id, grp, category, s, flag) with scores in whole steps; written from the specifications' lists.
+
+    Percentiles are whole numbers of 1e-9, weights and scores of 1e-6, so that sums and thresholds are exact.
+    """
     rows, mixed = [], []
-    for group, own in specs.SPECS.items():
+    for group, own in used.items():
         for category, listed in own.metrics.items():
             parts = [(f"{category}", listed)]
             if group == "Lateral" and category == "Defensivo":
@@ -407,34 +411,41 @@ def _scores_sql() -> str:
         mixed += [(group, c, w) for c, w in own.weights.items()]
     names = sorted({m for _, _, m, _, _ in rows} & set(SEASON_COLUMNS))
     group_of = " ".join(f"WHEN primary_position = '{p}' THEN '{g}'" for p, g in P.POSITION_GROUP.items())
-    values = ", ".join(f"('{g}', '{c}', '{m}', {w!r}::DOUBLE, {str(inv).upper()})" for g, c, m, w, inv in rows)
-    weights = ", ".join(f"('{g}', '{c}', {w!r}::DOUBLE)" for g, c, w in mixed)
-    return f""", pool AS (SELECT *, CASE {group_of} END AS grp FROM season WHERE total_minutes >= 200 AND matches_played >= 3),
+    enough = " ".join(f"WHEN '{g}' THEN total_minutes >= {m} AND matches_played >= {n}" for g, (m, n) in least.items())
+    values = ", ".join(f"('{g}', '{c}', '{m}', {round(w * 1e6)}::BIGINT, {str(inv).upper()})" for g, c, m, w, inv in rows)
+    weights = ", ".join(f"('{g}', '{c}', {round(w * 1e6)}::BIGINT)" for g, c, w in mixed)
+    return f""", pool AS (SELECT * FROM (SELECT *, CASE {group_of} END AS grp FROM season) WHERE CASE grp {enough} END {teams}),
 spec(grp, category, metric, w, inv) AS (VALUES {values}), weight(grp, category, w) AS (VALUES {weights}),
 long AS ({" UNION ALL ".join(f"SELECT player_id, grp, '{m}' AS metric, round(CAST({m} AS DOUBLE) + 1e-9, 6) AS v FROM pool WHERE {m} IS NOT NULL" for m in names)}),
-pc AS (SELECT *, (rank() OVER (PARTITION BY grp, metric ORDER BY v) + (count(*) OVER (PARTITION BY grp, metric, v) - 1) / 2) / count(*) OVER (PARTITION BY grp, metric) * 100 AS p FROM long),
-cat AS (SELECT pc.player_id, pc.grp, category, sum(CASE WHEN inv THEN 100 - p ELSE p END * w) / sum(w) AS s FROM pc JOIN spec ON spec.grp = pc.grp AND spec.metric = pc.metric GROUP BY 1, 2, 3),
-mix AS (SELECT a.player_id, a.grp, 'Defensivo' AS category, a.s * 0.6 + b.s * 0.4 AS s FROM cat a JOIN cat b ON a.player_id = b.player_id AND a.category = '_exec' AND b.category = '_obv'),
+pc AS (SELECT *, CAST(round((rank() OVER (PARTITION BY grp, metric ORDER BY v) + (count(*) OVER (PARTITION BY grp, metric, v) - 1) / 2) / count(*) OVER (PARTITION BY grp, metric) * 100 * 1e9) AS BIGINT) AS p FROM long),
+cat AS (SELECT pc.player_id, pc.grp, category, (sum(CASE WHEN inv THEN 100000000000 - p ELSE p END * w) + 502 * sum(w)) // (1000 * sum(w)) AS s FROM pc JOIN spec ON spec.grp = pc.grp AND spec.metric = pc.metric GROUP BY 1, 2, 3),
+mix AS (SELECT a.player_id, a.grp, 'Defensivo' AS category, (2 * (a.s * {round(mix[0] * 1e6)} + b.s * {round(mix[1] * 1e6)}) + 1000000) // 2000000 AS s FROM cat a JOIN cat b ON a.player_id = b.player_id AND a.category = '_exec' AND b.category = '_obv'),
 cats AS (SELECT * FROM cat WHERE category NOT LIKE '\\_%' ESCAPE '\\' UNION ALL SELECT * FROM mix),
-overall AS (SELECT player_id, cats.grp, 'Overall' AS category, sum(s * w) / sum(w) AS s FROM cats JOIN weight ON weight.grp = cats.grp AND weight.category = cats.category GROUP BY 1, 2),
+overall AS (SELECT player_id, cats.grp, 'Overall' AS category, (2 * sum(s * w) + sum(w)) // (2 * sum(w)) AS s FROM cats JOIN weight ON weight.grp = cats.grp AND weight.category = cats.category GROUP BY 1, 2),
 every AS MATERIALIZED (SELECT * FROM cats UNION ALL SELECT * FROM overall),
-lim AS (SELECT grp, category, quantile_cont(s, 0.75) AS q FROM every GROUP BY 1, 2)
-SELECT player_id, every.grp AS position_group, every.category, round(s, 4) AS score, s >= q - 1e-9 AS flag FROM every JOIN lim ON lim.grp = every.grp AND lim.category = every.category"""
+lim AS (SELECT grp, category, count(*) AS n, list_sort(list(s)) AS l FROM every GROUP BY 1, 2),
+flagged AS (
+  SELECT player_id, every.grp, every.category, s, 4 * s >= l[(n - 1) * 3 // 4 + 1] * (4 - (n - 1) * 3 % 4) + l[least(n, (n - 1) * 3 // 4 + 2)] * ((n - 1) * 3 % 4) AS flag
+  FROM every JOIN lim ON lim.grp = every.grp AND lim.category = every.category)
+"""
+
+
+def season_players(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The season table as scoring takes it, written once; values are rounded, so that equal ones tie whatever the order of their sums."""
+    players = season_view(spark, sf_dir).withColumn("season", F.lit("2024_2025"))
+    named = [*season.BASE, "season", "lane_bias_index", *[m for s in specs.SPECS.values() for m in s.all_metrics()], *[m for _, own in specs.LATERAL_MIX.values() for m, _, _ in own]]
+    return settle(rounded(normalize.contract(players, list(dict.fromkeys(named))), 6, nudge=1e-9), "players")
+
 
+LEAST_OF_ALL = {g: tuple(LEAST.values()) for g in specs.SPECS}
+SCORED = "SELECT player_id, grp AS position_group, category, CAST(s AS DOUBLE) / 1e6 AS score, flag FROM flagged"
 
-@query(SEASON_SQL + _scores_sql())
+
+@query(SEASON_SQL + _scores_sql(LEAST_OF_ALL) + SCORED)
 def position_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores and flags of the players of all seven groups, a row for each category and the total."""
-    players = season_view(spark, sf_dir).withColumn("season", F.lit("2024_2025"))
-    players = normalize.contract(players, list(dict.fromkeys([*season.BASE, "season", "lane_bias_index", *[m for s in specs.SPECS.values() for m in s.all_metrics()], *[m for _, own in specs.LATERAL_MIX.values() for m, _, _ in own]])))
-    players = settled(rounded(players, 6, nudge=1e-9))  # so that equal values tie whatever the order of their sums
-    out = None
-    for group, own in specs.SPECS.items():
-        scored = scoring.score_position(players, group, **LEAST)
-        each = F.array(*[F.struct(F.lit(c).alias("category"), F.col(f"Score_{c}").alias("score"), F.col(f"flag_Score_{c}").alias("flag")) for c in (*own.weights, "Overall")])
-        rows = scored.select("player_id", F.lit(group).alias("position_group"), F.explode(each).alias("e")).select("player_id", "position_group", "e.*").where("score is not null")
-        out = rows if out is None else out.unionByName(rows)
-    return rounded(out)
+    scored = scoring.score_groups(season_players(spark, sf_dir), least=LEAST_OF_ALL)
+    return scored.select("player_id", "position_group", "category", "score", "flag")
 
 
 @query(""", xi AS (SELECT DISTINCT match_id, player_id, position, team FROM ev WHERE player_id % 3 <> 0),
