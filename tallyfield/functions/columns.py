@@ -40,11 +40,24 @@ def is_flag_column(c: Column) -> Column:
     return F.coalesce(F.bool_and(text.isin("true", "false")), F.lit(False))
 
 
+#: A quoted string with its escapes, a run of anything else, or a quote without its end.
+LITERAL = r"""'[^'\\]*+(?:\\.[^'\\]*+)*+'|"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^'"]++|['"]"""
+
+
 def literal_json(c: Column) -> Column:
-    """A cell holding a Python literal as JSON text; JSON stays as it is."""
-    for word, json in (("None", "null"), ("True", "true"), ("False", "false")):
-        c = F.regexp_replace(c, rf"(?<=[\[,:\s]){word}(?=[\],}}\s])", json)
-    return c
+    """A cell holding a Python literal as JSON text; JSON stays as it is.
+
+    One scan tells strings from what is between them, and only there words are replaced.
+    """
+
+    def turned(part: Column) -> Column:
+        for word, json in (("None", "null"), ("True", "true"), ("False", "false")):
+            part = F.regexp_replace(part, rf"\b{word}\b", json)
+        return part
+
+    quoted = lambda p: F.substring(p, 1, 1).isin("'", '"')
+    parts = F.regexp_extract_all(c, F.lit(LITERAL), 0)
+    return F.array_join(F.transform(parts, lambda p: F.when(quoted(p), p).otherwise(turned(p))), "")
 
 
 def entity(c: Column) -> Column:
@@ -86,6 +99,16 @@ def whole_div(part: Column, whole: Column) -> Column:
     return F.call_function("div", part, whole)
 
 
+def named(column: str) -> str:
+    """A column's name in an SQL expression."""
+    return "`" + column.replace("`", "``") + "`"
+
+
+def text(value: str) -> str:
+    """A text in an SQL expression."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def sum_or_zero(*cols: Column) -> Column:
     return reduce(lambda a, b: a + b, (F.coalesce(c, F.lit(0.0)) for c in cols))
 

@@ -55,6 +55,12 @@ def third(x: Column, length: float | Column = LENGTH) -> Column:
     return F.when(x < part, "defensive").when(x < part * 2, "middle").when(x.isNotNull(), "attacking")
 
 
+def third_sql(x: str, length: float = LENGTH) -> str:
+    """third as an SQL expression over a column's name."""
+    part = float(length) / 3
+    return f"CASE WHEN `{x}` < {part!r}D THEN 'defensive' WHEN `{x}` < {part * 2!r}D THEN 'middle' WHEN `{x}` IS NOT NULL THEN 'attacking' END"
+
+
 def lane(y: Column, width: float = WIDTH) -> Column:
     """Lane 1 to 5; places outside the pitch count to the outer lanes."""
     return F.least(F.lit(5), F.floor(F.greatest(F.lit(0.0), F.least(y, F.lit(width))) / (width / 5)).cast("int") + 1)

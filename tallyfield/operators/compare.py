@@ -48,6 +48,13 @@ def radar_tables(df: DataFrame, key: str, cohort: list[str], columns: list[str])
     return long.join(means, [*cohort, "metric"])
 
 
+def radar_pairs(df: DataFrame, key: str, pairs: DataFrame, kept: list[str], columns: list[str]) -> DataFrame:
+    """(kept, metric, value, reference): entities of pairs (one, other) beside each other; kept columns of pairs stay."""
+    long = melt(df, [key], columns)
+    one, other = (long.select(F.col(key).alias(n), "metric", F.col("value").alias(v)) for n, v in (("one", "value"), ("other", "reference")))
+    return pairs.join(one, "one").join(other, ["other", "metric"]).select(*kept, "metric", "value", "reference")
+
+
 def detail_table(df: DataFrame, key: str, cohort: list[str], columns: list[str], members: DataFrame | None = None, parts: int = 1) -> DataFrame:
     """Percentile of every entity and metric in its cohort and the cohort's mean percentile; not inverted.
 

@@ -21,11 +21,11 @@ def psxg_column(columns: list[str]) -> str | None:
 
 def keepers(events: DataFrame, summary: DataFrame) -> DataFrame:
     """player_id of those who kept goal by main position, by a keeper event or by the position of an event."""
-    acted = events.where(_acts(events)).select("player_id")
+    acted = events.where(_acts()).select("player_id")
     return summary.where("primary_position = 'Goalkeeper'").select("player_id").union(acted).where("player_id is not null").distinct()
 
 
-def _acts(events: DataFrame) -> Column:
+def _acts() -> Column:
     return F.coalesce((F.col("type") == "Goal Keeper") | F.contains("position", F.lit("Goalkeeper")), F.lit(False))
 
 
@@ -78,15 +78,15 @@ def faced(links: DataFrame, prevented_given: bool = False) -> DataFrame:
     )
 
 
-def on_the_ball(events: DataFrame) -> DataFrame:
-    """Passing, play outside the box and claims of every player, and whether they acted as keeper, in one aggregation."""
+def ball_sums() -> list[Column]:
+    """Passing, play outside the box and claims, and whether a player acted as keeper."""
     passed = F.col("type") == "Pass"
     done = passed & F.col("pass_outcome").isNull()
     long_ = passed & F.coalesce(F.col("pass_length") > LONG_BALL, F.lit(False))
     pressed = passed & F.coalesce(F.col("x") < DEFENSIVE_THIRD, F.lit(False)) & C.truthy(F.col("under_pressure"))
     n = F.count_if(passed)
-    return events.where("player_id is not null").groupBy("player_id").agg(
-        F.bool_or(_acts(events)).alias("acted"),
+    return [
+        F.bool_or(_acts()).alias("acted"),
         C.ratio(F.count_if(done), n).alias("gk_pass_completion_pct"),
         F.sum(F.when(passed, F.coalesce("obv_total_net", F.lit(0.0)))).alias("gk_pass_obv"),
         C.ratio(F.count_if(long_), n).alias("gk_long_ball_pct"),
@@ -95,15 +95,31 @@ def on_the_ball(events: DataFrame) -> DataFrame:
         F.count_if(F.col("x") > BOX_LINE).alias("gk_actions_outside_box"),
         F.avg("x").alias("gk_aggressive_distance_avg"),
         F.count_if(F.col("goalkeeper_outcome") == "Claim").alias("gk_claims"),
-    )
+    ]
+
+
+#: The columns of ball_sums that are output.
+BALL = "gk_pass_completion_pct gk_pass_obv gk_long_ball_pct gk_pressured_passes_def_third gk_pressured_passes_def_third_completion_pct gk_actions_outside_box gk_aggressive_distance_avg gk_claims".split()
+
+
+def on_the_ball(events: DataFrame) -> DataFrame:
+    """ball_sums of every player, in one aggregation."""
+    return events.where("player_id is not null").groupBy("player_id").agg(*ball_sums())
+
 
+def own_goals(events: DataFrame, ids: DataFrame | None = None, seen: DataFrame | None = None) -> DataFrame:
+    """Own goals against the team that each player, or each of ids, first appears for in a match.
 
-def own_goals(events: DataFrame, ids: DataFrame | None = None) -> DataFrame:
-    """Own goals against the team that each player, or each of ids, first appears for in a match."""
-    rows = events.where("player_id is not null") if ids is None else events.join(ids, "player_id", "left_semi")
+    seen gives (match_id, player_id, seen_team) where that is known already, so that the log is read for own goals only.
+    """
     own = events.where("type = 'Own Goal Against'").groupBy("match_id", "team").agg(F.count("*").alias("n"))
-    seen = rows.groupBy("match_id", "player_id").agg(F.min_by("team", F.struct("period", "idx")).alias("team"))
-    return seen.join(own, ["match_id", "team"]).groupBy("player_id").agg(F.sum("n").alias("gk_own_goals_against"))
+    if seen is None:
+        rows = events.where("player_id is not null")
+        seen = rows.groupBy("match_id", "player_id").agg(F.min_by("team", F.struct("period", "idx")).alias("seen_team"))
+    if ids is not None:
+        seen = seen.join(ids, "player_id", "left_semi")
+    met = seen.select("match_id", "player_id", F.col("seen_team").alias("team")).join(own, ["match_id", "team"])
+    return met.groupBy("player_id").agg(F.sum("n").alias("gk_own_goals_against"))
 
 
 #: The order of the output columns; totals with a rate per 90 minutes are marked by it.
@@ -123,15 +139,28 @@ def _rounded(df: DataFrame, name: str, places: int | None) -> Column:
     return C.round4(F.col(name), places).alias(name) if dict(df.dtypes)[name] == "double" else F.col(name)
 
 
+def keeper_parts(events: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """(player_id, what keepers faced, own goals): the parts that need other events than a player's own."""
+    links = shot_links(events, penalties=None)
+    return faced(links, psxg_column(events.columns) == PSXG[0]).join(own_goals(events, seen=seen), "player_id", "full")
+
+
+def keeper_columns(df: DataFrame, places: int | None = 4) -> dict[str, Column]:
+    """All keeper columns of OUTPUT over a table with their parts, primary_position, total_minutes and acted; null for others than keepers."""
+    kept = (F.col("total_minutes") > 0) & (F.coalesce("acted", F.lit(False)) | F.coalesce(F.col("primary_position") == "Goalkeeper", F.lit(False)))
+    whole = {c: F.coalesce(c, F.lit(0)) for c in ("gk_goals_conceded_shots", "gk_own_goals_against")}
+    whole["gk_goals_conceded_total"] = whole["gk_goals_conceded_shots"]
+    of = lambda c: whole.get(c, F.col(c))
+    doubles = {n for n, t in df.dtypes if t == "double"} | set(RATED)
+    value = lambda c: C.per90(of(RATED[c]), F.col("total_minutes")) if c in RATED else of(c)
+    return {c: F.when(kept, C.round4(value(c), places) if c in doubles else value(c)) for c in OUTPUT}
+
+
 def keeper_metrics(events: DataFrame, summary: DataFrame, places: int | None = 4) -> DataFrame:
     """All keeper metrics of those with minutes, in the order of OUTPUT, doubles to four places (None: as they are).
 
     Each part is one aggregation by player; who kept goal is told by the first of them and the main position.
     """
-    links = shot_links(events, penalties=None)
     mine = on_the_ball(events).join(summary.select("player_id", "primary_position", "total_minutes"), "player_id", "right")
-    base = mine.where("total_minutes > 0 and (acted or primary_position = 'Goalkeeper')")
-    out = base.join(faced(links, psxg_column(events.columns) == PSXG[0]), "player_id", "left").join(own_goals(events), "player_id", "left")
-    out = out.fillna(0, ["gk_goals_conceded_shots", "gk_own_goals_against"]).withColumn("gk_goals_conceded_total", F.col("gk_goals_conceded_shots"))
-    out = out.withColumns({name: C.per90(F.col(source), F.col("total_minutes")) for name, source in RATED.items()})
-    return out.select("player_id", *[_rounded(out, c, places) for c in OUTPUT])
+    base = mine.where("total_minutes > 0 and (acted or primary_position = 'Goalkeeper')").join(keeper_parts(events), "player_id", "left")
+    return base.select("player_id", *[v.alias(c) for c, v in keeper_columns(base, places).items()])

@@ -12,28 +12,36 @@ EPS = 1e-9
 OUTPUT = "obv_from_ext obv_from_int obv_from_ext_per90 obv_from_int_per90 lane_bias_index".split()
 
 
+def lane_sums(width: float = P.WIDTH, value: str = "obv_total_net", y: Column | None = None) -> list[Column]:
+    """Value from the outer and the inner lanes, null for who has no placed value."""
+    y = F.col("y") if y is None else y
+    group, here = P.lane_group(P.lane(y, width)), y.isNotNull() & F.col(value).isNotNull()
+    part = lambda g: F.when(F.count_if(here) > 0, F.coalesce(F.sum(F.when(here & (group == g), F.col(value))), F.lit(0.0)))
+    return [part("ext").alias("obv_from_ext"), part("int").alias("obv_from_int")]
+
+
+def lane_index(outer: Column, inner: Column, passes: Column, least_passes: int) -> Column:
+    """The inner minus the outer share of value; null below so many passes."""
+    return F.when(passes >= least_passes, (inner - outer) / (F.abs(inner) + F.abs(outer) + EPS))
+
+
 def lane_bias(events: DataFrame, minutes: DataFrame, width: float = P.WIDTH, least_passes: int = 50, value: str = "obv_total_net", y: Column | None = None) -> DataFrame:
     """(player_id, obv_from_ext, obv_from_int, per 90 of both, passes, lane_bias_index).
 
     The index is the inner minus the outer share of value; null below least_passes passes. y is where an event is
-    across the pitch, if not a column of that name.
+    across the pitch, if not a column of that name. One aggregation by player.
     """
-    y = F.col("y") if y is None else y
-    group = P.lane_group(P.lane(y, width))
-    part = lambda g: F.coalesce(F.sum(F.when(group == g, F.col(value))), F.lit(0.0))
-    made = events.where(F.col("player_id").isNotNull() & y.isNotNull() & F.col(value).isNotNull()).groupBy("player_id").agg(part("ext").alias("obv_from_ext"), part("int").alias("obv_from_int"))
-    passes = events.where("type = 'Pass' and player_id is not null").groupBy("player_id").agg(F.count("*").alias("passes"))
-    out = made.join(minutes.select("player_id", "total_minutes"), "player_id").join(passes, "player_id", "left")
+    made = events.where("player_id is not null").groupBy("player_id").agg(*lane_sums(width, value, y), F.count_if(F.col("type") == "Pass").alias("passes"))
+    out = made.where("obv_from_ext is not null").join(minutes.select("player_id", "total_minutes"), "player_id")
     inner, outer = F.col("obv_from_int"), F.col("obv_from_ext")
-    index = (inner - outer) / (F.abs(inner) + F.abs(outer) + EPS)
     return out.select(
         "player_id",
         "obv_from_ext",
         "obv_from_int",
         C.per90(outer, F.col("total_minutes")).alias("obv_from_ext_per90"),
         C.per90(inner, F.col("total_minutes")).alias("obv_from_int_per90"),
-        F.coalesce("passes", F.lit(0)).alias("passes"),
-        F.when(F.col("passes") >= least_passes, index).alias("lane_bias_index"),
+        "passes",
+        lane_index(outer, inner, F.col("passes"), least_passes).alias("lane_bias_index"),
     )
 
 

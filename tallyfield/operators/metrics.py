@@ -30,12 +30,23 @@ def breakdown_values(df: DataFrame, columns: list[str]) -> dict[str, list[str]]:
 
 def totals(metrics: list[str]) -> list[Column]:
     """Sums that are null where all values are."""
-    return [F.sum(m).alias(m) for m in metrics]
+    return [F.expr(f"sum({C.named(m)}) AS {C.named(m)}") for m in metrics]
+
+
+# Hundreds of generated columns are written as SQL expressions: built call by call they would keep the driver busy for seconds.
+
+
+def _sum_where(test: str, metric: str, name: str) -> Column:
+    return F.expr(f"coalesce(sum(CASE WHEN {test} THEN {C.named(metric)} END), 0.0D) AS {C.named(name)}")
+
+
+def _count_where(test: str, name: str) -> Column:
+    return F.expr(f"count_if({test}) AS {C.named(name)}")
 
 
 def breakdown_sums(values: dict[str, list[str]], metrics: list[str]) -> list[Column]:
     return [
-        F.coalesce(F.sum(F.when(F.col(c).cast("string") == v, F.col(m))), F.lit(0.0)).alias(f"{m}_{c}_{C.name_part(v)}")
+        _sum_where(f"CAST({C.named(c)} AS STRING) = {C.text(v)}", m, f"{m}_{c}_{C.name_part(v)}")
         for c, own in values.items()
         for v in own
         for m in metrics
@@ -43,7 +54,7 @@ def breakdown_sums(values: dict[str, list[str]], metrics: list[str]) -> list[Col
 
 
 def breakdown_counts(values: dict[str, list[str]]) -> list[Column]:
-    return [F.count_if(F.col(c).cast("string") == v).alias(f"n_events_{c}_{C.name_part(v)}") for c, own in values.items() for v in own]
+    return [_count_where(f"CAST({C.named(c)} AS STRING) = {C.text(v)}", f"n_events_{c}_{C.name_part(v)}") for c, own in values.items() for v in own]
 
 
 def thirds(metrics: list[str], types: tuple[str, ...] = THIRD_TYPES, length: float = P.LENGTH) -> list[Column]:
@@ -51,9 +62,9 @@ def thirds(metrics: list[str], types: tuple[str, ...] = THIRD_TYPES, length: flo
     out = []
     for part in ("defensive", "middle", "attacking"):
         for t in types:
-            here = (P.third(F.col("x"), length) == part) & (F.col("type") == t)
-            out += [F.coalesce(F.sum(F.when(here, F.col(m))), F.lit(0.0)).alias(f"{m}_third_{part}_{C.name_part(t)}") for m in metrics]
-            out.append(F.count_if(here).alias(f"n_events_third_{part}_{C.name_part(t)}"))
+            here = f"{P.third_sql('x', length)} = '{part}' AND `type` = {C.text(t)}"
+            out += [_sum_where(here, m, f"{m}_third_{part}_{C.name_part(t)}") for m in metrics]
+            out.append(_count_where(here, f"n_events_third_{part}_{C.name_part(t)}"))
     return out
 
 
@@ -128,31 +139,35 @@ BLOCKS = ("block_deflection", "block_save_block")
 LOST_DUELS = ("Lost In Play",)
 
 
-def _present(df: DataFrame, names) -> list[Column]:
-    return [F.col(f"`{n}`") for n in names if n in df.columns]
-
-
-def total_ratios(df: DataFrame) -> DataFrame:
+def ratio_columns(columns: list[str]) -> dict[str, Column]:
     """Ratios and sums of totals: duel_win_pct, ball_recovery_success_pct and foul_committed, as far as their parts exist.
 
     Fouls are 0 without parts, and null parts count as zero; a ratio with a null part is null.
     """
     added = {}
     for name, good, bad in (("duel_win_pct", "duel_won", "duel_lost"), ("ball_recovery_success_pct", "ball_recovery_offensive", "ball_recovery_recovery_failure")):
-        if good in df.columns and bad in df.columns:
+        if good in columns and bad in columns:
             added[name] = C.ratio(F.col(good), F.col(good) + F.col(bad))
-    fouls = _present(df, FOULS)
-    return df.withColumns(added | {"foul_committed": C.sum_or_zero(*fouls) if fouls else F.lit(0.0)})
+    fouls = [F.col(f"`{n}`") for n in FOULS if n in columns]
+    return added | {"foul_committed": C.sum_or_zero(*fouls) if fouls else F.lit(0.0)}
 
 
-def composites(df: DataFrame, lost_duels: tuple[str, ...] = LOST_DUELS) -> DataFrame:
+def total_ratios(df: DataFrame) -> DataFrame:
+    return df.withColumns(ratio_columns(df.columns))
+
+
+def composite_columns(rates: dict[str, Column], lost_duels: tuple[str, ...] = LOST_DUELS) -> dict[str, Column]:
     """Rates made of rates: lost duels and fouls, clearances, and blocks per 90 minutes, null parts as zero."""
     parts = {
         "defensive_actions_lost_per90": [*(f"n_events_duel_outcome_{C.name_part(v)}_per90" for v in lost_duels), "foul_committed_per90"],
         "clearances_total_per90": [f"{c}_per90" for c in CLEARANCES],
         "blocks_total_per90": [f"{c}_per90" for c in BLOCKS],
     }
-    return df.withColumns({name: C.sum_or_zero(*own) for name, names in parts.items() if (own := _present(df, names))})
+    return {name: C.sum_or_zero(*own) for name, names in parts.items() if (own := [rates[n] for n in names if n in rates])}
+
+
+def composites(df: DataFrame, lost_duels: tuple[str, ...] = LOST_DUELS) -> DataFrame:
+    return df.withColumns(composite_columns({c: F.col(f"`{c}`") for c in df.columns}, lost_duels))
 
 
 def shots_and_touches(xg: str = "shot_statsbomb_xg", length: float = P.LENGTH, width: float = P.WIDTH) -> list[Column]:

@@ -37,10 +37,11 @@ def value_counts(df: DataFrame, group: list[str], value: str = "value") -> DataF
 
 
 def in_ranges(counts: DataFrame, group: list[str], parts: int) -> DataFrame:
-    """counts with `range`, `total` (rows of the group) and `below` (rows in lower ranges)."""
+    """counts with `range`, `total` (rows of the group) and `below` (rows in lower ranges); written once where several ranges are cut."""
     if parts <= 1:
         total = F.sum("n").over(Window.partitionBy(*group))
         return counts.select("*", F.lit(0).alias("range"), total.alias("total"), F.lit(0).cast("long").alias("below"))
+    counts = settle(counts, "value-counts")
     cuts = counts.groupBy(*group).agg(F.percentile_approx("value", [k / parts for k in range(1, parts)], EVENNESS).alias("cuts"))
     placed = join_same(counts, cuts, group).withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col("value")))).drop("cuts")
     sizes = placed.groupBy(*group, "range").agg(F.sum("n").alias("own"))

@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 
 from ..functions import columns as C
 from ..functions import pitch as P
+from ..sources.scratch import settle
 from . import ranking
 from .specs import LATERAL_MIX, SPECS, Spec
 
@@ -43,6 +44,7 @@ def spread_percentiles(long: DataFrame, group: list[str], parts: int) -> DataFra
     The ranks meet the rows by value; they are one row for each value, so that Spark may send them out where they are
     small and split a frequent value where they are not.
     """
+    long = settle(long, "values")
     ranks = ranking.percentiles_of(ranking.value_counts(long, group), group, parts)
     return ranking.join_same(long, ranks, [*group, "value"])
 
@@ -101,8 +103,8 @@ def total_score(spec: Spec) -> Column:
 
 
 def with_flags(long: DataFrame, group: list[str], q: float = QUANTILE, parts: int = 1) -> DataFrame:
-    """Rows of (group, score) with flag: the score reaches the group's exact quantile (linear), compared in whole steps."""
-    placed = long.withColumn("__steps", C.steps(F.col("score")))
+    """Rows of (group, score) with flag: the score reaches the group's exact quantile (linear), compared in whole steps; scores are written once, as they meet their thresholds."""
+    placed = settle(long.withColumn("__steps", C.steps(F.col("score"))), "scores")
     limits = ranking.quantile_parts(ranking.value_counts(placed, group, "__steps"), group, [q], parts).select(*group, F.get("q", F.lit(0)).alias("__q"))
     lo, hi, rem, den = (F.col(f"__q.{n}") for n in ("lo", "hi", "rem", "den"))
     reached = F.col("__steps") * den >= lo * (den - rem) + hi * rem
@@ -111,6 +113,7 @@ def with_flags(long: DataFrame, group: list[str], q: float = QUANTILE, parts: in
 
 def flags(df: DataFrame, cohort: list[str], names: list[str], q: float = QUANTILE, parts: int = 1) -> DataFrame:
     """flag_<name>: the score on the grid reaches the cohort's exact quantile (linear); thresholds are one small row per cohort."""
+    df = settle(df, "scores") if parts > 1 else df
     long = df.select(*cohort, *names).unpivot(cohort, names, "__name", "score").withColumn("steps", C.steps(F.col("score")))
     group = [*cohort, "__name"]
     found = ranking.quantile_parts(ranking.value_counts(long, group, "steps"), group, [q], parts)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
 from ..functions import pitch as P
+from ..sources.scratch import settle
 from . import keeper, lanes, metrics, minutes, normalize, turnovers, zones
 
 #: The columns that come first.
@@ -20,42 +22,48 @@ TOUCHES = "xg_per_shot shot_touch_pct touches_in_opp_box touches_in_opp_box_pct"
 def player_season(events: DataFrame, lineup: DataFrame, on: DataFrame, off: DataFrame, break_down: dict[str, list[str]], turnover_kinds: list[str], value_metrics: tuple[str, ...] = metrics.SPLIT_METRICS, third_types: tuple[str, ...] = metrics.THIRD_TYPES, zone_types: tuple[str, ...] = zones.DEFENSIVE, least_passes: int = 50, size: tuple[float, float] | None = None, flags: list[str] | None = None, lost_duels: tuple[str, ...] = metrics.LOST_DUELS, places: int | None = 4) -> DataFrame:
     """One row per player with minutes: totals, breakdowns, rates per 90 minutes, turnovers, lanes, zones and keeping.
 
-    All event totals come from one aggregation; the other parts are small tables by player. Text columns of true and
-    false count as 0 and 1 and are summed with the numeric metrics. break_down gives the values of each column to break
-    down by, flags the columns of true and false, size the pitch; what is not given is found in one pass each. Lanes
-    and zones are measured on the standard pitch. Zone and keeper values are rounded to places.
+    Text columns of true and false count as 0 and 1 and are summed with the numeric metrics. break_down gives the values of
+    each column to break down by, flags the columns of true and false, size the pitch; what is not given is found in one
+    pass each. Lanes and zones are measured on the standard pitch. Zone and keeper values are rounded to places.
+
+    Appearances, their summary and the totals are each written once, so that the log is read once for appearances, once for
+    all of a player's own totals, and once for each part that needs other events (turnovers, zones, shots faced). What is
+    left is a join of small tables by player, with all rates in one projection.
     """
     if size is None:
         size = tuple(P.pitch_size(events).first())
     length, width = size
+    seen = settle(minutes.appearances(events, lineup, on, off), "appearances")
+    summary = settle(minutes.minutes_summary(seen), "summary")
+
     coded = normalize.encode_flags(events, flags)
     numeric = normalize.metric_columns(coded)
-    played = minutes.minutes_played(events, lineup, on, off)
-    summary = minutes.minutes_summary(played.join(events.select("match_id", "season").distinct(), "match_id"))
     split = list(value_metrics)
     parts = metrics.breakdown_sums({c: v for c, v in break_down.items() if c not in metrics.COUNT_ONLY}, split)
     parts += metrics.breakdown_counts({c: v for c, v in break_down.items() if c in metrics.COUNT_ONLY})
     parts += metrics.thirds(split[:1], third_types, length) + metrics.open_play_crosses(split[:1], length)
     sums = metrics.totals(numeric) + metrics.final_third(length) + metrics.event_counts(coded.columns)
     rest = metrics.pass_completion() + metrics.outcome_rates(coded.columns) + metrics.shots_and_touches(length=length, width=width)
-    dimension = normalize.player_dimension(lineup, events)
-    table = normalize.of_known_players(metrics.season_table(coded, sums + parts + rest), dimension)
+    mine = lanes.lane_sums() + keeper.ball_sums()
+    table = settle(metrics.season_table(coded, sums + parts + rest + mine), "totals")
+
     lost = turnovers.turnover_counts(turnovers.turnovers(events), turnover_kinds)
-    table = table.join(lost, "player_id", "left").fillna(0, [c for c in lost.columns if c != "player_id"])
-    table = metrics.total_ratios(table)
-    names = lambda columns: table.select("player_id", *columns).columns[1:]
-    own = [c for c in table.columns if c not in {"player_id", *RATIOS, *TOUCHES, *COUNTED, "total_passes", "incomplete_passes"}]
-    broken = [c for c in own if any(c.startswith((f"{m}_{d}_", f"{m}_third_")) for m in split for d in break_down) or c.startswith("n_events_")]
-    plain = [c for c in names([f"`{c}`" for c in own]) if c not in set(broken)]
-    table = metrics.composites(metrics.with_rates(table, summary, [*plain, *broken, *COUNTED]).where("total_minutes is not null"), lost_duels)
-    table = table.join(dimension, "player_id", "left")
-    table = table.join(lanes.lane_bias(events, summary, least_passes=least_passes).drop("passes"), "player_id", "left")
     damage = zones.zone_damage(events, zones.zone_rectangles(events, types=zone_types), summary, places=places)
-    table = table.join(damage, "player_id", "left").join(keeper.keeper_metrics(events, summary, places), "player_id", "left")
-    rated = [f"{c}_per90" for c in (*plain, *broken)]
-    placed = [*lanes.OUTPUT, *zones.OUTPUT, *keeper.OUTPUT]
-    order = [*BASE, *plain, *RATIOS, *broken, *rated, *COMPOSITES, *TOUCHES, "total_passes", "incomplete_passes", *COUNTED, *[f"{c}_per90" for c in COUNTED], *placed]
-    return normalize.contract(table, list(dict.fromkeys(order)))
+    met = summary.join(table, "player_id").join(lost, "player_id", "left").join(damage, "player_id", "left").join(keeper.keeper_parts(events, seen), "player_id", "left")
+
+    losses, ratios = lost.columns[1:], metrics.ratio_columns(table.columns)
+    apart = {"player_id", "acted", "obv_from_ext", "obv_from_int", *RATIOS, *TOUCHES, *COUNTED, *keeper.BALL, "total_passes", "incomplete_passes"}
+    own = [c for c in (*table.columns, *losses, "foul_committed") if c not in apart]
+    broken = [c for c in own if any(c.startswith((f"{m}_{d}_", f"{m}_third_")) for m in split for d in break_down) or c.startswith("n_events_")]
+    plain = [c for c in own if c not in set(broken)]
+    column = {c: F.col(f"`{c}`") for c in met.columns} | {c: F.coalesce(c, F.lit(0)) for c in losses} | ratios
+    column["lane_bias_index"] = lanes.lane_index(F.col("obv_from_ext"), F.col("obv_from_int"), F.col("total_passes"), least_passes)
+    minutes_ = "CASE WHEN total_minutes > 0 THEN {} / total_minutes * 90 END"
+    rate = lambda c: C.per90(column[c], F.col("total_minutes")) if c in ratios else F.expr(minutes_.format(f"coalesce({C.named(c)}, 0)" if c in losses else C.named(c)))
+    rates = {f"{c}_per90": rate(c) for c in (*plain, *broken, *COUNTED, "obv_from_ext", "obv_from_int")}
+    column |= rates | metrics.composite_columns(rates, lost_duels) | keeper.keeper_columns(met, places)
+    order = [*BASE, *plain, *RATIOS, *broken, *[f"{c}_per90" for c in (*plain, *broken)], *COMPOSITES, *TOUCHES, "total_passes", "incomplete_passes", *COUNTED, *[f"{c}_per90" for c in COUNTED], *lanes.OUTPUT, *zones.OUTPUT, *keeper.OUTPUT]
+    return met.select(*[column[c].alias(c) for c in dict.fromkeys(order) if c in column])
 
 
 def minutes_export(played: DataFrame, players: DataFrame) -> DataFrame:

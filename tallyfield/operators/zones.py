@@ -17,11 +17,14 @@ from ..functions import pitch as P
 DEFENSIVE = ("Pressure", "Ball Recovery", "Duel", "Clearance", "Block", "Interception", "Foul Won", "Shield", "50/50", "Dispossessed", "Dribbled Past")
 
 
-def zone_rectangles(events: DataFrame, q: float = 0.15, scale: float = 1.0, least: int = 5, types: tuple[str, ...] = DEFENSIVE, exact: bool = True) -> DataFrame:
-    """(match_id, player_id, team, n_actions, mu_x, mu_y, cos, sin, u_lo, u_hi, v_lo, v_hi) of players with enough actions."""
+def zone_rectangles(events: DataFrame, q: float = 0.15, scale: float = 1.0, least: int = 5, types: tuple[str, ...] = DEFENSIVE) -> DataFrame:
+    """(match_id, player_id, team, n_actions, mu_x, mu_y, cos, sin, u_lo, u_hi, v_lo, v_hi) of players with enough actions.
+
+    One aggregation: the places of a player's actions in one match are few and stay beside their moments, so that turning
+    them and their quantiles (linear) need neither a second pass nor a join.
+    """
     own = events.where(F.col("type").isin(*types) & F.col("player_id").isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull())
-    keys = ["match_id", "player_id"]
-    moments = own.groupBy(*keys).agg(
+    moments = own.groupBy("match_id", "player_id").agg(
         F.count("*").alias("n_actions"),
         F.min("team").alias("team"),
         F.avg("x").alias("mu_x"),
@@ -29,17 +32,25 @@ def zone_rectangles(events: DataFrame, q: float = 0.15, scale: float = 1.0, leas
         F.var_samp("x").alias("xx"),
         F.var_samp("y").alias("yy"),
         F.covar_samp("x", "y").alias("xy"),
+        F.collect_list(F.struct("x", "y")).alias("places"),
     )
     angle = F.atan2(2 * F.col("xy"), F.col("xx") - F.col("yy")) / 2
-    axes = moments.where(F.col("n_actions") >= least).withColumns({"cos": F.cos(angle), "sin": F.sin(angle)}).drop("xx", "yy", "xy")
-    turned = own.select(*keys, "x", "y").join(axes, keys)
-    dx, dy = F.col("x") - F.col("mu_x"), F.col("y") - F.col("mu_y")
-    turned = turned.withColumns({"u": dx * F.col("cos") + dy * F.col("sin"), "v": dy * F.col("cos") - dx * F.col("sin")})
-    pick = (lambda c: F.percentile(c, F.array(F.lit(q), F.lit(1 - q)))) if exact else (lambda c: F.percentile_approx(c, [q, 1 - q], 10_000))
-    ranges = turned.groupBy(*keys).agg(pick(F.col("u")).alias("u"), pick(F.col("v")).alias("v"))
-    ends = {a: (F.get(a, F.lit(0)), F.get(a, F.lit(1))) for a in "uv"}
+    axes = moments.where(F.col("n_actions") >= least).withColumns({"cos": F.cos(angle), "sin": F.sin(angle)})
+    dx, dy = lambda p: p["x"] - F.col("mu_x"), lambda p: p["y"] - F.col("mu_y")
+    turned = axes.select(
+        *("match_id", "player_id", "team", "n_actions", "mu_x", "mu_y", "cos", "sin"),
+        F.array_sort(F.transform("places", lambda p: dx(p) * F.col("cos") + dy(p) * F.col("sin"))).alias("u"),
+        F.array_sort(F.transform("places", lambda p: dy(p) * F.col("cos") - dx(p) * F.col("sin"))).alias("v"),
+    )
+
+    def quantile(a: str, share: float) -> Column:
+        at = (F.size(a) - 1) * F.lit(share)
+        low, high = F.get(a, F.floor(at).cast("int")), F.get(a, F.ceil(at).cast("int"))
+        return low + (high - low) * (at - F.floor(at))
+
+    ends = {a: (quantile(a, q), quantile(a, 1 - q)) for a in "uv"}
     bounds = {f"{a}_{n}": (lo + hi) / 2 + side * (hi - lo) / 2 * scale for a, (lo, hi) in ends.items() for n, side in (("lo", -1), ("hi", 1))}
-    return axes.join(ranges.withColumns(bounds).drop("u", "v"), keys)
+    return turned.withColumns(bounds).drop("u", "v")
 
 
 #: The output columns of zone_damage.

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import settle
+
 POSITIONS = ("Goalkeeper", "Center Back", "Left Back", "Center Defensive Midfield", "Center Midfield", "Left Wing", "Center Forward")
 SEASON = "2024_2025"
 
@@ -82,12 +84,12 @@ def match_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lineups(events: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Line-up (two thirds of the players), coming on (the others) and coming off (every fifth)."""
+    """Line-up (two thirds of the players), coming on (the others) and coming off (every fifth), from one pass."""
     keys = ["match_id", "player_id"]
-    xi = events.where("player_id % 3 <> 0").select(*keys, "position", "team").distinct()
-    on = events.where("player_id % 3 = 0").groupBy(*keys).agg(F.min("minute").alias("minute"))
-    off = events.where("player_id % 5 = 0").groupBy(*keys).agg(F.max("minute").alias("minute"))
-    return xi, on, off
+    seen = settle(events.groupBy(*keys).agg(F.min("position").alias("position"), F.min("team").alias("team"), F.min("minute").alias("first"), F.max("minute").alias("last")), "line-ups")
+    on = seen.where("player_id % 3 = 0").select(*keys, F.col("first").alias("minute"))
+    off = seen.where("player_id % 5 = 0").select(*keys, F.col("last").alias("minute"))
+    return seen.where("player_id % 3 <> 0").select(*keys, "position", "team"), on, off
 
 
 MATCH_SQL = """

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import columns as C
-from ..operators import compare, market, reconcile, scoring
+from ..operators import compare, market, ranking, reconcile, scoring
 from ..operators.specs import LATERAL_MIX, spec
+from ..sources import tables
+from ..sources.scratch import scratch
 from .adapters import facts_sql, read, supplier_facts
 from .match_queries import rounded
 
@@ -117,6 +122,68 @@ def flag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.groupBy("region").agg(F.count("*").alias("entities"), F.count_if("flag_Score_Overall").alias("flagged"), F.count_if("flag_Score_Volume").alias("flagged_volume"))
 
 
+#: All orders are one cohort, which is ranked in ranges of values.
+ORDER_PARTS = 8
+ORDERED = spec("orders", Value=(0.6, "Value", "price .7\n-discount .3"), Size=(0.4, "Size", "quantity .5\nitems .5"))
+ORDER_METRICS = ("price", "discount", "quantity", "items")
+ORDER_SQL = (
+    "WITH o AS (SELECT l_orderkey AS entity, sum(l_extendedprice) AS price, avg(l_discount) AS discount, sum(l_quantity) AS quantity, count(*) AS items FROM lineitem GROUP BY 1), lg AS ("
+    + " UNION ALL ".join(f"SELECT entity, '{m}' AS metric, round(CAST({m} AS DOUBLE), 6) AS value FROM o" for m in ORDER_METRICS)
+    + "), w AS (SELECT *, CAST(round((rank() OVER (PARTITION BY metric ORDER BY value) + (count(*) OVER (PARTITION BY metric, value) - 1) / 2.0) / count(*) OVER (PARTITION BY metric) * 100 * 1e9) AS HUGEINT) AS p FROM lg), p AS (SELECT entity, "
+    + ", ".join(f"max(CASE WHEN metric = '{m}' THEN {'100000000000 - p' if m == 'discount' else 'p'} END) AS {m}" for m in ORDER_METRICS)
+    + f""" FROM w GROUP BY entity),
+c AS (SELECT entity, {_category_sql({"price": 0.7, "discount": 0.3})} AS val, {_category_sql({"quantity": 0.5, "items": 0.5})} AS siz FROM p),
+t AS (SELECT *, {_mean_sql({"val": 0.6, "siz": 0.4})} AS tot FROM c),
+q AS (SELECT count(*) AS n, list_sort(list(val)) AS l_val, list_sort(list(siz)) AS l_siz, list_sort(list(tot)) AS l_tot FROM t)
+"""
+)
+
+
+def order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(entity, price, discount, quantity, items) of every order; rounded, so that equal values tie whatever the order of their sums."""
+    own = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("entity"))
+    own = own.agg(F.sum("l_extendedprice").alias("price"), F.avg("l_discount").alias("discount"), F.sum("l_quantity").alias("quantity"), F.count("*").alias("items"))
+    return own.select("entity", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in ORDER_METRICS])
+
+
+@query(ORDER_SQL + f"""SELECT entity, {_points_sql("val")} AS "Score_Value", {_points_sql("siz")} AS "Score_Size", {_points_sql("tot")} AS "Score_Overall", coalesce(nullif(concat_ws(' | ', CASE WHEN {_reached_sql("val")} THEN 'Value' END, CASE WHEN {_reached_sql("siz")} THEN 'Size' END), ''), 'Balanceado') AS profile,
+  {_reached_sql("tot")} AS flagged, row_number() OVER (ORDER BY tot DESC, entity) AS position FROM t, q""", facts=False)
+def order_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores, flags, profile and place of every order in one cohort of all of them: no task ranks it alone."""
+    own = scoring.score(order_facts(spark, sf_dir), ["entity"], [], ORDERED, parts=ORDER_PARTS)
+    own = own.select("entity", "Score_Value", "Score_Size", "Score_Overall", "profile", F.col("flag_Score_Overall").alias("flagged"))
+    return ranking.positions(own, [F.desc("Score_Overall"), "entity"])
+
+
+@query(ORDER_SQL + """, bx AS (SELECT metric, quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.5) AS b, quantile_cont(value, 0.75) AS c FROM lg WHERE metric IN ('price', 'items') GROUP BY metric),
+pl AS (SELECT lg.metric, a, b, c, value, value BETWEEN a - 1.5 * (c - a) AND c + 1.5 * (c - a) AS inside FROM lg JOIN bx ON lg.metric = bx.metric)
+SELECT metric, round(b, 3) AS median, round(a, 3) AS p25, round(c, 3) AS p75, count(*) FILTER (NOT inside) AS outliers, round(min(value) FILTER (inside), 3) AS whisker_low, round(max(value) FILTER (inside), 3) AS whisker_high FROM pl GROUP BY metric, a, b, c""", facts=False)
+def order_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quartiles, whiskers and outliers of all orders as one cohort, from counted ranges."""
+    own = compare.box_table(order_facts(spark, sf_dir), ["entity"], [], ["price", "items"], parts=ORDER_PARTS)
+    return rounded(own.groupBy("metric", "median", "p25", "p75", "whisker_low", "whisker_high").agg(F.count_if("outlier").alias("outliers")), 3)
+
+
+@query("SELECT CAST(year(o_orderdate) AS VARCHAR) || '_' || CAST(year(o_orderdate) + 1 AS VARCHAR) AS season, row_number() OVER (ORDER BY year(o_orderdate) DESC) AS place, count(*) AS orders FROM orders GROUP BY year(o_orderdate)", facts=False)
+def stored_seasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders stored by season; the seasons come from the names of partitions, newest first, and each is read alone."""
+    year = F.year("o_orderdate")
+    root = f"{scratch(spark)}/seasons-{uuid.uuid4().hex}"
+    tables.write_season(read(spark, sf_dir, "orders").select("o_orderkey", F.concat(year, F.lit("_"), year + 1).alias("season")), root)
+    newest = tables.stored_seasons(spark, root)
+    counts = spark.read.parquet(root).groupBy("season").agg(F.count("*").alias("orders"))
+    place = F.row_number().over(Window.orderBy(F.desc("season")))  # a row for each season
+    return newest.withColumn("place", place).join(counts, "season").select("season", "place", "orders")
+
+
+@query(RANK_SQL + ", far AS (SELECT region, min(entity) AS one, max(entity) AS other FROM facts GROUP BY region) SELECT far.region, one, other, a.metric, round(a.value, 3) AS value, round(b.value, 3) AS reference FROM far JOIN lg a ON a.entity = one JOIN lg b ON b.entity = other AND b.metric = a.metric WHERE a.metric IN ('revenue', 'discount', 'balance')")
+def radar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first supplier of every region beside the last one, by metric."""
+    own = supplier_facts(spark, sf_dir)
+    pairs = own.groupBy("region").agg(F.min("entity").alias("one"), F.max("entity").alias("other"))
+    return rounded(compare.radar_pairs(own, "entity", pairs, ["region", "one", "other"], BOX), 3)
+
+
 BOX = ["revenue", "discount", "balance"]
 
 
@@ -251,15 +318,14 @@ def entity_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "customer").select("c_custkey", C.entity_key(F.col("c_name"), F.col("c_mktsegment")).alias("key"))
 
 
-@query()
+@query(r"SELECT doc_id, CASE WHEN regexp_matches(text, '[^\x{00}-\x{FF}]') THEN length(text) ELSE strlen(text) END AS n_spoilt, length(text) AS n, md5(text) AS repaired FROM documents", facts=False)
 def mojibake_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts spoilt as if UTF-8 had been read as Latin-1, repaired; SQL has no such codec, the tests compare with Python."""
+    """Texts spoilt as if UTF-8 had been read as Latin-1, which gives a character for every byte, and what repair makes of them."""
     own = read(spark, sf_dir, "documents").select("doc_id", "text")
     spoilt = F.when(~F.col("text").rlike(r"[^\x{0}-\x{FF}]"), F.decode(F.encode(F.col("text"), "UTF-8"), "ISO-8859-1")).otherwise(F.col("text"))
     fixed = C.repair_mojibake(F.col("spoilt"))
-    return own.select("doc_id", "text", spoilt.alias("spoilt")).select("doc_id", (fixed == F.col("text")).alias("restored"), F.char_length(fixed).alias("n"))
-
-
+    length = lambda c: F.char_length(c).cast("long")
+    return own.select("doc_id", spoilt.alias("spoilt")).select("doc_id", length(F.col("spoilt")).alias("n_spoilt"), length(fixed).alias("n"), F.md5(fixed.cast("binary")).alias("repaired"))
 
 
 @query(RANK_SQL + """, pairs AS (SELECT entity, min(entity) OVER (PARTITION BY region) AS other FROM facts), many AS (SELECT entity FROM pr GROUP BY entity HAVING count(*) >= 3)

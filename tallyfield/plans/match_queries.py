@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import pitch as P
-from ..operators import keeper, lanes, metrics, minutes, normalize, scoring, season, specs, turnovers, zones
+from ..operators import keeper, lanes, metrics, minutes, normalize, ranking, scoring, season, specs, turnovers, zones
 from ..sources.scratch import settle
 from .adapters import FLAGS, lineups, match_sql, match_view
 
@@ -448,6 +450,31 @@ def position_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("player_id", "position_group", "category", "score", "flag")
 
 
+#: Weights and mixture that a user might choose, with the entry points' thresholds, for one team.
+CHOSEN = {g: replace(own, weights={c: w for c, w in zip(own.weights, [0.4, 0.3, 0.2, 0.1, 0.05, 0.05, 0.05, 0.05])}) for g, own in specs.SPECS.items()}
+ENTRY_OF_ALL = {g: scoring.ENTRY.get(g, scoring.ENTRY_ELSE) for g in specs.SPECS}
+
+
+@query(SEASON_SQL + _scores_sql(ENTRY_OF_ALL, CHOSEN, "AND teams = 'T1'", (0.5, 0.5)) + SCORED)
+def chosen_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores with the entry points' thresholds, among the players of one team, with changed weights and mixture."""
+    scored = scoring.score_groups(season_players(spark, sf_dir), teams=["T1"], specs=CHOSEN, mix=(0.5, 0.5))
+    return scored.select("player_id", "position_group", "category", "score", "flag")
+
+
+_LABELS = ", ".join(f"('{g}', {i}, '{c}', '{label}')" for g, own in specs.SPECS.items() for i, (c, label) in enumerate(own.labels.items()))
+
+
+@query(SEASON_SQL + _scores_sql(ENTRY_OF_ALL) + f""", label(grp, i, category, label) AS (VALUES {_LABELS}),
+prof AS (SELECT f.player_id, f.grp, max(CASE WHEN f.category = 'Overall' THEN s END) AS s, string_agg(CASE WHEN flag THEN label END, ' | ' ORDER BY i) AS profile FROM flagged f LEFT JOIN label ON label.grp = f.grp AND label.category = f.category GROUP BY 1, 2)
+SELECT player_id, grp AS position_group, CAST(s AS DOUBLE) / 1e6 AS total, coalesce(profile, 'Balanceado') AS profile, row_number() OVER (ORDER BY s DESC, player_id) AS position FROM prof""")
+def league_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The league's players of all groups in the order of their totals, with profiles and places."""
+    scored = scoring.score_groups(season_players(spark, sf_dir))
+    own = scoring.group_profiles(scored.drop("season"))
+    return ranking.positions(own, [F.desc_nulls_last("total"), "player_id"])
+
+
 @query(""", xi AS (SELECT DISTINCT match_id, player_id, position, team FROM ev WHERE player_id % 3 <> 0),
 sub AS (SELECT match_id, player_id, min(minute) AS minute FROM ev WHERE player_id % 3 = 0 GROUP BY 1, 2)
 SELECT 'xi' AS kind, match_id, player_id, position, team, CAST(NULL AS INTEGER) AS minute FROM xi UNION ALL SELECT 'on', match_id, player_id, NULL, NULL, CAST(minute AS INTEGER) FROM sub UNION ALL SELECT 'off', match_id, player_id + 1, NULL, NULL, CAST(minute AS INTEGER) FROM sub""")

@@ -1,13 +1,15 @@
 """Season metrics against values worked out by hand from their definitions."""
 
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from tallyfield.functions import columns as C
 from tallyfield.functions import pitch as P
-from tallyfield.operators import compare, metrics, normalize, scoring, season
-from tallyfield.operators.specs import SPECS
+from tallyfield.operators import compare, metrics, normalize, ranking, scoring, season
+from tallyfield.operators.specs import SPECS, spec
 from tallyfield.sources import tables
 
 EVENT = "match_id long, player_id long, idx long, period int, minute int, possession long, t double, team string, possession_team string, type string, play_pattern string, x double, y double, pass_end_x double, carry_end_x double, obv_total_net double, shot_statsbomb_xg double, position string, season string, id string, related_events array<string>, goalkeeper_outcome string, shot_outcome string, shot_type string, pass_outcome string, pass_length double, pass_cross string, under_pressure string, duel_type string, duel_outcome string, interception_outcome string, ball_recovery_offensive string, ball_recovery_recovery_failure string, foul_committed_advantage string, foul_committed_offensive string, clearance_head string, clearance_other string, block_deflection string, duel_won double, duel_lost double"
@@ -128,3 +130,105 @@ def test_divided_ranking_equals_the_plain_one(spark):
     df = spark.createDataFrame(rows, "e long, g string, a double, b double")
     plain, divided = (sorted(map(tuple, scoring.long_percentiles(df, ["e"], ["g"], ["a", "b"], parts=p).select("e", "g", "metric", "value", F.round("pct", 9)).collect())) for p in (1, 7))
     assert plain == divided and len(plain) == 720
+
+
+def test_mixed_encodings_in_one_folder(spark, tmp_path):
+    folder = tmp_path / "mixed.csv"
+    folder.mkdir()
+    for name, code in (("a_2023_2024", "utf-8"), ("b_2024_2025", "cp1252"), ("c_2025_2026", "utf-8-sig")):
+        (folder / f"{name}.csv").write_bytes(f"team_name,señal\nPeñarol,José – “{name[0]}”\n".encode(code))
+    names = sorted(tuple(r) for r in tables.read_scores(spark, str(folder)).select("team_name", "señal").collect())
+    assert names == [("Peñarol", f"José – “{n}”") for n in "abc"]
+    assert [[f.rsplit("/", 1)[1][0] for f in files] for files in tables.by_encoding(spark, str(folder))] == [["a", "c"], ["b"]]
+    read = tables.read_events(spark, str(folder), schema="team_name string, note string")
+    assert sorted((r.season, r.team_name) for r in read.collect()) == [(s, "Peñarol") for s in ("2023_2024", "2024_2025", "2025_2026")]
+    assert read.columns == ["team_name", "note", "season"]
+    assert {r.team_name for r in tables.read_scores(spark, f"{folder}/b_2024_2025.csv", encoding="ISO-8859-1").collect()} == {"Peñarol"}
+
+
+def test_literals_keep_their_strings(spark):
+    cells = {
+        "{'id': 7, 'name': 'a: None, b'}": {"id": 7, "name": "a: None, b"},
+        "{'name': \"O'Neil, True \", 'label': None}": {"name": "O'Neil, True ", "label": None},
+        r"{'name': 'it\'s, None ]', 'type': 'x'}": {"name": "it's, None ]", "type": "x"},
+        '{"name": "say \\"True\\"", "id": 3}': {"name": 'say "True"', "id": 3},
+        "{'a': [True, False,None], 'name': 'N'}": {"name": "N"},
+        "{'name': '" + "x: None, " * 5000 + "', 'id': 1}": {"name": "x: None, " * 5000, "id": 1},
+    }
+    df = spark.createDataFrame([(c,) for c in cells], "v string").select("v", C.entity(F.col("v")).alias("e")).collect()
+    for row in df:
+        for key, value in cells[row.v].items():
+            assert row.e[key] == value, row.v[:60]
+    one = spark.createDataFrame([("[True, None,False , 'None']",), (None,), ("",), ("'open",)], "v string").select(C.literal_json(F.col("v")).alias("j")).collect()
+    assert [r.j for r in one] == ["[true, null,false , 'None']", None, "", "'open"]
+
+
+def test_stored_seasons_read_no_data(spark, tmp_path):
+    root = f"{tmp_path}/t"
+    tables.write_season(spark.createDataFrame([(1, "2023_2024"), (2, "2025_2026"), (3, "a b/ñ"), (4, None)], "i long, season string"), root)
+    listed = tables.stored_seasons(spark, root)
+    assert [r.season for r in listed.collect()] == ["a b/ñ", "2025_2026", "2023_2024"]
+    assert "FileScan" not in listed._jdf.queryExecution().executedPlan().toString()
+
+
+def test_exact_quantiles(spark):
+    rows = [("g" if i % 3 else None, float((i * 7919) % 23)) for i in range(200)] + [("h", 1.0), ("g", None)]
+    df = spark.createDataFrame(rows, "g string, value double")
+    want = {r.g: r.q for r in df.where("value is not null").groupBy("g").agg(F.percentile("value", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.75))).alias("q")).collect()}
+    for parts in (1, 5, 40):
+        got = {r.g: r.q for r in ranking.quantiles(df, ["g"], "value", [0.1, 0.5, 0.75], parts).collect()}
+        assert got.keys() == want.keys() and all(got[g] == pytest.approx(want[g]) for g in want)
+    plan = ranking.quantiles(df, ["g"], "value", [0.5], 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile(" not in plan
+    assert ranking.quantiles(df.where("g = 'none'"), ["g"], "value", [0.5], 5).count() == 0
+
+
+def test_positions_without_gaps(spark):
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("k"), F.lit("x").alias("position_")).repartition(7)
+    got = ranking.positions(rows, [F.desc("k")]).select("position", "k").collect()
+    want = sorted((r.k for r in rows.collect()), reverse=True)
+    assert sorted(tuple(r) for r in got) == [(i + 1, k) for i, k in enumerate(want)]
+
+
+def test_equal_scores_are_equal_bits_and_equally_flagged(spark):
+    # 7/11 and 3/11 + 4/11 of a hundred, as means of different metrics: equal as numbers, not as sums of floats.
+    own = spec("g", A=(0.7, "A", "a 0.1\nb 0.2\nc 0.7"), B=(0.3, "B", "c 1.0"))
+    rows = [(i, "s", float(i % 11), float((i * 3) % 11), float((i * 5) % 11)) for i in range(220)]
+    df = spark.createDataFrame(rows, "e long, g string, a double, b double, c double")
+    seen = []
+    for parts, slices in ((1, 1), (1, 4), (1, 16), (6, 5)):
+        spark.conf.set("spark.sql.shuffle.partitions", str(slices))
+        scored = scoring.score(df.repartition(slices), ["e"], ["g"], own, parts=parts).collect()
+        seen.append(sorted((r.e, r.Score_A, r.Score_B, r.Score_Overall, r.flag_Score_A, r.flag_Score_B, r.flag_Score_Overall, r.profile) for r in scored))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert all(s == seen[0] for s in seen)
+    for column, flag in ((1, 4), (2, 5), (3, 6)):
+        assert len({(r[column], r[flag]) for r in seen[0]}) == len({r[column] for r in seen[0]})
+    a = {r[0]: r[1] for r in seen[0]}
+    assert a[0] == a[11] and len(set(a.values())) <= 11
+
+
+def test_all_groups_in_one_plan(spark):
+    named = list(dict.fromkeys(m for s in SPECS.values() for m in s.all_metrics()))[:60]
+    places = [P.positions_of(g)[0] for g in SPECS]
+    rows = [(i, "s" if i % 2 else "t", places[i % 7], 500 + i, 4 + i % 3, f"T{i % 3}, U") + tuple(None if (i * j) % 13 == 0 else float((i * (j + 3)) % 17) for j in range(len(named))) for i in range(1, 150)]
+    players = spark.createDataFrame(rows, "player_id long, season string, primary_position string, total_minutes long, matches_played long, teams string, " + ", ".join(f"`{m}` double" for m in named))
+    for given in ({}, {"teams": ["T1, U"], "mix": (0.5, 0.5)}):
+        together = {(r.player_id, r.season, r.category): (r.score, r.flag) for r in scoring.score_groups(players, **given).collect()}
+        apart = {}
+        for group, own in SPECS.items():
+            for r in scoring.run_position(players, group, **given).collect():
+                for c in (*own.weights, "Overall"):
+                    if r[f"Score_{c}"] is not None:
+                        apart[r.player_id, r.season, c] = (r[f"Score_{c}"], r[f"flag_Score_{c}"])
+        assert together == apart and together
+    profiles = {(r.player_id, r.season): (r.total, r.profile) for r in scoring.group_profiles(scoring.score_groups(players)).collect()}
+    alone = {(r.player_id, r.season): (r.Score_Overall, r.profile) for g in SPECS for r in scoring.run_position(players, g).collect()}
+    assert profiles == alone
+
+
+def test_season_reads_the_log_few_times(spark):
+    from tallyfield.plans.match_queries import season_view
+
+    plan = season_view(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("FileScan") <= 12 and len(re.findall(r"\bExchange\b", plan)) <= 15
