@@ -2,7 +2,8 @@
 
 A word's script narrows the candidate languages to those that use it. Each candidate scores the word by its character
 n-grams, and a Viterbi pass over the words of a text, which pays a penalty for every switch, labels the spans. The
-text's language is the one with most letters in its spans.
+text's language is the one with most letters in its spans. Most texts are of one language from end to end, which sums
+over their words can prove to be the best path; only the others are passed through word by word.
 """
 
 from __future__ import annotations
@@ -39,6 +40,10 @@ FAR = -50.0
 SAMPLE = 1500
 #: Size of the model: n-grams of each language, the most frequent ones. Languages and scripts are all kept.
 FEATURES = 100_000
+#: Numbers that the scores of words are summed from at once.
+CELLS = 8_000_000
+#: What counts as equal in sums over words, for each of them.
+NEAR = 1e-6
 #: Words whose scores a worker keeps.
 KEEP = 300_000
 #: Characters that are labelled together.
@@ -63,8 +68,12 @@ _marks = re.compile(f"[{_ranges(lambda c: unicodedata.category(chr(c))[0] == 'M'
 _marked_words = re.compile(rf"[^\W\d_](?:[^\W\d_]|{_marks.pattern})*")
 
 
+#: From here on there are marks; most texts have no character beyond.
+_late = re.compile("[\u0300-\U0010ffff]")
+
+
 def _pattern(text: str) -> re.Pattern:
-    return _plain_words if text.isascii() or not _marks.search(text) else _marked_words
+    return _plain_words if text.isascii() or not _late.search(text) or not _marks.search(text) else _marked_words
 
 
 def words_of(text: str) -> list[str]:
@@ -106,19 +115,55 @@ class Model:
 
     def words(self, words: list[str]) -> np.ndarray:
         """The words' scores in every language; the n-gram orders vote with equal weight."""
-        if not self.languages or not words:
-            return np.zeros((len(words), len(self.languages)))
-        get = self.rows.get
-        each = [[get(g, len(g)) for g in grams(w)] for w in words]
-        starts = np.cumsum([0, *map(len, each)])[:-1]
-        total = np.add.reduceat(self.values[np.fromiter(itertools.chain.from_iterable(each), np.int64)], starts, axis=0) / ORDER
-        for i, word in enumerate(words):
-            fit = self.candidates.get(script(word))
+        total = np.zeros((len(words), len(self.languages)))
+        if not self.languages:
+            return total
+        step = max(1, CELLS // len(self.languages) // 32)  # words of about ten letters have 32 n-grams
+        for i in range(0, len(words), step):
+            self._score(words[i : i + step], total[i : i + step])
+        return total
+
+    def _index(self) -> tuple[np.ndarray, np.ndarray]:
+        """The n-grams as numbers, sorted, and their rows; made once in every process."""
+        if self.__dict__.get("_sorted") is None:
+            codes = np.array([gram_code(g) for g in self.rows], np.int64)
+            order = np.argsort(codes)
+            self.__dict__["_sorted"] = (codes[order], np.fromiter(self.rows.values(), np.int64, len(codes))[order])
+        return self.__dict__["_sorted"]
+
+    def _score(self, words: list[str], total: np.ndarray) -> None:
+        codes, rows = self._index()
+        marked = "".join([f"^{w}$" for w in words])
+        c = np.frombuffer(marked.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+        start = np.cumsum(size) - size
+        left = np.repeat(start + size, size) - np.arange(len(c))  # characters of the word from here on
+        code = np.zeros(len(c), np.int64)
+        for n in range(1, ORDER + 1):
+            code[: len(c) - n + 1] = (code[: len(c) - n + 1] << 21) | c[n - 1 :]
+            here = left >= n
+            asked = code[here]
+            at = np.minimum(np.searchsorted(codes, asked), max(0, len(codes) - 1))
+            row = np.where(codes[at] == asked, rows[at], n) if len(codes) else np.full(len(asked), n)
+            many = np.maximum(size - n + 1, 0)
+            some = many > 0
+            total[some] += np.add.reduceat(self.values[row], (np.cumsum(many) - many)[some], axis=0)
+        total /= ORDER
+        kinds = np.searchsorted(_starts, c[start + 1], side="right") - 1
+        for kind in np.unique(kinds):
+            fit, mine = self.candidates.get(SCRIPTS[kind][1]), kinds == kind
             if fit is None:
-                total[i] = 0.0  # a script that was never seen tells nothing
+                total[mine] = 0.0  # a script that was never seen tells nothing
             elif not fit.all():
-                total[i] = np.where(fit, total[i], FAR + total[i])
-        return total
+                total[mine] += np.where(fit, 0.0, FAR)
+
+
+def gram_code(gram: str) -> int:
+    """An n-gram as a number: its code points, of 21 bits each, one after the other."""
+    code = 0
+    for c in gram:
+        code = code << 21 | ord(c)
+    return code
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE, features: int = FEATURES) -> Model:
@@ -188,32 +233,56 @@ class Labeller:
         self.rows: dict[str, int] = {}
         self.scores = np.zeros((1024, len(self.model.languages)), np.float32)
         self.letters = np.zeros(1024, np.int64)
+        self.known = np.zeros(1024, np.int64)
 
     def _add(self, words: list[str]) -> None:
         start = len(self.rows)
         while start + len(words) > len(self.letters):
             self.scores = np.concatenate((self.scores, np.zeros_like(self.scores)))
             self.letters = np.concatenate((self.letters, np.zeros_like(self.letters)))
+            self.known = np.concatenate((self.known, np.zeros_like(self.known)))
         counts = [len(w) if w.isalpha() else sum(map(str.isalpha, w)) for w in words]
         self.letters[start : start + len(words)] = counts
+        self.known[start : start + len(words)] = [n if script(w) in self.model.candidates else 0 for n, w in zip(counts, words)]
         self.scores[start : start + len(words)] = self.model.words(words) * (np.array(counts)[:, None] > 0)
         self.rows.update(zip(words, range(start, start + len(words))))
 
-    def paths(self, texts: list[list[str]]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each text, given as words: the language of each word on the best path, and the words' letters."""
+    def paths(self, texts: list[list[str]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each text, given as words: the language of each word on the best path, the words' letters, and those of scripts that the model knows."""
         if len(self.rows) > self.keep:
             self._clear()
         rows = self.rows
         new = [w for w in dict.fromkeys(itertools.chain.from_iterable(texts)) if w not in rows]
         if new:
             self._add(new)
-        index = [np.array([rows[w] for w in words], np.int64) for words in texts]
-        order = sorted(range(len(texts)), key=lambda i: -len(index[i]))
-        labels = self._viterbi([self.scores[index[i]] for i in order])
-        out: list = [None] * len(texts)
-        for i, path in zip(order, labels):
-            out[i] = (path, self.letters[index[i]])
-        return out
+        index = [np.fromiter(map(rows.__getitem__, words), np.int64, len(words)) for words in texts]
+        scores = [self.scores[i] for i in index]
+        labels = [self._constant(s) for s in scores]
+        order = sorted((i for i, path in enumerate(labels) if path is None), key=lambda i: -len(index[i]))
+        for i, path in zip(order, self._viterbi([scores[i] for i in order])):
+            labels[i] = path
+        return [(path, self.letters[i], self.known[i]) for path, i in zip(labels, index)]
+
+    def _constant(self, scores: np.ndarray) -> np.ndarray | None:
+        """The path that stays in one language, where that is sure to be the best one.
+
+        Any other path leaves the language with the greatest sum for runs of words. Each run costs a switch, unless it is
+        the whole text in one other language, whose sum is no greater. So if no run of words gains more than a switch
+        costs, even with the best other language for every word, nothing is better. NEAR keeps rounding and ties out.
+        """
+        if len(scores) == 0 or scores.shape[1] == 0:
+            return np.zeros(len(scores), np.int16)
+        sums = scores.sum(axis=0, dtype=np.float64)
+        top = int(sums.argmax())
+        if scores.shape[1] > 1:
+            others = np.delete(scores, top, axis=1)
+            if sums[top] - np.delete(sums, top).max() < NEAR * len(scores):
+                return None
+            gain = np.cumsum(others.max(axis=1).astype(np.float64) - scores[:, top])
+            before = np.minimum.accumulate(np.concatenate(([0.0], gain[:-1])))
+            if (gain - before).max() > SWITCH - NEAR * len(scores):
+                return None
+        return np.full(len(scores), top, np.int16)
 
     def _viterbi(self, scores: list[np.ndarray]) -> list[np.ndarray]:
         """Best paths, all texts advancing together; scores are in falling order of length."""
@@ -273,11 +342,11 @@ def _groups(texts: list[str]) -> Iterator[list[str]]:
         yield part
 
 
-def _verdict(model: Model, path: np.ndarray, letters: np.ndarray) -> tuple[str, float]:
+def _verdict(model: Model, path: np.ndarray, letters: np.ndarray, known: np.ndarray) -> tuple[str, float]:
     total = int(letters.sum())
     if not total or not model.languages:
         return UNKNOWN, 0.0
-    share = np.bincount(path, weights=letters, minlength=len(model.languages))
+    share = np.bincount(path, weights=known, minlength=len(model.languages))
     top = int(share.argmax())
     return model.languages[top], float(share[top]) / total
 
@@ -293,14 +362,15 @@ def _verdicts(model: Model, texts: list[str | None], spans: bool = False) -> Ite
     for part in _groups([t or "" for t in texts]):
         places = [[m.span() for m in _pattern(t).finditer(t)] for t in part] if spans else []
         words = [[t[a:b].lower() for a, b in p] for t, p in zip(part, places)] if spans else [words_of(t.lower()) for t in part]
-        for i, (path, letters) in enumerate(tool.paths(words)):
-            yield *_verdict(model, path, letters), _spans(model, path, places[i]) if spans else []
+        for i, (path, letters, known) in enumerate(tool.paths(words)):
+            yield *_verdict(model, path, letters, known), _spans(model, path, places[i]) if spans else []
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", spans: bool = False) -> DataFrame:
     """(id, lang_pred, score[, spans]) of every whole text, however long.
 
-    score is the share of the text's letters in spans of lang_pred. A null text, a text without letters, and any text
+    score is the share of the text's letters that lie in spans of lang_pred and in a script that training saw: 0 for a text
+    wholly in other scripts, which gets the language that sorts first, as nothing tells one. A null text, a text without letters, and any text
     under a model without languages give `und` with score 0. Ties go to the language that sorts first. spans hold
     language, start and end (code points) of each run of words. Repeated rows and null ids give a row each; other
     columns are ignored whatever their names; an empty table gives no rows.

@@ -109,11 +109,11 @@ def plain_predict(rows, text):
     for w in words(text):
         top = max(langs, key=lambda g: (best[g][0], [-ord(c) for c in g]))
         best = {g: max((best[g][0], best[g][1]), (best[top][0] - L.SWITCH, best[top][1]), key=lambda x: x[0]) for g in langs}
-        best = {g: (v + score(w, g), [*path, (g, sum(map(str.isalpha, w)))]) for g, (v, path) in best.items()}
+        best = {g: (v + score(w, g), [*path, (g, sum(map(str.isalpha, w)), any(L.script(w) in s for s in scripts.values()))]) for g, (v, path) in best.items()}
     _, path = max(best.values(), key=lambda x: x[0])
-    letters = {g: sum(n for h, n in path if h == g) for g in langs}
+    letters = {g: sum(n for h, n, known in path if h == g and known) for g in langs}
     top = max(langs, key=lambda g: letters[g])
-    return (top, letters[top] / sum(letters.values())) if path else ("und", 0.0)
+    return (top, letters[top] / sum(n for _, n, _ in path)) if path else ("und", 0.0)
 
 
 def test_verdicts_equal_a_plain_version(spark):
@@ -131,6 +131,28 @@ def test_verdicts_equal_a_plain_version(spark):
         assert (r.lang_pred, round(r.score, 9)) == (lang, round(score, 9)), texts[r.doc_id]
 
 
+def test_a_path_is_constant_only_where_it_is_best():
+    model = L.Model(["x", "y", "z"])
+    tool, draw, proved = L.Labeller(model), np.random.default_rng(5), 0
+    for spread in (2, 9, 30):
+        for _ in range(60):
+            s = (draw.normal(0, spread, (int(draw.integers(1, 9)), 3)) + draw.choice([0, 8], 3)).astype(np.float32)
+            path = tool._constant(s)
+            if path is not None:
+                proved += 1
+                value = lambda p: sum(float(s[i, k]) for i, k in enumerate(p)) - L.SWITCH * sum(a != b for a, b in itertools.pairwise(p))  # noqa: E731, B023
+                assert value(path) >= max(value(p) for p in itertools.product(range(3), repeat=len(s))) - 1e-4
+                assert path.tolist() == tool._viterbi([s])[0].tolist()
+    assert 40 < proved < 180
+
+
+def test_unseen_scripts_score_nothing(spark):
+    df = spark.createDataFrame(corpus(), "doc_id long, text string, lang string")
+    asked = spark.createDataFrame([(1, "日本語 中文"), (2, "tala 日本語日"), (3, "tala vemo")], "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in L.identify(asked, L.fit(df)).collect()}
+    assert got == {1: ("aa", 0.0), 2: ("aa", 0.5), 3: ("aa", 1.0)}
+
+
 def test_marks_belong_to_words():
     assert L.words_of("नमस्ते दुनिया, ét́ a1b ́x") == ["नमस्ते", "दुनिया", "ét́", "a", "b", "x"]
 
