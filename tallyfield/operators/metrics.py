@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import pitch as P
+from . import ranking
 
 #: Columns and event types that the season table is broken down by.
 BREAK_DOWN = ("type", "pass_height", "pass_type", "pass_switch", "duel_type", "shot_type", "play_pattern")
@@ -200,7 +201,9 @@ def with_rates(totals_: DataFrame, minutes: DataFrame, metrics: list[str]) -> Da
 def run_report(df: DataFrame, metrics: list[str]) -> DataFrame:
     """(metric, n, mean, median, least, most) of a table's metrics."""
     long = df.unpivot([], metrics, "metric", "value")
-    return long.groupBy("metric").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.median("value").alias("median"), F.min("value").alias("least"), F.max("value").alias("most"))
+    middle = ranking.quantiles(long, ["metric"], "value", [0.5]).select("metric", F.get("q", F.lit(0)).alias("median"))
+    told = long.groupBy("metric").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"))
+    return told.join(middle, "metric", "left").select("metric", "n", "mean", "median", "least", "most")
 
 
 def top_values(df: DataFrame, column: str, k: int) -> DataFrame:

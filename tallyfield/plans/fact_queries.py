@@ -58,9 +58,15 @@ def _category_sql(pairs: dict[str, float]) -> str:
     return f"({top} + {502 * low}) // {1000 * low}"
 
 
+def _limits_sql(scores: list[str]) -> str:
+    """Four times the upper quartile (linear) of each score, as lim_<score>; of n sorted values it lies at (n - 1) * 3 / 4."""
+    at, rest = "(count(*) - 1) * 3 // 4", "(count(*) - 1) * 3 % 4"
+    one = "(list_sort(list({0})))[{1} + 1] * (4 - {2}) + (list_sort(list({0})))[least(count(*), {1} + 2)] * ({2}) AS lim_{0}"
+    return ", ".join(one.format(s, at, rest) for s in scores)
+
+
 def _reached_sql(score: str) -> str:
-    """Whether a score reaches the upper quartile (linear) of the sorted list beside it; of n, (n - 1) * 3 / 4 is where it lies."""
-    return f"4 * {score} >= l_{score}[(n - 1) * 3 // 4 + 1] * (4 - (n - 1) * 3 % 4) + l_{score}[least(n, (n - 1) * 3 // 4 + 2)] * ((n - 1) * 3 % 4)"
+    return f"4 * {score} >= lim_{score}"
 
 
 #: Whole numbers as the scores have them: percentiles of 1e-9, weights and scores of 1e-6.
@@ -71,7 +77,7 @@ SCORE_SQL = (
     + f""" FROM w GROUP BY entity, region),
 c AS (SELECT entity, region, {_category_sql({"revenue": 0.6, "quantity": 0.3, "items": 0.1})} AS vol, {_category_sql({"discount": 0.7, "balance": 0.3})} AS pri, {_category_sql({"returned": 0.6, "open_share": 0.4})} AS qua FROM p),
 t AS (SELECT *, {_mean_sql({"vol": 0.5, "pri": 0.2, "qua": 0.3})} AS tot FROM c),
-q AS (SELECT region, count(*) AS n, list_sort(list(vol)) AS l_vol, list_sort(list(pri)) AS l_pri, list_sort(list(qua)) AS l_qua, list_sort(list(tot)) AS l_tot FROM t GROUP BY region),
+q AS (SELECT region, {_limits_sql(["vol", "pri", "qua", "tot"])} FROM t GROUP BY region),
 f AS (SELECT t.*, {_reached_sql("vol")} AS fv, {_reached_sql("pri")} AS fp, {_reached_sql("qua")} AS fq, {_reached_sql("tot")} AS ft FROM t JOIN q USING (region)),
 s AS (SELECT *, coalesce(nullif(concat_ws(' | ', CASE WHEN fv THEN 'Volume' END, CASE WHEN fp THEN 'Price' END, CASE WHEN fq THEN 'Quality' END), ''), 'Balanceado') AS profile FROM f)
 """
@@ -134,7 +140,7 @@ ORDER_SQL = (
     + f""" FROM w GROUP BY entity),
 c AS (SELECT entity, {_category_sql({"price": 0.7, "discount": 0.3})} AS val, {_category_sql({"quantity": 0.5, "items": 0.5})} AS siz FROM p),
 t AS (SELECT *, {_mean_sql({"val": 0.6, "siz": 0.4})} AS tot FROM c),
-q AS (SELECT count(*) AS n, list_sort(list(val)) AS l_val, list_sort(list(siz)) AS l_siz, list_sort(list(tot)) AS l_tot FROM t)
+q AS (SELECT {_limits_sql(["val", "siz", "tot"])} FROM t)
 """
 )
 

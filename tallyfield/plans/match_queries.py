@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import pitch as P
 from ..operators import keeper, lanes, metrics, minutes, normalize, ranking, scoring, season, specs, turnovers, zones
-from ..sources.scratch import settle
-from .adapters import FLAGS, lineups, match_sql, match_view
+from ..sources import tables
+from ..sources.scratch import scratch, settle
+from .adapters import FLAGS, POSITIONS, lineups, match_sql, match_view
 
 TYPES = ("Pass", "Carry", "Dribble", "Shot", "Pressure", "Ball Recovery", "Interception", "Clearance", "Block", "Foul Committed", "Duel", "Goal Keeper")
 PATTERNS = ("Regular Play", "From Throw In", "From Corner")
@@ -425,9 +427,10 @@ mix AS (SELECT a.player_id, a.grp, 'Defensivo' AS category, (2 * (a.s * {round(m
 cats AS (SELECT * FROM cat WHERE category NOT LIKE '\\_%' ESCAPE '\\' UNION ALL SELECT * FROM mix),
 overall AS (SELECT player_id, cats.grp, 'Overall' AS category, (2 * sum(s * w) + sum(w)) // (2 * sum(w)) AS s FROM cats JOIN weight ON weight.grp = cats.grp AND weight.category = cats.category GROUP BY 1, 2),
 every AS MATERIALIZED (SELECT * FROM cats UNION ALL SELECT * FROM overall),
-lim AS (SELECT grp, category, count(*) AS n, list_sort(list(s)) AS l FROM every GROUP BY 1, 2),
+sorted AS (SELECT grp, category, count(*) AS n, list_sort(list(s)) AS l FROM every GROUP BY 1, 2),
+lim AS (SELECT grp, category, l[(n - 1) * 3 // 4 + 1] * (4 - (n - 1) * 3 % 4) + l[least(n, (n - 1) * 3 // 4 + 2)] * ((n - 1) * 3 % 4) AS four_quartiles FROM sorted),
 flagged AS (
-  SELECT player_id, every.grp, every.category, s, 4 * s >= l[(n - 1) * 3 // 4 + 1] * (4 - (n - 1) * 3 % 4) + l[least(n, (n - 1) * 3 // 4 + 2)] * ((n - 1) * 3 % 4) AS flag
+  SELECT player_id, every.grp, every.category, s, 4 * s >= four_quartiles AS flag
   FROM every JOIN lim ON lim.grp = every.grp AND lim.category = every.category)
 """
 
@@ -497,3 +500,107 @@ def minutes_by_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     played = _played(spark, sf_dir)[1]
     out = season.minutes_export(played, minutes.minutes_summary(played))
     return out.select("match_id", "player_id", "minutes", "starter", "position_match", "primary_position")
+
+
+# Files: the log as it is stored, and tables that are exported.
+
+FILED = ("2023_2024", "2024_2025")
+FILED_SCHEMA = "idx bigint, team string, type string, location string, player string"
+
+
+@query("SELECT idx, CASE WHEN match_id >= 1000000000 THEN '2024_2025' ELSE '2023_2024' END AS season, 'Peñarol – ' || team AS team, type, round(x) AS x, y, player_id, 'Núñez, None ' || player_id AS player_name FROM ev")
+def events_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log as two seasons of CSV files in different encodings, named by season, read and normalised again."""
+    v = match_view(spark, sf_dir)
+    season_ = F.when(F.col("match_id") >= 1_000_000_000, FILED[1]).otherwise(FILED[0])
+    dash = F.when(season_ == FILED[0], F.lit("\x96")).otherwise(F.lit("–"))  # where Windows-1252 has the dash that Latin-1 lacks
+    raw = v.select(
+        season_.alias("season"),
+        "idx",
+        F.concat(F.lit("Peñarol "), dash, F.lit(" "), "team").alias("team"),
+        "type",
+        F.format_string("[%d.0, %d]", F.round("x").cast("long"), F.col("y").cast("long")).alias("location"),
+        F.format_string("{'id': %d, 'name': 'Núñez, None %d', 'label': None}", "player_id", "player_id").alias("player"),
+    )
+    raw = settle(raw, "raw-events")
+    root = f"{scratch(spark)}/files-{uuid.uuid4().hex}"
+    for name, code in zip(FILED, ("ISO-8859-1", "UTF-8")):
+        raw.where(F.col("season") == name).drop("season").write.options(header=True, encoding=code, quote='"', escape='"').csv(f"{root}/events_{name}.csv")
+    own = normalize.normalize_events(tables.read_events(spark, f"{root}/*.csv", schema=FILED_SCHEMA))
+    return own.select("idx", "season", "team", "type", "x", "y", "player_id", "player_name")
+
+
+@query("SELECT player_id, 'Peña ' || player_id AS player_name, CAST(total_minutes AS VARCHAR) AS total_minutes, primary_position FROM pms")
+def exported_season(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Minutes exported as CSV with a byte order mark, most minutes first, and read again; names that were spoilt come back repaired."""
+    own = _summary(spark, sf_dir)[1]
+    spoilt = F.decode(F.encode(F.format_string("Peña %d", "player_id"), "UTF-8"), "ISO-8859-1")
+    path = f"{scratch(spark)}/export-{uuid.uuid4().hex}"
+    tables.export_season(own.select("player_id", spoilt.alias("player_name"), "total_minutes", "primary_position"), path)
+    return tables.read_scores(spark, path).withColumn("player_id", F.col("player_id").cast("long"))
+
+
+@query("SELECT 'T' || (player_id % 2) AS team_name, CAST(player_id AS VARCHAR) AS player_name, total_minutes / 900.0::DOUBLE AS share, round(total_minutes / 900.0::DOUBLE * (matches_played / 10.0::DOUBLE), 6) AS used FROM pms")
+def stored_cost_use(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of minutes and cost as stored, and their product."""
+    share, cost = F.col("total_minutes") / 900.0, F.col("matches_played") / 10.0
+    own = _summary(spark, sf_dir)[1].select(F.concat(F.lit("T"), F.col("player_id") % 2).alias("team_name"), F.col("player_id").cast("string").alias("player_name"), share.alias("minutes_played_percentage"), cost.alias("player_annual_cost_percentage"), (share * cost).alias("talent_cost_utilization_per_player"))
+    path = f"{scratch(spark)}/cost-use-{uuid.uuid4().hex}"
+    tables.write_csv(own, path)
+    return tables.read_cost_use(spark, path).select("team_name", "player_name", F.col("minutes_played_percentage").alias("share"), F.round("talent_cost_utilization_per_player", 6).alias("used"))
+
+
+# Views in which a player has several positions, post-shot values and own goals.
+
+_PLACES = ", ".join(f"'{p}'" for p in POSITIONS)
+_MOVED = f"[{_PLACES}][(player_id + match_id // 1000000000 + idx % 2) % 7 + 1]"
+MOVED_SQL = f""", mv AS (SELECT * EXCLUDE (position), {_MOVED} AS position FROM ev),
+often AS (SELECT match_id, player_id, position, row_number() OVER (PARTITION BY match_id, player_id ORDER BY count(*) DESC, position) AS n FROM mv GROUP BY 1, 2, 3),
+first_ AS (SELECT match_id, player_id, min(position) AS least FROM mv GROUP BY 1, 2),
+pos AS (SELECT pmm.match_id, pmm.player_id, minutes, CASE WHEN starter THEN least ELSE position END AS position_match FROM pmm JOIN often USING (match_id, player_id) JOIN first_ USING (match_id, player_id) WHERE n = 1),
+by_pos AS (SELECT player_id, position_match, sum(minutes) AS m FROM pos GROUP BY 1, 2),
+best AS (SELECT player_id, position_match, m, row_number() OVER (PARTITION BY player_id ORDER BY m DESC, position_match) AS n, sum(m) OVER (PARTITION BY player_id) AS total FROM by_pos),
+named AS (SELECT player_id, string_agg(DISTINCT position, ', ' ORDER BY position) AS all_positions FROM mv GROUP BY 1)
+"""
+
+
+@query(MOVED_SQL + "SELECT best.player_id, position_match AS primary_position, CAST(m AS BIGINT) AS minutes_primary_position, round(m / total, 6) AS primary_position_share, all_positions FROM best JOIN named ON named.player_id = best.player_id WHERE n = 1")
+def several_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main positions of players who change theirs between and within matches, with ties."""
+    place = (F.col("player_id") + F.floor(F.col("match_id") / 1_000_000_000) + F.col("idx") % 2) % 7
+    events = match_view(spark, sf_dir).withColumn("position", F.get(F.array(*map(F.lit, POSITIONS)), place.cast("int")))
+    own = minutes.minutes_summary(minutes.appearances(events, *lineups(events)))
+    return rounded(own.select("player_id", "primary_position", "minutes_primary_position", "primary_position_share", "all_positions"), 6)
+
+
+@query(""", kept AS (SELECT player_id, unnest([CAST(idx - 1 AS VARCHAR), CAST(idx - 2 AS VARCHAR)]) AS shot_id FROM ev WHERE type = 'Goal Keeper'),
+links AS (SELECT kept.player_id, s.shot_outcome AS so, coalesce(s.shot_statsbomb_xg * 1.25, 0) AS psxg FROM kept JOIN ev s ON s.id = shot_id AND s.type = 'Shot' AND s.shot_type <> 'Penalty')
+SELECT player_id, round(sum(psxg) + 1e-9, 4) AS gk_psxg_faced, round(sum(psxg) - count(CASE WHEN so = 'Goal' THEN 1 END) + 1e-9, 4) AS gk_goals_prevented FROM links GROUP BY player_id""")
+def post_shot_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values faced by keepers where the log has a post-shot column beside the shot's own, which goes before it."""
+    events = match_view(spark, sf_dir).withColumn("shot_shot_execution_xg", F.col("shot_statsbomb_xg") * 1.25)
+    faced = keeper.faced(keeper.shot_links(events, penalties=None), keeper.psxg_column(events.columns) == keeper.PSXG[0])
+    return rounded(faced.where("gk_psxg_faced is not null").select("player_id", "gk_psxg_faced", "gk_goals_prevented"), nudge=1e-9)
+
+
+@query(LANE_SQL.replace("y / 16", "CASE WHEN period = 2 THEN 80 - y - 1e-6 ELSE y END / 16") + "SELECT player_id, round(e, 4) AS obv_from_ext, round(i, 4) AS obv_from_int, passes, round(b, 4) AS lane_bias_index FROM lane")
+def turned_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lanes by a place that the caller works out: turned round in the second period."""
+    y = F.when(F.col("period") == 2, 80 - F.col("y") - 1e-6).otherwise(F.col("y"))
+    return rounded(lanes.lane_bias(*_summary(spark, sf_dir), least_passes=5, y=y).select("player_id", "obv_from_ext", "obv_from_int", "passes", "lane_bias_index"))
+
+
+@query(""", led AS (SELECT *, lead(possession_team) OVER (PARTITION BY match_id ORDER BY period, idx) AS np FROM ev)
+SELECT player_id, count(*) AS total_turnovers, count(CASE WHEN type = 'Shot' THEN 1 END) AS turnovers_shot, count(CASE WHEN type = 'Carry' THEN 1 END) AS turnovers_carry FROM led WHERE team = possession_team AND possession_team <> np GROUP BY player_id""")
+def all_turnovers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turnovers with all switches off: any pattern, any restart, any type of event."""
+    lost = turnovers.turnovers(match_view(spark, sf_dir), open_play_only=False, exclude_restarts=False, exclude_types=())
+    return turnovers.turnover_counts(lost, ["Shot", "Carry"])
+
+
+@query(SEASON_SQL.replace("SELECT *, coalesce(n_events_duel_outcome_lost_in_play_per90", "SELECT * EXCLUDE (goals_per90), round(round(goals_per90 + 1e-9, 6) + round(total_shots_per90 + 1e-9, 6), 6) AS goals_per90, coalesce(n_events_duel_outcome_lost_in_play_per90") + _scores_sql(ENTRY_OF_ALL) + """SELECT player_id, max(CASE WHEN category = 'Finalizacion' THEN CAST(s AS DOUBLE) / 1e6 END) AS finishing, max(CASE WHEN category = 'Overall' THEN CAST(s AS DOUBLE) / 1e6 END) AS total, bool_or(category = 'Overall' AND flag) AS flagged FROM flagged WHERE grp = 'Delantero' GROUP BY player_id""")
+def mapped_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forwards by their entry point, with a metric that the caller's mapping makes."""
+    mapped = lambda d: d.withColumn("goals_per90", F.round(F.col("goals_per90") + F.col("total_shots_per90"), 6))
+    scored = scoring.run_position(season_players(spark, sf_dir), "Delantero", derive=mapped)
+    return scored.select("player_id", F.col("Score_Finalizacion").alias("finishing"), F.col("Score_Overall").alias("total"), F.col("flag_Score_Overall").alias("flagged"))

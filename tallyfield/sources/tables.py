@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -34,8 +34,12 @@ def is_utf8(spark: SparkSession, path: str) -> bool:
 WINDOWS = {chr(b): bytes([b]).decode("cp1252") for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
 
 
-#: The column that carries a row's file name until its season is told.
-FILE = "__file_name"
+#: The column that carries a row's file until its season is told.
+FILE = "__file"
+
+
+def _file() -> Column:
+    return F.col("_metadata.file_path").alias(FILE)
 
 
 def _csv(spark: SparkSession, path: str, schema: str | None, encoding: str | None, **options) -> DataFrame:
@@ -44,7 +48,7 @@ def _csv(spark: SparkSession, path: str, schema: str | None, encoding: str | Non
     def read(code: str, files: str | list[str]) -> DataFrame:
         reader = spark.read.options(header=True, encoding=code, **options)
         df = (reader.schema(schema) if schema else reader).csv(files)
-        return df.select("*", F.col("_metadata.file_name").alias(FILE))
+        return df.select("*", _file())
 
     if encoding:
         return read(encoding, path)
@@ -58,12 +62,14 @@ def _csv(spark: SparkSession, path: str, schema: str | None, encoding: str | Non
 
 
 def read_events(spark: SparkSession, path: str, season: str | None = None, schema: str | None = None, encoding: str | None = None) -> DataFrame:
-    """Event CSV or Parquet with its season: the one given, or the one in the file name. Without an encoding each file tells its own."""
+    """Event CSV or Parquet with its season: the one given, or the one in the file's name or its folder's. Without an encoding each file tells its own."""
     if path.rstrip("/").endswith((".csv", ".csv.gz")):
         df = _csv(spark, path, schema, encoding, quote='"', escape='"', multiLine=True)
     else:
-        df = spark.read.parquet(path).select("*", F.col("_metadata.file_name").alias(FILE))
-    return df.withColumn("season", F.lit(season) if season else C.season_of(F.col(FILE))).drop(FILE)
+        df = spark.read.parquet(path).select("*", _file())
+    name, folder = F.element_at(F.split(FILE, "/"), -1), F.try_element_at(F.split(FILE, "/"), F.lit(-2))
+    told = F.coalesce(F.nullif(C.season_of(name), F.lit("")), C.season_of(folder))
+    return df.withColumn("season", F.lit(season) if season else told).drop(FILE)
 
 
 def seasons(df: DataFrame) -> DataFrame:
