@@ -1,17 +1,20 @@
-"""Shared helpers: the scratch folder, cutting lineage, and shipping this package to executors."""
+"""Shared helpers: the library's scratch folder and settled tables, and shipping this package to executors."""
 
 from __future__ import annotations
 
 import contextlib
 import os
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch, settle
+
+__all__ = ["batches_of", "id_bucket", "only", "scratch", "settle", "ship", "table"]
+
 _shipped: set[str] = set()
 
 
@@ -29,30 +32,6 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def scratch(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir. Without one, a local folder in local mode (tests), else an error: executors would each write their own."""
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if given:
-        return given.rstrip("/")
-    have = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if have.isDefined():
-        return str(have.get()).rstrip("/")
-    master = spark.sparkContext.master
-    if master != "local" and not master.startswith("local["):
-        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors share (master {master})")
-    made = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-def settle(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: lineage ends there, and lost executors cost no recomputation."""
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 @contextlib.contextmanager
 def batches_of(spark: SparkSession, rows: int):
     """Jobs planned inside send so many rows at most to Python at once; for tables of large rows."""

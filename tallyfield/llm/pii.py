@@ -57,7 +57,7 @@ _local = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ01234567
 _ip = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _card = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_trigger = re.compile(r"[0-9@]+|[\[({<][ ]?(?:[Aa][Tt]|[Dd][Oo][Tt])\b|\bAT\b|\bat (?=(?:[A-Za-z0-9-]+\.)+[A-Za-z]|[A-Za-z0-9-]+ (?:dot|DOT) )|\b(?:dot|DOT)\b")
+_trigger = re.compile(r"[0-9@\uff20]+|[\[({<][ ]?(?:[Aa][Tt]|[Dd][Oo][Tt])\b|\bAT\b|\bat (?=(?:[A-Za-z0-9-]+\.)+[A-Za-z]|[A-Za-z0-9-]+ (?:dot|DOT) )|\b(?:dot|DOT)\b")
 _atom = re.compile(r"[^\W\d_]+|[0-9]+|.", re.S)
 
 
@@ -162,6 +162,10 @@ LETTER, DIGIT, LINE, BLANK, PLUS, DASH, DOT, COMMA, SLASH, OPEN, CLOSE, BOPEN, B
 CLASSES = 18
 
 
+#: Full-width forms of signs that addresses are made of.
+WIDE = {"\uff20": AT, "\uff0e": DOT}
+
+
 def _classes() -> np.ndarray:
     table = np.full(128, OTHER, np.int8)
     for chars, kind in (("\n\r\v\f", LINE), (" \t", BLANK), ("+", PLUS), ("-", DASH), (".", DOT), (",", COMMA), ("/", SLASH), ("(", OPEN), (")", CLOSE), ("[{<", BOPEN), ("]}>", BCLOSE), ("@", AT), (":", COLON), ("_", UNDER), ("%", PERCENT), ("0123456789", DIGIT)):
@@ -180,7 +184,7 @@ def _class_of(codes: np.ndarray) -> np.ndarray:
     if not plain.all():
         kinds, back = np.unique(codes[~plain], return_inverse=True)
         chars = [chr(c) for c in kinds.tolist()]
-        named = [LETTER if c.isalpha() else LINE if c in "\x85\u2028\u2029" else BLANK if c.isspace() else DASH if 0x2010 <= ord(c) <= 0x2015 else OTHER for c in chars]
+        named = [WIDE[c] if c in WIDE else LETTER if c.isalpha() else LINE if c in "\x85\u2028\u2029" else BLANK if c.isspace() else DASH if 0x2010 <= ord(c) <= 0x2015 else OTHER for c in chars]
         out[~plain] = np.array(named, np.int8)[back]
     return out
 
@@ -438,7 +442,7 @@ def _disguised(kind: str, old: str, draw: random.Random) -> str:
             dot = draw.choice([" dot ", "[dot]", "(dot)", " [dot] ", " (dot) ", "[.]", "(.)", " DOT "])
             at = draw.choice([at, at, f" {word} ", "@"])
         else:
-            at = draw.choice([at, at, at, at, " AT ", " @ ", "[@]", "(@)", " @", "@ "])
+            at = draw.choice([at, at, at, at, " AT ", " @ ", "[@]", "(@)", " @", "@ ", "\uff20"])
         domain = domain.replace(".", draw.choice([dot, dot, ","]) if dot == "." and "@" in at and len(at) == 1 else dot)
         return (local.replace(".", dot) if draw.random() < 0.5 else local) + at + domain
     if kind == "ip":
@@ -456,6 +460,12 @@ def _disguised(kind: str, old: str, draw: random.Random) -> str:
     area, own = rest[:k], rest[k:]
     own = draw.choice([own, f"{own[:3]}-{own[3:]}", f"{own[:3]} {own[3:]}", f"{own[:3]}.{own[3:]}", f"{own[:3]} {own[3:5]} {own[5:]}".strip()])
     sep = draw.choice([" ", "-", ".", "/"])
+    national = draw.random()
+    if national < 0.1:
+        return f"({(area + '5')[:3]}) {_digits(own)[:3]}-{(_digits(own) + '0')[3:7]}"
+    if national < 0.2:
+        pairs = _digits(own) + draw.choice(["", draw.choice("0123456789")])
+        return f"0{area}{draw.choice([' ', ' ', '-', '/'])}{' '.join(pairs[i : i + 2] for i in range(0, len(pairs), 2))}"
     return draw.choice([f"00{country} {area} {own}", f"00{country}{sep}{area}{sep}{own}", f"({area}) {own}", f"({area}){own}", f"{area}-{own}", f"{area}.{own.replace(' ', '.').replace('-', '.')}", f"0{area}{sep}{own}", f"(0{area}) {own}", f"{country}-{area}-{own}", f"+{country}/{area}/{own}", f"0{area} {own}", f"+{country} [{area}] {own}"])
 
 
@@ -463,7 +473,15 @@ def _no_entity(draw: random.Random, words: list[str]) -> str:
     """A number, or a phrase with an at sign, that is no personal data."""
     number = lambda k: draw.choice("123456789") + "".join(draw.choice("0123456789") for _ in range(k - 1))
     word = lambda: draw.choice(words)
+    digits = lambda k: "".join(draw.choice("0123456789") for _ in range(k))
+    coded = lambda k: "".join(draw.choice("0123456789abcdef") for _ in range(k))
     y, m, d = draw.randint(1850, 2060), draw.randint(1, 12), draw.randint(1, 28)
+    if draw.random() < 0.3:  # decimals, measurements, ranges, codes
+        return draw.choice([
+            f"{number(1)}.{digits(draw.randint(5, 14))}", f"{number(draw.randint(2, 3))}.{digits(draw.randint(5, 12))}", f"0.{digits(draw.randint(5, 14))}", f"0.{'0' * draw.randint(1, 4)}{digits(draw.randint(3, 8))}", f"-{number(1)}.{digits(draw.randint(5, 12))}",
+            f"{number(2)}.{digits(6)}, {number(2)}.{digits(6)}", f"{number(1)}.{digits(4)}e-{number(2)}", f"{number(draw.randint(4, 6))}.{digits(draw.randint(2, 4))} {draw.choice(['km', 'kg', 'm', 'EUR', 'ms'])}", f"{number(3)}.{digits(4)}", f"{number(1)},{digits(draw.randint(6, 9))}",
+            f"{number(4)}..{number(4)}", f"{number(5)}..{number(5)}", f"{number(4)}...{number(4)}", f"{number(4)}-{number(4)}", f"{number(6)}-{number(6)}", f"{number(5)}/{number(5)}", f"{number(1)}.{number(1)}.{number(4)}.{number(4)}", " ".join(f"{draw.randint(0, 9)}.{digits(draw.choice([1, 2, 2]))}" for _ in range(draw.randint(2, 6))), " ".join(f"{draw.randint(0, 99)}.{digits(draw.choice([1, 2, 2]))}" for _ in range(draw.randint(2, 4))), coded(draw.choice([16, 32, 40])), "-".join(map(coded, (8, 4, 4, 4, 12))),
+        ])
     body = number(draw.choice([12, 14, 15, 15, 18]))
     unsound = body + next(c for c in "0123456789" if not luhn(body + c))
     return draw.choice([

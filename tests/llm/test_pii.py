@@ -193,3 +193,21 @@ def test_candidates_by_plain_rules():
     whole = "12 3456-789, x\n+4 (55) 66 777\n8888888\na.b [at] c1.de\n1.2.3.4\n"
     shown = sorted(whole[a:b] for a, b in spans)
     assert shown == sorted(["12 3456-789", "3456-789", "+4 (55) 66 777", "4 (55) 66 777", "(55) 66 777", "55) 66 777", "8888888", "a.b [at] c1.de", "b [at] c1.de", "1.2.3.4"])
+
+
+def test_numbers_that_are_no_personal_data_and_national_forms():
+    draw = random.Random(99)
+    n = lambda k: "".join(draw.choice("0123456789") for _ in range(k))
+    coded = lambda k: "".join(draw.choice("0123456789abcdef") for _ in range(k))
+    model = P.fit(corpus())
+    none, some = ["phi = 1.6180339887 and e = 2.7182818284"], []
+    for _ in range(30):
+        none += [f"phi = 1.{n(10)} and e = 2.{n(10)}", f"pi is 3.{n(14)} here", f"ratio 0.{n(9)} of", f"lat {n(2)}.{n(6)} lon {n(2)}.{n(6)}", f"mass 6.{n(5)}e{n(2)} kg", f"sha {coded(40)} ok", f"dist {n(4)}.{n(3)} km and {n(3)}.{n(4)} m", f"p < 0.{n(7)}, r = 0.{n(5)}", f"range {n(5)}..{n(5)} of", f"t={n(2)}:{n(2)}:{n(2)}.{n(6)} end"]
+        area = draw.randint(200, 989)
+        some += [("phone", f"({area}) {n(3)}-{n(4)}"), ("phone", f"030 {n(2)} {n(2)} {n(2)} {n(2)}"), ("phone", f"{area}-{n(3)}-{n(4)}"), ("email", f"ann.b{n(2)}＠shop.com"), ("email", f"joe{n(1)} ＠ mail.org")]
+    added = [[x for x in got if x not in base] for base, got in P.spans_of_all(none, model)]
+    assert sum(map(bool, added)) <= 0.02 * len(none)
+    head = "lorem ipsum, "
+    got = P.spans_of_all([f"{head}{e} dolor sit" for _, e in some], model)
+    found = [(k, len(head), len(head) + len(e)) in spans for (k, e), (_, spans) in zip(some, got)]
+    assert sum(found) >= 0.9 * len(found), sum(found)
