@@ -157,18 +157,19 @@ def total_ratios(df: DataFrame) -> DataFrame:
     return df.withColumns(ratio_columns(df.columns))
 
 
-def composite_columns(rates: dict[str, Column], lost_duels: tuple[str, ...] = LOST_DUELS) -> dict[str, Column]:
-    """Rates made of rates: lost duels and fouls, clearances, and blocks per 90 minutes, null parts as zero."""
+def composite_sql(rates: dict[str, str], lost_duels: tuple[str, ...] = LOST_DUELS) -> dict[str, str]:
+    """Rates made of rates, as SQL over theirs: lost duels and fouls, clearances, and blocks per 90 minutes, null parts as zero."""
     parts = {
         "defensive_actions_lost_per90": [*(f"n_events_duel_outcome_{C.name_part(v)}_per90" for v in lost_duels), "foul_committed_per90"],
         "clearances_total_per90": [f"{c}_per90" for c in CLEARANCES],
         "blocks_total_per90": [f"{c}_per90" for c in BLOCKS],
     }
-    return {name: C.sum_or_zero(*own) for name, names in parts.items() if (own := [rates[n] for n in names if n in rates])}
+    return {name: " + ".join(f"coalesce({rates[n]}, 0.0D)" for n in names if n in rates) for name, names in parts.items() if any(n in rates for n in names)}
 
 
 def composites(df: DataFrame, lost_duels: tuple[str, ...] = LOST_DUELS) -> DataFrame:
-    return df.withColumns(composite_columns({c: F.col(f"`{c}`") for c in df.columns}, lost_duels))
+    found = composite_sql({c: C.named(c) for c in df.columns}, lost_duels)
+    return df.withColumns({name: F.expr(text) for name, text in found.items()})
 
 
 def shots_and_touches(xg: str = "shot_statsbomb_xg", length: float = P.LENGTH, width: float = P.WIDTH) -> list[Column]:

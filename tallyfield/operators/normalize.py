@@ -59,7 +59,8 @@ def of_known_players(rows: DataFrame, players: DataFrame) -> DataFrame:
 
 def contract(df: DataFrame, ordered: list[str]) -> DataFrame:
     """The columns of an output contract that exist, in its order."""
-    return df.select(*[F.col(f"`{c}`") for c in ordered if c in df.columns])
+    have = set(df.columns)
+    return df.selectExpr(*[C.named(c) for c in ordered if c in have])
 
 
 def player_dimension(lineup: DataFrame, events: DataFrame) -> DataFrame:

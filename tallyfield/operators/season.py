@@ -56,14 +56,15 @@ def player_season(events: DataFrame, lineup: DataFrame, on: DataFrame, off: Data
     own = [c for c in (*table.columns, *losses, "foul_committed") if c not in apart]
     broken = [c for c in own if any(c.startswith((f"{m}_{d}_", f"{m}_third_")) for m in split for d in break_down) or c.startswith("n_events_")]
     plain = [c for c in own if c not in set(broken)]
-    column = {c: F.col(f"`{c}`") for c in met.columns} | {c: F.coalesce(c, F.lit(0)) for c in losses} | ratios
-    column["lane_bias_index"] = lanes.lane_index(F.col("obv_from_ext"), F.col("obv_from_int"), F.col("total_passes"), least_passes)
-    minutes_ = "CASE WHEN total_minutes > 0 THEN {} / total_minutes * 90 END"
-    rate = lambda c: C.per90(column[c], F.col("total_minutes")) if c in ratios else F.expr(minutes_.format(f"coalesce({C.named(c)}, 0)" if c in losses else C.named(c)))
-    rates = {f"{c}_per90": rate(c) for c in (*plain, *broken, *COUNTED, "obv_from_ext", "obv_from_int")}
-    column |= rates | metrics.composite_columns(rates, lost_duels) | keeper.keeper_columns(met, places)
+    made = ratios | keeper.keeper_columns(met, places)
+    made["lane_bias_index"] = lanes.lane_index(F.col("obv_from_ext"), F.col("obv_from_int"), F.col("total_passes"), least_passes)
+    met = met.withColumns(made)
+    # The rest is written as SQL: a projection of hundreds of columns, built call by call, would keep the driver busy.
+    column = {c: C.named(c) for c in met.columns} | {c: f"coalesce({C.named(c)}, 0)" for c in losses}
+    rates = {f"{c}_per90": f"CASE WHEN total_minutes > 0 THEN {column[c]} / total_minutes * 90 END" for c in (*plain, *broken, *COUNTED, "obv_from_ext", "obv_from_int")}
+    column |= rates | metrics.composite_sql(rates, lost_duels)
     order = [*BASE, *plain, *RATIOS, *broken, *[f"{c}_per90" for c in (*plain, *broken)], *COMPOSITES, *TOUCHES, "total_passes", "incomplete_passes", *COUNTED, *[f"{c}_per90" for c in COUNTED], *lanes.OUTPUT, *zones.OUTPUT, *keeper.OUTPUT]
-    return met.select(*[column[c].alias(c) for c in dict.fromkeys(order) if c in column])
+    return met.selectExpr(*[f"{column[c]} AS {C.named(c)}" for c in dict.fromkeys(order) if c in column])
 
 
 def minutes_export(played: DataFrame, players: DataFrame) -> DataFrame:

@@ -36,8 +36,8 @@ def query(sql: str | None = None):
 
 def rounded(df: DataFrame, places: int = 4, nudge: float | None = None) -> DataFrame:
     """Doubles to so many places; a nudge takes decimal ties, and minus zero, off the edge, so that the order of sums decides nothing."""
-    shown = lambda c: F.round(c, places) if nudge is None else F.round(c + nudge, places) + 0.0
-    return df.select(*[shown(F.col(f"`{c}`")).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
+    shown = f"round({{0}}, {places})" if nudge is None else f"round({{0}} + {nudge!r}D, {places}) + 0.0D"
+    return df.selectExpr(*[f"{(shown if t == 'double' else '{0}').format(C.named(c))} AS {C.named(c)}" for c, t in df.dtypes])
 
 
 def _played(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -377,7 +377,7 @@ EXACT = ("player_id", "primary_position", "all_positions", "teams", "total_minut
 
 
 def season_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = match_view(spark, sf_dir)
+    events = tables.by_match(match_view(spark, sf_dir))
     values = {"type": list(TYPES), "play_pattern": list(PATTERNS), "duel_type": list(DUEL_TYPES), "shot_type": list(SHOT_TYPES), "duel_outcome": list(DUEL_OUTCOMES), "interception_outcome": list(CAUGHT), "pass_outcome": ["Incomplete"]}
     return season.player_season(events, *lineups(events), values, KINDS, least_passes=5, flags=FLAGS, places=None)
 
@@ -502,6 +502,15 @@ def minutes_by_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("match_id", "player_id", "minutes", "starter", "position_match", "primary_position")
 
 
+@query(TURNOVER_SQL + ZONE_SQL + "SELECT l.player_id, total_turnovers, coalesce(zones, 0) AS zones FROM (SELECT player_id, count(*) AS total_turnovers FROM lost GROUP BY 1) l LEFT JOIN (SELECT player_id, count(*) AS zones FROM zone GROUP BY 1) z ON z.player_id = l.player_id")
+def stored_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turnovers and zones from a log that is laid out by match: the matches are not shuffled again."""
+    log = tables.by_match(match_view(spark, sf_dir))
+    lost = turnovers.turnovers(log).groupBy("player_id").agg(F.count("*").alias("total_turnovers"))
+    own = zones.zone_rectangles(log).groupBy("player_id").agg(F.count("*").alias("zones"))
+    return lost.join(own, "player_id", "left").fillna(0, ["zones"])
+
+
 # Files: the log as it is stored, and tables that are exported.
 
 FILED = ("2023_2024", "2024_2025")

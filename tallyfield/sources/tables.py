@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+import uuid
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from .scratch import scratch
 
 SCORES = "player_id bigint, player_name string, team_name string, matches double, minutes double, primary_position string, primary_position_share double"
 COST_USE = "team_name string, player_name string, minutes_played_percentage double, player_annual_cost_percentage double, talent_cost_utilization_per_player double"
@@ -94,6 +96,21 @@ def write_season(df: DataFrame, root: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("season").parquet(root)
 
 
+def by_match(events: DataFrame, buckets: int | None = None, keys: tuple[str, ...] = ("match_id",)) -> DataFrame:
+    """The log written once in buckets of matches, one file each, as a table that knows it.
+
+    What is done by match, or by match and more, needs no shuffle of this table: windows over a match, appearances,
+    zones, and joins of two such tables. There are as many buckets as the session has shuffle partitions, unless told;
+    take more for larger logs, so that each fits a task.
+    """
+    spark = events.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"log_{uuid.uuid4().hex}"
+    writer = events.repartition(buckets, *keys).write.option("path", f"{scratch(spark)}/{name}")
+    writer.bucketBy(buckets, *keys).sortBy(*keys).format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 def read_scores(spark: SparkSession, path: str, schema: str | None = None, encoding: str | None = None) -> DataFrame:
     """Score CSV with repaired names; without a schema all columns are text, without an encoding each file tells its own."""
     df = _csv(spark, path, schema, encoding).drop(FILE)

@@ -232,3 +232,15 @@ def test_season_reads_the_log_few_times(spark):
 
     plan = season_view(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert plan.count("FileScan") <= 12 and len(re.findall(r"\bExchange\b", plan)) <= 15
+
+
+def test_a_log_laid_out_by_match_is_not_shuffled_by_match(spark):
+    from tallyfield.operators import turnovers, zones
+    from tallyfield.plans.adapters import match_view
+
+    plain = match_view(spark, "/root/testdata/sf0.001")
+    log = tables.by_match(plain, 4)
+    assert sorted(map(str, log.collect())) == sorted(map(str, plain.select(*log.columns).collect()))
+    exchanges = lambda df: len(re.findall(r"\bExchange\b", df._jdf.queryExecution().executedPlan().toString()))
+    assert exchanges(turnovers.turnovers(log)) == 0 < exchanges(turnovers.turnovers(plain))
+    assert exchanges(zones.zone_rectangles(log)) == 0 < exchanges(zones.zone_rectangles(plain))
