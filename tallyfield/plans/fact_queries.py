@@ -163,11 +163,11 @@ def order_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(ORDER_SQL + """, bx AS (SELECT metric, quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.5) AS b, quantile_cont(value, 0.75) AS c FROM lg WHERE metric IN ('price', 'items') GROUP BY metric),
 pl AS (SELECT lg.metric, a, b, c, value, value BETWEEN a - 1.5 * (c - a) AND c + 1.5 * (c - a) AS inside FROM lg JOIN bx ON lg.metric = bx.metric)
-SELECT metric, round(b, 3) AS median, round(a, 3) AS p25, round(c, 3) AS p75, count(*) FILTER (NOT inside) AS outliers, round(min(value) FILTER (inside), 3) AS whisker_low, round(max(value) FILTER (inside), 3) AS whisker_high FROM pl GROUP BY metric, a, b, c""", facts=False)
+SELECT metric, round(b + 1e-9, 3) + 0 AS median, round(a + 1e-9, 3) + 0 AS p25, round(c + 1e-9, 3) + 0 AS p75, count(*) FILTER (NOT inside) AS outliers, round(min(value) FILTER (inside) + 1e-9, 3) + 0 AS whisker_low, round(max(value) FILTER (inside) + 1e-9, 3) + 0 AS whisker_high FROM pl GROUP BY metric, a, b, c""", facts=False)
 def order_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quartiles, whiskers and outliers of all orders as one cohort, from counted ranges."""
     own = compare.box_table(order_facts(spark, sf_dir), ["entity"], [], ["price", "items"], parts=ORDER_PARTS)
-    return rounded(own.groupBy("metric", "median", "p25", "p75", "whisker_low", "whisker_high").agg(F.count_if("outlier").alias("outliers")), 3)
+    return rounded(own.groupBy("metric", "median", "p25", "p75", "whisker_low", "whisker_high").agg(F.count_if("outlier").alias("outliers")), 3, nudge=1e-9)
 
 
 @query("SELECT CAST(year(o_orderdate) AS VARCHAR) || '_' || CAST(year(o_orderdate) + 1 AS VARCHAR) AS season, row_number() OVER (ORDER BY year(o_orderdate) DESC) AS place, count(*) AS orders FROM orders GROUP BY year(o_orderdate)", facts=False)
@@ -196,10 +196,10 @@ BOX = ["revenue", "discount", "balance"]
 @query(RANK_SQL + """, bx AS (SELECT region, metric, quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.5) AS b, quantile_cont(value, 0.75) AS c FROM lg WHERE metric IN ('revenue', 'discount', 'balance') GROUP BY region, metric),
 pl AS (SELECT lg.*, a, b, c, value BETWEEN a - 1.5 * (c - a) AND c + 1.5 * (c - a) AS inside FROM lg JOIN bx ON lg.region = bx.region AND lg.metric = bx.metric),
 wk AS (SELECT region, metric, min(value) AS lo, max(value) AS hi FROM pl WHERE inside GROUP BY region, metric)
-SELECT entity, pl.region, pl.metric, round(value, 3) AS value, round(b, 3) AS median, round(a, 3) AS p25, round(c, 3) AS p75, NOT inside AS outlier, round(lo, 3) AS whisker_low, round(hi, 3) AS whisker_high FROM pl JOIN wk ON pl.region = wk.region AND pl.metric = wk.metric""")
+SELECT entity, pl.region, pl.metric, round(value + 1e-9, 3) + 0 AS value, round(b + 1e-9, 3) + 0 AS median, round(a + 1e-9, 3) + 0 AS p25, round(c + 1e-9, 3) + 0 AS p75, NOT inside AS outlier, round(lo + 1e-9, 3) + 0 AS whisker_low, round(hi + 1e-9, 3) + 0 AS whisker_high FROM pl JOIN wk ON pl.region = wk.region AND pl.metric = wk.metric""")
 def box_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = compare.box_table(supplier_facts(spark, sf_dir), ["entity"], ["region"], BOX)
-    return rounded(own.select("entity", "region", "metric", "value", "median", "p25", "p75", "outlier", "whisker_low", "whisker_high"), 3)
+    return rounded(own.select("entity", "region", "metric", "value", "median", "p25", "p75", "outlier", "whisker_low", "whisker_high"), 3, nudge=1e-9)
 
 
 @query(RANK_SQL + "SELECT entity, region, metric, round(value, 3) AS value, round(avg(value) OVER (PARTITION BY region, metric), 3) AS reference FROM lg WHERE metric IN ('revenue', 'discount', 'balance')")
