@@ -1,84 +1,65 @@
 """Repeated passages, found as sliding runs of consecutive sentences.
 
-A text is cut into sentences at stops and line ends, and these after words whose hash says so, which depends on the
-word alone, so that copies of a passage are cut alike wherever they stand. A run starts at every sentence and takes the
-fewest that make at least RUN sentences and RUN_WORDS words; the shortest run that ends the text is added. The first occurrence of a run, by document id, text hash
-and place, stays; sentences that any other occurrence covers are removed.
-
-Flow: a task hashes the runs of a chunk of documents. Of runs that repeat within the chunk all but the first are marked
-at once, so the chunk sends each distinct run once, to the bucket of its hash; a run in a third of all documents thus
-has one entry for each chunk, not for each document. Buckets answer with the entries that have company, and these few
-are grouped by their whole hash to find the first.
+A text is cut into sentences at stops and line ends. A sentence of more than WHOLE words is the exception: it is divided
+at its commas, colons, semicolons and bars, and what is still longer after words whose checksum says so, which depends
+on the word alone, so that copies of a passage are cut alike wherever they stand. A run starts at every sentence and
+takes the fewest that make at least RUN sentences and RUN_WORDS words; the shortest run that ends the text is added. The
+first occurrence of a run, by document id, text hash and place, stays; sentences that any other occurrence covers are
+removed. Runs are equal if 128 bits of a cryptographic digest of their words are.
+
+Flow: a task digests the runs of a chunk of documents, CHUNK bytes of text at a time, and marks all but the first of runs
+that repeat within the chunk. So a run in a third of all documents meets the others once for each chunk, not for each
+document. One shuffle by digest ranks the rest by place; what is not first goes back to its document. Chunks are of one
+size and rows are in proportion to sentences, so tasks are alike however large the corpus.
 """
 
 from __future__ import annotations
 
-import math
+import hashlib
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import only, settle, ship
-from .packed import pack, unpack
+from .common import settle, ship
 
 RUN = 3
 RUN_WORDS = 30
 #: A text of at least so many words that has no run, for lack of sentences, is one run as a whole.
 WHOLE_WORDS = 15
-#: One word in CUT ends a sentence; so does every LONGEST_WORDS-th word of what is longer still.
-CUT = 3
+#: A sentence of more words is divided at its marks, then after one word in CUT, then after every LONGEST_WORDS-th word (every WHOLE-th if that is more).
+WHOLE = 16
+CUT = 5
 LONGEST_WORDS = 20
-#: Bytes of text that are hashed at a time, in a chunk and in the share of a bucket; at least so many buckets. Chunks
-#: and shares grow together, so that a chunk's message to a bucket stands for ROW bytes of text at least.
+#: Bytes of text that are cut at a time, and bytes of a chunk; a longer text goes alone.
 STEP = 3_000_000
-CHUNK = 6_000_000
-SHARE = 4_000_000
-ROW = 20_000
-BUCKETS = 16
+CHUNK = 16_000_000
 
 _blank = np.zeros(256, bool)
 _blank[[*range(9, 14), 32]] = True
-_lower = np.arange(256, dtype=np.uint64) + np.uint64(1)
-_lower[65:91] += np.uint64(32)
+_lower = np.arange(256, dtype=np.uint8)
+_lower[65:91] += 32
 _stops = np.zeros(256, bool)
 _stops[list(b".!?")] = True
-
-#: Odd bases of the hashes of words and of runs (two, for 80 bits).
-WORD_BASE = 0x9E3779B97F4A7C15
-RUN_BASES = (0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    """base to the powers 0, 1, ... modulo 2 to the 64, at least n of them."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        own = np.full(max(1024, 1 << (n - 1).bit_length() if n > 1 else 1), base, np.uint64)
-        own[0] = 1
-        have = _powers[base] = np.multiply.accumulate(own)
-    return have
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(29))
+_marks = np.zeros(256, bool)
+_marks[list(b",:;|")] = True
 
 
 @dataclass
 class Parts:
-    """The sentences of texts laid end to end: of each text the first sentence (and one past the last), of each sentence its bytes, words and hash sums."""
+    """The sentences of texts laid end to end: of each text the first sentence (and one past the last), of each sentence its bytes and words."""
 
     texts: np.ndarray
     start: np.ndarray
     end: np.ndarray
     words: np.ndarray  # words before each sentence, and their number
-    sums: tuple[np.ndarray, ...]  # of word hashes times powers, before each of these
+    said: bytes  # all words in lower case, a blank after each
+    said_at: np.ndarray  # bytes of said before each sentence, and their number
 
     def runs(self) -> tuple[np.ndarray, ...]:
         """Of every run the text, its label there, the first sentence and one past the last, in order of text and label.
@@ -105,16 +86,21 @@ class Parts:
         order = np.lexsort((label, text))
         return text[order], label[order], at[order], end[order]
 
-    def hashes(self, at: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
-        """Two 64-bit hashes of the words of runs."""
-        out = []
-        for base, sums in zip(RUN_BASES, self.sums):
-            inverse = _power(pow(base, -1, 1 << 64), int(self.words[-1]) + 1)
-            out.append(_mix((sums[end] - sums[at]) * inverse[self.words[at]]))
-        return out
+    def digests(self, at: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """128-bit digests of the words of runs, as pairs of 64-bit numbers."""
+        said = memoryview(self.said)
+        own = [hashlib.blake2b(said[a:b], digest_size=16).digest() for a, b in zip(self.said_at[at].tolist(), self.said_at[end].tolist())]
+        return np.frombuffer(b"".join(own), "<i8").reshape(-1, 2)
+
+
+def _units(stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of words, the last of units marked: each word's place in its unit, and the unit's length."""
+    opens = np.concatenate(([0], np.flatnonzero(stop[:-1]) + 1))
+    sizes = np.diff(np.append(opens, len(stop)))
+    return np.arange(len(stop)) - np.repeat(opens, sizes), np.repeat(sizes, sizes)
 
 
-def cut(data: np.ndarray, offsets: np.ndarray) -> Parts:
+def cut(data: np.ndarray, offsets: np.ndarray, whole: int = WHOLE, every: int = CUT) -> Parts:
     """The sentences of the texts that stand in data (bytes) between offsets; sentences cover a text that has words."""
     size, texts = len(data), len(offsets) - 1
     inside = ~_blank[data]
@@ -126,26 +112,26 @@ def cut(data: np.ndarray, offsets: np.ndarray) -> Parts:
     count = len(starts)
     if not count:
         none = np.zeros(0, np.int64)
-        return Parts(np.zeros(texts + 1, np.int64), none, none, np.zeros(1, np.int64), tuple(np.zeros(1, np.uint64) for _ in RUN_BASES))
-    # A word's hash is the sum of its letters times powers of a base, taken from sums over all bytes of a step.
-    words = np.empty(count, np.uint64)
-    edges = np.unique(np.append(np.searchsorted(starts, np.arange(0, size, STEP)), count))
-    for a, b in zip(edges[:-1], edges[1:]):
-        low, high = int(starts[a]), int(ends[b - 1])
-        total = np.zeros(high - low + 1, np.uint64)
-        np.cumsum(_lower[data[low:high]] * _power(WORD_BASE, high - low)[: high - low], out=total[1:])
-        at = starts[a:b] - low
-        words[a:b] = _mix((total[ends[a:b] - low] - total[at]) * _power(pow(WORD_BASE, -1, 1 << 64), high - low)[at])
+        return Parts(np.zeros(texts + 1, np.int64), none, none, np.zeros(1, np.int64), b"", np.zeros(1, np.int64))
+    # Every word in lower case with one blank: the blank that follows it, or a new one where a text ends with the word.
+    lengths = ends - starts
+    said_at = np.concatenate(([0], np.cumsum(lengths + 1)))
+    kept = inside.copy()
+    kept[ends[ends < size]] = True
+    closes = (ends == size) | np.append(inside, True)[ends]
+    said = np.where(inside, _lower[data], np.uint8(32))[kept]
+    said = np.insert(said, said_at[1:][closes] - 1 - np.arange(int(closes.sum())), np.uint8(32)).tobytes()
 
     per_text = np.searchsorted(starts, offsets)
     stop = _stops[data[ends - 1]]
     stop[per_text[1:][np.diff(per_text) > 0] - 1] = True
     lines = np.searchsorted(starts, np.flatnonzero(data == 10)) - 1
     stop[lines[lines >= 0]] = True
-    stop |= (words >> np.uint64(40)) % np.uint64(CUT) == 0
-    opens = np.concatenate(([0], np.flatnonzero(stop[:-1]) + 1))
-    within = np.arange(count) - np.repeat(opens, np.diff(np.append(opens, count)))
-    stop |= within % LONGEST_WORDS == LONGEST_WORDS - 1
+    stop |= _marks[data[ends - 1]] & (_units(stop)[1] > whole)
+    long = np.flatnonzero(_units(stop)[1] > whole)
+    stop[long] |= np.fromiter((zlib.crc32(said[a:b]) % every == 0 for a, b in zip(said_at[long].tolist(), (said_at[long + 1] - 1).tolist())), bool, len(long))
+    most = max(whole, LONGEST_WORDS)
+    stop |= _units(stop)[0] % most == most - 1
     opens = np.concatenate(([0], np.flatnonzero(stop[:-1]) + 1))
 
     of_text = np.searchsorted(opens, per_text)
@@ -156,13 +142,7 @@ def cut(data: np.ndarray, offsets: np.ndarray) -> Parts:
     tails = of_text[1:][np.diff(of_text) > 0] - 1
     end[tails] = offsets[1:][np.diff(of_text) > 0]
     bounds = np.append(opens, count)
-    sums = []
-    for k, base in enumerate(RUN_BASES):
-        own = words if not k else _mix(words + np.uint64(k))
-        total = np.zeros(count + 1, np.uint64)
-        np.cumsum(own * _power(base, count)[:count], out=total[1:])
-        sums.append(total[bounds])
-    return Parts(of_text, start, end, bounds.astype(np.int64), tuple(sums))
+    return Parts(of_text, start, end, bounds.astype(np.int64), said, said_at[bounds])
 
 
 def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -183,32 +163,27 @@ def _steps(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         at = to
 
 
-def _each(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, Parts]]:
+def _each(column: pa.Array, whole: int = WHOLE, every: int = CUT) -> Iterator[tuple[int, np.ndarray, np.ndarray, Parts]]:
     """(first text, data, offsets, sentences) of parts of a text column."""
     data, offsets = _bytes(column)
     for a, b in _steps(offsets):
         own = data[offsets[a] : offsets[b]]
         places = offsets[a : b + 1] - offsets[a]
-        yield a, own, places, cut(own, places)
+        yield a, own, places, cut(own, places, whole, every)
 
 
-def sentences(text: str) -> list[tuple[int, int]]:
+def sentences(text: str, whole: int = WHOLE, every: int = CUT) -> list[tuple[int, int]]:
     """(start, end) in bytes of the sentences of one text."""
-    for _, _, _, parts in _each(pa.array([text])):
+    for _, _, _, parts in _each(pa.array([text]), whole, every):
         return list(zip(parts.start.tolist(), parts.end.tolist()))
     return []
 
 
-PARTS = "chunk long, doc int, at int, h1 long, h2 int, ids array<{id}>, hs array<long>"
-
-
-def _entries(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int, buckets: int) -> DataFrame:
-    """Messages of chunks to buckets (packed distinct runs), and of each chunk its documents and what repeats within it (bucket below 0)."""
+def _runs(docs: DataFrame, id_col: str, text_col: str, whole: int, every: int, chunk_bytes: int) -> DataFrame:
+    """(own, h, at, d0, d1, again): the runs of every document, with their digests; again where an earlier document of the chunk has the run."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
-            schema = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("runs", pa.binary()), ("again", pa.binary()), ("ids", pa.list_(batch.schema.field(0).type)), ("hs", pa.list_(pa.int64()))])
             # In order of id and text, so that the first of equal runs in the chunk is the first by that order; a document once.
             table = pa.table({"id": batch.column(0), "text": batch.column(1), "h": pc.fill_null(batch.column(2), 0)})
             table = table.take(pc.sort_indices(table, sort_keys=[("id", "ascending"), ("h", "ascending")], null_placement="at_start")).combine_chunks()
@@ -217,101 +192,52 @@ def _entries(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int, buck
             new = np.concatenate(([True], ~(same_id & (h[1:] == h[:-1])))) if len(h) else np.zeros(0, bool)
             table = table.filter(pa.array(new)).combine_chunks()
             found: list[tuple[np.ndarray, ...]] = []
-            first = size = 0
+            size = 0
             texts = table["text"].chunk(0) if table["text"].num_chunks else pa.array([], pa.string())
-            for a, data, offsets, parts in _each(texts):
+            for a, data, offsets, parts in _each(texts, whole, every):
                 doc, label, at, end = parts.runs()
-                h1, h2 = parts.hashes(at, end)
-                found.append((h1, (h2 >> np.uint64(48)).astype(np.uint32), (doc + (a - first)).astype(np.uint32), label.astype(np.uint32)))
+                found.append((doc + a, label, parts.digests(at, end)))
                 size += len(data)
-                last = a + len(offsets) - 1 == len(texts)
-                if size >= chunk_bytes or last:
-                    upto = a + len(offsets) - 1
-                    here = table.slice(first, upto - first)
-                    yield pa.RecordBatch.from_pylist(list(messages(chunk, here, [np.concatenate(x) for x in zip(*found)])), schema)
-                    chunk, first, size, found = chunk + 1, upto, 0, []
-
-    def messages(chunk: int, docs: pa.Table, runs: list[np.ndarray]) -> Iterator[dict]:
-        h1, h2, doc, at = runs
-        order = np.argsort(h1, kind="stable")
-        again = np.zeros(len(h1), bool)
-        again[order[1:]] = (h1[order[1:]] == h1[order[:-1]]) & (h2[order[1:]] == h2[order[:-1]])
-        yield {"chunk": chunk, "bucket": -1 - chunk % buckets, "ids": docs["id"].to_pylist(), "hs": docs["h"].to_pylist(), "again": pack(doc[again], at[again])}
-        own = np.flatnonzero(~again)
-        bucket = (h1[own] >> np.uint64(20)) % np.uint64(buckets)
-        own = own[np.argsort(bucket, kind="stable")]
-        bucket = np.sort(bucket)
-        for part in np.split(np.arange(len(own)), np.flatnonzero(np.diff(bucket)) + 1) if len(own) else ():
-            take = own[part]
-            runs_ = pack(h1[take] & np.uint64(0xFFFFFFFF), h1[take] >> np.uint64(32), h2[take], doc[take], at[take])
-            yield {"chunk": chunk, "bucket": int(bucket[part[0]]), "runs": runs_}
+                if size >= chunk_bytes or a + len(offsets) - 1 == len(texts):
+                    yield chunk(table, *(np.concatenate(x) for x in zip(*found)))
+                    size, found = 0, []
+
+    def chunk(docs: pa.Table, doc: np.ndarray, at: np.ndarray, digest: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((digest[:, 1], digest[:, 0]))  # stable: of equal runs the first comes first
+        again = np.zeros(len(doc), bool)
+        again[order[1:]] = (digest[order[1:]] == digest[order[:-1]]).all(axis=1)
+        own = docs.select(["id", "h"]).take(pa.array(doc)).combine_chunks()
+        ids, hs = (own[c].chunk(0) if own[c].num_chunks else pa.array([], own.schema.field(c).type) for c in ("id", "h"))
+        columns = [ids, hs, pa.array(at.astype(np.int32)), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(again)]
+        return pa.RecordBatch.from_arrays(columns, names=["own", "h", "at", "d0", "d1", "again"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.col(f"`{text_col}`").cast("string")
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.xxhash64(text).alias("h"))
-    return rows.mapInArrow(hashed, f"chunk long, bucket int, runs binary, again binary, ids array<{kind}>, hs array<long>")
-
-
-def _with_company(entries: DataFrame, kind: str, buckets: int) -> DataFrame:
-    """PARTS: entries whose run other chunks have too (h1, h2), what repeats within chunks (no hash), and the chunks' documents."""
-    schema = pa.schema([("chunk", pa.int64()), ("doc", pa.int32()), ("at", pa.int32()), ("h1", pa.int64()), ("h2", pa.int32())])
-
-    def meet(table: pa.Table) -> pa.Table:
-        chunks = np.array(table["chunk"].to_pylist(), np.int64)
-        ids, hs = table["ids"].combine_chunks(), table["hs"].combine_chunks()
-        if table["bucket"][0].as_py() < 0:
-            got = [unpack(x) for x in table["again"].to_pylist()]
-            owner = np.repeat(chunks, [len(g[0]) for g in got])
-            doc, at = (np.concatenate([g[i] for g in got]).astype(np.int32) for i in (0, 1))
-            columns = [pa.array(owner), pa.array(doc), pa.array(at), pa.nulls(len(doc), pa.int64()), pa.nulls(len(doc), pa.int32())]
-            again = pa.table([*columns, pa.nulls(len(doc), ids.type), pa.nulls(len(doc), hs.type)], names=[*schema.names, "ids", "hs"])
-            n = len(chunks)
-            whole = pa.table([pa.array(chunks), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), ids, hs], names=again.column_names)
-            return pa.concat_tables([again, whole])
-        got = [unpack(x) for x in table["runs"].to_pylist()]
-        owner = np.repeat(chunks, [len(g[0]) for g in got])
-        low, high, h2, doc, at = (np.concatenate([g[i] for g in got]) for i in range(5))
-        del got
-        h1 = high.astype(np.uint64) << np.uint64(32) | low
-        order = np.lexsort((h2, h1))
-        a, b = h1[order], h2[order]
-        same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
-        some = np.zeros(len(order), bool)
-        some[1:] |= same
-        some[:-1] |= same
-        take = order[some]
-        columns = [pa.array(owner[take]), pa.array(doc[take].astype(np.int32)), pa.array(at[take].astype(np.int32)), pa.array(h1[take].view(np.int64)), pa.array(h2[take].astype(np.int32))]
-        return pa.table([*columns, pa.nulls(len(take), ids.type), pa.nulls(len(take), hs.type)], names=[*schema.names, "ids", "hs"])
-
-    return entries.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(meet, PARTS.format(id=kind))
-
-
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return rows.mapInArrow(hashed, f"own {kind}, h long, at int, d0 long, d1 long, again boolean")
+
+
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: int = WHOLE, every: int = CUT, chunk_bytes: int = CHUNK) -> DataFrame:
     """(own, h, ats): for each document, by id and hash of its text, the labels of its non-first repeated runs."""
     ship(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
-    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")))).first()[0] or 0
-    even = math.isqrt(size * ROW)
-    buckets = max(BUCKETS, -(-size // max(SHARE, even)))
-    parts = settle(_with_company(_entries(docs, id_col, text_col, max(CHUNK, even), buckets), kind, buckets), "run-parts")
-    named = parts.where("ids is not null").select("chunk", F.posexplode(F.arrays_zip("ids", "hs")).alias("doc", "d")).select("chunk", "doc", F.col("d.ids").alias("own"), F.coalesce("d.hs", F.lit(0)).alias("h"))
-    found = settle(parts.where("at is not null").join(named, ["chunk", "doc"]).select("h1", "h2", "own", "h", "at"), "repeated-runs")
-    place = F.struct("own", "h", "at")
-    first = settle(found.where("h1 is not null").groupBy("h1", "h2").agg(F.min(place).alias("first")), "first-runs")
-    later = found.join(first, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first"))).select("own", "h", "at")
-    return later.unionByName(found.where("h1 is null").select("own", "h", "at")).groupBy("own", "h").agg(F.collect_set("at").alias("ats"))
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    runs = settle(_runs(docs, id_col, text_col, whole, every, chunk_bytes), "sentence-runs")
+    place = F.rank().over(Window.partitionBy("d0", "d1").orderBy("own", "h", "at"))
+    later = runs.where("not again").select("own", "h", "at", place.alias("place")).where("place > 1").select("own", "h", "at")
+    return later.unionByName(runs.where("again").select("own", "h", "at")).groupBy("own", "h").agg(F.collect_set("at").alias("ats"))
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: int = WHOLE, every: int = CUT, chunk_bytes: int = CHUNK) -> DataFrame:
     """(id, text, n_sentences, n_removed, removed): every document without the sentences that others said first.
 
-    removed lists start:end in code points of the old text, neighbours joined. A null text stays null with no
-    sentences. Rows with equal id and text are one document and get equal results; of null ids each text is one.
+    Sentences of up to `whole` words are never divided; longer ones after one word in `every`. With whole=0
+    and every=3 all are divided, which finds more of a passage that begins and
+    ends within sentences, and may leave parts of them. removed lists start:end in code points of the old text,
+    neighbours joined. A null text stays null with no sentences. Rows with equal id and text are one document and get equal results; of null ids each text is one.
     Words are told apart by blanks and compared with A-Z lower-cased. Texts with fewer than WHOLE_WORDS words, and
     repeats shorter than a run, stay. Ids may be of any type that Arrow sorts. Texts are taken whole however long, one at a time if need be. Other columns are
     ignored whatever their names; an empty table gives no rows.
     """
-    found = repeated_runs(docs, id_col, text_col)
+    found = repeated_runs(docs, id_col, text_col, whole, every, chunk_bytes)
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.col(f"`{text_col}`").cast("string")
     own = docs.select(F.col(f"`{id_col}`").alias("mine"), text.alias("text"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("my_h"))
@@ -322,7 +248,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             lists = batch.column(2).to_pylist()
             left, counts, gone_counts, shown = [], [], [], []
             texts = batch.column(1)
-            for first, data, offsets, parts in _each(texts):
+            for first, data, offsets, parts in _each(texts, whole, every):
                 owner, labels, begin, end = parts.runs()
                 of_text = np.searchsorted(owner, np.arange(len(offsets)))
                 counts += np.diff(parts.texts).tolist()

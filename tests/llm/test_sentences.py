@@ -1,5 +1,6 @@
 import random
 import re
+import zlib
 from collections import defaultdict
 
 import pyarrow as pa
@@ -9,32 +10,29 @@ from hypothesis import strategies as st
 
 from tallyfield.llm import sentences as S
 
-M = (1 << 64) - 1
 
+def lowered(word):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), word)
 
-def mixed(x):
-    x = (x ^ x >> 32) * 0xBF58476D1CE4E5B9 & M
-    return x ^ x >> 29
 
-
-def plain_sentences(text):
-    """(start, end, words) by code points: cut at stops, line ends, words whose hash is a multiple of three, and every 20 words."""
+def plain_sentences(text, whole=S.WHOLE, every=S.CUT):
+    """(start, end, words) by code points: cut at stops and line ends; where longer, after marks; where longer still, after words by checksum; at last every 20 words."""
     words = [(m.start(), m.end(), m[0]) for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
-    groups, group = [], []
-    for k, (_, b, w) in enumerate(words):
-        group.append(w)
-        low = re.sub("[A-Z]", lambda m: m[0].lower(), w).encode()
-        hashed = mixed(sum((c + 1) * pow(S.WORD_BASE, i, 1 << 64) for i, c in enumerate(low)) & M)
-        ends = k + 1 == len(words) or w[-1] in ".!?" or "\n" in text[b : words[k + 1][0]] or (hashed >> 40) % 3 == 0
-        if ends or len(group) == 20:
-            groups.append(group)
-            group = []
-    out, at = [], 0
-    for g in groups:
-        start = words[at][0] if at else 0
-        at += len(g)
-        out.append((start, words[at][0] if at < len(words) else len(text), g))
-    return out
+
+    def split(group, ends):
+        out, own = [], []
+        for k in group:
+            own.append(k)
+            if ends(k, len(own)):
+                out.append(own)
+                own = []
+        return [*out, own] if own else out
+
+    groups = split(range(len(words)), lambda k, _: words[k][2][-1] in ".!?" or k + 1 < len(words) and "\n" in text[words[k][1] : words[k + 1][0]])
+    most = max(whole, 20)
+    for longer, ends in ((whole, lambda k, _: words[k][2][-1] in ",:;|"), (whole, lambda k, _: zlib.crc32(lowered(words[k][2]).encode()) % every == 0), (most, lambda _, n: n == most)):
+        groups = [part for g in groups for part in (split(g, ends) if len(g) > longer else [g])]
+    return [(words[g[0]][0] if n else 0, words[g[-1] + 1][0] if n + 1 < len(groups) else len(text), [words[k][2] for k in g]) for n, g in enumerate(groups)]
 
 
 def plain_runs(parts):
@@ -59,7 +57,7 @@ def brute(docs):
     parts = {d: plain_sentences(t or "") for d, t in docs}
     for d, p in parts.items():
         for label, at, n in plain_runs(p):
-            occ[re.sub("[A-Z]", lambda m: m[0].lower(), " ".join(x for _, _, w in p[at : at + n] for x in w))].add((d, label, at, n))
+            occ[lowered(" ".join(x for _, _, w in p[at : at + n] for x in w))].add((d, label, at, n))
     gone = defaultdict(set)
     for places in occ.values():
         for d, _, at, n in sorted(places)[1:]:
@@ -68,18 +66,19 @@ def brute(docs):
 
 
 @settings(max_examples=400, deadline=None)
-@given(st.lists(st.text(alphabet=st.sampled_from(list("abQ.!? \n\tÉ")), max_size=60), max_size=4))
-def test_sentences_and_runs_equal_the_plain_ones(texts):
+@given(st.lists(st.text(alphabet=st.sampled_from(list("abQ.!,? \n\tÉ")), max_size=120), max_size=4), st.sampled_from([0, 4, S.WHOLE, 25]), st.sampled_from([2, S.CUT]))
+def test_sentences_and_runs_equal_the_plain_ones(texts, whole, every):
     seen = 0
-    for first, data, offsets, parts in S._each(pa.array(texts, pa.string())):
+    for first, data, offsets, parts in S._each(pa.array(texts, pa.string()), whole, every):
         text, label, at, end = parts.runs()
         for k in range(len(offsets) - 1):
-            want = plain_sentences(texts[first + k])
+            want = plain_sentences(texts[first + k], whole, every)
             lo, hi = parts.texts[k : k + 2]
             raw = texts[first + k].encode()
             assert [(a - offsets[k], b - offsets[k]) for a, b in zip(parts.start[lo:hi], parts.end[lo:hi])] == [(len(texts[first + k][:a].encode()), len(texts[first + k][:b].encode())) for a, b, _ in want]
             assert not want or parts.end[hi - 1] - offsets[k] == len(raw)
             assert [(m, a - lo, b - a) for t, m, a, b in zip(text, label, at, end) if t == k] == plain_runs(want)
+            assert [parts.said[a:b].decode() for a, b in zip(parts.said_at[lo:hi], parts.said_at[lo + 1 : hi + 1])] == [lowered("".join(f"{x} " for x in w)) for _, _, w in want]
             seen += 1
     assert seen == len(texts)
 
@@ -94,11 +93,10 @@ def corpus():
 
 
 @pytest.mark.parametrize("chunk", [S.CHUNK, 400])
-def test_matches_brute_force(spark, chunk, monkeypatch):
-    monkeypatch.setattr(S, "CHUNK", chunk)
+def test_matches_brute_force(spark, chunk):
     docs = corpus()
     df = spark.createDataFrame([(*d, 1, 2) for d in docs], "doc_id long, text string, own int, ats int").repartition(3)
-    rows = S.remove_repeats(df).collect()
+    rows = S.remove_repeats(df, chunk_bytes=chunk).collect()
     got = {r.doc_id: (r.text, r.n_sentences, r.n_removed) for r in rows}
     assert got == brute(docs) and len(rows) == len(docs)
     assert sum(v[2] > 0 for v in got.values()) > 30 and got[102][2] == got[106][2] == 0 and got[107][0] == "" and got[104][2] > 0
@@ -122,7 +120,7 @@ def test_repeated_rows_and_nulls(spark):
     assert [r.text for r in alone] == [alone[0].text] * 5
     assert S.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     names = S.remove_repeats(spark.createDataFrame([("b", text), ("a", text)], "doc_id string, text string")).collect()
-    assert {r.doc_id: r.n_removed > 5 for r in names} == {"a": False, "b": True}
+    assert {r.doc_id: r.n_removed for r in names} == {"a": 0, "b": n}
 
 
 def test_whole_copies_go_to_their_last_word(spark):
@@ -140,8 +138,8 @@ def test_a_short_sentence_before_a_passage_hides_nothing(spark):
     assert got == {1: passage, 2: "Oh no. "}
 
 
-#: Of the words of planted passages.
-LEAST_REMOVED = 0.9
+#: Of the words of planted passages, with sentences kept whole and with all divided.
+LEAST_REMOVED = {(S.WHOLE, S.CUT): 0.8, (0, 3): 0.9}
 
 
 def planted_passages(texts):
@@ -159,8 +157,29 @@ def planted_passages(texts):
     return docs, planted
 
 
-def test_passages_within_lines_are_found(spark):
+@pytest.mark.parametrize("whole,every", LEAST_REMOVED)
+def test_passages_within_lines_are_found(spark, whole, every):
     docs, planted = planted_passages(1500)
-    got = {r.doc_id: len(dict(docs)[r.doc_id].split()) - len(r.text.split()) for r in S.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).where("n_removed > 0").collect()}
-    assert got.keys() == planted.keys()
-    assert all(got[d] <= planted[d] for d in planted) and sum(got.values()) > LEAST_REMOVED * sum(planted.values())
+    got = {r.doc_id: len(dict(docs)[r.doc_id].split()) - len(r.text.split()) for r in S.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), whole=whole, every=every).where("n_removed > 0").collect()}
+    assert got.keys() <= planted.keys() and len(got) > 0.9 * len(planted)
+    assert all(got[d] <= planted[d] for d in got) and sum(got.values()) > LEAST_REMOVED[whole, every] * sum(planted.values())
+
+
+def test_a_sentence_is_never_broken(spark):
+    """What is removed begins and ends at stops, line ends and the text's ends, where no sentence is long."""
+    for r in S.remove_repeats(spark.createDataFrame([d for d in corpus() if d[0] < 100], "doc_id long, text string")).collect():
+        old = dict(corpus())[r.doc_id]
+        for a, b in [tuple(map(int, c.split(":"))) for c in r.removed.split(",")] if r.removed else []:
+            assert (not a or old[:a].rstrip()[-1] in ".!?") and (b == len(old) or old[:b].rstrip()[-1] in ".!?")
+
+
+def test_rows_are_in_proportion_and_chunks_of_one_size(spark):
+    """A run that all documents share meets the others once for each chunk, and rows grow with the text alone."""
+    shared = "One two three four five six seven. " * 2 + "Red and blue ships sail at dawn over the sea. Ten men sing of rain and of long roads. The moon hung low in mist."
+    sent = []
+    for n in (100, 200, 400, 800):
+        docs = spark.createDataFrame([(i, shared + " " + " ".join(f"w{i}x{k}" for k in range(12)) + ".") for i in range(n)], "doc_id long, text string").coalesce(1)
+        runs = S._runs(docs, "doc_id", "text", S.WHOLE, S.CUT, S.CHUNK).toPandas()
+        sent.append(len(runs))
+        assert runs[~runs.again].groupby(["d0", "d1"]).size().max() == 1
+    assert [b / a for a, b in zip(sent, sent[1:])] == [2, 2, 2]
