@@ -44,10 +44,12 @@ FEATURES = 100_000
 CELLS = 8_000_000
 #: What counts as equal in sums over words, for each of them.
 NEAR = 1e-6
-#: Words whose scores a worker keeps.
+#: Words whose scores a worker keeps, and scores at most.
 KEEP = 300_000
-#: Characters that are labelled together.
+KEEP_SCORES = 20_000_000
+#: Characters that are labelled together, fewer where there are more languages than FEW.
 GROUP = 6_000_000
+FEW = 4
 
 _plain_words = re.compile(r"[^\W\d_]+")
 
@@ -91,6 +93,7 @@ SCRIPTS = (
     (0xFF66, "kana"), (0xFFA0, "hangul"), (0x10000, "other"), (0x20000, "han"),
 )
 _starts = [s for s, _ in SCRIPTS]
+SCRIPT_NAMES = sorted({name for _, name in SCRIPTS})
 
 
 def script(word: str) -> str:
@@ -98,6 +101,11 @@ def script(word: str) -> str:
     return SCRIPTS[bisect.bisect_right(_starts, ord(word[0])) - 1][1]
 
 
+def script_code(name: str) -> int:
+    """A script as a number below 0, which no n-gram has."""
+    return -1 - SCRIPT_NAMES.index(name)
+
+
 def grams(word: str) -> list[str]:
     marked = f"^{word}$"
     return [marked[i : i + n] for n in range(1, min(ORDER, len(marked)) + 1) for i in range(len(marked) - n + 1)]
@@ -105,11 +113,18 @@ def grams(word: str) -> list[str]:
 
 @dataclass
 class Model:
-    """Log probabilities of n-grams in each language (rows of values, those of absent n-grams first), and candidates by script."""
+    """What an absent n-gram scores in each language (a row for each order), what each n-gram adds in the languages that have it, and candidates by script.
+
+    The n-grams stand in order of their codes; those of n-gram i are languages[first[i] : first[i + 1]] of `has`, and
+    `adds` of the same places. So the model's size is that of its counts, however many languages there are.
+    """
 
     languages: list[str]
-    rows: dict[str, int] = field(default_factory=dict)
-    values: np.ndarray = field(default_factory=lambda: np.zeros((ORDER + 1, 0)))
+    absent: np.ndarray = field(default_factory=lambda: np.zeros((ORDER + 1, 0)))
+    codes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    has: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    adds: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float64))
     candidates: dict[str, np.ndarray] = field(default_factory=dict)
     token: str = field(default_factory=lambda: uuid.uuid4().hex)
 
@@ -123,31 +138,28 @@ class Model:
             self._score(words[i : i + step], total[i : i + step])
         return total
 
-    def _index(self) -> tuple[np.ndarray, np.ndarray]:
-        """The n-grams as numbers, sorted, and their rows; made once in every process."""
-        if self.__dict__.get("_sorted") is None:
-            codes = np.array([gram_code(g) for g in self.rows], np.int64)
-            order = np.argsort(codes)
-            self.__dict__["_sorted"] = (codes[order], np.fromiter(self.rows.values(), np.int64, len(codes))[order])
-        return self.__dict__["_sorted"]
-
     def _score(self, words: list[str], total: np.ndarray) -> None:
-        codes, rows = self._index()
         marked = "".join([f"^{w}$" for w in words])
         c = np.frombuffer(marked.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         size = np.fromiter(map(len, words), np.int64, len(words)) + 2
         start = np.cumsum(size) - size
+        word = np.repeat(np.arange(len(words)), size)
         left = np.repeat(start + size, size) - np.arange(len(c))  # characters of the word from here on
         code = np.zeros(len(c), np.int64)
+        width = len(self.languages)
         for n in range(1, ORDER + 1):
             code[: len(c) - n + 1] = (code[: len(c) - n + 1] << 21) | c[n - 1 :]
-            here = left >= n
-            asked = code[here]
-            at = np.minimum(np.searchsorted(codes, asked), max(0, len(codes) - 1))
-            row = np.where(codes[at] == asked, rows[at], n) if len(codes) else np.full(len(asked), n)
-            many = np.maximum(size - n + 1, 0)
-            some = many > 0
-            total[some] += np.add.reduceat(self.values[row], (np.cumsum(many) - many)[some], axis=0)
+            total += np.maximum(size - n + 1, 0)[:, None] * self.absent[n]
+            if not len(self.codes):
+                continue
+            asked, owner = code[left >= n], word[left >= n]
+            at = np.minimum(np.searchsorted(self.codes, asked), len(self.codes) - 1)
+            known = self.codes[at] == asked
+            at, owner = at[known], owner[known]
+            many = self.first[at + 1] - self.first[at]
+            place = np.arange(int(many.sum())) + np.repeat(self.first[at] - (np.cumsum(many) - many), many)
+            cell = np.repeat(owner, many) * width + self.has[place]
+            total += np.bincount(cell, weights=self.adds[place], minlength=total.size).reshape(total.shape)
         total /= ORDER
         kinds = np.searchsorted(_starts, c[start + 1], side="right") - 1
         for kind in np.unique(kinds):
@@ -170,7 +182,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Learn from a bounded sample: about per_language whole texts of each language, chosen by a hash of the id.
 
     Rows without text or language teach nothing; a language is learned however rare it is, unless its texts have no
-    word. Each language has its own FEATURES n-grams and all its scripts, so that none starves for another. Texts are
+    word. Each language has its own FEATURES n-grams and all its scripts, so that none starves for another. What reaches the
+    driver are these counts as three columns, and the model holds no more: about 20 bytes for each n-gram of a language. Texts are
     taken whole, repeated rows count as often as they occur, rows with a null id as one id. Other columns are ignored
     whatever their names. Without training rows the model knows no language.
     """
@@ -188,45 +201,49 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             for lang, seen in words.items():
                 got: Counter = Counter()
                 for w, n in seen.items():
-                    got["\x00" + script(w)] += n
+                    got[script_code(script(w))] += n
                     for g in grams(w):
                         got[g] += n
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(got)), pa.array(list(got), pa.string()), pa.array(list(got.values()), pa.int64())], names=["lang", "gram", "n"])
-
-    summed = sample.mapInArrow(counted, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    is_script = F.startswith("gram", F.lit("\x00"))
-    rank = F.row_number().over(Window.partitionBy("lang", is_script).orderBy(F.desc("n"), "gram"))
-    top = summed.withColumn("rank", rank).where(is_script | (F.col("rank") <= features)).select("lang", "gram", "n").toArrow().to_pylist()
-    return _model(sorted({r["lang"] for r in top}), top)
-
-
-def _model(languages: list[str], counts: list[dict]) -> Model:
-    at = {lang: i for i, lang in enumerate(languages)}
-    table: dict[str, np.ndarray] = {}
-    scripts: dict[str, np.ndarray] = {}
-    for r in counts:
-        where = scripts if r["gram"][0] == "\x00" else table
-        where.setdefault(r["gram"].lstrip("\x00") if where is scripts else r["gram"], np.zeros(len(languages)))[at[r["lang"]]] = r["n"]
-    if not table:
+                codes = [g if isinstance(g, int) else gram_code(g) for g in got]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(got), pa.string()), pa.array(codes, pa.int64()), pa.array(list(got.values()), pa.int64())], names=["lang", "code", "n"])
+
+    summed = sample.mapInArrow(counted, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("lang", F.col("code") < 0).orderBy(F.desc("n"), "code"))
+    top = summed.withColumn("rank", rank).where((F.col("code") < 0) | (F.col("rank") <= features)).select("lang", "code", "n").toArrow()
+    lang = top["lang"].combine_chunks().dictionary_encode()
+    names, own = lang.dictionary.to_pylist(), lang.indices.to_numpy()
+    languages = sorted(names)
+    place = np.array([languages.index(x) for x in names], np.int32)
+    return _model(languages, place[own] if names else own.astype(np.int32), top["code"].to_numpy(), top["n"].to_numpy())
+
+
+def _model(languages: list[str], lang: np.ndarray, code: np.ndarray, n: np.ndarray) -> Model:
+    """The model of counts n of codes in languages; codes below 0 are scripts."""
+    is_script = code < 0
+    scripts = np.zeros((len(SCRIPT_NAMES), len(languages)))
+    np.add.at(scripts, (-1 - code[is_script], lang[is_script]), n[is_script])
+    code, lang, n = code[~is_script], lang[~is_script], n[~is_script]
+    if not len(code):
         return Model([])
-    total, kinds = np.zeros((ORDER + 1, len(languages))), np.ones(ORDER + 1)
-    for g, n in table.items():
-        total[len(g)] += n
-        kinds[len(g)] += 1
+    order = np.lexsort((lang, code))
+    code, lang, n = code[order], lang[order], n[order]
+    codes, first = np.unique(code, return_index=True)
+    length = np.searchsorted([1 << 21, 1 << 42], code, side="right") + 1
+    total = np.zeros((ORDER + 1, len(languages)))
+    np.add.at(total, (length, lang), n)
+    kinds = 1 + np.bincount(length[first], minlength=ORDER + 1)
     some = 0.5
-    log_all = np.log(total + some * kinds[:, None])
-    values = np.concatenate((math.log(some) - log_all, np.array([np.log(n + some) - log_all[len(g)] for g, n in table.items()])))
-    rows = {g: ORDER + 1 + i for i, g in enumerate(table)}
-    words = sum(scripts.values())
-    fits = {s: n >= SCRIPT_SHARE * np.maximum(words, 1) for s, n in scripts.items()}
-    return Model(languages, rows, values, {s: f for s, f in fits.items() if f.any()})
+    absent = math.log(some) - np.log(total + some * kinds[:, None])
+    words = scripts.sum(axis=0)
+    fits = {name: own >= SCRIPT_SHARE * np.maximum(words, 1) for name, own in zip(SCRIPT_NAMES, scripts) if own.any()}
+    return Model(languages, absent, codes, np.append(first, len(code)), lang.astype(np.int32), np.log((n + some) / some), {s: f for s, f in fits.items() if f.any()})
 
 
 class Labeller:
     """Labels texts with one model; scores of recent words are kept in a bounded table."""
 
     def __init__(self, model: Model, keep: int = KEEP):
-        self.model, self.keep = model, keep
+        self.model, self.keep = model, min(keep, KEEP_SCORES // max(1, len(model.languages)))
         self._clear()
 
     def _clear(self) -> None:
@@ -330,12 +347,12 @@ def labeller(model: Model) -> Labeller:
     return _labellers[model.token]
 
 
-def _groups(texts: list[str]) -> Iterator[list[str]]:
+def _groups(texts: list[str], limit: int) -> Iterator[list[str]]:
     part, size = [], 0
     for t in texts:
         part.append(t)
         size += len(t)
-        if size >= GROUP:
+        if size >= limit:
             yield part
             part, size = [], 0
     if part:
@@ -359,7 +376,7 @@ def _spans(model: Model, path: np.ndarray, places: list[tuple[int, int]]) -> lis
 def _verdicts(model: Model, texts: list[str | None], spans: bool = False) -> Iterator[tuple[str, float, list[dict]]]:
     """Language, score and, on request, spans of every text."""
     tool = labeller(model)
-    for part in _groups([t or "" for t in texts]):
+    for part in _groups([t or "" for t in texts], GROUP * FEW // max(FEW, len(model.languages))):
         places = [[m.span() for m in _pattern(t).finditer(t)] for t in part] if spans else []
         words = [[t[a:b].lower() for a, b in p] for t, p in zip(part, places)] if spans else [words_of(t.lower()) for t in part]
         for i, (path, letters, known) in enumerate(tool.paths(words)):

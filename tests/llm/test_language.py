@@ -1,9 +1,12 @@
 import itertools
 import math
+import pickle
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pytest
 
 from tallyfield.llm import language as L
 
@@ -63,7 +66,8 @@ def test_spans_of_mixed_text(spark):
 
 
 def test_cache_renewal():
-    model = L._model(["p", "q"], [{"lang": "p", "gram": g, "n": 5} for g in L.grams("abc") + ["\x00latin"]] + [{"lang": "q", "gram": g, "n": 5} for g in L.grams("xyz") + ["\x00latin"]])
+    counts = [(k, c, 5) for k, w in enumerate(["abc", "xyz"]) for c in [*map(L.gram_code, L.grams(w)), L.script_code("latin")]]
+    model = L._model(["p", "q"], *(np.array(x) for x in zip(*counts)))
     small, large = L.Labeller(model, keep=1), L.Labeller(model)
     for words in (["abc"], ["xyz", "abc"], ["abc", "abc", "xyz"], []):
         assert small.paths([words])[0][0].tolist() == large.paths([words])[0][0].tolist()
@@ -170,3 +174,25 @@ def test_no_language_is_left_out(spark):
     assert got == {g: g for g in rare}
     kept = L.with_known_language(spark.createDataFrame([(1, "tala", 5), (2, "--", 6), (2, "vemo", 7), (None, None, 8)], "doc_id long, text string, lang_pred long"), model)
     assert [tuple(r) for r in kept.collect()] == [(1, "tala", 5), (2, "vemo", 7)]
+
+
+def test_a_model_of_200_languages_is_as_large_as_its_counts():
+    """200 languages of 5,000 n-grams each, most of them in a few languages only; scores equal a dense sum."""
+    draw, many, each = np.random.default_rng(4), 200, 5_000
+    letters = np.array([L.gram_code(chr(97 + int(a)) + chr(97 + int(b)) + chr(97 + int(c))) for a, b, c in draw.integers(0, 26, (20_000, 3))])
+    lang = np.repeat(np.arange(many), each)
+    code = np.concatenate([draw.choice(np.unique(letters), each, replace=False) for _ in range(many)])
+    n = draw.integers(1, 50, len(code))
+    tracemalloc.start()
+    model = L._model([f"l{k:03}" for k in range(many)], np.append(lang, range(many)), np.append(code, [L.script_code("latin")] * many), np.append(n, [9] * many))
+    words = ["".join(chr(97 + int(x)) for x in draw.integers(0, 26, 9)) for _ in range(3_000)]
+    got = model.words(words)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(pickle.dumps(model)) < 30 * len(code) and peak < 400_000_000
+    own = {(c, k): m for c, k, m in zip(code.tolist(), lang.tolist(), n.tolist())}
+    total, kinds = np.bincount(lang, weights=n), 1 + len(set(code.tolist()))
+    for w in (0, 7, 2_999):
+        for k in (0, 50, 199):
+            logs = [math.log((own.get((L.gram_code(g), k), 0) + 0.5) / ((total[k], 0)[len(g) < 3] + 0.5 * (kinds if len(g) == 3 else 1))) for g in L.grams(words[w])]
+            assert got[w, k] == pytest.approx(sum(logs) / 3)
