@@ -66,3 +66,13 @@ def test_extra_columns_and_null_keys(spark):
     # Both repeated last turns are replaced, the greater of them is lent, and the null conversation keeps its own.
     assert lent == sorted([(0, 0, "user", "hi"), (0, 1, "assistant", "b2"), (1, 0, "user", "hey"), (1, 1, "assistant", "a0"), (1, 1, "assistant", "a0"), (None, 0, "assistant", "n")], key=str)
     assert C.with_borrowed_reply(extra.limit(0)).count() == 0
+
+
+def test_ties_in_turn_and_null_turns(spark):
+    """Equal turns go by role and text, a null turn comes first, in whatever order the rows lie."""
+    said = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "assistant", "z"), (1, None, "system", "s"), (1, 1, "assistant", "c"), (1, 1, "assistant", "c")]
+    ordered = [("system", "s"), ("assistant", "z"), ("user", "a"), ("user", "b"), ("assistant", "c"), ("assistant", "c")]
+    rejected = spark.createDataFrame(rows(1, ordered[:4]), SCHEMA)
+    for own in (said, said[::-1]):
+        (got,) = C.preference_pairs(spark.createDataFrame([(*r, "x") for r in own], SCHEMA).repartition(2), rejected).collect()
+        assert tuple(got) == want(1, ordered, ordered[:4])

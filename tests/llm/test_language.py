@@ -196,3 +196,10 @@ def test_a_model_of_200_languages_is_as_large_as_its_counts():
         for k in (0, 50, 199):
             logs = [math.log((own.get((L.gram_code(g), k), 0) + 0.5) / ((total[k], 0)[len(g) < 3] + 0.5 * (kinds if len(g) == 3 else 1))) for g in L.grams(words[w])]
             assert got[w, k] == pytest.approx(sum(logs) / 3)
+
+
+def test_ties_go_to_the_language_that_sorts_first(spark):
+    rows = [(i, "tala vemo pirut", lang) for i, lang in enumerate(["zz", "mm", "zz", "mm"])]
+    model = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    got = L.identify(spark.createDataFrame([(1, "tala vemo"), (2, "other words")], "doc_id long, text string"), model, spans=True).collect()
+    assert [(r.lang_pred, r.score, [s.lang for s in r.spans]) for r in got] == [("mm", 1.0, ["mm"])] * 2

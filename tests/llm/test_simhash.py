@@ -116,3 +116,14 @@ def test_chain_and_empty(spark):
     assert simhash.near_duplicates(none).count() == 0
     twice = spark.createDataFrame([(2, "x y"), (2, "x y"), (None, "x y")], "doc_id long, text string")
     assert [r.component_id for r in simhash.near_duplicates(twice).collect()] == [2, 2, 2]
+
+
+def test_very_long_and_repeated_texts(spark):
+    draw = random.Random(9)
+    long = " ".join(f"w{draw.randint(0, 5_000)}" for _ in range(150_000))
+    rows = [(1, long), (2, long + " end"), (3, "la " * 400_000), (4, "LA " * 7), (5, "x" * 2_000_000), (6, long.upper()), (6, long)]
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    prints = {i: plain_print(t) for i, t in rows}
+    comps = plain_components(prints)
+    assert got == {i: (f"{prints[i]:016x}", comps[i]) for i in prints}
+    assert comps[2] == comps[6] == 1 and comps[4] == 3
