@@ -11,8 +11,8 @@ the history (of the whole pair, for histories with more than a bucket's share of
 the table of its pairs, and reduces every document to sums that need only the global discounts. So text is encoded
 once, each distinct word and pair of a chunk is sent once, and no key gathers all its occurrences in one task.
 
-save() keeps the counts as tables of words and pairs partitioned by bucket; evaluate() scores any texts by joining their
-tokens with these tables.
+save() keeps the counts as tables of words and pairs partitioned by bucket, and the backoff weights of all histories;
+evaluate() looks up each distinct pair of any texts in these tables once, and sums what their tokens score.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from .common import id_bucket, settle, ship
@@ -437,11 +437,28 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
 
 # The stored model.
 
+WORDS, FOLLOWED, HISTORIES = "word string, id long, n long, bucket int", "h long, w long, n long, bucket int", "h long, norm long, log_alpha double, bucket int"
+
+
+def _kept(n: Column, by: list[float]) -> Column:
+    """What the discounts leave of counts."""
+    return n * F.when(n <= LARGEST, F.get(F.array(*map(F.lit, by)), n.cast("int"))).otherwise(1.0)
+
+
+def _histories(words: DataFrame, pairs: DataFrame, model: Row, buckets: int) -> DataFrame:
+    """(h, norm, log_alpha, bucket) of every history that training words follow."""
+    p = _kept(F.col("n"), model["word_discounts"]) / model["norm"]
+    seen = pairs.join(words.select(F.col("id").alias("w"), p.alias("p")), "w").groupBy("h").agg(F.sum("n").alias("times"), F.sum("p").alias("taken"), F.sum(F.col("n") - _kept(F.col("n"), model["pair_discounts"])).alias("freed"), F.count_if(F.col("n") <= LARGEST).alias("small"))
+    norm = F.col("times") + F.when(F.col("small") == 0, 1).otherwise(0)
+    alpha = F.log10((norm - F.col("times") + F.col("freed")) / norm) - F.log10(1 - F.col("taken"))
+    return seen.select("h", norm.alias("norm"), alpha.alias("log_alpha"), (F.col("h") % buckets).cast("int").alias("bucket"))
+
 
 def save(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, share_bytes: int = SHARE, least_buckets: int = BUCKETS) -> None:
-    """Write the model of the documents outside the held-out fold: words (word, id, n) and pairs (h, w, n), partitioned by bucket, and a row of totals.
+    """Write the model of the documents outside the held-out fold: words (word, id, n), pairs (h, w, n) and histories (h, norm, log_alpha), partitioned by bucket, and a row of totals.
 
-    Words that only held-out documents have, and pairs likewise, are not in it. An empty table gives empty tables.
+    Words that only held-out documents have, and pairs likewise, are not in it. An empty table gives empty tables. A
+    folder that holds a model already is an error.
     """
     spark = docs.sparkSession
     own = _trained(docs, id_col, text_col, folds, share_bytes, least_buckets)
@@ -466,23 +483,20 @@ def save(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     table.write.partitionBy("bucket").parquet(f"{path}/pairs")
     row = (own.words.total, own.words.kinds, own.documents, [float(x) for x in own.words.d], float(own.words.norm), float(own.words.unseen), [float(x) for x in own.discounts])
     spark.createDataFrame([row], "total long, kinds long, documents long, word_discounts array<double>, norm double, unseen double, pair_discounts array<double>").write.parquet(f"{path}/model")
+    model = spark.read.parquet(f"{path}/model").first()
+    stored = [spark.read.schema(t).parquet(f"{path}/{name}") for name, t in (("words", WORDS), ("pairs", FOLLOWED))]
+    _histories(*stored, model, buckets).write.partitionBy("bucket").parquet(f"{path}/histories")
 
 
 def evaluate(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, n_known, base_score, score) of texts under a model that save() wrote, token by token: a pair's own estimate, or else the history's backoff weight times the word's.
+    """(id, n_tokens, n_known, base_score, score) of texts under a model that save() wrote: for each token its pair's own estimate, or else the history's backoff weight times the word's.
 
     Null texts are empty, repeated rows and null ids give a row each, other columns are ignored, and an empty table gives no rows.
     """
     spark = docs.sparkSession
     model = spark.read.parquet(f"{path}/model").first()
     # With their schemas, so that tables without rows can be read too.
-    words = spark.read.schema("word string, id long, n long, bucket int").parquet(f"{path}/words").drop("bucket")
-    pairs = spark.read.schema("h long, w long, n long, bucket int").parquet(f"{path}/pairs").drop("bucket")
-
-    def taken_off(n: Column, by: list[float]) -> Column:
-        return n * F.when(n <= LARGEST, F.get(F.array(*map(F.lit, by)), n.cast("int"))).otherwise(1.0)
-
-    one = F.coalesce(taken_off(F.col("n"), model["word_discounts"]) / model["norm"], F.lit(model["unseen"]))
+    words, pairs, histories = (spark.read.schema(t).parquet(f"{path}/{name}").drop("bucket") for name, t in (("words", WORDS), ("pairs", FOLLOWED), ("histories", HISTORIES)))
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     lowered = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
     said = F.concat(F.array_remove(F.split(lowered, r"[\x20\x09-\x0D]+"), ""), F.array(F.lit("")))
@@ -491,15 +505,16 @@ def evaluate(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     rows = settle(rows, "said")
     # The word before each word; the first has none, which stands for the start.
     placed = rows.select("row", F.posexplode(F.arrays_zip(F.col("said").alias("word"), F.concat(F.array(F.lit(None).cast("string")), F.col("said")).alias("before"))).alias("at", "t")).where("t.word is not null")
-    known = words.select(F.col("word").alias("before"), F.col("id").alias("h"), F.col("n").alias("times"))
-    tokens = placed.select("row", "t.word", "t.before").join(words, "word", "left").join(known, "before", "left")
-    start = F.col("before").isNull()
-    tokens = tokens.select("row", F.col("id").alias("w"), "n", one.alias("p"), F.when(start, F.lit(START)).otherwise(F.col("h")).alias("h"), F.when(start, F.lit(model["documents"])).otherwise(F.coalesce("times", F.lit(0))).alias("times"))
-    seen = pairs.join(words.select(F.col("id").alias("w"), one.alias("p")), "w").groupBy("h").agg(F.sum("n").alias("all"), F.sum("p").alias("taken"), F.sum(F.col("n") - taken_off(F.col("n"), model["pair_discounts"])).alias("freed"), F.count_if(F.col("n") <= LARGEST).alias("small"))
-    met = tokens.join(pairs.select("h", "w", F.col("n").alias("r")), ["h", "w"], "left").join(seen, "h", "left")
-    norm = F.col("times") + F.when(F.coalesce("small", F.lit(0)) == 0, 1).otherwise(0)
-    alpha = F.log10((norm - F.col("times") + F.coalesce("freed", F.lit(0.0))) / norm) - F.log10(1 - F.coalesce("taken", F.lit(0.0)))
-    own = F.when(F.col("r").isNotNull(), F.log10(taken_off(F.col("r"), model["pair_discounts"]) / norm)).when(F.col("times") > 0, alpha + F.log10("p")).otherwise(F.log10("p"))
+    placed = placed.select("row", "t.word", "t.before")
+    # Each distinct pair is looked up once, so that no frequent word meets the tables for all its tokens.
+    ids = words.select(F.col("word").alias("before"), F.col("id").alias("h"))
+    asked = placed.select("before", "word").distinct().join(words.select("word", F.col("id").alias("w"), "n"), "word", "left").join(ids, "before", "left")
+    asked = asked.withColumn("h", F.when(F.col("before").isNull(), F.lit(START)).otherwise(F.col("h")))
+    met = asked.join(pairs.select("h", "w", F.col("n").alias("r")), ["h", "w"], "left").join(histories, "h", "left")
+    p = F.coalesce(_kept(F.col("n"), model["word_discounts"]) / model["norm"], F.lit(model["unseen"]))
+    own = F.when(F.col("r").isNotNull(), F.log10(_kept(F.col("r"), model["pair_discounts"]) / F.col("norm"))).when(F.col("norm").isNotNull(), F.col("log_alpha") + F.log10(p)).otherwise(F.log10(p))
     base = F.log10((F.coalesce("n", F.lit(0)) + 0.1) / (model["total"] + 0.1 * (model["kinds"] + 1)))
-    sums = met.groupBy("row").agg(F.count("*").alias("n_tokens"), F.count("n").alias("n_known"), F.sum(base).alias("base_score"), F.sum(own).alias("score"))
+    scored = met.select(F.col("before").alias("h_said"), F.col("word").alias("said"), F.col("n").isNotNull().alias("known"), base.alias("base"), own.alias("score"))
+    found = placed.join(scored, F.col("before").eqNullSafe(F.col("h_said")) & (F.col("word") == F.col("said")))
+    sums = found.groupBy("row").agg(F.count("*").alias("n_tokens"), F.count_if("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
     return rows.select("row", "own").join(sums, "row").select(F.col("own").alias(id_col), "n_tokens", "n_known", "base_score", "score")

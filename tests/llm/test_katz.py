@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.errors import AnalysisException
 
 from tallyfield.llm import katz as K
 
@@ -126,6 +127,13 @@ def test_stored_model_scores_texts_token_by_token(spark, tmp_path):
     assert {"bucket", "h", "w", "n"} == set(counts.columns) and sorted(r.n for r in counts.collect()) == sorted(plain.two.values())
     words = {r.word: r.n for r in spark.read.parquet(f"{path}/words").collect()}
     assert words == {w or "": n for w, n in plain.one.items()}
+    weights = {r.h: (r.norm, r.log_alpha) for r in spark.read.parquet(f"{path}/histories").collect()}
+    ids = {r.word: r.id for r in spark.read.parquet(f"{path}/words").collect()} | {"<s>": K.START}
+    for h in ("<s>", "w1", "w399"):
+        norm, loose = plain._mass({x: plain.two[h, x] for x in plain.words[h]}, plain.past[h], plain.d2)
+        assert weights[ids[h]] == pytest.approx((norm, math.log10(loose / (1 - sum(plain.p1(x) for x in plain.words[h])))))
+    with pytest.raises(AnalysisException):
+        K.save(df, path, share_bytes=4000, least_buckets=3)
     asked = docs + [(1000, "never seen words at all"), (1001, "w1 never w2"), (1002, "ß W3")]
     got = K.evaluate(spark.createDataFrame([(*d, "x") for d in asked], "doc_id long, text string, n string"), path).collect()
     want = [plain.row(*d) for d in asked]
