@@ -86,3 +86,70 @@ def test_clashing_columns(spark, model):
     labels = spark.createDataFrame([(3, 1)], LABELS).withColumn("text", F.lit("y"))
     assert by_id(Q.predict(df, model))[3].predicted == 1
     Q.fit(df, labels)
+
+
+def test_every_label_is_learnt_from(spark, monkeypatch):
+    # 2700 good documents and 2600 bad ones; the rows of one label that lie beyond 2500 count like the others.
+    monkeypatch.setattr(Q, "CELL", 10_000)
+    texts = {i: f"{GOOD} {i} {'word ' * (i % 40)}" if i % 53 < 27 else f"{BAD} {i} {'! ' * (i % 40)}" for i in range(7100)}
+    docs = spark.createDataFrame(list(texts.items()), DOCS)
+    labels = spark.createDataFrame([(i, int(i % 53 < 27)) for i in texts], LABELS)
+    kept = [r.doc_id for r in labels.where(~Q.is_held_out(F.col("doc_id"))).collect()]
+    side = {q: np.array([Q.features(texts[i].encode()) for i in kept if int(i % 53 < 27) == q], np.float32).astype(float) for q in (0, 1)}
+    assert min(map(len, side.values())) > 2500
+    model, want = Q.fit(docs, labels), Q.learn(side[1], side[0], len(side[0]) / len(kept))
+    assert np.allclose(model.mean, want.mean, rtol=0, atol=1e-9) and np.allclose(model.spread, want.spread, rtol=0, atol=1e-9)
+    raw = np.r_[model.raw(side[1]), model.raw(side[0])]
+    assert (raw <= model.cut).sum() == len(side[0])
+
+
+def test_cells_and_a_rare_label(spark, monkeypatch):
+    # Three bad documents are copied to all of the cells; the model is the same to the bit however the tables lie.
+    monkeypatch.setattr(Q, "CELL", 16)
+    rows = [(i, f"{BAD} {i}" if i in (3, 100, 201) else f"{GOOD} {i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(i, int(i not in (3, 100, 201))) for i, _ in rows], LABELS)
+    assert labels.where(~Q.is_held_out(F.col("doc_id")) & (F.col("quality") == 0)).count() > 0
+    a, b = Q.fit(docs, labels), Q.fit(docs.union(docs.limit(50)).repartition(7), labels.repartition(5))
+    assert a.cut == b.cut and (a.weights == b.weights).all() and (a.mean == b.mean).all()
+    got = by_id(Q.predict(docs, a))
+    assert [i for i, r in got.items() if not r.predicted] == [3, 100, 201]
+
+
+def test_sums_over_pairs():
+    rng = np.random.default_rng(5)
+    for n_good, n_bad in ((30, 7), (7, 30), (5, 5), (1, 20)):
+        good, bad, beta = rng.normal(size=(n_good, 6)), rng.normal(size=(n_bad, 6)), rng.normal(size=6)
+        winners, losers = Q._opponents(n_good, n_bad)
+        assert set(winners) == set(range(n_good)) and set(losers) == set(range(n_bad))
+        x = good[winners] - bad[losers]
+        p = 1 / (1 + np.exp(-(x @ beta)))
+        loss, gradient, curve = Q._slopes(good, bad, beta)
+        assert loss == pytest.approx(-np.log(p).sum()) and np.allclose(gradient, x.T @ (p - 1)) and np.allclose(curve, (x * (p * (1 - p))[:, None]).T @ x)
+
+
+def test_a_step_too_far_is_halved():
+    # log cosh is flat away from its lowest point, so that full steps from 2 run away to both sides.
+    def slopes(beta):
+        x = beta[0] - 2
+        curve = np.zeros((Q.N_FEATURES, Q.N_FEATURES))
+        curve[0, 0] = 1000 / np.cosh(x) ** 2
+        return 1000 * np.log(np.cosh(x)), np.eye(1, Q.N_FEATURES)[0] * 1000 * np.tanh(x), curve
+
+    beta = Q._newton(slopes)
+    assert abs(1000 * np.tanh(beta[0] - 2) + Q.PENALTY * beta[0]) < 1e-2 and not beta[1:].any()
+
+
+def test_cut_is_the_exact_quantile(spark, monkeypatch):
+    monkeypatch.setattr(Q, "BINS", 4)
+    rng = np.random.default_rng(6)
+    # Some scores are equal, one lies far off.
+    for raw in (np.round(rng.normal(size=200), 1), rng.normal(size=200), np.zeros(9), np.r_[rng.normal(size=50), 1e9]):
+        good = rng.random(len(raw)) < 0.7
+        good[:2] = True, False
+        table = spark.createDataFrame(list(zip(raw.tolist(), good.tolist(), strict=True)), "raw double, good boolean")
+        for share in (0.05, 0.3, 0.9):
+            weight = share / (~good).sum(), (1 - share) / good.sum()
+            order = np.lexsort((~good, raw))
+            at = int(np.searchsorted(np.cumsum(np.where(good, weight[1], weight[0])[order]), share - 1e-9))
+            assert Q._cut(table, weight, share) == (raw[order[at]] + raw[order[min(at + 1, len(raw) - 1)]]) / 2
