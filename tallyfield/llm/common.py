@@ -6,6 +6,7 @@ import contextlib
 import os
 import tempfile
 import zipfile
+from collections.abc import Callable, Hashable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,9 +14,21 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import scratch, settle
 
-__all__ = ["batches_of", "id_bucket", "only", "scratch", "settle", "ship", "table"]
+__all__ = ["batches_of", "id_bucket", "only", "scratch", "settle", "ship", "table", "tool"]
 
 _shipped: set[str] = set()
+_tool: dict[Hashable, object] = {}
+
+
+def tool(key: Hashable, make: Callable[[], object]) -> object:
+    """What `make` gives, kept for the next tasks of this Python worker until one asks for another key.
+
+    Workers outlive stages, so tools with tables of words would else add up over the stages of a pipeline.
+    """
+    if key not in _tool:
+        _tool.clear()
+        _tool[key] = make()
+    return _tool[key]
 
 
 def ship(spark: SparkSession) -> None:

@@ -16,7 +16,7 @@ import sys
 import unicodedata
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import id_bucket, only, settle, ship
+from .common import batches_of, id_bucket, only, settle, ship, tool
 
 UNKNOWN = "und"
 #: Longest character n-gram of a word with its ends marked.
@@ -41,15 +41,18 @@ SAMPLE = 1500
 #: Size of the model: n-grams of each language, the most frequent ones. Languages and scripts are all kept.
 FEATURES = 100_000
 #: Numbers that the scores of words are summed from at once.
-CELLS = 8_000_000
+CELLS = 1_000_000
 #: What counts as equal in sums over words, for each of them.
 NEAR = 1e-6
 #: Words whose scores a worker keeps, and scores at most.
-KEEP = 300_000
+KEEP = 200_000
 KEEP_SCORES = 20_000_000
 #: Characters that are labelled together, fewer where there are more languages than FEW.
 GROUP = 6_000_000
 FEW = 4
+#: Words of them that are held as strings at once (a text at least), and texts that are taken out of a batch at once.
+STRINGS = 100_000
+TEXTS = 500
 
 _plain_words = re.compile(r"[^\W\d_]+")
 
@@ -209,7 +212,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     summed = sample.mapInArrow(counted, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang", F.col("code") < 0).orderBy(F.desc("n"), "code"))
-    top = summed.withColumn("rank", rank).where((F.col("code") < 0) | (F.col("rank") <= features)).select("lang", "code", "n").toArrow()
+    with batches_of(docs.sparkSession, TEXTS):
+        top = summed.withColumn("rank", rank).where((F.col("code") < 0) | (F.col("rank") <= features)).select("lang", "code", "n").toArrow()
     lang = top["lang"].combine_chunks().dictionary_encode()
     names, own = lang.dictionary.to_pylist(), lang.indices.to_numpy()
     languages = sorted(names)
@@ -264,19 +268,27 @@ class Labeller:
         self.scores[start : start + len(words)] = self.model.words(words) * (np.array(counts)[:, None] > 0)
         self.rows.update(zip(words, range(start, start + len(words))))
 
-    def paths(self, texts: list[list[str]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each text, given as words: the language of each word on the best path, the words' letters, and those of scripts that the model knows."""
-        if len(self.rows) > self.keep:
-            self._clear()
+    def _places(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """The places of the texts' words in the table, which gets those that it lacks."""
         rows = self.rows
         new = [w for w in dict.fromkeys(itertools.chain.from_iterable(texts)) if w not in rows]
         if new:
             self._add(new)
-        index = [np.fromiter(map(rows.__getitem__, words), np.int64, len(words)) for words in texts]
-        scores = [self.scores[i] for i in index]
-        labels = [self._constant(s) for s in scores]
+        return [np.fromiter(map(rows.__getitem__, words), np.int32, len(words)) for words in texts]
+
+    def paths(self, texts: Iterable[list[str]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each text, given as words: the language of each word on the best path, the words' letters, and those of scripts that the model knows.
+
+        Of all texts only the places of their words are held, as words take 20 times the memory.
+        """
+        if len(self.rows) > self.keep:
+            self._clear()
+        index: list[np.ndarray] = []
+        for part in _groups(texts, STRINGS):
+            index += self._places(part)
+        labels = [self._constant(self.scores[i]) for i in index]
         order = sorted((i for i, path in enumerate(labels) if path is None), key=lambda i: -len(index[i]))
-        for i, path in zip(order, self._viterbi([scores[i] for i in order])):
+        for i, path in zip(order, self._viterbi([self.scores[index[i]] for i in order])):
             labels[i] = path
         return [(path, self.letters[i], self.known[i]) for path, i in zip(labels, index)]
 
@@ -337,17 +349,12 @@ class Labeller:
         return [labels[a:b] for a, b in zip(starts[:-1], starts[1:])]
 
 
-_labellers: dict[str, Labeller] = {}
-
-
 def labeller(model: Model) -> Labeller:
-    if model.token not in _labellers:
-        _labellers.clear()
-        _labellers[model.token] = Labeller(model)
-    return _labellers[model.token]
+    return tool(("labeller", model.token), lambda: Labeller(model))
 
 
-def _groups(texts: list[str], limit: int) -> Iterator[list[str]]:
+def _groups(texts: Iterable, limit: int) -> Iterator[list]:
+    """Texts, or their words, in lists that together reach the limit."""
     part, size = [], 0
     for t in texts:
         part.append(t)
@@ -373,14 +380,21 @@ def _spans(model: Model, path: np.ndarray, places: list[tuple[int, int]]) -> lis
     return [{"lang": model.languages[path[a]], "start": places[a][0], "end": places[b - 1][1]} for a, b in zip([0, *edges], [*edges, len(path)])] if len(path) and model.languages else []
 
 
-def _verdicts(model: Model, texts: list[str | None], spans: bool = False) -> Iterator[tuple[str, float, list[dict]]]:
+def _texts(column: pa.Array) -> Iterator[str]:
+    """The texts of a batch, a null one as empty, TEXTS of them as strings at once."""
+    for at in range(0, len(column), TEXTS):
+        for text in column.slice(at, TEXTS).to_pylist():
+            yield text or ""
+
+
+def _verdicts(model: Model, column: pa.Array, spans: bool = False) -> Iterator[tuple[str, float, list[dict]]]:
     """Language, score and, on request, spans of every text."""
-    tool = labeller(model)
-    for part in _groups([t or "" for t in texts], GROUP * FEW // max(FEW, len(model.languages))):
+    known = labeller(model)
+    for part in _groups(_texts(column), GROUP * FEW // max(FEW, len(model.languages))):
         places = [[m.span() for m in _pattern(t).finditer(t)] for t in part] if spans else []
-        words = [[t[a:b].lower() for a, b in p] for t, p in zip(part, places)] if spans else [words_of(t.lower()) for t in part]
-        for i, (path, letters, known) in enumerate(tool.paths(words)):
-            yield *_verdict(model, path, letters, known), _spans(model, path, places[i]) if spans else []
+        words = ([t[a:b].lower() for a, b in p] for t, p in zip(part, places)) if spans else (words_of(t.lower()) for t in part)
+        for i, (path, letters, seen) in enumerate(known.paths(words)):
+            yield *_verdict(model, path, letters, seen), _spans(model, path, places[i]) if spans else []
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", spans: bool = False) -> DataFrame:
@@ -400,7 +414,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = list(_verdicts(shared.value, batch.column(1).to_pylist(), spans))
+            found = list(_verdicts(shared.value, batch.column(1), spans))
             columns = [batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
             columns += [pa.array([x[2] for x in found], span_type)] if spans else []
             yield pa.RecordBatch.from_arrays(columns, names=[id_col, "lang_pred", "score", *["spans"] * spans])
@@ -417,7 +431,7 @@ def with_known_language(docs: DataFrame, model: Model, text_col: str = "text") -
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known = [lang != UNKNOWN for lang, _, _ in _verdicts(shared.value, batch.column(place).to_pylist())]
+            known = [lang != UNKNOWN for lang, _, _ in _verdicts(shared.value, batch.column(place))]
             yield batch.filter(pa.array(known, pa.bool_()))
 
     return docs.mapInArrow(kept, docs.schema)

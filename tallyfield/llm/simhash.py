@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, settle, ship
+from .common import batches_of, only, settle, ship
 
 SEED = 42
 SHINGLE = 4
@@ -36,6 +36,8 @@ PAIRWISE = 32
 DIVIDE = 20_000
 RANGES = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 _STEP = 1 << 16
+#: Texts that are sent to Python at once.
+TEXTS = 1000
 
 _EVEN = np.uint64(0x5555555555555555)
 
@@ -252,7 +254,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids of the component are null. Whole texts are hashed however long, in steps of bounded size. Other columns are
     ignored whatever their names; an empty table gives no rows.
     """
-    prints = settle(fingerprints(docs, id_col, text_col), "fingerprints")
+    with batches_of(docs.sparkSession, TEXTS):
+        prints = settle(fingerprints(docs, id_col, text_col), "fingerprints")
     distinct = settle(prints.groupBy("fp").agg(F.min(F.col(f"`{id_col}`")).alias("least")), "distinct-fingerprints")
     roots = components(links(distinct))
     placed = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))

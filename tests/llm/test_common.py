@@ -1,6 +1,8 @@
+import weakref
+
 import pytest
 
-from tallyfield.llm import common
+from tallyfield.llm import common, language
 
 
 class Fake:
@@ -20,3 +22,13 @@ def test_only_local_mode_makes_its_own_folder():
     for master in ("yarn", "spark://h:7077", "local-cluster[3,2,3000]", "k8s://x"):
         with pytest.raises(RuntimeError):
             common.scratch(Fake(master))
+
+
+def test_a_worker_keeps_one_tool():
+    made = []
+    first = language.labeller(model := language.Model(["x"]))
+    assert language.labeller(model) is first
+    assert common.tool("other", lambda: made.append(1) or "other") == common.tool("other", lambda: made.append(1)) == "other" and made == [1]
+    gone = weakref.ref(first)
+    del first
+    assert gone() is None
