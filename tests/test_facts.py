@@ -41,7 +41,7 @@ def sql_on_decimals(name, root):
     return [d[0] for d in want.description], sorted(tuple(cell(v) for v in r) for r in want.fetchall())
 
 
-@pytest.mark.parametrize("name", ["composed_category", "detail_compare", "detail_pairs", "entity_cards", "flag_counts", "score_table"])
+@pytest.mark.parametrize("name", ["composed_category", "detail_compare", "detail_pairs", "entity_cards", "flag_counts", "score_table", "percentile_ranks"])
 def test_equal_suppliers_tie(spark, facts_dir, name):
     names, want = sql_on_decimals(name, facts_dir)
     assert sorted(tuple(cell(v) for v in r) for r in QUERIES[name](spark, facts_dir).select(*names).collect()) == want
